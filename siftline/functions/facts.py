@@ -1,88 +1,100 @@
 """Facts read from posting text: salary, work mode, quota figures, error class."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed_values as V
-from siftline.functions.text import (WHITESPACE, any_of, collapse, contains_any, context, either,
-                                     text_or_empty)
+from siftline.functions.text import (ELLIPSIS, WHITESPACE, any_of, around, collapse,
+                                     contains_any, context, text_or_empty)
 
 _FLAGS = "(?iU)"
+# Words without which no pattern of a kind can match; plain tests that run first.
+_MONEY = r"(?i)[€£$₣]|EUR|GBP|USD|CHF|HUF|PLN|SEK|NOK|DKK|CZK|RON"
+_PAY = "(?i)salary|compensation|competitive"
+_PLACE = "(?i)hybrid|remote|site|office|premise|from"
 
 
-def _first_span(text: Column, patterns) -> Column:
-    """Start and width of the leftmost match of the first pattern that matches."""
-    out = F.when(F.lit(False), F.struct(F.lit(0).alias("start"), F.lit(0).alias("width")))
-    for p in patterns:
-        rx = F.lit(_FLAGS + p)
-        out = out.when(text.rlike(_FLAGS + p), F.struct(
-            (F.regexp_instr(text, rx) - 1).alias("start"),
-            F.length(F.regexp_substr(text, rx)).alias("width")))
-    return out
+def _spot(text: Column, patterns, first: int = 0) -> Column:
+    """Number of the first pattern that matches, with start and width of its leftmost match."""
+    return F.coalesce(*[F.when(text.rlike(_FLAGS + p), F.struct(
+        F.lit(first + i).alias("rule"),
+        (F.regexp_instr(text, F.lit(_FLAGS + p)) - 1).alias("start"),
+        F.length(F.regexp_substr(text, F.lit(_FLAGS + p))).alias("width")))
+        for i, p in enumerate(patterns)])
 
 
-def salary(text: Column) -> Column:
-    """Struct of value, quote and reason; ``text`` should be a column, it is read often."""
-    body = collapse(text_or_empty(text))
-    stated, withheld = _first_span(body, V.SALARY_STATED), _first_span(body, V.SALARY_WITHHELD)
-    span = F.btrim(F.substring(body, stated["start"] + 1, stated["width"]))
-    return F.struct(
-        F.when(stated.isNotNull(), span).when(withheld.isNotNull(), "not disclosed")
-        .otherwise("unknown").alias("value"),
-        F.when(stated.isNotNull(), context(body, stated["start"], stated["width"]))
-        .when(withheld.isNotNull(), context(body, withheld["start"], withheld["width"]))
-        .alias("quote"),
-        F.when(body == "", "no posting text available to read")
-        .when(stated.isNotNull(), "stated in the posting text")
-        .when(withheld.isNotNull(), "the posting declines to state a figure")
-        .otherwise("the posting states no salary").alias("reason"))
+def salary_spot(body: Column) -> Column:
+    """Where a collapsed text states or withholds a salary; ``body`` is a column reference."""
+    stated = F.when(body.rlike(_MONEY), _spot(body, V.SALARY_STATED))
+    withheld = F.when(body.rlike(_PAY), _spot(body, V.SALARY_WITHHELD, len(V.SALARY_STATED)))
+    return F.coalesce(stated, withheld)
 
 
-def _first_unnegated(text: Column, pattern: str) -> Column:
-    """Ordinal of the first match without a negator in its run-up, or null.
+def salary(spot: Column, body: Column) -> Column:
+    """Struct of value (the verbatim span), quote and reason."""
+    stated = spot["rule"] < len(V.SALARY_STATED)
+    span = F.btrim(F.substring(body, spot["start"] + 1, spot["width"]))
+    return F.struct(
+        F.when(spot.isNull(), "unknown").when(stated, span).otherwise("not disclosed")
+        .alias("value"),
+        F.when(spot.isNotNull(), context(body, spot["start"], spot["width"])).alias("quote"),
+        F.when(body == "", "no posting text available to read")
+        .when(spot.isNull(), "the posting states no salary")
+        .when(stated, "stated in the posting text")
+        .otherwise("the posting declines to state a figure").alias("reason"))
 
-    The pattern must not own capture groups. Run-ups are cut first and searched alone, so a word
-    cut in half at the window edge counts as it stands in the window.
-    """
-    n = V.WORK_MODE_NEGATOR_CHARS
-    run_ups = F.regexp_extract_all(
-        text, F.lit(f"{_FLAGS}(?<=(^.{{0,{n - 1}}}|.{{{n}}}))(?:{pattern})"), F.lit(1))
-    flags = F.transform(run_ups, lambda w: w.rlike(_FLAGS + V.WORK_MODE_NEGATOR))
-    at = F.array_position(flags, F.lit(False))
-    return F.when(at > 0, (at - 1).cast("int"))
 
+def _tag(mode: str):
+    return lambda m: m.withField("mode", F.lit(mode))
 
-def _match_span(text: Column, pattern: str, ordinal: Column) -> Column:
-    """Start and width of the n-th match, from the texts between the matches."""
-    gaps = F.split(text, _FLAGS + pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(f"{_FLAGS}(?:{pattern})"), F.lit(0))
-    start = (F.length(F.array_join(F.slice(gaps, F.lit(1), ordinal + 1), ""))
-             + F.length(F.array_join(F.slice(found, F.lit(1), ordinal), "")))
-    return F.struct(start.alias("start"), F.length(F.get(found, ordinal)).alias("width"))
 
+def mode_spot(hay: Column) -> Column:
+    """The first rule with a match that no negator precedes: mode, match and wording around it.
 
-def work_mode(text: Column, location: Column) -> Column:
-    """Struct of value and quote: hybrid, remote, onsite or unknown."""
-    body = F.concat(collapse(text_or_empty(location)), F.lit(". "),
-                    collapse(text_or_empty(text)))
-    hay = F.btrim(body, F.lit(". "))
-    value, quote = F.when(hay == "", "unknown"), F.when(hay == "", F.lit(None).cast("string"))
+    A negated match is skipped and the next match of the same pattern is tried. Run-ups are cut
+    first and searched alone, so a word cut in half at the window edge counts as it stands.
+    """
+    rules = []
     for mode, patterns in V.WORK_MODES.items():
-        possible = hay.rlike(_FLAGS + either(patterns))
         for p in patterns:
-            nth = _first_unnegated(hay, p)
-            hit = possible & nth.isNotNull()
-            span = _match_span(hay, p, nth)
-            value = value.when(hit, mode)
-            quote = quote.when(hit, context(hay, span["start"], span["width"]))
-    return F.struct(value.otherwise("unknown").alias("value"), quote.alias("quote"))
+            rx = F.lit("(?iU)" + around(71, 71, f"({p})"))
+            found = F.arrays_zip(*[F.regexp_extract_all(hay, rx, F.lit(i)).alias(n)
+                                   for i, n in ((1, "before"), (2, "match"), (3, "after"))])
+            free = F.filter(found, lambda m: ~F.right(
+                m["before"], F.lit(V.WORK_MODE_NEGATOR_CHARS)).rlike(
+                _FLAGS + V.WORK_MODE_NEGATOR))
+            rules.append(F.when(hay.rlike(_FLAGS + p), F.get(
+                F.transform(free, _tag(mode)), 0)))
+    return F.when(hay.rlike(_PLACE), F.coalesce(*rules))
+
+
+def work_mode(spot: Column) -> Column:
+    """Struct of value and quote: hybrid, remote, onsite or unknown."""
+    pad = F.greatest(F.floor((F.lit(140) - F.length(spot["match"])) / 2), F.lit(0)).cast("int")
+    before, after = spot["before"], spot["after"]
+    quote = F.concat(F.when(F.length(before) > pad, ELLIPSIS).otherwise(""), F.btrim(F.concat(
+        F.right(before, pad), spot["match"], F.left(after, pad))),
+        F.when(F.length(after) > pad, ELLIPSIS).otherwise(""))
+    return F.struct(F.coalesce(spot["mode"], F.lit("unknown")).alias("value"),
+                    F.when(spot.isNotNull(), quote).alias("quote"))
 
 
-def record_facts(title: Column, body: Column, location: Column) -> Column:
-    """Both facts of one record; the title counts for the salary only."""
-    return F.struct(
-        salary(F.concat(text_or_empty(title), F.lit(". "), text_or_empty(body))).alias("salary"),
-        work_mode(body, location).alias("work_mode"))
+def add_facts(df: DataFrame, title: str = "title", body: str = "body",
+              location: str = "location") -> DataFrame:
+    """Add ``salary`` and ``work_mode``; the title counts for the salary only.
+
+    Texts are collapsed once and kept as columns, so a record is searched once per pattern.
+    """
+    df = df.withColumns({
+        "_pay": collapse(F.concat(text_or_empty(title), F.lit(". "), text_or_empty(body))),
+        "_hay": F.btrim(F.concat(collapse(text_or_empty(location)), F.lit(". "),
+                                 collapse(text_or_empty(body))), F.lit(". "))})
+    df = df.withColumns({"_pay_at": salary_spot(F.col("_pay")),
+                         "_mode_at": mode_spot(F.col("_hay"))})
+    return df.withColumns({
+        "salary": salary(F.col("_pay_at"), F.col("_pay")),
+        "work_mode": work_mode(F.col("_mode_at")),
+    }).drop("_pay", "_hay", "_pay_at", "_mode_at")
 
 
 def quota_figures(text: Column) -> Column:

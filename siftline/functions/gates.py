@@ -5,29 +5,34 @@ one multi-line regex. A cheap test of the whole text runs first; the costlier pe
 behind it in a ``when`` and touches only records that can be hit.
 """
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed_values as V
 from siftline.functions.keys import ymd
-from siftline.functions.text import (around, any_of, collapse, contains_any, either, excerpt,
+from siftline.functions.text import (SENTENCE_END, around, any_of, collapse, contains_any, either, excerpt,
                                      first_in_order, gate_text, line_of, raw_sentence, strip,
                                      text_or_empty)
 
-NULL = F.lit(None).cast("string")
-NO_STRINGS = F.array().cast("array<string>")
+
+def _null() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _no_strings() -> Column:
+    return F.array().cast("array<string>")
 
 
-def _unless_incomplete(block: Column, full_text: Column, caveat: Column) -> Column:
-    """A PASS earned by silence in incomplete text is UNKNOWN; FAIL never softens."""
+def unless_incomplete(block: Column, full_text: Column, caveat: Column) -> Column:
+    """A PASS earned by silence in incomplete text is UNKNOWN; FAIL never softens.
+
+    ``block`` must be a column reference: it is read several times.
+    """
     silent = (block["verdict"] == V.PASS) & ~full_text
-    return (block
-            .withField("reason", F.when(silent, F.concat(
-                block["reason"], F.lit(", but "), caveat, F.lit(" — unverified, not a pass")))
-                .otherwise(block["reason"]))
-            .withField("verdict", F.when(silent, V.UNKNOWN).otherwise(block["verdict"])))
+    return block.withField("reason", F.when(silent, F.concat(
+        block["reason"], F.lit(", but "), caveat, F.lit(" — unverified, not a pass")))
+        .otherwise(block["reason"])).withField(
+        "verdict", F.when(silent, V.UNKNOWN).otherwise(block["verdict"]))
 
 
 # ------------------------------------------------------------------------------- language
@@ -36,7 +41,7 @@ def stopword_hits(text: Column, stopwords=None) -> Column:
     """All stopwords of any language in a normalised text, in order, in one regex pass."""
     stopwords = V.LANGUAGE_STOPWORDS if stopwords is None else stopwords
     known = sorted({w for ws in stopwords.values() for w in ws} | set(V.ENGLISH_STOPWORDS))
-    return F.regexp_extract_all(text, F.lit(f"(?<= )(?:{'|'.join(known)})(?= )"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"(?<= ){any_of(known)}(?= )"), F.lit(0))
 
 
 def language_counts(hits: Column, text: Column, stopwords=None) -> Column:
@@ -105,46 +110,59 @@ def _language_patterns(names):
     return demanded, allowed, demand_only, f"(?m)^(?!.*{optional}){everything}.*$"
 
 
-def language_gate(lines: Column, raw: Column, detected: Column, has_body: Column,
-                  full_text: Column, caveat: Column, names=None) -> Column:
-    """Does the posting demand a blocked language, or is it written in one?"""
+def language_evidence(lines: Column, names=None) -> Column:
+    """The first convicting line and whether any optional wording occurs; read by the gate."""
     names = V.LANGUAGE_NAMES if names is None else names
-    demanded, allowed, demand_only, any_demand = _language_patterns(names)
+    any_demand = _language_patterns(names)[3]
     aliases = [a for al in names.values() for a in al]
     possible = lines.rlike(f" {any_of(aliases)} |native|mother ?tongue")
-    hit = F.when(possible, F.regexp_extract(lines, any_demand, 0)).otherwise("")
-    # Which language convicted: the first of the list on the first convicting line.
-    first, trigger = F.when(F.lit(False), NULL), F.when(F.lit(False), NULL)
-    line = raw_sentence(raw, line_of(lines, any_demand))
-    for lang, pattern in demand_only.items():
-        centre = (either(V.NATIVE_SPEAKER_PATTERNS) if lang == "native-speaker"
-                  else any_of(names[lang]))
-        first = first.when(hit.rlike(pattern), lang)
-        trigger = trigger.when(hit.rlike(pattern), excerpt(line, "(?i)" + centre))
-    convicted = hit != ""
+    return F.struct(
+        F.when(possible, F.regexp_extract(lines, any_demand, 0)).otherwise("").alias("hit"),
+        (possible & lines.rlike(any_of(V.LANGUAGE_OPTIONAL))).alias("maybe_optional"))
+
+
+def language_findings(evidence: Column, lines: Column, raw: Column, names=None) -> Column:
+    """Which language convicted with its quote, and all demanded and optional languages.
+
+    The per-language tests sit behind ``when``: they run on the few records with a hit.
+    """
+    names = V.LANGUAGE_NAMES if names is None else names
+    demanded, allowed, demand_only, any_demand = _language_patterns(names)
+    hit = evidence["hit"]
+    first = F.coalesce(*[F.when(hit.rlike(p), lang) for lang, p in demand_only.items()])
+    centre = "(?i)" + either([*V.NATIVE_SPEAKER_PATTERNS,
+                              *[any_of(a) for a in names.values()]])
+    quote = excerpt(raw_sentence(raw, line_of(lines, any_demand)), centre)
     required = F.array_sort(F.array_compact(F.array(*[
         F.when(lines.rlike(p), lang) for lang, p in demanded.items()])))
     optional = F.array_sort(F.array_compact(F.array(*[
         F.when(lines.rlike(p), lang) for lang, p in allowed.items()])))
-    optional = F.when(possible & contains_any(lines, V.LANGUAGE_OPTIONAL), optional).otherwise(
-        NO_STRINGS)
+    return F.struct(
+        F.when(hit != "", first).alias("first"), F.when(hit != "", quote).alias("quote"),
+        F.when(hit != "", required).otherwise(_no_strings()).alias("required"),
+        F.when(evidence["maybe_optional"], optional).otherwise(_no_strings()).alias("optional"))
+
+
+def language_gate(found: Column, detected: Column, has_body: Column) -> Column:
+    """Does the posting demand a blocked language, or is it written in one?"""
+    convicted = found["first"].isNotNull()
     foreign = detected["verdict"] == V.FAIL
     unread = (detected["verdict"] == V.UNKNOWN) & detected["english_absent"]
-    verdict = (F.when(convicted | foreign, V.FAIL).when(unread, V.UNKNOWN)
-               .when((F.size(optional) > 0) | has_body, V.PASS).otherwise(V.UNKNOWN))
-    reason = (F.when(convicted, F.concat(first, F.lit(" stated as a hard job condition")))
-              .when(foreign, F.concat(F.lit("posting is written in "), detected["language"]))
-              .when(unread, "posting does not read as English and its language could not be "
-                            "identified - any stated language requirement is unread")
-              .when(F.size(optional) > 0, "only optional language preferences stated")
-              .when(has_body, "no language condition stated")
-              .otherwise("no description text to read a language condition from"))
-    block = F.struct(
-        verdict.alias("verdict"), reason.alias("reason"),
-        F.when(convicted, trigger).when(foreign | unread, detected["quote"]).alias("quote"),
-        F.when(convicted, required).otherwise(NO_STRINGS).alias("languages_required"),
-        optional.alias("languages_optional"))
-    return _unless_incomplete(block, full_text, caveat)
+    some_optional = F.size(found["optional"]) > 0
+    return F.struct(
+        F.when(convicted | foreign, V.FAIL).when(unread, V.UNKNOWN)
+        .when(some_optional | has_body, V.PASS).otherwise(V.UNKNOWN).alias("verdict"),
+        F.when(convicted, F.concat(found["first"], F.lit(" stated as a hard job condition")))
+        .when(foreign, F.concat(F.lit("posting is written in "), detected["language"]))
+        .when(unread, "posting does not read as English and its language could not be "
+                      "identified - any stated language requirement is unread")
+        .when(some_optional, "only optional language preferences stated")
+        .when(has_body, "no language condition stated")
+        .otherwise("no description text to read a language condition from").alias("reason"),
+        F.when(convicted, found["quote"]).when(foreign | unread, detected["quote"])
+        .alias("quote"),
+        found["required"].alias("languages_required"),
+        found["optional"].alias("languages_optional"))
 
 
 # ------------------------------------------------------------------------------- experience
@@ -168,12 +186,12 @@ def years_figures(lines: Column) -> Column:
         tenure = (after.rlike(V.YEARS_TENURE_PHRASE)
                   & ~before.rlike(any_of(V.YEARS_COMPANY_AGE)))
         kind = (F.when(top <= V.YEARS_MAX, "the requirement is within the profile's range")
-                .when(floor, NULL)
+                .when(floor, _null())
                 .when(window.rlike(any_of(V.YEARS_AMBIGUOUS)), "ambiguity marker beside the figure")
                 .when(after.rlike(any_of(V.YEARS_DOMAIN_SCOPED)),
                       "years scoped to an adjacent domain, not the role's core work")
                 .when(window.rlike(any_of(V.YEARS_MANDATORY)) | figure.contains("+") | tenure,
-                      NULL)
+                      _null())
                 .otherwise("years stated without a mandatory marker"))
         ignored = (window.rlike(any_of(V.YEARS_NOT_TENURE))
                    & ~window.rlike(any_of(V.YEARS_TENURE_OVERRIDE)))
@@ -188,56 +206,60 @@ def years_figures(lines: Column) -> Column:
                   F.filter(named, lambda m: ~m["ignored"])).otherwise(empty)
 
 
-def experience_gate(figures: Column, raw: Column, has_body: Column, full_text: Column,
-                    caveat: Column) -> Column:
-    """Does the posting demand more years than the ceiling?"""
+def experience_findings(figures: Column) -> Column:
+    """The highest hard figure and the highest other one; the first of equals."""
     def worst(items):
         return F.array_max(F.transform(items, lambda m: F.struct(
             m["years"].alias("years"), (-m["nth"]).alias("order"), m["low"].alias("low"),
             m["kind"].alias("kind"))))
 
-    hard = worst(F.filter(figures, lambda m: m["kind"].isNull()))
-    soft = worst(F.filter(figures, lambda m: m["kind"].isNotNull()))
-    top = F.coalesce(hard, soft)
-    span = (F.when(hard["low"] != hard["years"], F.concat(
-        hard["low"], F.lit("-"), hard["years"], F.lit(" years stated as a hard requirement, read "
-                                                     "at its ceiling of "), hard["years"]))
-            .otherwise(F.concat(hard["years"], F.lit("+ years stated as a hard requirement"))))
-    lines = F.regexp_replace(raw, "[.;!?\n\r•|]+", "\n")
-    rx = "(?i)" + V.YEARS
-    near = F.get(F.regexp_extract_all(lines, F.lit(f"(?i).{{0,150}}{V.YEARS}.{{0,140}}"),
-                                      F.lit(0)), 0)
-    shown = F.get(F.regexp_extract_all(
-        lines, F.lit("(?i)" + around(140, 140, f"({V.YEARS})")), F.lit(0)), -top["order"])
-    run_up = F.get(F.regexp_extract_all(
-        lines, F.lit("(?i)" + around(140, 140, f"({V.YEARS})")), F.lit(1)), -top["order"])
-    run_out = F.get(F.regexp_extract_all(
-        lines, F.lit("(?i)" + around(140, 140, f"({V.YEARS})")), F.lit(5)), -top["order"])
-    quote = F.when(lines.rlike(rx), F.coalesce(
-        collapse(F.concat(run_up, shown, run_out)), collapse(near)))
-    block = F.struct(
+    return F.struct(worst(F.filter(figures, lambda m: m["kind"].isNull())).alias("hard"),
+                    worst(F.filter(figures, lambda m: m["kind"].isNotNull())).alias("soft"))
+
+
+def _years_quote(raw: Column, nth: Column) -> Column:
+    """The n-th years figure of the raw text with the wording around it."""
+    lines = F.regexp_replace(raw, SENTENCE_END, "\n")
+    rx = F.lit("(?i)" + around(140, 140, f"({V.YEARS})"))
+    part = [F.get(F.regexp_extract_all(lines, rx, F.lit(i)), nth) for i in (1, 2, 5)]
+    return collapse(F.concat(*part))
+
+
+def experience_gate(found: Column, raw: Column, has_body: Column) -> Column:
+    """Does the posting demand more years than the ceiling?"""
+    hard, soft = found["hard"], found["soft"]
+    span = F.when(hard["low"] != hard["years"], F.concat(
+        hard["low"], F.lit("-"), hard["years"], F.lit(
+            " years stated as a hard requirement, read at its ceiling of "), hard["years"])
+    ).otherwise(F.concat(hard["years"], F.lit("+ years stated as a hard requirement")))
+    nth = -F.coalesce(hard["order"], soft["order"])
+    return F.struct(
         F.when(hard.isNotNull(), V.FAIL).when(soft.isNotNull() | has_body, V.PASS)
         .otherwise(V.UNKNOWN).alias("verdict"),
         F.when(hard.isNotNull(), span).when(soft.isNotNull(), soft["kind"])
         .when(has_body, "no years requirement stated")
         .otherwise("no description text to read a years requirement from").alias("reason"),
-        F.when(top.isNotNull(), quote).alias("quote"),
-        top["years"].alias("years_required"))
-    return _unless_incomplete(block, full_text, caveat)
+        F.when(hard.isNotNull() | soft.isNotNull(), _years_quote(raw, nth)).alias("quote"),
+        F.coalesce(hard["years"], soft["years"]).alias("years_required"))
 
 
 # ------------------------------------------------------------------------------- sponsorship
 
-def sponsorship_gate(lines: Column, raw: Column, has_body: Column, full_text: Column,
-                     caveat: Column) -> Column:
-    """Is sponsorship refused, or are papers demanded that nobody offers to obtain?"""
+def sponsorship_evidence(lines: Column) -> Column:
+    """Whether sponsorship is refused or offered, and whether papers may be demanded."""
     denied, offer, wall = (either(V.SPONSORSHIP_DENIED), either(V.SPONSORSHIP_OFFERED),
                            either(V.AUTHORISATION_WALL))
     topical = lines.rlike("sponsor|visa|work permit|immigration|passport|citizen|national|"
                           "right to work|eligible to work|authori|permanent resid|applicants|"
                           "candidates|residents")
-    is_denied = topical & lines.rlike(denied)
-    offered = topical & lines.rlike(f"(?m)^(?!.*{denied}).*{offer}")
+    return F.struct((topical & lines.rlike(denied)).alias("denied"),
+                    (topical & lines.rlike(f"(?m)^(?!.*{denied}).*{offer}")).alias("offered"),
+                    (topical & lines.rlike(wall)).alias("maybe_wall"))
+
+
+def sponsorship_findings(evidence: Column, lines: Column, raw: Column) -> Column:
+    """The bar that stands and its quote; negated demands for papers are no bar."""
+    denied, wall = either(V.SPONSORSHIP_DENIED), either(V.AUTHORISATION_WALL)
     negators = any_of(V.WALL_NEGATORS)
 
     def stands(s: Column) -> Column:
@@ -249,38 +271,49 @@ def sponsorship_gate(lines: Column, raw: Column, has_body: Column, full_text: Co
             hit = hit | (s.rlike(p) & ~run_up.rlike(negators))
         return hit
 
-    pieces = F.split(lines, "\n", -1)
     # Positions of the sentences that demand papers; only sentences with any match are tested.
-    walls = F.filter(F.transform(pieces, lambda s, i: F.when(s.rlike(wall), F.when(stands(s), i))),
-                     lambda i: i.isNotNull())
-    wall_line = F.when(topical & ~is_denied & ~offered & lines.rlike(wall), F.get(walls, 0))
-    barred = wall_line.isNotNull()
-    block = F.struct(
+    walls = F.filter(F.transform(F.split(lines, "\n", -1), lambda s, i: F.when(
+        s.rlike(wall), F.when(stands(s), i))), lambda i: i.isNotNull())
+    open_wall = evidence["maybe_wall"] & ~evidence["denied"] & ~evidence["offered"]
+    denied_at = F.when(evidence["denied"], line_of(lines, denied))
+    return F.struct(denied_at.alias("denied_line"),
+                    F.when(open_wall, F.get(walls, 0)).alias("wall_line"))
+
+
+def sponsorship_gate(found: Column, evidence: Column, raw: Column, has_body: Column) -> Column:
+    """Is sponsorship refused, or are papers demanded that nobody offers to obtain?"""
+    denied, wall = either(V.SPONSORSHIP_DENIED), either(V.AUTHORISATION_WALL)
+    is_denied, barred = found["denied_line"].isNotNull(), found["wall_line"].isNotNull()
+    return F.struct(
         F.when(is_denied | barred, V.FAIL).when(has_body, V.PASS).otherwise(V.UNKNOWN)
         .alias("verdict"),
         F.when(is_denied, "posting states sponsorship is not available")
         .when(barred, "posting requires citizenship, a passport or pre-existing work rights this "
                       "profile lacks")
-        .when(has_body & offered, "posting states sponsorship is available")
+        .when(has_body & evidence["offered"], "posting states sponsorship is available")
         .when(has_body, "no sponsorship or citizenship bar stated")
         .otherwise("no description text to read a sponsorship condition from").alias("reason"),
-        F.when(is_denied, excerpt(raw_sentence(raw, line_of(lines, denied)), "(?i)" + denied))
-        .when(barred, excerpt(raw_sentence(raw, wall_line), "(?i)" + wall)).alias("quote"),
+        F.when(is_denied | barred, excerpt(
+            raw_sentence(raw, F.coalesce(found["denied_line"], found["wall_line"])),
+            "(?i)" + either([denied, wall]))).alias("quote"),
         F.when(is_denied, "sponsorship_denied").when(barred, "authorisation_wall").alias("bar"),
-        offered.alias("sponsorship_offered"))
-    return _unless_incomplete(block, full_text, caveat)
+        evidence["offered"].alias("sponsorship_offered"))
 
 
 # ------------------------------------------------------------------------------- title, closed
 
-def seniority_gate(title: Column) -> Column:
-    """Does the title carry a grade word? Never UNKNOWN."""
+def seniority_marker(title: Column) -> Column:
+    """The first grade word of a title, or null."""
     spaced = F.concat(F.lit(" "), F.btrim(F.regexp_replace(gate_text(title), r"[\s\-/&]+", " ")),
                       F.lit(" "))
     followers = "|".join(V.LEAD_FOLLOWERS)
     grades = "|".join(w if w != "lead" else f"lead(?! (?:{followers}) )"
                       for w in V.SENIORITY_WORDS)
-    marker = F.nullif(F.regexp_extract(spaced, f"(?<= )({grades})(?= )", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(spaced, f"(?<= )({grades})(?= )", 1), F.lit(""))
+
+
+def seniority_gate(marker: Column, title: Column) -> Column:
+    """Does the title carry a grade word? Never UNKNOWN."""
     hit = marker.isNotNull()
     return F.struct(
         F.when(hit, V.FAIL).otherwise(V.PASS).alias("verdict"),
@@ -307,86 +340,93 @@ def pure_technical_gate(axes: Column, min_body_domains: int = 2) -> Column:
                   F.lit(" domains: "), F.array_join(in_body, ", ")))
               .otherwise(F.concat(F.lit("pure technical role - title matches '"), marker,
                                   F.lit("'"))))
-    return F.struct(verdict.alias("verdict"), reason.alias("reason"), NULL.alias("quote"),
+    return F.struct(verdict.alias("verdict"), reason.alias("reason"), _null().alias("quote"),
                     marker.alias("marker"))
 
 
-def closed_gate(lines: Column, raw: Column, has_body: Column, full_text: Column,
-                caveat: Column) -> Column:
+_CLOSED = f"(?m)^(?!.*{any_of(V.CLOSED_DEADLINES)}).*{any_of(V.CLOSED_NOTICES)}.*$"
+
+
+def closed_line(lines: Column) -> Column:
+    """The first line that states the posting is closed without naming a deadline, or null."""
+    return F.when(lines.rlike("accepting|available|clos|filled|expired"),
+                  F.nullif(F.regexp_extract(lines, _CLOSED, 0), F.lit("")))
+
+
+def closed_gate(hit: Column, lines: Column, raw: Column, has_body: Column) -> Column:
     """Does a sentence say the posting is closed, without naming a deadline?"""
-    pattern = f"(?m)^(?!.*{any_of(V.CLOSED_DEADLINES)}).*{any_of(V.CLOSED_NOTICES)}.*$"
-    hit = F.when(lines.rlike("accepting|available|clos|filled|expired"),
-                 F.regexp_extract(lines, pattern, 0)).otherwise("")
-    marker = first_in_order(hit, V.CLOSED_NOTICES, before="", after="")
-    convicted = hit != ""
-    quote = F.substring(raw_sentence(raw, line_of(lines, pattern)), 1, 200)
-    block = F.struct(
-        F.when(convicted, V.FAIL).when(has_body, V.PASS).otherwise(V.UNKNOWN).alias("verdict"),
-        F.when(convicted, F.concat(F.lit("the posting states it is closed ('"), marker,
-                                   F.lit("')")))
+    marker = F.when(hit.isNotNull(), first_in_order(hit, V.CLOSED_NOTICES, before="", after=""))
+    quote = F.substring(raw_sentence(raw, line_of(lines, _CLOSED)), 1, 200)
+    return F.struct(
+        F.when(hit.isNotNull(), V.FAIL).when(has_body, V.PASS).otherwise(V.UNKNOWN)
+        .alias("verdict"),
+        F.when(hit.isNotNull(), "the posting states it is closed")
         .when(has_body, "no closed-posting notice in the text")
         .otherwise("no description text to read a closed-posting notice from").alias("reason"),
-        F.when(convicted, quote).alias("quote"),
-        F.when(convicted, marker).alias("marker"))
-    return _unless_incomplete(block, full_text, caveat)
+        F.when(hit.isNotNull(), quote).alias("quote"), marker.alias("marker"))
 
 
 # ------------------------------------------------------------------------------- geography
 
-def geography_gate(location: Column, text: Column) -> Column:
-    """Where is the role? Names outside Europe win; ``text`` is ``gate_text`` of all fields."""
-    place = strip(text_or_empty(location))
-    suffix = F.lower(place).rlike(
+def geography_evidence(location: Column, text: Column) -> Column:
+    """Which list names the text; ``text`` is ``gate_text`` of location, title and body."""
+    suffix = F.lower(strip(text_or_empty(location))).rlike(
         r",\s*(?:" + "|".join(V.SUBDIVISIONS) + r")\s*(?:,\s*(?:usa|us|canada))?\s*$")
 
     def found(phrases):
         anywhere = text.rlike(f"(?<![a-z0-9]){any_of(phrases)}(?![a-z0-9])")
         return F.when(anywhere, first_in_order(text, phrases))
 
-    outside, state, inside = found(V.OUTSIDE_EUROPE), found(V.US_STATES), found(V.INSIDE_EUROPE)
-    marker = (F.when(suffix, "us/ca subdivision")
-              .otherwise(F.coalesce(outside, state, inside)))
+    return F.struct(suffix.alias("suffix"), found(V.OUTSIDE_EUROPE).alias("outside"),
+                    found(V.US_STATES).alias("state"), found(V.INSIDE_EUROPE).alias("inside"))
+
+
+def geography_gate(found: Column, location: Column, text: Column) -> Column:
+    """Where is the role? Names outside Europe win over names inside."""
+    place = strip(text_or_empty(location))
+    suffix, outside, state, inside = (found[n] for n in ("suffix", "outside", "state", "inside"))
     abroad = F.coalesce(outside, state)
-    verdict = (F.when(suffix | abroad.isNotNull(), V.FAIL).when(inside.isNotNull(), V.PASS)
-               .otherwise(V.UNKNOWN))
-    reason = (F.when(suffix, F.concat(F.lit("location '"), F.substring(place, 1, 60),
-                                      F.lit("' is a US/Canadian state-or-province address")))
-              .when(outside.isNotNull(), F.concat(
-                  F.lit("the posting places the role outside Europe ('"), outside, F.lit("')")))
-              .when(state.isNotNull(), F.concat(F.lit("the posting names the US state '"), state,
-                                                F.lit("'")))
-              .when(inside.isNotNull(), F.concat(
-                  F.lit("the posting places the role in Europe ('"), inside, F.lit("')")))
-              .when(place == "", "the posting carries no location field to judge")
-              .otherwise(F.concat(F.lit("location '"), F.substring(place, 1, 60),
-                                  F.lit("' names no country this gate recognises either way"))))
-    near = F.locate(abroad, text)
-    quote = (F.when(suffix, F.substring(collapse(place), 1, 120))
-             .when(abroad.isNotNull(), F.btrim(F.substring(
-                 text, F.greatest(F.lit(1), near - 40), F.length(abroad) + 80))))
-    return F.struct(verdict.alias("verdict"), reason.alias("reason"), quote.alias("quote"),
-                    marker.alias("marker"))
+    near = F.position(abroad, text)
+    return F.struct(
+        F.when(suffix | abroad.isNotNull(), V.FAIL).when(inside.isNotNull(), V.PASS)
+        .otherwise(V.UNKNOWN).alias("verdict"),
+        F.when(suffix, "the location is a US/Canadian state-or-province address")
+        .when(outside.isNotNull(), F.concat(
+            F.lit("the posting places the role outside Europe ('"), outside, F.lit("')")))
+        .when(state.isNotNull(), F.concat(F.lit("the posting names the US state '"), state,
+                                          F.lit("'")))
+        .when(inside.isNotNull(), F.concat(
+            F.lit("the posting places the role in Europe ('"), inside, F.lit("')")))
+        .when(place == "", "the posting carries no location field to judge")
+        .otherwise("the location names no country this gate recognises either way")
+        .alias("reason"),
+        F.when(suffix, F.substring(collapse(place), 1, 120))
+        .when(abroad.isNotNull(), F.btrim(F.substring(
+            text, F.greatest(F.lit(1), near - 40), F.length(abroad) + 80))).alias("quote"),
+        F.when(suffix, "us/ca subdivision").otherwise(F.coalesce(abroad, inside))
+        .alias("marker"))
 
 
 # ------------------------------------------------------------------------------- recency
 
-def recency_gate(date_posted: Column, today: Column, max_age: int = V.MAX_AGE_DAYS) -> Column:
-    """Is the posting recent? ``today`` is always given, never read from a clock."""
-    posted = ymd(date_posted)
-    age = F.datediff(today, posted)
-    verdict = (F.when(posted.isNull() | today.isNull(), V.UNKNOWN).when(age > max_age, V.FAIL)
-               .when(age < 0, V.UNKNOWN).otherwise(V.PASS))
-    reason = (F.when(posted.isNull(), "the posting carries no readable date")
-              .when(today.isNull(), "no reference date supplied to measure posting age against")
-              .when(age > max_age, F.concat(F.lit("posted "), age, F.lit(" days ago, past the "),
-                                            F.lit(max_age), F.lit("-day freshness limit")))
-              .when(age < 0, F.concat(F.lit("posting date "), F.substring(date_posted, 1, 10),
-                                      F.lit(" is in the future")))
-              .otherwise(F.concat(F.lit("posted "), age, F.lit(" days ago"))))
-    return F.struct(verdict.alias("verdict"), reason.alias("reason"),
-                    F.when(verdict == V.FAIL, F.substring(date_posted, 1, 40)).alias("quote"),
-                    F.when(posted.isNotNull() & today.isNotNull(),
-                           F.substring(date_posted, 1, 10)).alias("marker"))
+def recency_gate(age: Column, date_posted: Column, max_age: int = V.MAX_AGE_DAYS) -> Column:
+    """Is the posting recent? ``age`` is in days, null when the date cannot be read."""
+    old, future = age > max_age, age < 0
+    return F.struct(
+        F.when(age.isNull() | future, V.UNKNOWN).when(old, V.FAIL).otherwise(V.PASS)
+        .alias("verdict"),
+        F.when(age.isNull(), "the posting carries no readable date")
+        .when(old, F.concat(F.lit("posted "), age, F.lit(
+            f" days ago, past the {max_age}-day freshness limit")))
+        .when(future, "the posting date is in the future")
+        .otherwise(F.concat(F.lit("posted "), age, F.lit(" days ago"))).alias("reason"),
+        F.when(old, F.substring(date_posted, 1, 40)).alias("quote"),
+        F.when(age.isNotNull(), F.substring(date_posted, 1, 10)).alias("marker"))
+
+
+def posting_age(date_posted: Column, today: Column) -> Column:
+    """Days from the leading yyyymmdd digits to ``today``; never read from a clock."""
+    return F.datediff(today, ymd(date_posted))
 
 
 # ------------------------------------------------------------------------------- roll-up

@@ -28,13 +28,32 @@ def blank_to_null(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Every run of whitespace becomes one blank, ends trimmed."""
-    return F.btrim(F.regexp_replace(c, f"[{re.escape(WHITESPACE)}]+", " "))
+    odd = WHITESPACE.replace(" ", "")
+    return F.btrim(F.regexp_replace(F.translate(c, odd, " " * len(odd)), " {2,}", " "))
+
+
+def _quoted(char: str) -> str:
+    return char if char.isalnum() or char in " -/&" else re.escape(char)
 
 
 def any_of(phrases) -> str:
-    """One alternation that matches any of the literal phrases."""
-    return "(?:" + "|".join(re.escape(p).replace("\\ ", " ").replace("\\-", "-")
-                            for p in phrases) + ")"
+    """One pattern that matches any of the literal phrases.
+
+    Phrases with a common start share it: Java tries the branches of an alternation one by one, so
+    a long flat list costs a comparison per phrase at every position of the text.
+    """
+    words_, ends = {}, False
+    for p in phrases:
+        if p == "":
+            ends = True
+        else:
+            words_.setdefault(p[0], []).append(p[1:])
+    branches = [_quoted(c) + (any_of(rest) if rest != [""] else "")
+                for c, rest in sorted(words_.items())]
+    if not branches:
+        return ""
+    one = len(branches) == 1 and not ends
+    return branches[0] if one else "(?:" + "|".join(branches) + ")" + ("?" if ends else "")
 
 
 def either(patterns) -> str:
@@ -54,14 +73,26 @@ def _pad(c: Column) -> Column:
     return F.concat(F.lit(" "), F.btrim(c), F.lit(" "))
 
 
+def _only_words(low: Column, keep: str = "") -> Column:
+    """Runs of anything but ``a-z 0-9`` and ``keep`` become one blank, in lower-case text.
+
+    Kept marks stand in as capital letters, which lower-case text has none of, so the regex is the
+    predefined ``\\W`` class; a custom class costs several times as much.
+    """
+    stand_in = "ABCDEFGH"[:len(keep)]
+    marked = F.translate(low, keep + "_", stand_in + " ")
+    spaced = F.regexp_replace(marked, r"\W+", " ")
+    return F.translate(spaced, stand_in, keep) if keep else spaced
+
+
 def words(c: Column) -> Column:
     """Lower-cased words between single blanks, padded; accented letters become blanks."""
-    return _pad(F.regexp_replace(F.lower(text_or_empty(c)), "[^a-z0-9]+", " "))
+    return _pad(_only_words(F.lower(text_or_empty(c))))
 
 
 def axis_text(c: Column) -> Column:
     """Like ``words`` but keeps ``&`` and ``+``."""
-    return _pad(F.regexp_replace(F.lower(text_or_empty(c)), "[^a-z0-9&+]+", " "))
+    return _pad(_only_words(F.lower(text_or_empty(c)), "&+"))
 
 
 @lru_cache(maxsize=None)
@@ -97,14 +128,15 @@ def fold(c: Column) -> Column:
     spelled = c
     for ch, plain in longer.items():
         spelled = F.replace(spelled, F.lit(ch), F.lit(plain))
-    spelled = F.when(c.rlike("[" + "".join(longer) + "]"), spelled).otherwise(c)
+    near = r"[\u00bc-\u00be\u0132-\u0149\u01c4-\u01f3\u2100-\u218f\ufb00-\ufb06]"
+    spelled = F.when(c.rlike(near), spelled).otherwise(c)
     folded = F.regexp_replace(F.translate(spelled, src, dst), r"\p{M}+", "")
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 def gate_text(c: Column) -> Column:
     """Folded lower-case text that keeps ``+ - / &``, padded."""
-    return _pad(F.regexp_replace(F.lower(fold(text_or_empty(c))), r"[^a-z0-9+\-/&]+", " "))
+    return _pad(_only_words(F.lower(fold(text_or_empty(c))), "+-/&"))
 
 
 def gate_lines(c: Column) -> Column:
@@ -115,7 +147,7 @@ def gate_lines(c: Column) -> Column:
     and not B" is then a single multi-line regex that stays inside generated code.
     """
     one_line = F.regexp_replace(text_or_empty(c), SENTENCE_END, "\n")
-    kept = F.regexp_replace(F.lower(fold(one_line)), "[^a-z0-9+\\-/&\n]+", " ")
+    kept = _only_words(F.lower(fold(one_line)), "+-/&\n")
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(kept, " *\n *", " \n "), F.lit(" ")),
                     F.lit(" "))
 

@@ -33,38 +33,49 @@ def evaluate_gates(df: DataFrame, today, max_age: int = V.MAX_AGE_DAYS,
     today = F.lit(today).cast("date")
     df = with_evidence(df)
     title, body = text_or_empty("title"), F.col("body")
-    df = df.withColumns({"_raw": F.concat(title, F.lit("\n"), body)})
+    lines, raw, full, caveat = (F.col(c) for c in ("_lines", "_raw", "full_text", "caveat"))
+    has_body = body != ""
+    # Each stage is one projection. A value that several expressions read becomes a column first,
+    # so it is computed once per row and plans stay small.
+    df = df.withColumn("_raw", F.concat(title, F.lit("\n"), body))
     df = df.withColumns({
-        "_lines": gate_lines(F.col("_raw")),
+        "_lines": gate_lines(raw),
         "_place": gate_text(F.concat_ws(" ", text_or_empty("location"), title, body)),
-    })
-    df = df.withColumn("_text", F.concat(F.lit(" "), F.btrim(F.regexp_replace(
-        F.col("_lines"), " *\n *", " ")), F.lit(" ")))
+        "_senior": G.seniority_marker(F.col("title")),
+        "_age": G.posting_age(F.col("date_posted"), today)})
+    df = df.withColumns({
+        "_text": F.concat(F.lit(" "), F.btrim(F.regexp_replace(lines, " *\n *", " ")),
+                          F.lit(" ")),
+        "_lang": G.language_evidence(lines, languages), "_years": G.years_figures(lines),
+        "_spon": G.sponsorship_evidence(lines), "_shut": G.closed_line(lines),
+        "_geo": G.geography_evidence(F.col("location"), F.col("_place"))})
     df = df.withColumn("_stop", G.stopword_hits(F.col("_text"), stopwords))
-    df = df.withColumn("_counts", G.language_counts(F.col("_stop"), F.col("_text"), stopwords))
-    df = df.withColumns({"_detected": G.detect_language(F.col("_counts"), body),
-                         "_years": G.years_figures(F.col("_lines"))})
-    has_body, full, caveat = body != "", F.col("full_text"), F.col("caveat")
-    lines, raw = F.col("_lines"), F.col("_raw")
     df = df.withColumns({
-        "_g_language": G.language_gate(lines, raw, F.col("_detected"), has_body, full, caveat,
-                                       languages),
-        "_g_experience": G.experience_gate(F.col("_years"), raw, has_body, full, caveat),
-        "_g_sponsorship": G.sponsorship_gate(lines, raw, has_body, full, caveat),
-        "_g_seniority": G.seniority_gate(F.col("title")),
+        "_counts": G.language_counts(F.col("_stop"), F.col("_text"), stopwords),
+        "_lang_found": G.language_findings(F.col("_lang"), lines, raw, languages),
+        "_years_found": G.experience_findings(F.col("_years")),
+        "_spon_found": G.sponsorship_findings(F.col("_spon"), lines, raw)})
+    df = df.withColumn("_detected", G.detect_language(F.col("_counts"), body))
+    df = df.withColumns({
+        "_g_language": G.language_gate(F.col("_lang_found"), F.col("_detected"), has_body),
+        "_g_experience": G.experience_gate(F.col("_years_found"), raw, has_body),
+        "_g_sponsorship": G.sponsorship_gate(F.col("_spon_found"), F.col("_spon"), raw,
+                                             has_body),
+        "_g_seniority": G.seniority_gate(F.col("_senior"), F.col("title")),
         "_g_pure_technical": G.pure_technical_gate(F.col("axes"), min_body_domains),
-        "_g_closed": G.closed_gate(lines, raw, has_body, full, caveat),
-        "_g_geography": G.geography_gate(F.col("location"), F.col("_place")),
-        "_g_recency": G.recency_gate(F.col("date_posted"), today, max_age),
-    })
+        "_g_closed": G.closed_gate(F.col("_shut"), lines, raw, has_body),
+        "_g_geography": G.geography_gate(F.col("_geo"), F.col("location"), F.col("_place")),
+        "_g_recency": G.recency_gate(F.col("_age"), F.col("date_posted"), max_age)})
+    df = df.withColumns({f"_g_{n}": G.unless_incomplete(F.col(f"_g_{n}"), full, caveat)
+                         for n in ("language", "experience", "sponsorship", "closed")})
     verdicts = {n: F.col(f"_g_{n}")["verdict"] for n in V.GATE_ORDER}
     gates = F.struct(
         G.overall_verdict(verdicts).alias("overall"), G.failed_gates(verdicts).alias("failed"),
         *[F.col(f"_g_{n}").alias(n) for n in V.GATE_ORDER],
         F.length(body).alias("evidence_chars"), F.col("evidence_source"))
-    scratch = ["_raw", "_lines", "_place", "_text", "_stop", "_counts", "_detected", "_years",
-               *[f"_g_{n}" for n in V.GATE_ORDER], "full_text", "caveat", "evidence_source"]
-    return df.withColumn("gates", gates).drop(*scratch)
+    keep = [c for c in df.columns if not c.startswith("_")
+            and c not in ("full_text", "caveat", "evidence_source")]
+    return df.select(*keep, gates.alias("gates"))
 
 
 def gate_failure_counts(df: DataFrame, gates: str = "gates") -> DataFrame:
