@@ -9,9 +9,11 @@ from siftline.functions.text import (ELLIPSIS, WHITESPACE, any_of, around, colla
 
 _FLAGS = "(?iU)"
 # Words without which no pattern of a kind can match; plain tests that run first.
-_MONEY = r"(?i)[€£$₣]|EUR|GBP|USD|CHF|HUF|PLN|SEK|NOK|DKK|CZK|RON"
+_FIGURE = r"\d\d|\d\s*[kK]"
+_MONEY = r"(?i)[€£$₣]|(?:EUR|GBP|USD|CHF|HUF|PLN|SEK|NOK|DKK|CZK|RON)\b"
 _PAY = "(?i)salary|compensation|competitive"
-_PLACE = "(?i)hybrid|remote|site|office|premise|from"
+_PLACE = (r"(?i)hybrid|remote|on[- ]?site|in[- ]office|premise|office[- ]based|work\s+from|"
+          r"the\s+office")
 
 
 def _spot(text: Column, patterns, first: int = 0) -> Column:
@@ -25,7 +27,7 @@ def _spot(text: Column, patterns, first: int = 0) -> Column:
 
 def salary_spot(body: Column) -> Column:
     """Where a collapsed text states or withholds a salary; ``body`` is a column reference."""
-    stated = F.when(body.rlike(_MONEY), _spot(body, V.SALARY_STATED))
+    stated = F.when(body.rlike(_FIGURE) & body.rlike(_MONEY), _spot(body, V.SALARY_STATED))
     withheld = F.when(body.rlike(_PAY), _spot(body, V.SALARY_WITHHELD, len(V.SALARY_STATED)))
     return F.coalesce(stated, withheld)
 
@@ -57,7 +59,7 @@ def mode_spot(hay: Column) -> Column:
     rules = []
     for mode, patterns in V.WORK_MODES.items():
         for p in patterns:
-            rx = F.lit("(?iU)" + around(71, 71, f"({p})"))
+            rx = F.lit("(?iU)" + around(71, 71, p))
             found = F.arrays_zip(*[F.regexp_extract_all(hay, rx, F.lit(i)).alias(n)
                                    for i, n in ((1, "before"), (2, "match"), (3, "after"))])
             free = F.filter(found, lambda m: ~F.right(

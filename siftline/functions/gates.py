@@ -23,16 +23,19 @@ def _no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def unless_incomplete(block: Column, full_text: Column, caveat: Column) -> Column:
+def unless_incomplete(block: Column, full_text: Column, caveat: Column, extra=()) -> Column:
     """A PASS earned by silence in incomplete text is UNKNOWN; FAIL never softens.
 
-    ``block`` must be a column reference: it is read several times.
+    ``block`` must be a column reference: it is read several times. ``extra`` names the fields
+    beyond verdict, reason and quote.
     """
     silent = (block["verdict"] == V.PASS) & ~full_text
-    return block.withField("reason", F.when(silent, F.concat(
-        block["reason"], F.lit(", but "), caveat, F.lit(" — unverified, not a pass")))
-        .otherwise(block["reason"])).withField(
-        "verdict", F.when(silent, V.UNKNOWN).otherwise(block["verdict"]))
+    return F.struct(
+        F.when(silent, V.UNKNOWN).otherwise(block["verdict"]).alias("verdict"),
+        F.when(silent, F.concat(block["reason"], F.lit(", but "), caveat,
+                                F.lit(" — unverified, not a pass")))
+        .otherwise(block["reason"]).alias("reason"),
+        *[block[f].alias(f) for f in ("quote", *extra)])
 
 
 # ------------------------------------------------------------------------------- language
@@ -172,7 +175,7 @@ def years_figures(lines: Column) -> Column:
 
     ``kind`` says why a figure does not convict; it is null for a hard requirement.
     """
-    rx = F.lit(around(V.YEARS_BEFORE, V.YEARS_AFTER, f"({V.YEARS})"))
+    rx = F.lit(around(V.YEARS_BEFORE, V.YEARS_AFTER, V.YEARS))
     parts = [F.regexp_extract_all(lines, rx, F.lit(i)) for i in (1, 2, 3, 4, 5)]
 
     def grade(m: Column) -> Column:
@@ -220,7 +223,7 @@ def experience_findings(figures: Column) -> Column:
 def _years_quote(raw: Column, nth: Column) -> Column:
     """The n-th years figure of the raw text with the wording around it."""
     lines = F.regexp_replace(raw, SENTENCE_END, "\n")
-    rx = F.lit("(?i)" + around(140, 140, f"({V.YEARS})"))
+    rx = F.lit("(?i)" + around(140, 140, V.YEARS))
     part = [F.get(F.regexp_extract_all(lines, rx, F.lit(i)), nth) for i in (1, 2, 5)]
     return collapse(F.concat(*part))
 

@@ -202,12 +202,15 @@ def context(text: Column, start: Column, width: Column, size: int = 140) -> Colu
 
 
 def around(before: int, after: int, pattern: str) -> str:
-    """A pattern with its run-up in group 1 and its run-out in the last group.
+    """A pattern with its run-up in group 1, itself in group 2 and its run-out in the last group.
 
     The run-up is a look-behind of exactly ``before`` characters, or fewer from the line start, so
-    neighbouring matches may share text. Pattern groups move up by one.
+    neighbouring matches may share text. A look-ahead tests the pattern first: the look-behind is
+    costly and must run at matches only.
     """
-    return f"(?m)(?<=(^.{{0,{before - 1}}}|.{{{before}}})){pattern}(?=(.{{0,{after}}}))"
+    plain = re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
+    return (f"(?m)(?={plain})(?<=(^.{{0,{before - 1}}}|.{{{before}}}))({pattern})"
+            f"(?=(.{{0,{after}}}))")
 
 
 def first_in_order(text: Column, phrases, before: str = r"(?<![a-z0-9])",

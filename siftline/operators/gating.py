@@ -66,8 +66,11 @@ def evaluate_gates(df: DataFrame, today, max_age: int = V.MAX_AGE_DAYS,
         "_g_closed": G.closed_gate(F.col("_shut"), lines, raw, has_body),
         "_g_geography": G.geography_gate(F.col("_geo"), F.col("location"), F.col("_place")),
         "_g_recency": G.recency_gate(F.col("_age"), F.col("date_posted"), max_age)})
-    df = df.withColumns({f"_g_{n}": G.unless_incomplete(F.col(f"_g_{n}"), full, caveat)
-                         for n in ("language", "experience", "sponsorship", "closed")})
+    extra = {"language": ("languages_required", "languages_optional"),
+             "experience": ("years_required",), "sponsorship": ("bar", "sponsorship_offered"),
+             "closed": ("marker",)}
+    df = df.withColumns({f"_g_{n}": G.unless_incomplete(F.col(f"_g_{n}"), full, caveat, fields)
+                         for n, fields in extra.items()})
     verdicts = {n: F.col(f"_g_{n}")["verdict"] for n in V.GATE_ORDER}
     gates = F.struct(
         G.overall_verdict(verdicts).alias("overall"), G.failed_gates(verdicts).alias("failed"),
@@ -105,4 +108,4 @@ def display_tally_long(verdicts: DataFrame, key: str) -> DataFrame:
     """The same tally over a long table (key, gate, verdict), open to gates added later."""
     return (verdicts.withColumn("shown", G.display_verdict(F.col("verdict")))
             .groupBy(key).pivot("shown", ["pass", "fail", "unverified"])
-            .agg(F.count("*")).na.fill(0))
+            .agg(F.count(F.lit(1))).na.fill(0))
