@@ -1 +1,129 @@
-"""Placeholder."""
+"""The whole funnel over the derived postings, and its reports."""
+
+from pyspark.sql import functions as F
+
+from siftline.catalog.base import (POSTINGS, TODAY, TRACKS, VOCABULARY, axis_ctes, postings, query,
+                                   table)
+from siftline.catalog.scores import TRACKED, scored
+from siftline.functions.scores import attribute_track
+from siftline.functions.text import words
+from siftline.operators import reports as R
+from siftline.operators.selection import (annotate, closest_misses, preference_order,
+                                          select_with_alerts)
+from siftline.operators.validation import complement, deferred_view
+from siftline.plans.funnel import Settings, cut, two_stage
+
+SETTINGS = Settings(vocabulary=VOCABULARY, tracks=TRACKS, today=TODAY, shortlist_budget=80,
+                    final_budget=25, alert_budget=10, floor=3)
+
+
+def stores(spark, sf):
+    """Seen and alert stores derived from the same documents."""
+    d = table(spark, sf, "documents")
+    i = F.col("doc_id")
+    key = F.concat(F.lit("url:https://jobs.example.com/"), i)
+    seen = d.filter(i % 4 == 1).select(key.alias("key"), F.date_format(F.date_sub(
+        F.lit("2024-02-28").cast("date"), (i % 5).cast("int")), "yyyy-MM-dd").alias("rank_date"))
+    alerts = d.filter(i % 6 == 2).select(key.alias("key"), F.date_format(F.date_sub(
+        F.lit("2024-02-28").cast("date"), (i % 50).cast("int")), "yyyy-MM-dd")
+        .alias("first_alerted"))
+    return seen, alerts
+
+
+def shortlist(spark, sf):
+    seen, alerts = stores(spark, sf)
+    return cut(postings(spark, sf), seen, alerts, SETTINGS)
+
+
+@query("shortlist")
+def shortlist_rows(spark, sf):
+    """Every posting with its score, gates and the reason of its last stage."""
+    return shortlist(spark, sf).select(
+        "dedup_key", "title", "company", "track", "score", "gates.overall", "alerted",
+        "is_repeat", "selected", "pick", "reason")
+
+
+@query("funnel_report")
+def funnel_report(spark, sf):
+    return R.funnel_summary(shortlist(spark, sf), 80, SETTINGS.alert_cap("shortlist"))
+
+
+@query("two_stage_cut")
+def two_stage_cut(spark, sf):
+    seen, alerts = stores(spark, sf)
+    d = postings(spark, sf)
+    details = d.filter(F.col("pos") % 3 == 0).select(
+        "dedup_key", F.lit(False).alias("failed"), "description")
+    thin = d.withColumns({"description_snippet": F.substring("description", 1, 500),
+                          "description": F.lit(None).cast("string"),
+                          "description_truncated": F.lit(False)})
+    return two_stage(thin, details, seen, alerts, SETTINGS).groupBy("stage", "selected").agg(
+        F.count("*").alias("n"))
+
+
+# ---- the cut alone, against SQL: alerts, floor, score
+def _rows(spark, sf):
+    p = scored(spark, sf)
+    p = p.select("dedup_key", "pos", "title", "company", "url", "location", "portal",
+                 "date_posted", F.col("axes.score").alias("score"),
+                 words(F.col("title")).alias("_w"), (F.col("pos") % 6 == 2).alias("alerted"))
+    return p.withColumn("track", attribute_track(F.col("_w"), TRACKS)["track"]).drop("_w")
+
+
+def _cut(spark, sf):
+    rows = _rows(spark, sf)
+    chosen = select_with_alerts(rows, preference_order(), 80, 20, 5)
+    return annotate(rows, chosen, 80, 20)
+
+
+_ORDER = """score DESC, alerted DESC, (contains(lower(location), 'hungary')
+  OR contains(lower(location), 'budapest') OR contains(lower(location), 'remote')) DESC,
+  date_posted DESC, pos"""
+CUT = f"""{POSTINGS}, {axis_ctes()}, {TRACKED}, rw AS (SELECT ax.pos, dedup_key, title, company,
+  portal, location, date_posted, score, ax.pos % 6 = 2 AS alerted, track FROM ax
+  LEFT JOIN best ON best.pos = ax.pos),
+ pool AS (SELECT pos FROM rw WHERE alerted ORDER BY {_ORDER} LIMIT 20),
+ fl AS (SELECT pos FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY {_ORDER}) AS rn
+   FROM rw WHERE NOT alerted AND track IS NOT NULL) WHERE rn <= 5),
+ sel AS (SELECT pos, pick FROM (SELECT rw.*, CASE WHEN pool.pos IS NOT NULL THEN 'alert'
+   WHEN fl.pos IS NOT NULL THEN 'floor' ELSE 'score' END AS pick FROM rw LEFT JOIN pool USING (pos)
+   LEFT JOIN fl USING (pos) WHERE NOT alerted OR pool.pos IS NOT NULL)
+   ORDER BY CASE pick WHEN 'alert' THEN 0 WHEN 'floor' THEN 1 ELSE 2 END, {_ORDER} LIMIT 80),
+ ann AS (SELECT rw.*, pick, CASE WHEN pick = 'alert' THEN 'alert-matched' WHEN pick IS NOT NULL
+   THEN 'top of the shortlist' WHEN alerted THEN 'alert-matched but over the alert budget of 20'
+   ELSE 'below the shortlist budget of 80' END AS reason FROM rw LEFT JOIN sel USING (pos))"""
+
+
+@query("shortlist_floor", f"WITH {CUT} SELECT pos, score, track, pick, reason FROM ann")
+def shortlist_floor(spark, sf):
+    return _cut(spark, sf).select("pos", "score", "track", "pick", "reason")
+
+
+@query("deferral_histogram", f"""WITH {CUT} SELECT reason, count(*) AS n FROM ann
+WHERE pick IS NULL GROUP BY reason""")
+def deferral_histogram(spark, sf):
+    return R.reason_histogram(complement(_cut(spark, sf)))
+
+
+@query("closest_misses", f"""WITH {CUT} SELECT pos, score, reason FROM ann
+WHERE pick IS NULL AND score <> 0 ORDER BY score DESC, pos LIMIT 10""")
+def misses(spark, sf):
+    return closest_misses(complement(_cut(spark, sf))).select("pos", "score", "reason")
+
+
+@query("deferred_rows", f"""WITH {CUT} SELECT dedup_key AS key, title, portal,
+ score AS prerank_score, track AS track_guess, reason FROM ann WHERE pick IS NULL""")
+def deferred_rows(spark, sf):
+    gates = F.struct(F.lit("PASS").alias("overall"),
+                     F.array().cast("array<string>").alias("failed"))
+    return deferred_view(_cut(spark, sf).withColumn("gates", gates)).select(
+        "key", "title", "portal", "prerank_score", "track_guess", "reason")
+
+
+@query("verification", """SELECT count_if(o_orderstatus = 'F') AS verified,
+ count_if(o_orderstatus = 'O') AS unverified, count(*) AS selected FROM orders""")
+def verification(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "F", "PASS").when(
+        F.col("o_orderstatus") == "O", "UNKNOWN").otherwise("FAIL")
+    return R.verification(table(spark, sf, "orders").select(
+        F.struct(status.alias("overall")).alias("gates")))

@@ -8,6 +8,7 @@ from siftline.functions import facts as X
 from siftline.functions import fixed_values as V
 from siftline.functions import gates as G
 from siftline.operators.axes import score_axes
+from siftline.session import cut_lineage
 from siftline.operators.gating import (display_tally, display_tally_long, evaluate_gates,
                                        gate_failure_counts, with_evidence)
 
@@ -78,12 +79,13 @@ def stopword_language(spark, sf):
     p = postings(spark, sf).select(
         "pos", "description", G.gate_text(F.concat_ws(" ", "title", "description")).alias("t"))
     p = p.withColumn("s", G.stopword_hits(F.col("t")))
-    p = p.withColumn("c", G.language_counts(F.col("s"), F.col("t")))
-    p = p.withColumn("d", G.detect_language(F.col("c"), F.col("description")))
-    return p.select("pos", F.col("c.total").cast("bigint").alias("total"),
-                    F.col("c.english").cast("bigint").alias("english"),
-                    F.col("c.hits").cast("bigint").alias("hits"), "c.language", "d.verdict",
-                    F.col("d.english_absent").alias("absent"))
+    counts = G.language_counts(F.col("s"), F.col("t"))
+    p = p.withColumns({f"c_{k}": c for k, c in counts.items()})
+    d = G.detect_language({k: F.col(f"c_{k}") for k in counts}, F.col("description"))
+    return p.select("pos", *[F.col(f"c_{k}").cast("bigint").alias(k)
+                             for k in ("total", "english", "hits")],
+                    F.col("c_language").alias("language"), d["verdict"].alias("verdict"),
+                    d["english_absent"].alias("absent"))
 
 
 @query("language_agreement", f"""{BASE}{DETECT}
@@ -282,8 +284,13 @@ def display_tally_by_group(spark, sf):
 
 @query("gate_reasons")
 def gate_reasons(spark, sf):
-    """Discard reasons with their quotes; wording has no SQL twin."""
-    return gated(spark, sf).filter("gates.overall = 'FAIL'").select(
+    """Discard reasons with their quotes; wording has no SQL twin.
+
+    The gates are stored first: a filter on them would be pushed into the text stages and repeat
+    their work.
+    """
+    g = cut_lineage(gated(spark, sf).select("pos", "gates"))
+    return g.filter("gates.overall = 'FAIL'").select(
         "pos", G.discard_reason(F.col("gates")).alias("reason"))
 
 

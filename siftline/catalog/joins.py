@@ -1 +1,553 @@
-"""Placeholder."""
+"""Stores, ledgers, stage merges, validation, final gate, details, digests, robots."""
+
+from pyspark.sql import functions as F
+
+from siftline.catalog.base import POSTINGS, axis_ctes, postings, query, table
+from siftline.catalog.scores import scored
+from siftline.functions.scores import missing_half
+from siftline.operators import details as DT
+from siftline.operators import joins as J
+from siftline.operators import selection as SE
+from siftline.operators import validation as VA
+from siftline.operators.robots import confirmed, robots_allowed, rule_table
+from siftline.sources.digests import digest_cards, digest_tokens
+from siftline.sources.portals import skip_sources, source_of
+from siftline.sources.stores import ALERT_ENTRY, store_rows
+
+NOW = "2024-02-05"
+
+
+# ---- alert store: one entry per user, first and last event dates
+def alert_store(spark, sf):
+    e = table(spark, sf, "events")
+    u = F.col("user_id")
+    day = F.date_format(F.min("ts"), "yyyy-MM-dd")
+    s = e.groupBy("user_id").agg(day.alias("d"), F.date_format(F.max("ts"), "yyyy-MM-dd")
+                                 .alias("last_seen"))
+    first = (F.when(u % 10 == 3, "not-a-date").when(u % 10 == 4, F.lit(None))
+             .when(u % 10 == 5, "2030-01-01").when(u % 10 == 6, "2023-12-31").otherwise(
+        F.col("d")))
+    return s.select(F.concat(F.lit("u"), u).alias("key"), first.alias("first_alerted"),
+                    "last_seen", F.lit("a").alias("alert_name"), F.lit("T1").alias("track"),
+                    F.lit("t").alias("title"), F.lit("c").alias("company"))
+
+
+STORE = """store AS (SELECT 'u' || user_id AS key, CASE user_id % 10 WHEN 3 THEN 'not-a-date'
+  WHEN 4 THEN NULL WHEN 5 THEN '2030-01-01' WHEN 6 THEN '2023-12-31'
+  ELSE strftime(min(ts), '%Y-%m-%d') END AS first_alerted,
+  strftime(max(ts), '%Y-%m-%d') AS last_seen FROM events GROUP BY user_id),
+ status AS (SELECT *, CASE WHEN try_cast(first_alerted AS DATE) IS NULL THEN 'undated'
+  WHEN DATE '2024-02-05' - try_cast(first_alerted AS DATE) > 30 THEN 'expired' ELSE 'live' END
+  AS alert_status FROM store)"""
+
+
+@query("alert_live", f"WITH {STORE} SELECT key, alert_status FROM status")
+def alert_live(spark, sf):
+    return J.alert_status(alert_store(spark, sf), NOW).select("key", "alert_status")
+
+
+@query("alert_counts", f"""WITH {STORE} SELECT count(*) AS alert_entries,
+ count_if(alert_status = 'live') AS alert_live, count_if(alert_status = 'expired')
+ AS alert_expired, count_if(alert_status = 'undated') AS alert_undated FROM status""")
+def alert_counts(spark, sf):
+    return J.alert_counts(J.alert_status(alert_store(spark, sf), NOW))
+
+
+@query("alert_flags", f"""WITH {STORE} SELECT event_id, alert_status = 'live' AS alerted
+ FROM events JOIN status ON key = 'u' || user_id""")
+def alert_flags(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("u"), "user_id")
+                                          .alias("dedup_key"))
+    live = J.live_keys(J.alert_status(alert_store(spark, sf), NOW))
+    return J.flag_alerted(e, live).select("event_id", "alerted")
+
+
+@query("pruned_store", f"WITH {STORE} SELECT key FROM status WHERE alert_status = 'live'")
+def pruned_store(spark, sf):
+    store = alert_store(spark, sf)
+    return J.keep_live(store, J.live_keys(J.alert_status(store, NOW))).select("key")
+
+
+@query("alert_store_merge", f"""WITH {STORE}, sg AS (SELECT 'u' || (user_id + 5) AS key,
+  min(strftime(ts, '%Y-%m-%d')) AS first_alerted FROM events GROUP BY 1)
+SELECT coalesce(sg.key, store.key) AS key, CASE WHEN sg.key IS NULL
+  OR coalesce(store.first_alerted, '') <> '' THEN store.first_alerted ELSE sg.first_alerted END
+  AS first_alerted, CASE WHEN sg.key IS NULL THEN store.last_seen ELSE '2024-02-05' END
+  AS last_seen FROM store FULL JOIN sg ON sg.key = store.key""")
+def alert_store_merge(spark, sf):
+    s = table(spark, sf, "events").select(
+        F.concat(F.lit("u"), F.col("user_id") + 5).alias("key"),
+        F.date_format("ts", "yyyy-MM-dd").alias("first_alerted"), F.col("event_id").alias("pos"),
+        *[F.lit("n").alias(c) for c in ("alert_name", "track", "title", "company")])
+    return J.merge_alert_store(alert_store(spark, sf), s, NOW).select("key", "first_alerted",
+                                                                      "last_seen")
+
+
+@query("seen_store_merge", """SELECT c_custkey AS key, CASE WHEN o.k IS NULL THEN 'old'
+ ELSE 'ranked' END AS status FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders
+ WHERE o_orderstatus = 'P') o ON o.k = c_custkey""")
+def seen_store_merge(spark, sf):
+    seen = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"),
+                                               F.lit("old").alias("status"))
+    new = (table(spark, sf, "orders").filter("o_orderstatus = 'P'")
+           .select(F.col("o_custkey").alias("key"), F.lit("ranked").alias("status")).distinct())
+    return J.merge_seen_store(seen, new)
+
+
+@query("store_entries", """SELECT 'c' || c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN NULL
+ ELSE '2024-01-0' || (c_custkey % 9 + 1) END AS first_alerted FROM customer
+ WHERE c_custkey % 5 <> 0""")
+def store_entries(spark, sf):
+    """Store texts with broken ones among them; a broken text yields nothing."""
+    k = F.col("c_custkey")
+    entry = F.when(k % 3 == 0, F.lit('"no object"')).otherwise(
+        F.concat(F.lit('{"first_alerted": "2024-01-0'), k % 9 + 1, F.lit('"}')))
+    text = F.concat(F.lit('{"c'), k, F.lit('": '), entry, F.when(k % 5 != 0, "}").otherwise("["))
+    t = table(spark, sf, "customer").select(text.alias("value"))
+    return store_rows(t, ALERT_ENTRY).select("key", "first_alerted")
+
+
+@query("repeat_distance", """WITH seen AS (SELECT o_custkey AS k,
+  strftime(max(o_orderdate), '%Y-%m-%d') AS d FROM orders GROUP BY 1),
+ dates AS (SELECT d, row_number() OVER (ORDER BY d DESC) - 1 AS later
+  FROM (SELECT DISTINCT d FROM seen))
+SELECT c_custkey, seen.k IS NOT NULL AS is_repeat, later::INT AS runs_ago,
+ CASE WHEN seen.k IS NULL THEN NULL WHEN later = 0 THEN '🔁 seen in the last run (' || seen.d || ')'
+ WHEN later = 1 THEN '🔁 seen 1 run ago' ELSE '🔁 seen ' || later || ' runs ago' END AS repeat_label
+FROM customer LEFT JOIN seen ON seen.k = c_custkey LEFT JOIN dates USING (d)""")
+def repeat_distance(spark, sf):
+    seen = (table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key"))
+            .agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("rank_date")))
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").alias("dedup_key"))
+    return J.mark_repeats(c, seen, "2005-01-01").select("c_custkey", "is_repeat", "runs_ago",
+                                                        "repeat_label")
+
+
+@query("stage_merge", """WITH s AS (SELECT l_partkey AS k, max(l_linenumber * 10000000
+  + l_orderkey % 10000000) AS top FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1),
+ pick AS (SELECT l_partkey AS k, max(l_returnflag) AS flag FROM lineitem JOIN s
+  ON s.k = l_partkey AND s.top = l_linenumber * 10000000 + l_orderkey % 10000000 GROUP BY 1)
+SELECT p_partkey, coalesce(flag, p_type) AS label FROM part LEFT JOIN pick ON k = p_partkey""")
+def stage_merge(spark, sf):
+    stage = table(spark, sf, "lineitem").filter("l_partkey % 2 = 0").select(
+        F.col("l_partkey").alias("dedup_key"), F.col("l_returnflag").alias("label"),
+        F.struct(F.col("l_linenumber") * 10000000 + F.col("l_orderkey") % 10000000,
+                 "l_returnflag").alias("pos"))
+    corpus = table(spark, sf, "part").select("p_partkey", F.col("p_partkey").alias("dedup_key"),
+                                             F.col("p_type").alias("label"))
+    return J.merge_stage(corpus, stage, ["label"]).select("p_partkey", "label")
+
+
+@query("stage_counts", """SELECT count_if(o_custkey % 7 = 0) AS unkeyed,
+ (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey IN
+  (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)) AS joined,
+ (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey NOT IN
+  (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)) AS unmatched FROM orders""")
+def stage_counts(spark, sf):
+    k = F.col("o_custkey")
+    stage = table(spark, sf, "orders").select(F.when(k % 7 != 0, k).alias("dedup_key"))
+    corpus = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("dedup_key"))
+    return J.stage_counts(corpus, stage)
+
+
+@query("tracker_match", """SELECT p_partkey, EXISTS (SELECT 1 FROM part q WHERE q.p_size % 2 = 0
+ AND q.p_brand = p.p_brand AND q.p_name = p.p_name) AS tracked FROM part p""")
+def tracker_match(spark, sf):
+    p = table(spark, sf, "part")
+    tracker = p.filter("p_size % 2 = 0").select(
+        F.concat(F.lit(" "), F.upper("p_brand")).alias("company"), F.upper("p_name")
+        .alias("role"))
+    rec = p.select("p_partkey", F.col("p_brand").alias("company"), F.col("p_name").alias("title"))
+    return J.in_tracker(rec, tracker).select("p_partkey", "tracked")
+
+
+@query("drafted_status", """SELECT p_partkey, CASE WHEN EXISTS (SELECT 1 FROM part q
+ WHERE q.p_size % 2 = 0 AND q.p_brand = p.p_brand AND q.p_name = p.p_name) THEN 'Drafted'
+ ELSE 'Pending' END AS status FROM part p""")
+def drafted_status(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_brand").alias("company"),
+                                        F.col("p_name").alias("title"))
+    return J.drafted_status(p.drop("p_size"), p.filter("p_size % 2 = 0")).select("p_partkey",
+                                                                                "status")
+
+
+@query("outcome_merge", """WITH jobs AS (SELECT s_suppkey AS idx, s_name AS company,
+  s_suppkey % 5 = 0 AS complete FROM supplier),
+ fail AS (SELECT l_suppkey AS idx, max(l_orderkey * 10 + l_linenumber) AS p FROM lineitem
+  WHERE l_returnflag = 'R' GROUP BY 1),
+ st AS (SELECT s_suppkey AS idx FROM supplier WHERE s_suppkey % 7 = 1),
+ newest AS (SELECT max(s_suppkey) AS i FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT idx, CASE WHEN complete AND NOT skipped THEN 'done' WHEN st THEN 'failed'
+ WHEN skipped THEN 'skipped' WHEN running THEN 'running'
+ WHEN failed AND started THEN 'failed' ELSE 'pending' END AS status
+FROM (SELECT idx, complete, idx % 11 = 2 AS skipped, idx % 3 = 0 AS started,
+ idx IN (SELECT idx FROM st) AS st, idx IN (SELECT idx FROM fail) AS failed,
+ idx = (SELECT i FROM newest) AS running FROM jobs)""")
+def outcome_merge(spark, sf):
+    s = table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    jobs = s.select(k.alias("idx"), F.col("s_name").alias("company"),
+                    (k % 5 == 0).alias("complete"))
+    log = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("idx"), (F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+        .alias("pos"), (F.col("l_returnflag") == "R").cast("int").alias("code"),
+        F.lit("broke").alias("error"))
+    attempts = (s.filter("s_suppkey % 3 = 0").select(F.col("s_name").alias("company"),
+                                                     k.alias("pos"), F.lit("start").alias("kind"))
+                .unionByName(s.filter("s_suppkey % 11 = 2").select(
+                    F.col("s_name").alias("company"), k.alias("pos"),
+                    F.lit("skip").alias("kind"))))
+    state = s.filter("s_suppkey % 7 = 1").select(k.alias("idx"), F.lit("failed").alias("status"),
+                                                 F.lit("x").alias("error"))
+    return J.merge_outcomes(jobs, log, attempts, state).select("idx", "status")
+
+
+@query("split_ranked", """WITH j AS (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS score,
+  l_linestatus = 'F' AS am FROM lineitem)
+SELECT CASE WHEN score >= 75 OR (score >= 60 AND am) THEN 'ranked' WHEN score >= 60
+ THEN 'not_drafted' ELSE 'below' END AS outcome, count(*) AS n FROM j GROUP BY 1""")
+def split_ranked(spark, sf):
+    j = table(spark, sf, "lineitem").select((F.col("l_quantity") * 2).alias("score"), (
+        F.col("l_linestatus") == "F").alias("alert_matched"))
+    return J.split_ranked(j).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+# ---- final gate over orders
+def jobs(spark, sf):
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        F.concat(F.lit("u"), F.col("o_custkey") % 200).alias("key"), k.alias("pos"),
+        F.when(k % 50 == 7, "n/a").otherwise((F.col("o_totalprice") % 101).cast("string"))
+        .alias("score"), (k % 4 == 0).alias("alert_matched"), (k % 3 == 0).alias("enriched"),
+        *[F.col("o_orderpriority").alias(c) for c in ("title", "company", "url", "location",
+                                                      "portal", "track", "verdict")])
+
+
+GATED = f"""{STORE}, jb AS (SELECT 'u' || (o_custkey % 200) AS key, o_orderkey AS pos,
+  CASE WHEN o_orderkey % 50 = 7 THEN -1 ELSE floor(o_totalprice % 101)::INT END AS sc,
+  o_orderkey % 4 = 0 AS claim, o_orderkey % 3 = 0 AS enriched FROM orders),
+ lv AS (SELECT jb.*, coalesce(alert_status = 'live', FALSE) AS live FROM jb LEFT JOIN status
+  USING (key)),
+ ok AS (SELECT *, sc >= 75 OR (sc >= 60 AND live) AS cleared FROM lv),
+ gated AS (SELECT *, cleared AND row_number() OVER (PARTITION BY cleared ORDER BY sc DESC,
+  live DESC, enriched DESC, pos) <= 5 AS kept FROM ok)"""
+
+
+@query("final_gate", f"""WITH {GATED} SELECT pos, kept, CASE WHEN sc >= 75 THEN 'score>=75'
+ WHEN sc >= 60 AND live THEN 'alert_matched+score>=60' END AS gate_reason,
+ CASE WHEN sc < 0 THEN 'no usable score' WHEN kept THEN NULL
+  WHEN cleared THEN 'cleared the gate but over the cap of 5'
+  WHEN sc >= 60 THEN 'score ' || sc || ' below 75 and not alert-matched'
+  ELSE 'score ' || sc || ' below 60' END AS gate_note,
+ sc >= 0 AND claim <> live AS alert_corrected FROM gated""")
+def final_gate(spark, sf):
+    live = J.live_keys(J.alert_status(alert_store(spark, sf), NOW))
+    return SE.final_gate(jobs(spark, sf), live).select("pos", "kept", "gate_reason", "gate_note",
+                                                       "alert_corrected")
+
+
+@query("final_gate_counts", f"""WITH {GATED} SELECT count(*) AS ranker_returned,
+ count_if(NOT cleared) AS gate_rejected, count_if(cleared AND NOT kept) AS over_cap,
+ count_if(sc < 0) AS unscored, count_if(sc >= 0 AND claim <> live) AS alert_claim_corrected,
+ count_if(kept) AS cleared FROM gated""")
+def final_gate_counts(spark, sf):
+    live = J.live_keys(J.alert_status(alert_store(spark, sf), NOW))
+    return SE.final_gate_counts(SE.final_gate(jobs(spark, sf), live))
+
+
+@query("not_drafted", f"""WITH {GATED} SELECT key, count(*) AS n FROM gated WHERE NOT kept
+GROUP BY key""")
+def not_drafted(spark, sf):
+    live = J.live_keys(J.alert_status(alert_store(spark, sf), NOW))
+    return VA.not_drafted_view(SE.final_gate(jobs(spark, sf), live)).groupBy("key").agg(
+        F.count("*").alias("n"))
+
+
+@query("corrected_claims", f"""WITH {STORE} SELECT count_if((o_orderkey % 4 = 0)
+ <> coalesce(alert_status = 'live', FALSE)) AS corrected FROM orders LEFT JOIN status
+ ON key = 'u' || (o_custkey % 200)""")
+def corrected_claims(spark, sf):
+    live = J.live_keys(J.alert_status(alert_store(spark, sf), NOW))
+    return VA.correct_alert_claims(jobs(spark, sf), live).agg(
+        F.count_if("corrected").alias("corrected"))
+
+
+# ---- decisions: one batch per customer
+def decisions(spark, sf):
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    bad = F.when(k % 97 == 5, 101.0).otherwise(80.0)
+    return o.filter(k % 89 != 3).select(
+        F.col("o_custkey").alias("batch_id"), F.concat(F.lit("k"), k).alias("key"),
+        F.when(k % 6 == 1, "drop").otherwise("score").alias("decision"),
+        F.struct(bad.alias("technical"), F.lit(80.0).alias("experience"),
+                 F.lit(80.0).alias("behavioral"), F.lit(80.0).alias("career")).alias("scores"),
+        F.lit("T1").alias("track"), F.array(F.lit("s")).alias("strengths"),
+        F.array(F.lit("g")).alias("gaps"),
+        F.when(k % 10 == 2, "FAIL").otherwise("PASS").alias("location_gate"),
+        F.lit("PASS").alias("language_gate"), F.when(k % 12 == 1, "").otherwise("why")
+        .alias("drop_reason"))
+
+
+@query("decision_validate", """WITH x AS (SELECT o_custkey AS batch_id, o_orderkey % 89 = 3 AS miss,
+  (o_orderkey % 6 = 1 AND o_orderkey % 12 = 1) OR (o_orderkey % 6 <> 1 AND o_orderkey % 97 = 5)
+  AS bad FROM orders)
+SELECT batch_id, count_if(miss) AS missing, count_if(bad AND NOT miss) AS bad_decisions,
+ count_if(miss) + count_if(bad AND NOT miss) = 0 AS accepted FROM x GROUP BY 1""")
+def decision_validate(spark, sf):
+    want = table(spark, sf, "orders").select(F.col("o_custkey").alias("batch_id"),
+                                             F.concat(F.lit("k"), "o_orderkey").alias("key"))
+    return VA.batch_verdicts(want, decisions(spark, sf)).select("batch_id", "missing",
+                                                                "bad_decisions", "accepted")
+
+
+@query("coerced_decisions", """SELECT 'k' || o_orderkey AS key,
+ CASE WHEN o_orderkey % 6 = 1 OR o_orderkey % 10 = 2 THEN 'drop' ELSE 'score' END AS decision,
+ o_orderkey % 10 = 2 AND o_orderkey % 6 <> 1 AS coerced FROM orders WHERE o_orderkey % 89 <> 3""")
+def coerced_decisions(spark, sf):
+    return VA.enforce_gates(decisions(spark, sf)).select("key", "decision", "coerced")
+
+
+# ---- detail merge and fetch targets
+def _details(spark, sf):
+    d = table(spark, sf, "documents")
+    i = F.col("doc_id")
+    records = d.select(
+        F.concat(F.lit("url:linkedin:"), i + 1000000).alias("dedup_key"), i.alias("pos"),
+        F.lit("").alias("url"), F.concat(F.substring("text", 1, 500), F.when(
+            F.length("text") > 500, "...").otherwise("")).alias("description_snippet"))
+    got = d.filter(i % 3 != 0).select(
+        F.concat(F.lit("url:linkedin:"), i + 1000000).alias("dedup_key"),
+        (i % 11 == 1).alias("failed"),
+        F.when(i % 5 == 1, F.substring("text", 1, 40)).when(i % 7 == 2, " ").otherwise(
+            F.col("text")).alias("description"), F.lit(" mid ").alias("seniority"))
+    return records, got
+
+
+# Python-style strip of both ends, then the snippet without its marker.
+DETAILS = """x AS (SELECT doc_id, trim(text, ' ' || chr(10)) AS full_t,
+  CASE WHEN length(text) > 500 THEN rtrim(ltrim(substr(text, 1, 500), ' ' || chr(10)), ' ')
+    ELSE trim(text, ' ' || chr(10)) END AS snip,
+  CASE WHEN doc_id % 5 = 1 THEN trim(substr(text, 1, 40), ' ' || chr(10))
+    WHEN doc_id % 7 = 2 THEN '' ELSE trim(text, ' ' || chr(10)) END AS body,
+  doc_id % 3 <> 0 AS asked, doc_id % 11 = 1 AS failed FROM documents),
+ merged AS (SELECT doc_id, CASE WHEN NOT asked THEN NULL WHEN failed THEN 'failed'
+  WHEN body = '' THEN 'empty' WHEN length(body) < length(snip) THEN 'degraded'
+  ELSE 'enriched' END AS outcome, length(body) AS n FROM x)"""
+
+
+@query("detail_merge", f"""WITH {DETAILS} SELECT doc_id AS pos, outcome, CASE
+ WHEN outcome = 'enriched' THEN least(n, 20001)::INT END AS chars,
+ coalesce(outcome = 'enriched', FALSE) AS enriched,
+ CASE WHEN outcome IN ('enriched', 'empty', 'degraded') THEN 'mid' END AS seniority FROM merged""")
+def detail_merge(spark, sf):
+    return DT.merge_detail(*_details(spark, sf)).select(
+        "pos", "outcome", F.length("description").alias("chars"), "enriched", "seniority")
+
+
+@query("detail_counts", f"""WITH {DETAILS} SELECT count_if(outcome = 'enriched') AS enriched,
+ count_if(outcome = 'empty') AS empty, count_if(outcome = 'failed') AS failed,
+ count_if(outcome = 'degraded') AS degraded FROM merged""")
+def detail_counts(spark, sf):
+    return DT.outcome_counts(DT.merge_detail(*_details(spark, sf)))
+
+
+@query("detail_quality", """SELECT doc_id, length(text)::INT AS chars,
+ array_to_string(list_filter(['the', 'xyzzy'], lambda k: NOT contains(lower(text), k)), ',')
+ AS missing, length(text) >= 400 AND FALSE AS ok FROM documents""")
+def detail_quality(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return DT.detail_quality(d, "text", ("the", "xyzzy")).select(
+        "doc_id", "chars", F.array_join("missing_keywords", ",").alias("missing"), "ok")
+
+
+def _candidates(spark, sf):
+    a, i = F.col("axes"), F.col("pos")
+    return scored(spark, sf).select(
+        "dedup_key", "pos", a["score"].alias("score"),
+        missing_half(a["domain_matched"], a["enabler_matched"]).alias("half"),
+        F.when(i % 4 != 0, F.concat(F.lit("T"), i % 3)).alias("track"),
+        F.when(i % 9 == 0, "alert-matched").otherwise("top of the shortlist").alias("reason"),
+        (i % 5 != 0).alias("has_id"), (i % 2 == 0).alias("board_portal"),
+        (i % 6 == 1).alias("has_body"), ((i % 5 != 0) & (i % 6 != 1)).alias("fetchable"),
+        (i % 3 == 0).alias("unverified"), (i % 9 == 0).alias("alert_source"),
+        (i % 8 == 0).alias("repeat"), (i % 2).cast("int").alias("match"))
+
+
+TARGETS = f"""{POSTINGS}, {axis_ctes()}, cd AS (SELECT pos, dedup_key, score,
+  CASE WHEN dt + db > 0 AND et + eb = 0 THEN 'enabler' WHEN et + eb > 0 AND dt + db = 0
+   THEN 'domain' ELSE '' END AS half, CASE WHEN pos % 4 <> 0 THEN 'T' || (pos % 3) END AS track,
+  pos % 9 = 0 AS alert, pos % 5 <> 0 AND pos % 6 <> 1 AS fetchable, pos % 3 = 0 AS unverified,
+  pos % 8 = 0 AS repeat, (pos % 2)::INT AS match FROM ax),
+ pool AS (SELECT pos FROM cd WHERE alert ORDER BY pos LIMIT 10),
+ fl AS (SELECT pos FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY score DESC, pos)
+   AS rn FROM cd WHERE NOT alert AND track IS NOT NULL) WHERE rn <= 3),
+ members AS (SELECT pos FROM (SELECT cd.pos, CASE WHEN pool.pos IS NOT NULL THEN 0
+   WHEN fl.pos IS NOT NULL THEN 1 ELSE 2 END AS o, score FROM cd LEFT JOIN pool USING (pos)
+   LEFT JOIN fl USING (pos) WHERE NOT alert OR pool.pos IS NOT NULL)
+   ORDER BY o, CASE WHEN o = 0 THEN 0 ELSE -score END, pos LIMIT 25),
+ el AS (SELECT cd.*, m.pos IS NOT NULL AS in_cut, unverified AND m.pos IS NOT NULL AS verify
+   FROM cd LEFT JOIN members m USING (pos)),
+ eg AS (SELECT *, fetchable AND (match > 0 OR alert OR half <> '' OR verify) AS eligible FROM el),
+ tg AS (SELECT *, eligible AND row_number() OVER (PARTITION BY eligible ORDER BY verify DESC,
+   CASE WHEN verify THEN -score ELSE 0 END, half <> '' DESC, alert DESC, unverified DESC, repeat,
+   match DESC, pos) <= 15 AS target FROM eg)"""
+
+
+@query("cut_members", f"WITH {TARGETS} SELECT pos FROM members")
+def cut_members(spark, sf):
+    c = _candidates(spark, sf)
+    return SE.cut_members(c, 25, 10, 3, "pos").select("pos")
+
+
+@query("fetch_targets", f"WITH {TARGETS} SELECT pos, in_cut, eligible, target FROM tg")
+def fetch_targets(spark, sf):
+    c = _candidates(spark, sf)
+    return SE.fetch_targets(c, SE.cut_members(c, 25, 10, 3, "pos"), 15, "pos").select(
+        "pos", "in_cut", "eligible", "target")
+
+
+@query("fetch_counters", f"""WITH {TARGETS} SELECT count_if(pos % 5 <> 0) AS cards,
+ count_if(pos % 5 = 0 AND pos % 2 = 0) AS unparseable_id,
+ count_if(pos % 5 <> 0 AND pos % 6 = 1) AS already_full,
+ count_if(fetchable AND repeat) AS already_seen,
+ count_if(fetchable AND NOT eligible) AS no_title_match,
+ count_if(eligible AND NOT target) AS over_budget,
+ count_if(eligible AND NOT target AND alert) AS alert_over_budget,
+ count_if(eligible AND NOT target AND verify) AS verify_over_budget,
+ count_if(target AND verify) AS verify_targets, count_if(target AND alert) AS alert_targets,
+ count_if(target AND half <> '') AS half_hybrid_targets,
+ count_if(target AND half = 'enabler') AS missing_enabler_targets,
+ count_if(target AND half = 'domain') AS missing_domain_targets,
+ count_if(target AND unverified) AS gate_unknown_targets, count_if(in_cut) AS rank_cut,
+ count_if(in_cut AND unverified) AS unverified_in_cut,
+ count_if(in_cut AND unverified AND NOT fetchable) AS unreachable_in_cut FROM tg""")
+def fetch_counters(spark, sf):
+    c = _candidates(spark, sf)
+    return SE.fetch_counters(SE.fetch_targets(c, SE.cut_members(c, 25, 10, 3, "pos"), 15, "pos"))
+
+
+# ---- digests: a user's events as the tokens of one message
+_NAMES = ("north planning", "planning", "depot analyst")
+_TRACKS = {"north planning": "T1", "planning": "T2"}
+
+
+def tokens(spark, sf):
+    e = table(spark, sf, "events")
+    i, t = F.col("event_id"), F.col("event_type")
+    link = t.isin("click", "purchase", "view")
+    job = F.concat(F.lit("https://www.linkedin.com/comm/jobs/view/"), F.floor(i / 40) + 1000000)
+    href = F.when(t == "view", "https://example.com/all").when(link, job).otherwise("")
+    text = (F.when(t == "signup", F.concat(F.lit("Company "), i % 7, F.lit(" · City (Hybrid)")))
+            .when(t == "error", F.get(F.array(*[F.lit(x) for x in (
+                "Jobs for North Planning", "New planning jobs", "nothing")]), (i % 3).cast("int")))
+            .when(t == "click", F.concat(F.lit("Company "), i % 7))
+            .when(t == "purchase", F.concat(F.lit("Role number "), i)).otherwise("All"))
+    return e.select(F.col("user_id").alias("msg_id"), i.alias("pos"),
+                    F.when(link, "link").otherwise("text").alias("kind"), href.alias("href"),
+                    text.alias("text"))
+
+
+CARDS = """tk AS (SELECT user_id AS m, event_id AS pos, event_type AS t, CASE
+   WHEN event_type IN ('click', 'purchase') THEN (event_id // 40 + 1000000)::VARCHAR END AS job,
+  CASE event_type WHEN 'signup' THEN 'Company ' || (event_id % 7) || ' · City (Hybrid)'
+   WHEN 'click' THEN 'Company ' || (event_id % 7) WHEN 'purchase' THEN 'Role number ' || event_id
+   WHEN 'view' THEN 'All' END AS txt, CASE WHEN event_type = 'error' THEN
+    (['north planning', 'planning', NULL])[(event_id % 3)::INT + 1] END AS nm FROM events),
+ a AS (SELECT *, last_value(nm IGNORE NULLS) OVER w AS alert, last_value(CASE WHEN t IN
+   ('click', 'purchase', 'view') THEN coalesce(job, '') END IGNORE NULLS) OVER (PARTITION BY m
+   ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM tk
+   WINDOW w AS (PARTITION BY m ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ b AS (SELECT *, sum(CASE WHEN t IN ('click', 'purchase', 'view') AND (prev IS NULL
+   OR prev <> coalesce(job, '')) THEN 1 ELSE 0 END) OVER (PARTITION BY m ORDER BY pos
+   ROWS UNBOUNDED PRECEDING) AS isl FROM a),
+ c AS (SELECT m, isl, max(job) AS job, min(pos) AS pos, list(alert ORDER BY pos)[1] AS alert,
+   arg_min(txt, pos) FILTER (WHERE t = 'signup') AS cap,
+   list(txt ORDER BY pos) FILTER (WHERE job IS NOT NULL) AS anchors FROM b GROUP BY m, isl),
+ d AS (SELECT *, split_part(cap, ' · ', 1) AS company FROM c WHERE job IS NOT NULL)"""
+
+
+@query("digest_cards", f"""WITH {CARDS} SELECT m AS msg_id, pos, job AS job_id, company,
+ CASE WHEN cap IS NOT NULL THEN 'City' END AS location,
+ CASE WHEN cap IS NOT NULL THEN 'Hybrid' END AS work_mode,
+ alert AS alert_name, CASE alert WHEN 'north planning' THEN 'T1' WHEN 'planning' THEN 'T2' END
+ AS alert_track, coalesce(CASE WHEN company IS NOT NULL THEN
+  list_filter(anchors, lambda x: lower(x) <> lower(company))[1] END,
+  list_filter(anchors, lambda x: length(x) = list_max(list_transform(anchors,
+   lambda y: length(y))))[1]) AS title FROM d""")
+def digest(spark, sf):
+    return digest_cards(tokens(spark, sf), _NAMES, _TRACKS).select(
+        "msg_id", "pos", "job_id", "company", "location", "work_mode", "alert_name",
+        "alert_track", "title")
+
+
+@query("digest_tokens", """SELECT page_id,
+ len(regexp_extract_all(html, '<a href="[^"]*">')) AS links,
+ regexp_extract(html, '<a href="([^"]*)">', 1) AS first_href FROM pages""")
+def page_tokens(spark, sf):
+    t = digest_tokens(table(spark, sf, "pages"), "page_id")
+    link = F.col("kind") == "link"
+    return t.groupBy("page_id").agg(F.count_if(link).alias("links"), F.min_by(
+        "href", F.when(link, F.col("pos"))).alias("first_href"))
+
+
+# ---- robots: one rule file per page host
+_RULES = ("User-agent: *\nDisallow: /fr/\n\nAllow: /fr/8\nDisallow: /*.html$\n",
+          "# none\nUser-agent: other\nDisallow: /\n", "<html>not rules</html>",
+          "User-agent: bot\nuser-agent: x\nDisallow: /en/\nAllow: /en/\n"
+          "User-agent: *\nDisallow: /\n", "")
+
+
+def _hosts(spark, sf):
+    p = table(spark, sf, "pages").select(
+        F.col("page_id").alias("url_id"), F.regexp_extract("url", "^https?://([^/]+)", 1)
+        .alias("host"), F.regexp_extract("url", "^https?://[^/]+([^?#]*)", 1).alias("path"),
+        F.regexp_extract("url", r"\?([^#]*)", 1).alias("q"))
+    p = p.withColumn("path", F.concat(F.when(F.col("path") == "", "/").otherwise(
+        F.col("path")), F.when(F.col("q") != "", F.concat(F.lit("?"), "q")).otherwise("")))
+    body = F.get(F.array(*[F.lit(r) for r in _RULES]), F.length("host") % 5)
+    return p.drop("q"), p.select("host").distinct().withColumn("body", body)
+
+
+@query("robots_allowed", """WITH h AS (SELECT page_id AS url_id,
+  regexp_extract(url, '^https?://([^/]+)', 1) AS host,
+  regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) || CASE WHEN contains(url, '?') THEN '?'
+   || regexp_extract(url, '[?]([^#]*)', 1) ELSE '' END AS path FROM pages)
+SELECT url_id, CASE length(host) % 5 WHEN 0 THEN CASE WHEN starts_with(path, '/fr/8') THEN
+   NOT (regexp_matches(path, '^/.*\\.html$') AND length('/*.html$') > length('/fr/8'))
+   WHEN starts_with(path, '/fr/') OR regexp_matches(path, '^/.*\\.html$') THEN FALSE
+   ELSE TRUE END WHEN 1 THEN TRUE WHEN 2 THEN FALSE
+  WHEN 3 THEN NOT starts_with(path, '/en/') ELSE TRUE END AS allowed FROM h""")
+def robots(spark, sf):
+    urls, files = _hosts(spark, sf)
+    return robots_allowed(urls, rule_table(files), "Bot", confirmed(files)).select("url_id",
+                                                                                  "allowed")
+
+
+# ---- portal sources
+_PATHS = ("/in/LinkedIn-alert/a.json", "/in/linkedin_x.json", "/in/freehire.json", "/in/wwr.json",
+          "/in/other.json")
+
+
+@query("source_attribution", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'linkedin-alert'
+ WHEN 1 THEN 'linkedin-search' WHEN 2 THEN 'freehire-search' WHEN 3 THEN 'weworkremotely-search'
+ ELSE CASE c_custkey % 4 WHEN 0 THEN 'arbeitnow-search' WHEN 1 THEN 'freehire-search'
+  WHEN 2 THEN 'linkedin-search' ELSE 'unknown' END END AS source FROM customer""")
+def source_attribution(spark, sf):
+    k = F.col("c_custkey")
+    path = F.get(F.array(*[F.lit(p) for p in _PATHS]), (k % 5).cast("int"))
+    meta = F.when(k % 4 == 0, '{"scan_capped": null}').otherwise("{}")
+    first = F.when(k % 4 == 1, '{"work_mode": null}').when(k % 4 == 2, '{"companyUrl": "x"}')
+    c = table(spark, sf, "customer").select("c_custkey", path.alias("p"), meta.alias("m"),
+                                            first.alias("f"))
+    return c.select("c_custkey", source_of(F.col("p"), F.col("m"), F.col("f")).alias("source"))
+
+
+@query("skipped_sources", """SELECT source AS portal, count(*) AS n FROM documents
+WHERE source <> 'src1' GROUP BY 1""")
+def skipped_sources(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("portal"))
+    skip = d.filter("portal = 'src1'").distinct()
+    return skip_sources(d, skip).groupBy("portal").agg(F.count("*").alias("n"))

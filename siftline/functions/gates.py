@@ -23,19 +23,26 @@ def _no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def unless_incomplete(block: Column, full_text: Column, caveat: Column, extra=()) -> Column:
+def _fields(**columns) -> dict:
+    """Named columns. Callers keep them as plain columns, not as one struct: the optimiser copies
+    the fields of a struct into every place that reads them, and long expressions with it.
+    """
+    return columns
+
+
+def unless_incomplete(block: dict, full_text: Column, caveat: Column, extra=()) -> dict:
     """A PASS earned by silence in incomplete text is UNKNOWN; FAIL never softens.
 
     ``block`` must be a column reference: it is read several times. ``extra`` names the fields
     beyond verdict, reason and quote.
     """
     silent = (block["verdict"] == V.PASS) & ~full_text
-    return F.struct(
-        F.when(silent, V.UNKNOWN).otherwise(block["verdict"]).alias("verdict"),
-        F.when(silent, F.concat(block["reason"], F.lit(", but "), caveat,
+    return _fields(
+        verdict=F.when(silent, V.UNKNOWN).otherwise(block["verdict"]),
+        reason=F.when(silent, F.concat(block["reason"], F.lit(", but "), caveat,
                                 F.lit(" — unverified, not a pass")))
-        .otherwise(block["reason"]).alias("reason"),
-        *[block[f].alias(f) for f in ("quote", *extra)])
+        .otherwise(block["reason"]),
+        **{f: block[f] for f in ("quote", *extra)})
 
 
 # ------------------------------------------------------------------------------- language
@@ -47,7 +54,7 @@ def stopword_hits(text: Column, stopwords=None) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?<= ){any_of(known)}(?= )"), F.lit(0))
 
 
-def language_counts(hits: Column, text: Column, stopwords=None) -> Column:
+def language_counts(hits: Column, text: Column, stopwords=None) -> dict:
     """Struct of total tokens, English hits, and the best other language with its hits."""
     stopwords = V.LANGUAGE_STOPWORDS if stopwords is None else stopwords
 
@@ -61,11 +68,14 @@ def language_counts(hits: Column, text: Column, stopwords=None) -> Column:
     trimmed = F.btrim(text)
     total = F.when(trimmed == "", 0).otherwise(
         F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
-    return F.struct(total.alias("total"), count(V.ENGLISH_STOPWORDS).alias("english"),
-                    best["hits"].alias("hits"), best["language"].alias("language"))
+    return _fields(
+        total=total,
+        english=count(V.ENGLISH_STOPWORDS),
+        hits=best["hits"],
+        language=best["language"])
 
 
-def detect_language(counts: Column, body: Column) -> Column:
+def detect_language(counts: Column, body: Column) -> dict:
     """Verdict about the language a posting is written in."""
     total, english, hits = counts["total"], counts["english"], counts["hits"]
     ratio, english_ratio = F.try_divide(hits, total), F.try_divide(english, total)
@@ -76,24 +86,22 @@ def detect_language(counts: Column, body: Column) -> Column:
     verdict = (F.when((total == 0) | thin, V.UNKNOWN).when(other, V.FAIL)
                .when(absent, V.UNKNOWN).otherwise(V.PASS))
     named = (total > 0) & (hits > 0) & (thin | other)
-    return F.struct(
-        verdict.alias("verdict"),
-        F.when(named, counts["language"]).alias("language"),
-        F.when(total == 0, F.lit(0.0)).otherwise(F.round(ratio, 4)).alias("ratio"),
-        F.when(total == 0, 0).otherwise(hits).alias("hits"),
-        english.alias("english_hits"),
-        ((total > 0) & ~thin & ~other & absent).alias("english_absent"),
-        F.when((total > 0) & ~thin & (other | absent), F.substring(strip(body), 1, 200))
-        .alias("quote"),
-        F.when(total == 0, "no text")
+    return _fields(
+        verdict=verdict,
+        language=F.when(named, counts["language"]),
+        ratio=F.when(total == 0, F.lit(0.0)).otherwise(F.round(ratio, 4)),
+        hits=F.when(total == 0, 0).otherwise(hits),
+        english_hits=english,
+        english_absent=(total > 0) & ~thin & ~other & absent,
+        quote=F.when((total > 0) & ~thin & (other | absent), F.substring(strip(body), 1, 200)),
+        reason=F.when(total == 0, "no text")
         .when(thin, F.concat(F.lit("only "), F.length(body),
                              F.lit(" chars of text - too thin to judge")))
         .when(other, F.concat(hits, F.lit(" "), counts["language"], F.lit(" stopwords against "),
                               english, F.lit(" English")))
         .when(absent, F.concat(F.lit("only "), english, F.lit(" English stopwords in "), total,
                                F.lit(" words")))
-        .otherwise(F.concat(F.lit("reads as English ("), english, F.lit(" stopwords)")))
-        .alias("reason"))
+        .otherwise(F.concat(F.lit("reads as English ("), english, F.lit(" stopwords)"))))
 
 
 def _language_patterns(names):
@@ -113,18 +121,18 @@ def _language_patterns(names):
     return demanded, allowed, demand_only, f"(?m)^(?!.*{optional}){everything}.*$"
 
 
-def language_evidence(lines: Column, names=None) -> Column:
+def language_evidence(lines: Column, names=None) -> dict:
     """The first convicting line and whether any optional wording occurs; read by the gate."""
     names = V.LANGUAGE_NAMES if names is None else names
     any_demand = _language_patterns(names)[3]
     aliases = [a for al in names.values() for a in al]
     possible = lines.rlike(f" {any_of(aliases)} |native|mother ?tongue")
-    return F.struct(
-        F.when(possible, F.regexp_extract(lines, any_demand, 0)).otherwise("").alias("hit"),
-        (possible & lines.rlike(any_of(V.LANGUAGE_OPTIONAL))).alias("maybe_optional"))
+    return _fields(
+        hit=F.when(possible, F.regexp_extract(lines, any_demand, 0)).otherwise(""),
+        maybe_optional=possible & lines.rlike(any_of(V.LANGUAGE_OPTIONAL)))
 
 
-def language_findings(evidence: Column, lines: Column, raw: Column, names=None) -> Column:
+def language_findings(evidence: Column, lines: Column, raw: Column, names=None) -> dict:
     """Which language convicted with its quote, and all demanded and optional languages.
 
     The per-language tests sit behind ``when``: they run on the few records with a hit.
@@ -140,32 +148,32 @@ def language_findings(evidence: Column, lines: Column, raw: Column, names=None)
         F.when(lines.rlike(p), lang) for lang, p in demanded.items()])))
     optional = F.array_sort(F.array_compact(F.array(*[
         F.when(lines.rlike(p), lang) for lang, p in allowed.items()])))
-    return F.struct(
-        F.when(hit != "", first).alias("first"), F.when(hit != "", quote).alias("quote"),
-        F.when(hit != "", required).otherwise(_no_strings()).alias("required"),
-        F.when(evidence["maybe_optional"], optional).otherwise(_no_strings()).alias("optional"))
+    return _fields(
+        first=F.when(hit != "", first),
+        quote=F.when(hit != "", quote),
+        required=F.when(hit != "", required).otherwise(_no_strings()),
+        optional=F.when(evidence["maybe_optional"], optional).otherwise(_no_strings()))
 
 
-def language_gate(found: Column, detected: Column, has_body: Column) -> Column:
+def language_gate(found: Column, detected: Column, has_body: Column) -> dict:
     """Does the posting demand a blocked language, or is it written in one?"""
     convicted = found["first"].isNotNull()
     foreign = detected["verdict"] == V.FAIL
     unread = (detected["verdict"] == V.UNKNOWN) & detected["english_absent"]
     some_optional = F.size(found["optional"]) > 0
-    return F.struct(
-        F.when(convicted | foreign, V.FAIL).when(unread, V.UNKNOWN)
-        .when(some_optional | has_body, V.PASS).otherwise(V.UNKNOWN).alias("verdict"),
-        F.when(convicted, F.concat(found["first"], F.lit(" stated as a hard job condition")))
+    return _fields(
+        verdict=F.when(convicted | foreign, V.FAIL).when(unread, V.UNKNOWN)
+        .when(some_optional | has_body, V.PASS).otherwise(V.UNKNOWN),
+        reason=F.when(convicted, F.concat(found["first"], F.lit(" stated as a hard job condition")))
         .when(foreign, F.concat(F.lit("posting is written in "), detected["language"]))
         .when(unread, "posting does not read as English and its language could not be "
                       "identified - any stated language requirement is unread")
         .when(some_optional, "only optional language preferences stated")
         .when(has_body, "no language condition stated")
-        .otherwise("no description text to read a language condition from").alias("reason"),
-        F.when(convicted, found["quote"]).when(foreign | unread, detected["quote"])
-        .alias("quote"),
-        found["required"].alias("languages_required"),
-        found["optional"].alias("languages_optional"))
+        .otherwise("no description text to read a language condition from"),
+        quote=F.when(convicted, found["quote"]).when(foreign | unread, detected["quote"]),
+        languages_required=found["required"],
+        languages_optional=found["optional"])
 
 
 # ------------------------------------------------------------------------------- experience
@@ -209,15 +217,16 @@ def years_figures(lines: Column) -> Column:
                   F.filter(named, lambda m: ~m["ignored"])).otherwise(empty)
 
 
-def experience_findings(figures: Column) -> Column:
+def experience_findings(figures: Column) -> dict:
     """The highest hard figure and the highest other one; the first of equals."""
     def worst(items):
         return F.array_max(F.transform(items, lambda m: F.struct(
             m["years"].alias("years"), (-m["nth"]).alias("order"), m["low"].alias("low"),
             m["kind"].alias("kind"))))
 
-    return F.struct(worst(F.filter(figures, lambda m: m["kind"].isNull())).alias("hard"),
-                    worst(F.filter(figures, lambda m: m["kind"].isNotNull())).alias("soft"))
+    return _fields(
+        hard=worst(F.filter(figures, lambda m: m["kind"].isNull())),
+        soft=worst(F.filter(figures, lambda m: m["kind"].isNotNull())))
 
 
 def _years_quote(raw: Column, nth: Column) -> Column:
@@ -228,7 +237,7 @@ def _years_quote(raw: Column, nth: Column) -> Column:
     return collapse(F.concat(*part))
 
 
-def experience_gate(found: Column, raw: Column, has_body: Column) -> Column:
+def experience_gate(found: Column, raw: Column, has_body: Column) -> dict:
     """Does the posting demand more years than the ceiling?"""
     hard, soft = found["hard"], found["soft"]
     span = F.when(hard["low"] != hard["years"], F.concat(
@@ -236,31 +245,32 @@ def experience_gate(found: Column, raw: Column, has_body: Column) -> Column:
             " years stated as a hard requirement, read at its ceiling of "), hard["years"])
     ).otherwise(F.concat(hard["years"], F.lit("+ years stated as a hard requirement")))
     nth = -F.coalesce(hard["order"], soft["order"])
-    return F.struct(
-        F.when(hard.isNotNull(), V.FAIL).when(soft.isNotNull() | has_body, V.PASS)
-        .otherwise(V.UNKNOWN).alias("verdict"),
-        F.when(hard.isNotNull(), span).when(soft.isNotNull(), soft["kind"])
+    return _fields(
+        verdict=F.when(hard.isNotNull(), V.FAIL).when(soft.isNotNull() | has_body, V.PASS)
+        .otherwise(V.UNKNOWN),
+        reason=F.when(hard.isNotNull(), span).when(soft.isNotNull(), soft["kind"])
         .when(has_body, "no years requirement stated")
-        .otherwise("no description text to read a years requirement from").alias("reason"),
-        F.when(hard.isNotNull() | soft.isNotNull(), _years_quote(raw, nth)).alias("quote"),
-        F.coalesce(hard["years"], soft["years"]).alias("years_required"))
+        .otherwise("no description text to read a years requirement from"),
+        quote=F.when(hard.isNotNull() | soft.isNotNull(), _years_quote(raw, nth)),
+        years_required=F.coalesce(hard["years"], soft["years"]))
 
 
 # ------------------------------------------------------------------------------- sponsorship
 
-def sponsorship_evidence(lines: Column) -> Column:
+def sponsorship_evidence(lines: Column) -> dict:
     """Whether sponsorship is refused or offered, and whether papers may be demanded."""
     denied, offer, wall = (either(V.SPONSORSHIP_DENIED), either(V.SPONSORSHIP_OFFERED),
                            either(V.AUTHORISATION_WALL))
     topical = lines.rlike("sponsor|visa|work permit|immigration|passport|citizen|national|"
                           "right to work|eligible to work|authori|permanent resid|applicants|"
                           "candidates|residents")
-    return F.struct((topical & lines.rlike(denied)).alias("denied"),
-                    (topical & lines.rlike(f"(?m)^(?!.*{denied}).*{offer}")).alias("offered"),
-                    (topical & lines.rlike(wall)).alias("maybe_wall"))
+    return _fields(
+        denied=topical & lines.rlike(denied),
+        offered=topical & lines.rlike(f"(?m)^(?!.*{denied}).*{offer}"),
+        maybe_wall=topical & lines.rlike(wall))
 
 
-def sponsorship_findings(evidence: Column, lines: Column, raw: Column) -> Column:
+def sponsorship_findings(evidence: Column, lines: Column, raw: Column) -> dict:
     """The bar that stands and its quote; negated demands for papers are no bar."""
     denied, wall = either(V.SPONSORSHIP_DENIED), either(V.AUTHORISATION_WALL)
     negators = any_of(V.WALL_NEGATORS)
@@ -279,28 +289,28 @@ def sponsorship_findings(evidence: Column, lines: Column, raw: Column) -> Column
         s.rlike(wall), F.when(stands(s), i))), lambda i: i.isNotNull())
     open_wall = evidence["maybe_wall"] & ~evidence["denied"] & ~evidence["offered"]
     denied_at = F.when(evidence["denied"], line_of(lines, denied))
-    return F.struct(denied_at.alias("denied_line"),
-                    F.when(open_wall, F.get(walls, 0)).alias("wall_line"))
+    return _fields(
+        denied_line=denied_at,
+        wall_line=F.when(open_wall, F.get(walls, 0)))
 
 
-def sponsorship_gate(found: Column, evidence: Column, raw: Column, has_body: Column) -> Column:
+def sponsorship_gate(found: Column, evidence: Column, raw: Column, has_body: Column) -> dict:
     """Is sponsorship refused, or are papers demanded that nobody offers to obtain?"""
     denied, wall = either(V.SPONSORSHIP_DENIED), either(V.AUTHORISATION_WALL)
     is_denied, barred = found["denied_line"].isNotNull(), found["wall_line"].isNotNull()
-    return F.struct(
-        F.when(is_denied | barred, V.FAIL).when(has_body, V.PASS).otherwise(V.UNKNOWN)
-        .alias("verdict"),
-        F.when(is_denied, "posting states sponsorship is not available")
+    return _fields(
+        verdict=F.when(is_denied | barred, V.FAIL).when(has_body, V.PASS).otherwise(V.UNKNOWN),
+        reason=F.when(is_denied, "posting states sponsorship is not available")
         .when(barred, "posting requires citizenship, a passport or pre-existing work rights this "
                       "profile lacks")
         .when(has_body & evidence["offered"], "posting states sponsorship is available")
         .when(has_body, "no sponsorship or citizenship bar stated")
-        .otherwise("no description text to read a sponsorship condition from").alias("reason"),
-        F.when(is_denied | barred, excerpt(
+        .otherwise("no description text to read a sponsorship condition from"),
+        quote=F.when(is_denied | barred, excerpt(
             raw_sentence(raw, F.coalesce(found["denied_line"], found["wall_line"])),
-            "(?i)" + either([denied, wall]))).alias("quote"),
-        F.when(is_denied, "sponsorship_denied").when(barred, "authorisation_wall").alias("bar"),
-        evidence["offered"].alias("sponsorship_offered"))
+            "(?i)" + either([denied, wall]))),
+        bar=F.when(is_denied, "sponsorship_denied").when(barred, "authorisation_wall"),
+        sponsorship_offered=evidence["offered"])
 
 
 # ------------------------------------------------------------------------------- title, closed
@@ -315,18 +325,18 @@ def seniority_marker(title: Column) -> Column:
     return F.nullif(F.regexp_extract(spaced, f"(?<= )({grades})(?= )", 1), F.lit(""))
 
 
-def seniority_gate(marker: Column, title: Column) -> Column:
+def seniority_gate(marker: Column, title: Column) -> dict:
     """Does the title carry a grade word? Never UNKNOWN."""
     hit = marker.isNotNull()
-    return F.struct(
-        F.when(hit, V.FAIL).otherwise(V.PASS).alias("verdict"),
-        F.when(hit, F.concat(F.lit("title advertises a grade above this level ('"), marker,
-                             F.lit("')"))).otherwise("no seniority marker in the title")
-        .alias("reason"),
-        F.when(hit, collapse(text_or_empty(title))).alias("quote"), marker.alias("marker"))
+    return _fields(
+        verdict=F.when(hit, V.FAIL).otherwise(V.PASS),
+        reason=F.when(hit, F.concat(F.lit("title advertises a grade above this level ('"), marker,
+                             F.lit("')"))).otherwise("no seniority marker in the title"),
+        quote=F.when(hit, collapse(text_or_empty(title))),
+        marker=marker)
 
 
-def pure_technical_gate(axes: Column, min_body_domains: int = 2) -> Column:
+def pure_technical_gate(axes: Column, min_body_domains: int = 2) -> dict:
     """A core-tech title needs a domain in the title or several in the body."""
     marker, in_title, in_body = (axes["core_tech_marker"], axes["domain_in_title"],
                                  axes["domain_from_description"])
@@ -343,8 +353,11 @@ def pure_technical_gate(axes: Column, min_body_domains: int = 2) -> Column:
                   F.lit(" domains: "), F.array_join(in_body, ", ")))
               .otherwise(F.concat(F.lit("pure technical role - title matches '"), marker,
                                   F.lit("'"))))
-    return F.struct(verdict.alias("verdict"), reason.alias("reason"), _null().alias("quote"),
-                    marker.alias("marker"))
+    return _fields(
+        verdict=verdict,
+        reason=reason,
+        quote=_null(),
+        marker=marker)
 
 
 _CLOSED = f"(?m)^(?!.*{any_of(V.CLOSED_DEADLINES)}).*{any_of(V.CLOSED_NOTICES)}.*$"
@@ -356,22 +369,22 @@ def closed_line(lines: Column) -> Column:
                   F.nullif(F.regexp_extract(lines, _CLOSED, 0), F.lit("")))
 
 
-def closed_gate(hit: Column, lines: Column, raw: Column, has_body: Column) -> Column:
+def closed_gate(hit: Column, lines: Column, raw: Column, has_body: Column) -> dict:
     """Does a sentence say the posting is closed, without naming a deadline?"""
     marker = F.when(hit.isNotNull(), first_in_order(hit, V.CLOSED_NOTICES, before="", after=""))
     quote = F.substring(raw_sentence(raw, line_of(lines, _CLOSED)), 1, 200)
-    return F.struct(
-        F.when(hit.isNotNull(), V.FAIL).when(has_body, V.PASS).otherwise(V.UNKNOWN)
-        .alias("verdict"),
-        F.when(hit.isNotNull(), "the posting states it is closed")
+    return _fields(
+        verdict=F.when(hit.isNotNull(), V.FAIL).when(has_body, V.PASS).otherwise(V.UNKNOWN),
+        reason=F.when(hit.isNotNull(), "the posting states it is closed")
         .when(has_body, "no closed-posting notice in the text")
-        .otherwise("no description text to read a closed-posting notice from").alias("reason"),
-        F.when(hit.isNotNull(), quote).alias("quote"), marker.alias("marker"))
+        .otherwise("no description text to read a closed-posting notice from"),
+        quote=F.when(hit.isNotNull(), quote),
+        marker=marker)
 
 
 # ------------------------------------------------------------------------------- geography
 
-def geography_evidence(location: Column, text: Column) -> Column:
+def geography_evidence(location: Column, text: Column) -> dict:
     """Which list names the text; ``text`` is ``gate_text`` of location, title and body."""
     suffix = F.lower(strip(text_or_empty(location))).rlike(
         r",\s*(?:" + "|".join(V.SUBDIVISIONS) + r")\s*(?:,\s*(?:usa|us|canada))?\s*$")
@@ -380,20 +393,23 @@ def geography_evidence(location: Column, text: Column) -> Column:
         anywhere = text.rlike(f"(?<![a-z0-9]){any_of(phrases)}(?![a-z0-9])")
         return F.when(anywhere, first_in_order(text, phrases))
 
-    return F.struct(suffix.alias("suffix"), found(V.OUTSIDE_EUROPE).alias("outside"),
-                    found(V.US_STATES).alias("state"), found(V.INSIDE_EUROPE).alias("inside"))
+    return _fields(
+        suffix=suffix,
+        outside=found(V.OUTSIDE_EUROPE),
+        state=found(V.US_STATES),
+        inside=found(V.INSIDE_EUROPE))
 
 
-def geography_gate(found: Column, location: Column, text: Column) -> Column:
+def geography_gate(found: Column, location: Column, text: Column) -> dict:
     """Where is the role? Names outside Europe win over names inside."""
     place = strip(text_or_empty(location))
     suffix, outside, state, inside = (found[n] for n in ("suffix", "outside", "state", "inside"))
     abroad = F.coalesce(outside, state)
     near = F.position(abroad, text)
-    return F.struct(
-        F.when(suffix | abroad.isNotNull(), V.FAIL).when(inside.isNotNull(), V.PASS)
-        .otherwise(V.UNKNOWN).alias("verdict"),
-        F.when(suffix, "the location is a US/Canadian state-or-province address")
+    return _fields(
+        verdict=F.when(suffix | abroad.isNotNull(), V.FAIL).when(inside.isNotNull(), V.PASS)
+        .otherwise(V.UNKNOWN),
+        reason=F.when(suffix, "the location is a US/Canadian state-or-province address")
         .when(outside.isNotNull(), F.concat(
             F.lit("the posting places the role outside Europe ('"), outside, F.lit("')")))
         .when(state.isNotNull(), F.concat(F.lit("the posting names the US state '"), state,
@@ -401,30 +417,27 @@ def geography_gate(found: Column, location: Column, text: Column) -> Column:
         .when(inside.isNotNull(), F.concat(
             F.lit("the posting places the role in Europe ('"), inside, F.lit("')")))
         .when(place == "", "the posting carries no location field to judge")
-        .otherwise("the location names no country this gate recognises either way")
-        .alias("reason"),
-        F.when(suffix, F.substring(collapse(place), 1, 120))
+        .otherwise("the location names no country this gate recognises either way"),
+        quote=F.when(suffix, F.substring(collapse(place), 1, 120))
         .when(abroad.isNotNull(), F.btrim(F.substring(
-            text, F.greatest(F.lit(1), near - 40), F.length(abroad) + 80))).alias("quote"),
-        F.when(suffix, "us/ca subdivision").otherwise(F.coalesce(abroad, inside))
-        .alias("marker"))
+            text, F.greatest(F.lit(1), near - 40), F.length(abroad) + 80))),
+        marker=F.when(suffix, "us/ca subdivision").otherwise(F.coalesce(abroad, inside)))
 
 
 # ------------------------------------------------------------------------------- recency
 
-def recency_gate(age: Column, date_posted: Column, max_age: int = V.MAX_AGE_DAYS) -> Column:
+def recency_gate(age: Column, date_posted: Column, max_age: int = V.MAX_AGE_DAYS) -> dict:
     """Is the posting recent? ``age`` is in days, null when the date cannot be read."""
     old, future = age > max_age, age < 0
-    return F.struct(
-        F.when(age.isNull() | future, V.UNKNOWN).when(old, V.FAIL).otherwise(V.PASS)
-        .alias("verdict"),
-        F.when(age.isNull(), "the posting carries no readable date")
+    return _fields(
+        verdict=F.when(age.isNull() | future, V.UNKNOWN).when(old, V.FAIL).otherwise(V.PASS),
+        reason=F.when(age.isNull(), "the posting carries no readable date")
         .when(old, F.concat(F.lit("posted "), age, F.lit(
             f" days ago, past the {max_age}-day freshness limit")))
         .when(future, "the posting date is in the future")
-        .otherwise(F.concat(F.lit("posted "), age, F.lit(" days ago"))).alias("reason"),
-        F.when(old, F.substring(date_posted, 1, 40)).alias("quote"),
-        F.when(age.isNotNull(), F.substring(date_posted, 1, 10)).alias("marker"))
+        .otherwise(F.concat(F.lit("posted "), age, F.lit(" days ago"))),
+        quote=F.when(old, F.substring(date_posted, 1, 40)),
+        marker=F.when(age.isNotNull(), F.substring(date_posted, 1, 10)))
 
 
 def posting_age(date_posted: Column, today: Column) -> Column:

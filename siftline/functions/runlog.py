@@ -96,6 +96,7 @@ def run_percent(phases: DataFrame) -> DataFrame:
 
 def stalled(runs: DataFrame, now: Column, seconds: int = V.RUN_STALL_SECONDS) -> DataFrame:
     """Mark runs that are not complete and have been quiet for too long."""
-    quiet = now.cast("double") - F.col("last_activity").cast("double")
+    quiet = (now.cast("timestamp").cast("double")
+             - F.col("last_activity").cast("timestamp").cast("double"))
     return runs.withColumn("stalled", ~F.col("complete") & F.coalesce(quiet >= seconds,
                                                                       F.lit(False)))

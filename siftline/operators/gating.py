@@ -24,57 +24,68 @@ def with_evidence(df: DataFrame) -> DataFrame:
     })
 
 
+def _add(df: DataFrame, **groups) -> tuple:
+    """One projection with the columns of several groups, and references to them by group."""
+    names = {g: {f: f"_{g}_{f}" for f in fields} for g, fields in groups.items()}
+    df = df.withColumns({names[g][f]: c for g, fields in groups.items()
+                         for f, c in fields.items()})
+    return df, {g: {f: F.col(n) for f, n in fields.items()} for g, fields in names.items()}
+
+
 def evaluate_gates(df: DataFrame, today, max_age: int = V.MAX_AGE_DAYS,
                    min_body_domains: int = 2, languages=None, stopwords=None) -> DataFrame:
     """Add a ``gates`` struct; needs ``axes`` and the record columns. One narrow pass.
 
     Normalised text is made once and kept as a column, then read by the gates that need it.
+    Store the result (``cut_lineage`` or a table) before filtering on gates: Spark pushes such a
+    filter down into the text stages, where it would repeat their work.
     """
     today = F.lit(today).cast("date")
     df = with_evidence(df)
     title, body = text_or_empty("title"), F.col("body")
     lines, raw, full, caveat = (F.col(c) for c in ("_lines", "_raw", "full_text", "caveat"))
     has_body = body != ""
-    # Each stage is one projection. A value that several expressions read becomes a column first,
-    # so it is computed once per row and plans stay small.
+    # Each stage is one projection. A value that several expressions read becomes a plain column
+    # first, so it is computed once per row and plans stay small.
     df = df.withColumn("_raw", F.concat(title, F.lit("\n"), body))
     df = df.withColumns({
         "_lines": gate_lines(raw),
         "_place": gate_text(F.concat_ws(" ", text_or_empty("location"), title, body)),
         "_senior": G.seniority_marker(F.col("title")),
         "_age": G.posting_age(F.col("date_posted"), today)})
-    df = df.withColumns({
-        "_text": F.concat(F.lit(" "), F.btrim(F.regexp_replace(lines, " *\n *", " ")),
-                          F.lit(" ")),
-        "_lang": G.language_evidence(lines, languages), "_years": G.years_figures(lines),
-        "_spon": G.sponsorship_evidence(lines), "_shut": G.closed_line(lines),
-        "_geo": G.geography_evidence(F.col("location"), F.col("_place"))})
+    df, got = _add(
+        df.withColumns({
+            "_text": F.concat(F.lit(" "), F.btrim(F.regexp_replace(lines, " *\n *", " ")),
+                              F.lit(" ")),
+            "_years": G.years_figures(lines), "_shut": G.closed_line(lines)}),
+        lang=G.language_evidence(lines, languages), spon=G.sponsorship_evidence(lines),
+        geo=G.geography_evidence(F.col("location"), F.col("_place")))
     df = df.withColumn("_stop", G.stopword_hits(F.col("_text"), stopwords))
-    df = df.withColumns({
-        "_counts": G.language_counts(F.col("_stop"), F.col("_text"), stopwords),
-        "_lang_found": G.language_findings(F.col("_lang"), lines, raw, languages),
-        "_years_found": G.experience_findings(F.col("_years")),
-        "_spon_found": G.sponsorship_findings(F.col("_spon"), lines, raw)})
-    df = df.withColumn("_detected", G.detect_language(F.col("_counts"), body))
-    df = df.withColumns({
-        "_g_language": G.language_gate(F.col("_lang_found"), F.col("_detected"), has_body),
-        "_g_experience": G.experience_gate(F.col("_years_found"), raw, has_body),
-        "_g_sponsorship": G.sponsorship_gate(F.col("_spon_found"), F.col("_spon"), raw,
-                                             has_body),
-        "_g_seniority": G.seniority_gate(F.col("_senior"), F.col("title")),
-        "_g_pure_technical": G.pure_technical_gate(F.col("axes"), min_body_domains),
-        "_g_closed": G.closed_gate(F.col("_shut"), lines, raw, has_body),
-        "_g_geography": G.geography_gate(F.col("_geo"), F.col("location"), F.col("_place")),
-        "_g_recency": G.recency_gate(F.col("_age"), F.col("date_posted"), max_age)})
+    df, found = _add(
+        df, counts=G.language_counts(F.col("_stop"), F.col("_text"), stopwords),
+        lang_found=G.language_findings(got["lang"], lines, raw, languages),
+        years_found=G.experience_findings(F.col("_years")),
+        spon_found=G.sponsorship_findings(got["spon"], lines, raw))
+    df, seen = _add(df, detected=G.detect_language(found["counts"], body))
+    df, gate = _add(
+        df, g_language=G.language_gate(found["lang_found"], seen["detected"], has_body),
+        g_experience=G.experience_gate(found["years_found"], raw, has_body),
+        g_sponsorship=G.sponsorship_gate(found["spon_found"], got["spon"], raw, has_body),
+        g_seniority=G.seniority_gate(F.col("_senior"), F.col("title")),
+        g_pure_technical=G.pure_technical_gate(F.col("axes"), min_body_domains),
+        g_closed=G.closed_gate(F.col("_shut"), lines, raw, has_body),
+        g_geography=G.geography_gate(got["geo"], F.col("location"), F.col("_place")),
+        g_recency=G.recency_gate(F.col("_age"), F.col("date_posted"), max_age))
     extra = {"language": ("languages_required", "languages_optional"),
              "experience": ("years_required",), "sponsorship": ("bar", "sponsorship_offered"),
              "closed": ("marker",)}
-    df = df.withColumns({f"_g_{n}": G.unless_incomplete(F.col(f"_g_{n}"), full, caveat, fields)
-                         for n, fields in extra.items()})
-    verdicts = {n: F.col(f"_g_{n}")["verdict"] for n in V.GATE_ORDER}
+    df, capped = _add(df, **{f"f_{n}": G.unless_incomplete(gate[f"g_{n}"], full, caveat, fields)
+                             for n, fields in extra.items()})
+    final = {n: capped.get(f"f_{n}", gate[f"g_{n}"]) for n in V.GATE_ORDER}
+    verdicts = {n: final[n]["verdict"] for n in V.GATE_ORDER}
     gates = F.struct(
         G.overall_verdict(verdicts).alias("overall"), G.failed_gates(verdicts).alias("failed"),
-        *[F.col(f"_g_{n}").alias(n) for n in V.GATE_ORDER],
+        *[F.struct(*[c.alias(f) for f, c in final[n].items()]).alias(n) for n in V.GATE_ORDER],
         F.length(body).alias("evidence_chars"), F.col("evidence_source"))
     keep = [c for c in df.columns if not c.startswith("_")
             and c not in ("full_text", "caveat", "evidence_source")]

@@ -92,7 +92,7 @@ def first_stage_alert_cap(budget: int, final_budget: int, final_alerts: int) ->
 def cut_members(shortlist: DataFrame, cut: int, alert_budget: int, floor: int,
                 key: str = "dedup_key") -> DataFrame:
     """The rows the final cut would take now: alerts in file order, floor, then score."""
-    slim = shortlist.select(key, "track", "score", "pos",
+    slim = shortlist.select(*dict.fromkeys([key, "track", "score", "pos"]),
                             F.lower(text_or_empty("reason")).contains("alert-matched")
                             .alias("_pool"))
     # Alerted rows rank by position alone, the others by score.

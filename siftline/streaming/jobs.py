@@ -57,6 +57,7 @@ def posting_intake(postings: DataFrame, event_time: str = "ts",
     The first arrival is kept; inside one micro-batch the order is Spark's, which is weaker than
     the explicit order of the batch operator. Copies later than the delay pass again.
     """
-    return (postings.withColumn("dedup_key", dedup_key(F.col("url"), F.col("company"),
-                                                       F.col("title")))
+    return (postings.withColumns({
+        "dedup_key": dedup_key(F.col("url"), F.col("company"), F.col("title")),
+        event_time: F.col(event_time).cast("timestamp")})
             .withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["dedup_key"]))

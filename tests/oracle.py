@@ -51,8 +51,11 @@ def compare(spark, con, sf, name, fn, sql):
     got, gcols = normal([tuple(r) for r in df.collect()], df.columns)
     if sql is None:
         return "", len(got)
+    start = time.time()
     cur = con.execute(sql)
     want, wcols = normal(cur.fetchall(), [c[0] for c in cur.description])
+    if time.time() - start > 5:
+        print(f"slow SQL: {name} {time.time() - start:.1f}s")
     if gcols != wcols:
         return f"columns {gcols} != {wcols}", len(got)
     if got == want:
