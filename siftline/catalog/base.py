@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators.axes import Category, Vocabulary
+from siftline.session import spread
 
 QUERIES, SQL = {}, {}
 TODAY = "2024-03-01"
@@ -24,7 +25,8 @@ def query(name: str, sql: str = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 TITLES = (

@@ -33,3 +33,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     small = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame, per_core: int = 32 * 1024 * 1024) -> DataFrame:
+    """Rows over all cores when the input is small for the cluster.
+
+    A small file has one row group, which only one task can read however many splits it gets; text
+    work on it would run in that task. Inputs above ``per_core`` bytes for every core pass
+    unchanged, so large tables are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * per_core else df
