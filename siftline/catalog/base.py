@@ -105,7 +105,7 @@ def axis_sql(x: str) -> str:
 SENTENCES = f"""pieces AS (SELECT pos, string_split_regex(title || chr(10) || description,
     '[.;!?\\n\\r•|]+') AS l FROM postings),
   raw AS (SELECT pos, unnest(l) AS s, unnest(range(len(l))) AS ord FROM pieces),
-  sent AS (SELECT pos, ord, {norm_sql('s')} AS n FROM raw)"""
+  sent AS MATERIALIZED (SELECT pos, ord, {norm_sql('s')} AS n FROM raw)"""
 
 
 def any_sql(column: str, phrases) -> str:

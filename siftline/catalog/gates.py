@@ -55,10 +55,12 @@ DETECT = f""", toks AS (SELECT pos, description,
    FROM tot LEFT JOIN best USING (pos))"""
 LANGUAGE = f"""{DETECT}, langs(lang, al, pair) AS (VALUES {_LANGS}),
  lflat AS (SELECT lang, unnest(al) AS a, pair FROM langs),
- marks AS (SELECT pos, ord, n, {any_sql('n', V.LANGUAGE_OPTIONAL)} AS opt,
+ marks AS MATERIALIZED (SELECT pos, ord, n, {any_sql('n', V.LANGUAGE_OPTIONAL)} AS opt,
    {any_sql('n', V.LANGUAGE_REQUIRED)} AS req FROM sent),
- lh AS (SELECT DISTINCT pos, ord, lang, opt FROM marks, lflat
-   WHERE contains(n, ' ' || a || ' ') AND (opt OR req OR regexp_matches(n, pair))),
+ la AS MATERIALIZED (SELECT pos, ord, lang, opt, req, n, pair FROM marks, lflat
+   WHERE contains(n, ' ' || a || ' ')),
+ lh AS (SELECT DISTINCT pos, ord, lang, opt FROM la
+   WHERE opt OR req OR regexp_matches(n, pair)),
  nh AS (SELECT pos, ord, 'native-speaker' AS lang, opt FROM marks WHERE NOT opt AND
    regexp_matches(n, '{_alt(V.NATIVE_SPEAKER_PATTERNS)}')),
  lall AS (SELECT * FROM lh UNION ALL SELECT * FROM nh),
