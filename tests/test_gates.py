@@ -178,8 +178,7 @@ def test_incomplete_text_never_acquits_and_still_convicts(spark):
         ("Analyst", "We want curious people…", None, True, "Berlin", "2026-09-10"),
         ("Analyst", "We want curious people", None, False, "Berlin", "2026-09-10"),
         ("Analyst", None, None, None, "Berlin", "2026-09-10")])
-    assert [g.overall for g in got] == ["UNKNOWN", "FAIL", "UNKNOWN", "UNKNOWN", "UNKNOWN"] or [
-        g.overall for g in got] == ["UNKNOWN", "FAIL", "UNKNOWN", "PASS", "UNKNOWN"]
+    assert [g.overall for g in got] == ["UNKNOWN", "FAIL", "UNKNOWN", "PASS", "UNKNOWN"]
     assert [g.evidence_source for g in got] == [
         "description_snippet", "description_snippet", "description_truncated", "description",
         "none"]
