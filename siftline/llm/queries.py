@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import exact, language
+from siftline.llm import exact, language, near
 from siftline.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -46,3 +46,24 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     known = F.coalesce(part_of(2) == 0, F.lit(True))
     out = exact.exact_duplicates(docs.filter(~known), docs.filter(known))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query("op8_minhash_near_dedup", sql=r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l
+  FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(l[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i FROM w WHERE len(l) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (g)
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 75 * (min(na.n) + min(nb.n) - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles,
+  least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id,
+  least(d.doc_id, coalesce(min(r.b), d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id""")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    out = near.near_duplicates(table(spark, sf, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
