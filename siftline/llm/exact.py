@@ -176,7 +176,8 @@ def _byte_equal(pairs: DataFrame, docs: DataFrame, snapshot: DataFrame, id_col,
     """Digests whose incoming and known representative have the same bytes."""
     def bodies(df, name, key):
         texts = df.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias(name))
-        return (texts.join(pairs.select("sha", key), F.col("_id").eqNullSafe(F.col(key)))
+        # Sorted on both sides at every size: the pairs grow with the input.
+        return (texts.join(pairs.select("sha", key).hint("merge"), F.col("_id").eqNullSafe(F.col(key)))
                 .filter(F.sha2(name, 256) == F.col("sha")).groupBy("sha")
                 .agg(F.min(name).alias(name)))
 
