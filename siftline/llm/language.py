@@ -113,12 +113,19 @@ def _k_means(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _dense(rows) -> np.ndarray:
+    out = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for i, (slots, values) in enumerate(zip(rows["slots"], rows["counts"], strict=True)):
+        out[i, np.asarray(slots, int)] = values
+    return out
+
+
 def _bin(grams: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(grams, 1)).astype(int).clip(0, 31)
 
 
-def fit(docs: DataFrame, label: str = "lang", sample: int = 4000, languages: int = 200,
-        centroids: int = 8, slack: float = 0.5, each: int | None = None) -> LanguageModel:
+def fit(docs: DataFrame, label: str = "lang", sample: int = 2400, languages: int = 200,
+        centroids: int = 8, slack: float = 0.5) -> LanguageModel:
     """Learn from labelled rows (``label``, ``text``).
 
     ``sample`` bounds the rows that reach the driver (their sparse counts). Rows without label or
@@ -131,25 +138,27 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = 4000, languages: int
     rows = _sampled(docs, label, sample, max(1, len(known))).mapInArrow(
         _features, "language string, whole boolean, slots array<int>, counts array<float>"
     ).toPandas()
-    counts = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, (slots, values) in enumerate(zip(rows["slots"], rows["counts"], strict=True)):
-        counts[i, np.asarray(slots, int)] = values
     whole = rows["whole"].to_numpy(bool) if len(rows) else np.zeros(0, bool)
-    lettered = counts[:, :].sum(axis=1) > 0
-    df = (counts[whole] > 0).sum(axis=0)
+    counts = _dense(rows[whole])
+    df = (counts > 0).sum(axis=0)
     idf = (np.log((1 + whole.sum()) / (1 + df)) + 1).astype(np.float32)
+    lettered = counts.any(axis=1)
     points = vectors(counts, idf)
-    names = rows["language"].to_numpy() if len(rows) else np.zeros(0, object)
-    found, owner, centres = sorted(set(names[whole & lettered])), [], []
+    names = rows["language"].to_numpy()[whole] if len(rows) else np.zeros(0, object)
+    found, owner, centres = sorted(set(names[lettered])), [], []
     for i, name in enumerate(found):
-        c = _k_means(points[whole & lettered & (names == name)], centroids)
+        c = _k_means(points[lettered & (names == name)], centroids)
         centres.append(c)
         owner += [i] * len(c)
     if not found:
         return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), idf,
                              np.zeros(32))
     centres = np.concatenate(centres).astype(np.float32)
-    best, size = (points @ centres.T).max(axis=1), _bin(counts.sum(axis=1))
+    best, size = np.zeros(len(rows)), np.zeros(len(rows), int)
+    for at in range(0, len(rows), 1000):
+        part = _dense(rows.iloc[at:at + 1000])
+        best[at:at + 1000] = (vectors(part, idf) @ centres.T).max(axis=1)
+        size[at:at + 1000] = _bin(part.sum(axis=1))
     floors = np.array([slack * np.quantile(best[size == b], 0.002) if (size == b).any() else np.nan
                        for b in range(32)])
     first = np.flatnonzero(~np.isnan(floors))
