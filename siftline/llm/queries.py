@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import exact, language, near
+from siftline.llm import exact, language, mixing, near, packing
 from siftline.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -67,3 +67,15 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.a = d.doc_id
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     out = near.near_duplicates(table(spark, sf, "documents"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query("op4_curriculum_mix")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mixing.curriculum(table(spark, sf, "documents"), mixing.cycle((3, 1, 2)))
+    return rows.withColumnRenamed("id", "doc_id").drop("source")
+
+
+@query("op2_min_slack_packing")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.tokenized(table(spark, sf, "documents"))
+    return packing.pack(pieces).withColumnRenamed("id", "doc_id")
