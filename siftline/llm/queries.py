@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import exact, language, mixing, near, packing
+from siftline.llm import exact, language, mixing, near, packing, sharding
 from siftline.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -79,3 +79,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.tokenized(table(spark, sf, "documents"))
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_label_propagation_shards")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    rows = sharding.shard(table(spark, sf, "documents"), 24)
+    return rows.withColumnRenamed("id", "doc_id").withColumn("law", F.lit("rows")).withColumn(
+        "grown_shard", F.lit(None).cast("int"))
