@@ -124,7 +124,7 @@ def _bin(grams: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(grams, 1)).astype(int).clip(0, 31)
 
 
-def fit(docs: DataFrame, label: str = "lang", sample: int = 2400, languages: int = 200,
+def fit(docs: DataFrame, label: str = "lang", sample: int = 1500, languages: int = 200,
         centroids: int = 8, slack: float = 0.5) -> LanguageModel:
     """Learn from labelled rows (``label``, ``text``).
 
