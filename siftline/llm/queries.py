@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import exact, language, mixing, near, packing, sharding
+from siftline.llm import exact, language, mixing, near, packing, sharding, toxicity
 from siftline.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -86,3 +86,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf, "documents"), 24)
     return rows.withColumnRenamed("id", "doc_id").withColumn("law", F.lit("rows")).withColumn(
         "grown_shard", F.lit(None).cast("int"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held = F.coalesce(part_of(5) == 0, F.lit(False))
+    rows = toxicity.score(docs, table(spark, sf, "labels"), ~held)
+    return rows.withColumnRenamed("id", "doc_id").withColumn("held_out", held)
