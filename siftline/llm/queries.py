@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import exact, language, mixing, near, packing, sharding, toxicity
+from siftline.llm import exact, html, language, mixing, near, neighbours, packing, sharding, toxicity
 from siftline.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -94,3 +94,14 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     held = F.coalesce(part_of(5) == 0, F.lit(False))
     rows = toxicity.score(docs, table(spark, sf, "labels"), ~held)
     return rows.withColumnRenamed("id", "doc_id").withColumn("held_out", held)
+
+
+@query("op7_template_html")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return html.extract(table(spark, sf, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op1_prefix_forest_ann")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    rows = neighbours.nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+    return rows.withColumnRenamed("id", "vec_id")
