@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import exact, html, language, mixing, near, neighbours, packing, sharding, toxicity
+from siftline.llm import (exact, html, language, mixing, near, neighbours, packing, repeats,
+                          sharding, toxicity)
 from siftline.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -105,3 +106,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     rows = neighbours.nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
     return rows.withColumnRenamed("id", "vec_id")
+
+
+@query("op6_prefix_doubling_repeats")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
