@@ -5,9 +5,11 @@ low bits of each minimum, packed into words, estimate the similarity of two memb
 corrected for chance agreement. Likely pairs are confirmed on whole sets, and classes are connected
 components. Texts with equal sets are one node from the start, so copies cost one row.
 
-A bucket never yields all its pairs: a round takes a maximum spanning forest of the likely pairs,
-and later rounds look only at pairs that cross classes and were not refuted before, until none is
-left. Buckets beyond ``CELL`` rows are dealt into cells, so no task holds a whole hot bucket.
+A bucket never yields all its pairs. A first round confirms a maximum spanning forest of its likely
+pairs, which joins nearly all that belongs together. A second one brings the full sets of texts
+that still have a likely partner in another class to their bucket, tries all such pairs in place and
+gives a forest of the links found, so no link is missed and no pair leaves a task in vain. Buckets
+beyond ``CELL`` rows are dealt into cells, so no task holds a whole hot bucket.
 """
 
 import numpy as np
@@ -159,11 +161,6 @@ def _estimates(rows: dict, percent: int) -> np.ndarray:
         score[at:at + 256] = agreement(packed[at:at + 256, None, :], packed[None, :, :])
     out = ~_alike(n, percent) | (label[:, None] == label[None, :])
     out |= score < percent / 100 - MARGIN
-    place = {int(x): i for i, x in enumerate(rows["node"])}
-    for i, past in enumerate(rows["refuted"]):
-        for other in past if past is not None else ():
-            if (j := place.get(int(other))) is not None:
-                out[i, j] = out[j, i] = True
     score[out] = -1
     return score
 
@@ -183,66 +180,99 @@ def _forest(score: np.ndarray) -> list:
     return edges
 
 
-def _pairs_of(rows: dict, percent: int, most: int) -> list:
-    """Node pairs to confirm: a forest in the first round (``most`` 0), then each node's ``most``
-    best partners of other classes. Small cells give all their likely pairs."""
+def _likely(rows: dict, percent: int) -> list:
+    """Node pairs to confirm: a forest of the likely pairs, or all of them in a small cell."""
     score = _estimates(rows, percent)
-    size = len(score)
-    if size <= SMALL:
+    if len(score) <= SMALL:
         a, b = np.nonzero(score > -1)
         edges = [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i < j]
-    elif not most:
-        edges = _forest(score)
     else:
-        top = np.argsort(-score, axis=1, kind="stable")[:, :most]
-        edges = [(i, int(j)) for i in range(size) for j in top[i] if score[i, j] > -1]
+        edges = _forest(score)
     node = rows["node"]
     return [(min(node[a], node[b]), max(node[a], node[b])) for a, b in edges]
 
 
-def _cells(batches, percent: int, most: int):
-    """Walk rows sorted by cell; each cell is held once it is whole."""
+def _doubtful(rows: dict, percent: int) -> list:
+    """(cell, node) of the rows with a likely partner in another class."""
+    found = (_estimates(rows, percent) > -1).any(axis=1)
+    return [(rows["cell"][0], x) for x in rows["node"][found]]
+
+
+def _links(rows: dict, percent: int) -> list:
+    """A forest of the links between classes of a cell, found on full sets."""
+    grams, label, node = rows["grams"], rows["label"], rows["node"]
+    size, n = len(node), np.array([len(g) for g in grams])
+    names, count = np.unique(label, return_counts=True)
+    base = names[np.argmax(count)]
+    owner = np.repeat(np.arange(size), n)
+    every = np.concatenate(grams)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    allowed = _alike(n, percent)
+    root = {x: x for x in names.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x] = root[root[x]]
+        return x
+
+    edges = []
+    for i in np.flatnonzero(label != base):
+        lo, hi = np.searchsorted(every, grams[i], "left"), np.searchsorted(every, grams[i], "right")
+        width = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(
+            width.sum())
+        same = np.bincount(owner[at], minlength=size)
+        hit = (100 * same >= percent * (n + n[i] - same)) & allowed[i] & (label != label[i])
+        for j in np.flatnonzero(hit):
+            a, b = find(label[i].item()), find(label[j].item())
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                edges.append((min(node[i], node[j]), max(node[i], node[j])))
+    return edges
+
+
+def _by_cell(kernel, names: tuple):
+    """A walk over rows sorted by cell that hands each cell of two rows or more to a kernel."""
     def flush(held):
         table = pa.Table.from_batches(held)
-        cells = table.column("cell").to_numpy()
-        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(
-            len(cells), -1)
-        columns = {k: table.column(k).to_numpy() for k in ("node", "n", "label")}
-        refuted = table.column("refuted").to_pylist()
+        columns = {k: table.column(k).to_numpy() for k in table.column_names if k != "packed"}
+        if "packed" in table.column_names:
+            columns["packed"] = np.frombuffer(b"".join(table.column("packed").to_pylist()),
+                                              np.uint64).reshape(table.num_rows, -1)
+        cells = columns["cell"]
         cut = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1], [True])))
-        found = []
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if b - a > 1:
-                found += _pairs_of({k: v[a:b] for k, v in columns.items()} |
-                                   {"packed": packed[a:b], "refuted": refuted[a:b]}, percent, most)
+        found = [x for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1
+                 for x in kernel({k: v[a:b] for k, v in columns.items()})]
         found = sorted(set(found))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64())
-                                           for k in range(2)], names=["a", "b"])
-
-    held, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cells = batch.column("cell").to_numpy()
-        change = np.flatnonzero(cells[1:] != cells[:-1]) + 1
-        if last is not None and cells[0] != last:
+                                           for k in range(2)], names=list(names))
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column("cell").to_numpy()
+            change = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+            if last is not None and cells[0] != last:
+                yield flush(held)
+                held = []
+            if len(change):
+                yield flush([*held, batch.slice(0, int(change[-1]))])
+                held = [batch.slice(int(change[-1]))]
+            else:
+                held.append(batch)
+            last = cells[-1]
+        if held:
             yield flush(held)
-            held = []
-        if len(change):
-            yield flush([*held, batch.slice(0, int(change[-1]))])
-            held = [batch.slice(int(change[-1]))]
-        else:
-            held.append(batch)
-        last = cells[-1]
-    if held:
-        yield flush(held)
+
+    return run
 
 
-def _dealt(rows: DataFrame, percent: int, most: int) -> DataFrame:
-    """Distinct likely pairs (a, b) of rows that carry their ``cell``."""
-    return (rows.select("cell", "node", "n", "label", "refuted", "packed")
-            .repartition("cell").sortWithinPartitions("cell")
-            .mapInArrow(lambda it: _cells(it, percent, most), "a long, b long").distinct())
+def _dealt(rows: DataFrame, columns: list, kernel, names: tuple) -> DataFrame:
+    return (rows.select("cell", *columns).repartition("cell").sortWithinPartitions("cell")
+            .mapInArrow(_by_cell(kernel, names), ", ".join(f"{n} long" for n in names)))
 
 
 def _first_cells(rows: DataFrame) -> DataFrame:
@@ -259,13 +289,18 @@ def _later_cells(rows: DataFrame) -> DataFrame:
                                       F.max("m").alias("most")).filter("classes > 1"))
     wide = wide.withColumn("across", F.ceil(F.col("all") / CELL)).withColumn(
         "down", F.ceil((F.col("all") - F.col("most")) / CELL))
-    rows = spread_join(rows, wide, ["key"], F.col("node"))
+    rows = rows.join(wide.hint("merge"), "key")
     i, j = F.pmod(F.xxhash64("node"), "across"), F.pmod(F.xxhash64("node", F.lit(1)), "down")
-    each = rows.withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(0, down - 1)")))
-    rest = rows.filter("label <> base").withColumn("j", j).withColumn(
-        "i", F.explode(F.expr("sequence(0, across - 1)")))
-    met = each.unionByName(rest).withColumn("cell", F.xxhash64("key", "i", "j"))
-    return met.dropDuplicates(["cell", "node"])
+    alone = rows.withColumn("i", F.array(i)).withColumn("j", F.expr("sequence(0, down - 1)"))
+    rest = rows.filter("label <> base and (across > 1 or down > 1)").withColumn(
+        "i", F.expr("sequence(0, across - 1)")).withColumn("j", F.array(j))
+    met = alone.unionByName(rest).withColumn("i", F.explode("i")).withColumn("j", F.explode("j"))
+    cells = met.withColumn("cell", F.xxhash64("key", "i", "j"))
+    columns = ["cell", "node", "n", "label", "packed"]
+    # One cell holds a bucket whole; only where there are more can a row come twice.
+    single = cells.filter("across = 1 and down = 1").select(columns)
+    return single.union(cells.filter("across > 1 or down > 1").select(columns)
+                        .dropDuplicates(["cell", "node"]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -281,29 +316,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = stored(sketch(docs, id_col, text_col))
     full = sketched.filter("n > 0")
     nodes = full.groupBy("node").agg(F.min("id").alias("id"))
-    banded = full.select("node", "n", "packed", "bands").dropDuplicates(["node"])
+    banded = stored(full.select("node", "n", "packed", "bands").dropDuplicates(["node"]))
     keyed = banded.select("node", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = stored(keyed.join(sizes, "key").join(banded.select("node", "n", "packed"), "node"))
+    rows = stored(keyed.join(sizes.hint("merge"), "key")
+                  .join(banded.select("node", "n", "packed"), "node"))
     members = rows.select("node").distinct()
     sets = stored(_full_sets(docs, id_col, text_col, nodes.join(members, "node")))
 
-    none = F.lit(None).cast("array<long>")
-    start = rows.withColumn("label", F.col("node")).withColumn("refuted", none)
-    tried = _confirmed(_dealt(_first_cells(start), percent, 0), sets, percent)
-    most = 8
-    while True:
-        classes = components(tried.filter("linked").select("a", "b"))
-        named = rows.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        wrong = tried.filter("not linked")
-        past = (wrong.select(F.col("a").alias("node"), F.col("b").alias("other"))
-                .union(wrong.select("b", "a")).groupBy("node")
-                .agg(F.collect_set("other").alias("refuted")))
-        likely = _dealt(_later_cells(named.join(past, "node", "left")), percent, most)
-        new = _confirmed(likely, sets, percent)
-        if new.isEmpty():
-            break
-        tried, most = stored(tried.union(new)), most * 4
+    columns = ["node", "n", "label", "packed"]
+    likely = _dealt(_first_cells(rows.withColumn("label", F.col("node"))), columns,
+                    lambda r: _likely(r, percent), ("a", "b")).distinct()
+    links = _confirmed(likely, sets, percent)
+    classes = components(links)
+    named = rows.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    doubtful = stored(_dealt(_later_cells(named), columns, lambda r: _doubtful(r, percent),
+                             ("cell", "node")))
+    tried = doubtful.join(sets.select("node", "grams"), "node").join(classes, "node", "left"
+                                                                     ).withColumn(
+        "label", F.coalesce("label", "node"))
+    more = _dealt(tried, ["node", "label", "grams"], lambda r: _links(r, percent), ("a", "b"))
+    classes = components(links.union(more))
     ids = nodes.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     firsts = ids.groupBy("label").agg(F.min("id").alias("component_id"))
     ids = spread_join(ids, firsts, ["label"], F.col("node")).select("node", "component_id")
@@ -314,10 +347,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked), stored: the decision on full sets."""
+    """The linked ones of pairs (a, b), stored: the decision on full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
     same = F.size(F.array_intersect("ga", "gb"))
-    return stored(pairs.join(left, "a").join(right, "b").withColumn("same", same).select(
-        "a", "b", (100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same")))
-        .alias("linked")))
+    return stored(pairs.join(left, "a").join(right, "b").withColumn("same", same).filter(
+        100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same")))
+        .select("a", "b"))
