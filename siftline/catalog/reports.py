@@ -226,14 +226,14 @@ def alert_counts_by_name(spark, sf):
 
 
 @query("cut_profile", """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  l_quantity::INT AS score FROM lineitem WHERE l_returnflag = 'R'),
+  l_quantity::INT AS score FROM lineitem),
  b AS (SELECT l_partkey, l_suppkey FROM c ORDER BY score DESC, l_orderkey, l_linenumber,
   l_partkey, l_suppkey LIMIT 1)
 SELECT min(score) AS min, max(score) AS max, (list_sort(list(score)))[count(*) // 2 + 1] AS median,
  'p' || (SELECT l_partkey FROM b) AS best_title, 's' || (SELECT l_suppkey FROM b) AS best_company
 FROM c""")
 def cut_profile(spark, sf):
-    c = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(
+    c = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_quantity").cast("int").alias("score"),
         F.concat(F.lit("p"), "l_partkey").alias("title"),

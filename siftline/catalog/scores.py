@@ -190,8 +190,13 @@ FOUR = """four AS (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS a,
   l_discount * 1000 % 101 AS b, l_tax * 1000 AS c, l_extendedprice % 101 AS d FROM lineitem)"""
 
 
-@query("overall_bands", f"""WITH {FOUR}, s AS (SELECT
-  round(a * 0.30 + b * 0.25 + c * 0.15 + d * 0.30, 1) AS score FROM four)
+@query("overall_bands", f"""WITH {FOUR}, r AS (SELECT a::DOUBLE * 0.30::DOUBLE
+  + b::DOUBLE * 0.25::DOUBLE + c::DOUBLE * 0.15::DOUBLE + d::DOUBLE * 0.30::DOUBLE AS x FROM four),
+ p AS (SELECT floor(x)::BIGINT AS whole,
+  ((x - floor(x)) * 4503599627370496::DOUBLE)::HUGEINT * 10 AS part FROM r),
+ t AS (SELECT whole, part // 4503599627370496 AS digit, part % 4503599627370496 AS rest FROM p),
+ s AS (SELECT (whole * 10 + digit + (rest > 2251799813685248
+   OR (rest = 2251799813685248 AND digit % 2 = 1))::INT)::DOUBLE / 10 AS score FROM t)
 SELECT CASE WHEN score >= 75 THEN 'Strong Fit' WHEN score >= 60 THEN 'Good Fit'
  WHEN score >= 45 THEN 'Moderate Fit' WHEN score >= 30 THEN 'Weak Fit' ELSE 'Poor Fit' END AS band,
  count(*) AS n, round(avg(score), 1) AS mean FROM s GROUP BY 1""")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed_values as V
 from siftline.functions.keys import ymd
 from siftline.functions.text import (SENTENCE_END, around, any_of, collapse, contains_any, either, excerpt,
-                                     first_in_order, gate_text, line_of, raw_sentence, strip,
-                                     text_or_empty)
+                                     first_in_order, gate_text, line_of, on_line, on_raw_line,
+                                     raw_sentence, strip, text_or_empty)
 
 
 def _null() -> Column:
@@ -106,12 +106,13 @@ def detect_language(counts: Column, body: Column) -> dict:
 
 def _language_patterns(names):
     optional, required = any_of(V.LANGUAGE_OPTIONAL), any_of(V.LANGUAGE_REQUIRED)
-    native = either(V.NATIVE_SPEAKER_PATTERNS)
+    native = on_line(either(V.NATIVE_SPEAKER_PATTERNS))
+    joiner = on_line(V.LANGUAGE_JOINER)
     demanded = {"native-speaker": f"(?m)^(?!.*{optional}).*{native}.*$"}
     allowed, demand_only = {}, {"native-speaker": native}
     for lang, aliases in names.items():
         alias = any_of(aliases)
-        pair = (rf"\benglish{V.LANGUAGE_JOINER}{alias}\b|\b{alias}{V.LANGUAGE_JOINER}english\b")
+        pair = (rf"\benglish{joiner}{alias}\b|\b{alias}{joiner}english\b")
         asks = f"(?=.* {alias} )(?:.*{required}|.*(?:{pair}))"
         demanded[lang] = f"(?m)^(?!.*{optional}){asks}.*$"
         allowed[lang] = f"(?m)^(?=.*{optional}).* {alias} "
@@ -148,9 +149,15 @@ def language_findings(evidence: Column, lines: Column, raw: Column, names=None)
         F.when(lines.rlike(p), lang) for lang, p in demanded.items()])))
     optional = F.array_sort(F.array_compact(F.array(*[
         F.when(lines.rlike(p), lang) for lang, p in allowed.items()])))
+    some_optional = (f"(?m)^(?=.*{any_of(V.LANGUAGE_OPTIONAL)}).* "
+                     f"{any_of([a for al in names.values() for a in al])} ")
+    mild = F.when(evidence["maybe_optional"] & lines.rlike(some_optional), excerpt(
+        raw_sentence(raw, line_of(lines, some_optional)),
+        "(?i)" + any_of([a for al in names.values() for a in al])))
     return _fields(
         first=F.when(hit != "", first),
         quote=F.when(hit != "", quote),
+        optional_quote=mild,
         required=F.when(hit != "", required).otherwise(_no_strings()),
         optional=F.when(evidence["maybe_optional"], optional).otherwise(_no_strings()))
 
@@ -171,7 +178,8 @@ def language_gate(found: Column, detected: Column, has_body: Column) -> dict:
         .when(some_optional, "only optional language preferences stated")
         .when(has_body, "no language condition stated")
         .otherwise("no description text to read a language condition from"),
-        quote=F.when(convicted, found["quote"]).when(foreign | unread, detected["quote"]),
+        quote=F.when(convicted, found["quote"]).when(foreign | unread, detected["quote"])
+        .when(some_optional, found["optional_quote"]),
         languages_required=found["required"],
         languages_optional=found["optional"])
 
@@ -183,7 +191,7 @@ def years_figures(lines: Column) -> Column:
 
     ``kind`` says why a figure does not convict; it is null for a hard requirement.
     """
-    rx = F.lit(around(V.YEARS_BEFORE, V.YEARS_AFTER, V.YEARS))
+    rx = F.lit(around(V.YEARS_BEFORE, V.YEARS_AFTER, on_line(V.YEARS)))
     parts = [F.regexp_extract_all(lines, rx, F.lit(i)) for i in (1, 2, 3, 4, 5)]
 
     def grade(m: Column) -> Column:
@@ -232,7 +240,7 @@ def experience_findings(figures: Column) -> dict:
 def _years_quote(raw: Column, nth: Column) -> Column:
     """The n-th years figure of the raw text with the wording around it."""
     lines = F.regexp_replace(raw, SENTENCE_END, "\n")
-    rx = F.lit("(?i)" + around(140, 140, V.YEARS))
+    rx = F.lit("(?i)" + around(140, 140, on_raw_line(V.YEARS)))
     part = [F.get(F.regexp_extract_all(lines, rx, F.lit(i)), nth) for i in (1, 2, 5)]
     return collapse(F.concat(*part))
 
@@ -257,13 +265,18 @@ def experience_gate(found: Column, raw: Column, has_body: Column) -> dict:
 
 # ------------------------------------------------------------------------------- sponsorship
 
+# Every pattern of the gate holds one of these words in each of its branches; a test checks that.
+SPONSORSHIP_TOPICS = ("sponsor", "visa", "permit", "immigration", "passport", "citizen",
+                      "national", "right to work", "eligible to work", "authoris", "authoriz",
+                      "permanent resid", "applicants", "candidates", "residents", "able to offer",
+                      "able to provide", "position to offer", "position to provide")
+
+
 def sponsorship_evidence(lines: Column) -> dict:
     """Whether sponsorship is refused or offered, and whether papers may be demanded."""
-    denied, offer, wall = (either(V.SPONSORSHIP_DENIED), either(V.SPONSORSHIP_OFFERED),
-                           either(V.AUTHORISATION_WALL))
-    topical = lines.rlike("sponsor|visa|work permit|immigration|passport|citizen|national|"
-                          "right to work|eligible to work|authori|permanent resid|applicants|"
-                          "candidates|residents")
+    denied, offer, wall = (on_line(either(x)) for x in (
+        V.SPONSORSHIP_DENIED, V.SPONSORSHIP_OFFERED, V.AUTHORISATION_WALL))
+    topical = lines.rlike(any_of(SPONSORSHIP_TOPICS))
     return _fields(
         denied=topical & lines.rlike(denied),
         offered=topical & lines.rlike(f"(?m)^(?!.*{denied}).*{offer}"),
@@ -272,13 +285,13 @@ def sponsorship_evidence(lines: Column) -> dict:
 
 def sponsorship_findings(evidence: Column, lines: Column, raw: Column) -> dict:
     """The bar that stands and its quote; negated demands for papers are no bar."""
-    denied, wall = either(V.SPONSORSHIP_DENIED), either(V.AUTHORISATION_WALL)
+    denied, wall = (on_line(either(x)) for x in (V.SPONSORSHIP_DENIED, V.AUTHORISATION_WALL))
     negators = any_of(V.WALL_NEGATORS)
 
     def stands(s: Column) -> Column:
         """Some demand whose first match in the sentence has no negator in its run-up."""
         hit = F.lit(False)
-        for p in V.AUTHORISATION_WALL:
+        for p in map(on_line, V.AUTHORISATION_WALL):
             run_up = F.right(F.regexp_extract(s, f"^(.*?)(?:{p})", 1),
                              F.lit(V.WALL_NEGATOR_CHARS))
             hit = hit | (s.rlike(p) & ~run_up.rlike(negators))

@@ -72,7 +72,20 @@ def overall_score(technical: Column, experience: Column, behavioral: Column,
     w = V.OVERALL_WEIGHTS
     raw = (technical * w["technical"] + experience * w["experience"]
            + behavioral * w["behavioral"] + career * w["career"])
-    return F.round(raw, 1)
+    return tenths(raw)
+
+
+def tenths(x: Column) -> Column:
+    """A double of 0 or more to one place: its exact binary value decides, a true tie goes even.
+
+    The fraction is a whole number of 2^-52 for values from 1, so integers carry it exactly.
+    """
+    x = x.cast("double")
+    scaled = ((x - F.floor(x)) * float(1 << 52)).cast("bigint") * 10
+    digit, rest = F.shiftright(scaled, 52), scaled.bitwiseAND((1 << 52) - 1)
+    half = 1 << 51
+    up = (rest > half) | ((rest == half) & (digit % 2 == 1))
+    return (F.floor(x) * 10 + digit + up.cast("int")) / F.lit(10.0)
 
 
 def band(score: Column) -> Column:

@@ -61,6 +61,16 @@ def either(patterns) -> str:
     return "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
 
+def on_line(pattern: str) -> str:
+    """A pattern for ``gate_lines``: its white space is a blank, so no match leaves a sentence."""
+    return pattern.replace(r"\s", " ")
+
+
+def on_raw_line(pattern: str) -> str:
+    """A pattern for raw lines: any white space but a line's end."""
+    return pattern.replace(r"\s", r"[^\S\n]")
+
+
 def contains_any(c: Column, phrases) -> Column:
     """True when any literal phrase is a substring."""
     hit = F.lit(False)

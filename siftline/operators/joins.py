@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed_values as V
 from siftline.functions.keys import iso_date
 from siftline.functions.text import words
-from siftline.session import broadcast_if_small
 
 
 # Outcome states a runner may record.
@@ -40,9 +39,8 @@ def live_keys(status: DataFrame) -> DataFrame:
 
 
 def flag_alerted(records: DataFrame, live: DataFrame, key: str = "dedup_key") -> DataFrame:
-    """Flag, never filter. The live set is broadcast only when its counted size allows it."""
-    flags = broadcast_if_small(live.select(F.col("key").alias(key)).withColumn("_live",
-                                                                              F.lit(True)))
+    """Flag, never filter. Adaptive execution broadcasts the live set where its size allows."""
+    flags = live.select(F.col("key").alias(key)).withColumn("_live", F.lit(True))
     return (records.join(flags, key, "left")
             .withColumn("alerted", F.coalesce("_live", F.lit(False))).drop("_live"))
 

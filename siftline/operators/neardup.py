@@ -19,8 +19,6 @@ from siftline.functions.scores import jaccard_percent, role_signature
 from siftline.functions.text import words
 from siftline.session import cut_lineage
 
-MAX_ROUNDS = 500
-
 
 def _node():
     """Identity of a signature in its company; the text itself, so it cannot collide."""
@@ -73,12 +71,10 @@ def _followers(edges: DataFrame) -> DataFrame:
 
     A node that is early in some open edge and late in none is a leader; its later neighbours are
     followers, and followers constrain nobody. State goes to reliable storage each round, and each
-    round only touches what is still open.
+    round only touches what is still open. The earliest open node is a leader, so rounds end.
     """
     still_open, decided = edges.select("early", "late"), None
-    for _ in range(MAX_ROUNDS):
-        if still_open.isEmpty():
-            return decided
+    while not still_open.isEmpty():
         leaders = (still_open.select("early").distinct()
                    .join(still_open.select(F.col("late").alias("early")).distinct(), "early",
                          "left_anti"))
@@ -88,7 +84,7 @@ def _followers(edges: DataFrame) -> DataFrame:
         still_open = cut_lineage(
             still_open.join(new, "late", "left_anti")
             .join(new.withColumnRenamed("late", "early"), "early", "left_anti"))
-    raise RuntimeError("near-duplicate rounds did not finish")
+    return decided
 
 
 def _leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -59,6 +59,10 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str, known: DataFra
     The agent's own group counts when it has rules, else ``*``. Paths meet only the rules of their
     host; a hot host spreads because the aggregate is partial before its shuffle.
     """
+    # The query of a URL stays as it is.
+    bare = F.regexp_extract(F.col(path), r"(?s)^[^?]*", 0)
+    plain = F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
+    asked = F.concat(plain, F.substring(F.col(path), F.length(bare) + 1, F.length(F.col(path))))
     pattern = F.coalesce(F.try_url_decode(F.replace(F.col("pattern"), F.lit("+"), F.lit("%2B"))),
                          F.col("pattern"))
     usable = rules.filter("pattern is not null").filter(F.col("agent").isin(agent.lower(), "*"))
@@ -70,7 +74,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str, known: DataFra
               .filter("pattern <> ''")
               .select(host, "allow", F.length(pattern).alias("weight"),
                       robots_regex(F.col("pattern")).alias("rx")).distinct())
-    hits = (urls.join(picked, host).filter(F.rlike(F.col(path), F.col("rx")))
+    hits = (urls.join(picked, host).filter(F.rlike(asked, F.col("rx")))
             .groupBy(url_id).agg(F.max_by("allow", F.struct("weight", ~F.col("allow")))
                                  .alias("verdict")))
     out = urls.join(hits, url_id, "left").withColumn(

@@ -23,18 +23,16 @@ def split_vocabulary(tracks: DataFrame, other: DataFrame) -> tuple:
 
 
 def match_vocabulary_table(records: DataFrame, vocabulary: DataFrame, key: str = "dedup_key",
-                           title: str = "title", longest: int = 4) -> DataFrame:
+                           title: str = "title") -> DataFrame:
     """Track hits from a vocabulary *table*, for vocabularies too large for one expression.
 
-    Titles become word groups of up to ``longest`` words and meet the terms by equality, so the
-    work follows the title lengths and not records x terms. ``longest`` must cover the longest
-    phrase; longer phrases raise. Struct columns: track, hits, specificity per record and track.
+    Titles become word groups as long as the longest phrase and meet the terms by equality, so the
+    work follows the title lengths and not records x terms. Struct columns: track, hits,
+    specificity per record and track.
     """
     phrases = (vocabulary.select("track", F.btrim(words(F.col("query"))).alias("term"))
                .filter("term <> ''"))
-    too_long = phrases.filter(F.size(F.split("term", " ")) > longest).limit(1).collect()
-    if too_long:
-        raise ValueError(f"phrase longer than {longest} words: {too_long[0].term!r}")
+    longest = phrases.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     whole = phrases.groupBy("track", "term").agg((F.count("*") * 10).alias("points"))
     parts = (phrases.select("track", F.explode(F.split("term", " ")).alias("term"))
              .filter(F.length("term") > 2).distinct().withColumn("points", F.lit(1)))

@@ -1,17 +1,16 @@
-"""Session helpers: lineage cuts and size-checked broadcasts."""
+"""Session helpers: lineage cuts and the spread of small inputs."""
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a scratch folder only where none is set."""
+    """The shared folder the session names; a scratch folder only on a local master."""
     context = spark.sparkContext
     known = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not known:
         known = tempfile.mkdtemp(prefix="spark-siftline-", dir="/tmp")
     if not context.getCheckpointDir():
@@ -25,16 +24,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side small.
-
-    The count stops after ``rows + 1`` rows, so it never scans a large side whole. Larger sides
-    are left to the shuffle join.
-    """
-    small = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if small else df
-
-
 def spread(df: DataFrame, per_core: int = 32 * 1024 * 1024) -> DataFrame:
     """Rows over all cores when the input is small for the cluster.
 

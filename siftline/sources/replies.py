@@ -31,20 +31,39 @@ def recovered_report(reply: Column) -> Column:
     return F.coalesce(_valid(F.nullif(text, F.lit(""))), _valid(fenced), _valid(greedy))
 
 
+def _balanced(text: Column) -> Column:
+    """From an opening brace to the brace that closes it, braces inside strings aside; else null.
+
+    A running depth over the pieces of the text, so objects may nest as deep as they like.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r'(?s)"(?:[^"\\]|\\.)*+"|[{}]|[^{}"]++|"'), F.lit(0))
+
+    def step(state: Column, piece: Column) -> Column:
+        change = F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        depth = state["depth"] + change
+        return F.when(state["done"], state).otherwise(F.struct(
+            depth.alias("depth"), (depth == 0).alias("done"),
+            (state["size"] + F.length(piece)).alias("size")))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit(0).alias("size"))
+    end = F.aggregate(pieces, start, step)
+    return F.when(end["done"], F.substring(text, F.lit(1), end["size"]))
+
+
 def recovered_object(reply: Column) -> Column:
-    """The first object: a fenced one, else from a brace to the last brace that closes it.
+    """The first object: from a brace to the brace that closes it, braces tried left to right.
 
-    Starts are tried left to right; each is paired with closing braces from the nearest one that
-    parses. Replies that need more are null and can be set aside by the caller.
+    Replies without one that parses fall back to the span from the first brace to the last; what
+    needs more is null and can be set aside by the caller.
     """
     text = text_or_empty(reply)
-    flat = F.regexp_substr(text, F.lit(r'(?s)\{(?:[^{}"]|"(?:[^"\\]|\\.)*+")*+\}'))
-    one = (r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*+"|\{(?:[^{}"]|"(?:[^"\\]|\\.)*+"|'
-           r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*+")*+\})*+\})*+\}')
-    nested = F.regexp_extract_all(text, F.lit(f"(?s){one}"), F.lit(0))
-    balanced = F.get(F.filter(nested, lambda s: F.try_parse_json(s).isNotNull()), 0)
+    parts = F.split(text, r"\{", -1)
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.concat(
+        F.lit("{"), F.array_join(F.slice(parts, k, F.size(parts)), "{")))
+    found = F.filter(F.transform(tails, _balanced), lambda s: F.try_parse_json(s).isNotNull())
+    first = F.when(F.size(parts) > 1, F.get(found, 0))
     greedy = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    return F.coalesce(balanced, _valid(greedy), _valid(flat))
+    return F.coalesce(first, _valid(greedy))
 
 
 def is_quarantined(reply: Column, recovered: Column) -> Column:

@@ -1,56 +1,68 @@
 """Salary sheets: wide columns to one row per company and category."""
 
-import re
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed_values as V
 from siftline.functions.keys import localised_number
-from siftline.functions.text import strip
-
-_WORD = "a-zæøåöäü0-9"
-
-
-def _matches(header: str, listed) -> bool:
-    low = header.lower().strip()
-    tokens = set(re.findall(f"[{_WORD}]+", low))
-    return any(p in tokens or (p in V.SHEET_COMPOUND and p in low) for p in listed)
-
-
-def _category(header: str, listed) -> str:
-    name = header.lower()
-    for p in listed:
-        name = re.sub(rf"(?<![{_WORD}]){re.escape(p)}(?![{_WORD}])", "", name)
-    return name.strip(" _-")
-
-
-def sheet_layout(headers) -> dict:
-    """Which header is company, city, count or index, and how they pair. Runs on headers only."""
-    company = city = None
-    for h in headers:
-        if _matches(h, V.SHEET_COMPANY):
-            company = h
-        elif _matches(h, V.SHEET_CITY):
-            city = h
-    data = [h for h in headers if h and h not in (company, city)
-            and not _matches(h, V.SHEET_ID)]
-    counts = [h for h in data if _matches(h, V.SHEET_COUNT)]
-    indexes = [h for h in data if h not in counts and _matches(h, V.SHEET_INDEX)]
-    plain = [h for h in data if h not in counts and h not in indexes]
-    fields, open_indexes, paired = [], list(indexes), set()
-    for h in counts:
-        name = _category(h, V.SHEET_COUNT)
-        mate = next((i for i in open_indexes if name and _category(i, V.SHEET_INDEX) == name),
-                    None)
-        if mate:
-            open_indexes.remove(mate)
-            paired.add(h)
-            label = name.replace(" ", "_").replace("-", "_")
-            fields += [(h, label, "count"), (mate, label, "index")]
-    fields += [(h, h.lower().replace(" ", "_"), "count") for h in counts if h not in paired]
-    fields += [(h, h.lower().replace(" ", "_"), "index") for h in open_indexes + plain]
-    return {"company": company, "city": city, "fields": fields}
+from siftline.functions.text import either, strip
+
+_LETTERS = "a-zæøåöäü0-9"
+
+
+def _word_of(phrases) -> str:
+    """A pattern for the listed words as whole words; compound ones may stand inside others."""
+    return either([p if p in V.SHEET_COMPOUND else
+                   f"(?<![{_LETTERS}]){p}(?![{_LETTERS}])" for p in phrases])
+
+
+def header_table(spark: SparkSession, headers) -> DataFrame:
+    """One row per header: position, header, kind, category. A sheet's headers, never its rows.
+
+    Of several company or city headers the last counts; the others are dropped like ids.
+    """
+    kinds = (("company", V.SHEET_COMPANY), ("city", V.SHEET_CITY), ("id", V.SHEET_ID),
+             ("count", V.SHEET_COUNT), ("index", V.SHEET_INDEX))
+    low = F.lower(F.trim("header"))
+    kind = F.coalesce(*[F.when(low.rlike(_word_of(words)), name) for name, words in kinds],
+                      F.lit("plain"))
+    rest = F.lower("header")
+    for name, words in kinds[3:]:
+        plain = either([f"(?<![{_LETTERS}]){p}(?![{_LETTERS}])" for p in words])
+        rest = F.when(F.col("kind") == name, F.regexp_replace(F.lower("header"), plain, "")
+                      ).otherwise(rest)
+    table = spark.createDataFrame([(i, h) for i, h in enumerate(headers) if h],
+                                  "position int, header string")
+    return table.withColumn("kind", kind).withColumn("category", F.btrim(rest, F.lit(" _-")))
+
+
+def sheet_fields(headers: DataFrame) -> DataFrame:
+    """(header, position, label, kind) of the value columns, counts and indexes under one label.
+
+    The n-th count of a category pairs with its n-th index; what finds no partner keeps its own
+    name, and plain columns are indexes.
+    """
+    data = headers.filter(F.col("kind").isin("count", "index", "plain"))
+    turn = F.row_number().over(W.partitionBy("kind", "category").orderBy("position"))
+    named = data.filter("kind <> 'plain' and category <> ''").withColumn("turn", turn)
+    shared = named.groupBy("category", "turn").agg(F.count("*").alias("n")).filter("n = 2")
+    paired = named.join(shared, ["category", "turn"]).select(
+        "position", F.translate("category", " -", "__").alias("label"))
+    own = F.replace(F.lower("header"), F.lit(" "), F.lit("_"))
+    return data.join(paired, "position", "left").select(
+        "header", "position", F.coalesce("label", own).alias("label"),
+        F.when(F.col("kind") == "count", "count").otherwise("index").alias("kind"))
+
+
+def sheet_layout(spark: SparkSession, headers) -> dict:
+    """The company and city headers and the (header, label, kind) of every value column."""
+    table = header_table(spark, headers)
+    fields = [(r.header, r.label, r.kind) for r in
+              sheet_fields(table).orderBy("position").collect()]
+    known = {r.kind: r.header for r in table.filter(
+        F.col("kind").isin("company", "city")).orderBy("position").collect()}
+    return {"company": known.get("company"), "city": known.get("city"), "fields": fields}
 
 
 def salary_long(sheet: DataFrame) -> DataFrame:
@@ -58,7 +70,7 @@ def salary_long(sheet: DataFrame) -> DataFrame:
 
     One narrow pass: the cells of a row become an array of structs, no unpivot and regroup.
     """
-    layout = sheet_layout(sheet.columns)
+    layout = sheet_layout(sheet.sparkSession, sheet.columns)
     if layout["company"] is None:
         raise ValueError("no company column among the headers")
     company = strip(F.col(f"`{layout['company']}`").cast("string"))
