@@ -12,6 +12,7 @@ from siftline.operators.selection import (annotate, closest_misses, preference_o
                                           select_with_alerts)
 from siftline.operators.validation import complement, deferred_view
 from siftline.plans.funnel import Settings, cut, two_stage
+from siftline.session import cut_lineage
 
 SETTINGS = Settings(vocabulary=VOCABULARY, tracks=TRACKS, today=TODAY, shortlist_budget=80,
                     final_budget=25, alert_budget=10, floor=3)
@@ -71,7 +72,8 @@ def _rows(spark, sf):
 
 
 def _cut(spark, sf):
-    rows = _rows(spark, sf)
+    # Scored once into a slim stored table; the pool, the floor and the cut read that.
+    rows = cut_lineage(_rows(spark, sf))
     chosen = select_with_alerts(rows, preference_order(), 80, 20, 5)
     return annotate(rows, chosen, 80, 20)
 

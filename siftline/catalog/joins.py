@@ -12,6 +12,7 @@ from siftline.operators import validation as VA
 from siftline.operators.robots import confirmed, robots_allowed, rule_table
 from siftline.sources.digests import digest_cards, digest_tokens
 from siftline.sources.portals import skip_sources, source_of
+from siftline.session import cut_lineage
 from siftline.sources.stores import ALERT_ENTRY, store_rows
 
 NOW = "2024-02-05"
@@ -364,8 +365,9 @@ def detail_quality(spark, sf):
 
 
 def _candidates(spark, sf):
+    """Scored once into a slim stored table that all later steps read."""
     a, i = F.col("axes"), F.col("pos")
-    return scored(spark, sf).select(
+    return cut_lineage(scored(spark, sf).select(
         "dedup_key", "pos", a["score"].alias("score"),
         missing_half(a["domain_matched"], a["enabler_matched"]).alias("half"),
         F.when(i % 4 != 0, F.concat(F.lit("T"), i % 3)).alias("track"),
@@ -373,7 +375,7 @@ def _candidates(spark, sf):
         (i % 5 != 0).alias("has_id"), (i % 2 == 0).alias("board_portal"),
         (i % 6 == 1).alias("has_body"), ((i % 5 != 0) & (i % 6 != 1)).alias("fetchable"),
         (i % 3 == 0).alias("unverified"), (i % 9 == 0).alias("alert_source"),
-        (i % 8 == 0).alias("repeat"), (i % 2).cast("int").alias("match"))
+        (i % 8 == 0).alias("repeat"), (i % 2).cast("int").alias("match")))
 
 
 TARGETS = f"""{POSTINGS}, {axis_ctes()}, cd AS (SELECT pos, dedup_key, score,

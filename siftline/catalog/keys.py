@@ -228,6 +228,9 @@ def _roles(spark, sf):
                     F.lit("").alias("location"), F.lit("").alias("url"))
 
 
+ROLE_TITLE = ("'Stock planner ' || p_name || ' and ' || lower(p_type) || ' goods' || (['', ' depot', "
+              "' senior', ' north depot', ' (m/f/d)'])[(p_size % 5)::INT + 1]")
+
 # Signature of the derived titles: no grade, no joining word, no one-letter tag.
 ROLES = """roles AS (SELECT p_partkey AS pos, p_brand AS company, p_size % 7 AS score,
   p_partkey % 11 = 0 AS alerted, list_sort(list_distinct(list_filter(string_split(
@@ -251,7 +254,7 @@ def role_signatures(spark, sf):
 
 
 # The greedy fold itself, one recursion step per row of a company.
-@query("near_dup_collapse", f"""WITH RECURSIVE {ROLES},
+FOLD = f"""WITH RECURSIVE {ROLES},
  ordered AS (SELECT *, row_number() OVER (PARTITION BY company
    ORDER BY alerted DESC, score DESC, pos) AS rn FROM roles),
  fold AS (SELECT company, rn, pos, pos AS keeper, [sig] AS leaders, [pos] AS ids
@@ -264,7 +267,10 @@ def role_signatures(spark, sf):
     list_min(list_filter(range(1, len(f.leaders) + 1), lambda i:
      100 * len(list_intersect(f.leaders[i], o.sig))
       // len(list_distinct(list_concat(f.leaders[i], o.sig))) >= 80)) AS hit
-   FROM fold f JOIN ordered o ON o.company = f.company AND o.rn = f.rn + 1))
+   FROM fold f JOIN ordered o ON o.company = f.company AND o.rn = f.rn + 1))"""
+
+
+@query("near_dup_collapse", f"""{FOLD}
 SELECT 'k' || pos AS dedup_key, 'k' || keeper AS keeper_key FROM fold""")
 def near_dup_collapse(spark, sf):
     out = collapse_near_duplicates(_roles(spark, sf), [
@@ -272,7 +278,13 @@ def near_dup_collapse(spark, sf):
     return out.select("dedup_key", "keeper_key")
 
 
-@query("near_dup_report")
+@query("near_dup_report", f"""{FOLD}, titled AS (SELECT fold.pos, keeper,
+   {ROLE_TITLE} AS title FROM fold JOIN part ON p_partkey = fold.pos),
+ sizes AS (SELECT keeper, count(*) - 1 AS siblings FROM fold GROUP BY keeper)
+SELECT 'k' || t.pos AS dedup_key, 'k' || t.keeper AS keeper_key,
+ CASE WHEN t.pos = t.keeper THEN s.siblings ELSE 0 END AS siblings,
+ CASE WHEN t.pos <> t.keeper THEN k.title END AS duplicate_of
+FROM titled t JOIN sizes s ON s.keeper = t.keeper JOIN titled k ON k.pos = t.keeper""")
 def near_dup_report(spark, sf):
     out = collapse_near_duplicates(_roles(spark, sf), [
         (~F.col("alerted")).alias("o1"), (-F.col("score")).alias("o2"), F.col("pos").alias("o3")])
