@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import IS_LETTER, LOWER, text_slices
+from siftline.llm.common import IS_LETTER, LOWER, stored, text_slices
 
 UND = "und"
 DIMENSIONS = 1 << 12
@@ -74,25 +74,39 @@ def _sampled(docs: DataFrame, label: str, sample: int, languages: int) -> DataFr
 
 
 def _features(batches):
-    """Sparse gram counts of whole sampled texts and, to learn floors by length, of snippets."""
+    """Sparse gram counts of whole sampled texts."""
     for batch in batches:
-        names = batch.column("language").to_pylist()
         for at, to, data, offsets in text_slices(batch.column("text")):
-            rows = []
-            for i in range(to - at):
-                part = data[offsets[i]:offsets[i + 1]]
-                start = (len(part) * 7919 + 13) % 4096
-                pieces = [part] + [part[s:s + size] for size in _SNIPPETS if size < len(part)
-                                   for s in [start % (len(part) - size)]]
+            rows = gram_counts(data, offsets)
+            slots = [np.flatnonzero(row).astype(np.int32) for row in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("language").slice(at, to - at), pa.array(slots, pa.list_(pa.int32())),
+                 pa.array([row[s] for row, s in zip(rows, slots, strict=True)],
+                          pa.list_(pa.float32()))], names=["language", "slots", "counts"])
+
+
+def _known_cosines(rows: DataFrame, centroids: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """(bin, cosine) of sampled texts and of snippets of them, to learn floors by length."""
+    shared = rows.sparkSession.sparkContext.broadcast((centroids, idf))
+
+    def run(batches):
+        centres, weights = shared.value
+        for batch in batches:
+            for at, to, data, offsets in text_slices(batch.column("text"), 1 << 18):
+                pieces = []
+                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                    start = (int(b - a) * 7919 + 13) % 4096
+                    pieces.append(data[a:b])
+                    pieces += [data[a + s:a + s + n] for n in _SNIPPETS if n < b - a
+                               for s in [start % int(b - a - n)]]
                 ends = np.cumsum([0] + [len(p) for p in pieces])
                 counts = gram_counts(np.concatenate(pieces), ends)
-                for j, row in enumerate(counts):
-                    slot = np.flatnonzero(row)
-                    rows.append((names[at + i], j == 0, slot.tolist(), row[slot].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(
-                    (pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float32())))],
-                names=["language", "whole", "slots", "counts"])
+                best = (vectors(counts, weights) @ centres.T).max(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_bin(counts.sum(axis=1)).astype(np.int32)),
+                     pa.array(best.astype(np.float64))], names=["bin", "cosine"])
+
+    return rows.mapInArrow(run, "bin int, cosine double")
 
 
 def _k_means(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -113,10 +127,11 @@ def _k_means(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def _dense(rows) -> np.ndarray:
-    out = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, (slots, values) in enumerate(zip(rows["slots"], rows["counts"], strict=True)):
-        out[i, np.asarray(slots, int)] = values
+def _dense(rows: pa.Table) -> np.ndarray:
+    out = np.zeros((rows.num_rows, DIMENSIONS), np.float32)
+    slots, counts = (rows.column(c).combine_chunks() for c in ("slots", "counts"))
+    row = np.repeat(np.arange(rows.num_rows), np.diff(slots.offsets.to_numpy()))
+    out[row, slots.flatten().to_numpy()] = counts.flatten().to_numpy()
     return out
 
 
@@ -129,22 +144,21 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = 1500, languages: int
     """Learn from labelled rows (``label``, ``text``).
 
     ``sample`` bounds the rows that reach the driver (their sparse counts). Rows without label or
-    text are left out. ``slack`` times the smallest cosines of known texts of a length is the floor
+    text are left out; of very many languages the ``languages`` most frequent are learnt. ``slack`` times the smallest cosines of known texts of a length is the floor
     under which a text is rejected. Nothing labelled gives a model that answers ``und`` only.
     """
     known = [r[0] for r in docs.filter(F.col(label).isNotNull()).groupBy(label).count()
              .orderBy(F.desc("count"), label).limit(languages).select(label).collect()]
     docs = docs.filter(F.col(label).isin(known))
-    rows = _sampled(docs, label, sample, max(1, len(known))).mapInArrow(
-        _features, "language string, whole boolean, slots array<int>, counts array<float>"
-    ).toPandas()
-    whole = rows["whole"].to_numpy(bool) if len(rows) else np.zeros(0, bool)
-    counts = _dense(rows[whole])
+    texts = stored(_sampled(docs, label, sample, max(1, len(known))))
+    rows = texts.mapInArrow(
+        _features, "language string, slots array<int>, counts array<float>").toArrow()
+    counts = _dense(rows)
     df = (counts > 0).sum(axis=0)
-    idf = (np.log((1 + whole.sum()) / (1 + df)) + 1).astype(np.float32)
+    idf = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
     lettered = counts.any(axis=1)
     points = vectors(counts, idf)
-    names = rows["language"].to_numpy()[whole] if len(rows) else np.zeros(0, object)
+    names = np.array(rows.column("language").to_pylist(), object)
     found, owner, centres = sorted(set(names[lettered])), [], []
     for i, name in enumerate(found):
         c = _k_means(points[lettered & (names == name)], centroids)
@@ -154,11 +168,9 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = 1500, languages: int
         return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), idf,
                              np.zeros(32))
     centres = np.concatenate(centres).astype(np.float32)
-    best, size = np.zeros(len(rows)), np.zeros(len(rows), int)
-    for at in range(0, len(rows), 1000):
-        part = _dense(rows.iloc[at:at + 1000])
-        best[at:at + 1000] = (vectors(part, idf) @ centres.T).max(axis=1)
-        size[at:at + 1000] = _bin(part.sum(axis=1))
+    # A few rows for each sampled text: bounded like the sample.
+    seen = _known_cosines(texts, centres, idf).toArrow()
+    size, best = seen.column("bin").to_numpy(), seen.column("cosine").to_numpy()
     floors = np.array([slack * np.quantile(best[size == b], 0.002) if (size == b).any() else np.nan
                        for b in range(32)])
     first = np.flatnonzero(~np.isnan(floors))
