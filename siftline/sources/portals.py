@@ -49,7 +49,9 @@ def read_envelopes(spark: SparkSession, paths) -> DataFrame:
 
 def envelope_warnings(envelopes: DataFrame) -> DataFrame:
     """Files that could not be parsed."""
-    return envelopes.filter(F.col("_corrupt").isNotNull()).select("path")
+    # Spark refuses to read the corrupt column alone; such a row has no results either.
+    bad = F.col("_corrupt").isNotNull() & F.col("results").isNull()
+    return envelopes.filter(bad).select("path")
 
 
 def portal_rows(envelopes: DataFrame) -> DataFrame:
