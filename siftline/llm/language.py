@@ -140,12 +140,12 @@ def _bin(grams: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, label: str = "lang", sample: int = 1500, languages: int = 200,
-        centroids: int = 8, slack: float = 0.5) -> LanguageModel:
+        centroids: int = 8, slack: float = 0.35) -> LanguageModel:
     """Learn from labelled rows (``label``, ``text``).
 
     ``sample`` bounds the rows that reach the driver (their sparse counts). Rows without label or
     text are left out; of very many languages the ``languages`` most frequent are learnt. ``slack`` times the smallest cosines of known texts of a length is the floor
-    under which a text is rejected. Nothing labelled gives a model that answers ``und`` only.
+    under which a text is rejected; texts of under 32 n-grams say too little to be. Nothing labelled gives a model that answers ``und`` only.
     """
     known = [r[0] for r in docs.filter(F.col(label).isNotNull()).groupBy(label).count()
              .orderBy(F.desc("count"), label).limit(languages).select(label).collect()]
@@ -171,8 +171,8 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = 1500, languages: int
     # A few rows for each sampled text: bounded like the sample.
     seen = _known_cosines(texts, centres, idf).toArrow()
     size, best = seen.column("bin").to_numpy(), seen.column("cosine").to_numpy()
-    floors = np.array([slack * np.quantile(best[size == b], 0.002) if (size == b).any() else np.nan
-                       for b in range(32)])
+    floors = np.array([0.0 if b < 5 else slack * np.quantile(best[size == b], 0.002)
+                       if (size == b).any() else np.nan for b in range(32)])
     first = np.flatnonzero(~np.isnan(floors))
     if len(first):
         floors[:first[0]] = 0.0
@@ -182,12 +182,22 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = 1500, languages: int
     return LanguageModel(list(found), centres, np.array(owner), idf, np.nan_to_num(floors))
 
 
+def _with_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts with a letter of any script; only those without an ASCII one are decoded."""
+    plain = np.concatenate(([0], np.cumsum(IS_LETTER[data] & (data < 128))))
+    other = np.concatenate(([0], np.cumsum(data > 127)))
+    found = plain[offsets[1:]] > plain[offsets[:-1]]
+    for i in np.flatnonzero(~found & (other[offsets[1:]] > other[offsets[:-1]])):
+        text = data[offsets[i]:offsets[i + 1]].tobytes().decode("utf-8", "ignore")
+        found[i] = any(c.isalpha() for c in text)
+    return found
+
+
 def classify(model: LanguageModel, data: np.ndarray, offsets: np.ndarray):
     """(language index or -1, score, cosine, rejected) of whole texts."""
     n = len(offsets) - 1
     counts = gram_counts(data, offsets)
-    edges = np.concatenate(([0], np.cumsum(IS_LETTER[data])))
-    lettered = (edges[offsets[1:]] - edges[offsets[:-1]]) > 0
+    lettered = _with_letters(data, offsets)
     if not model.languages:
         return np.full(n, -1), np.zeros(n), np.zeros(n), np.ones(n, bool)
     cos = vectors(counts, model.idf) @ model.centroids.T
@@ -204,7 +214,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
     """The columns ``keep`` and lang_pred, score, cosine, rejected for every row.
 
     ``und`` with score 0 for a null text or one without a letter; such texts are rejected. Whole
-    texts are read. Letters are ASCII letters and all bytes beyond ASCII.
+    texts are read.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vars(model))

@@ -21,7 +21,7 @@ def test_language(spark, no_docs):
     table = [(i, prose(lang, i, 20 + i), lang) for i, lang in enumerate(list(SYLLABLES) * 30)]
     df = spark.createDataFrame(table, "doc_id long, text string, lang string")
     model = language.fit(df.filter("doc_id < 60"))
-    odd = [(1000, None, None), (1001, "", "aa"), (1002, "123 !!", "aa"), (1003, "ing " * 90_000, None),
+    odd = [(1000, None, None), (1001, "", "aa"), (1002, "123 — !! ¿ 🙂", "aa"), (1003, "ing " * 90_000, None),
            (None, "der schung", "bb"), (1004, "zxq wvkj 漢字漢字漢字漢字漢字漢字漢字漢字漢字漢字" * 20, None)]
     rows = df.union(spark.createDataFrame(odd, df.schema))
     got = {r.doc_id: r for r in language.predict(rows, model, keep=("doc_id",)).collect()}
