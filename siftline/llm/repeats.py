@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from siftline.llm.common import mix, prefix_hash, span_hash, spread_join, stored, text_slices
 
 LENGTH, SEED = 200, 32
-WIDE = 512
+# Kinds of runs that one task compares at once, some 100 MB; larger classes go one row a window.
+WIDE = 1 << 14
 
 
 def seeds(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
