@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from siftline.llm.common import spread_join, stored
 
 TREES, DEPTH = 48, 32
-BLOCK_ROWS, CHUNK_ROWS = 4096, 4096
+BLOCK_ROWS, CHUNK_ROWS = 8192, 4096
 
 
 def planes(dim: int, seed: int = 7) -> np.ndarray:
@@ -139,10 +139,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20, share: float =
     grid = index.groupBy("block", "chunk")
     levels = (grid.cogroup(every.groupBy("block", "chunk"))
               .applyInPandas(counts, "entry long, counts array<long>")
-              .select("entry", F.posexplode("counts").alias("level", "n"))
-              .groupBy("entry", "level").agg(F.sum("n").alias("n")))
-    deep = levels.groupBy("entry").agg(F.coalesce(F.max(F.when(
-        F.col("n") >= wanted, F.col("level"))), F.lit(0)).alias("level"))
+              .groupBy("entry").agg(*[F.sum(F.get("counts", F.lit(i))).alias(f"n{i}")
+                                      for i in range(DEPTH + 1)]))
+    # Counts fall with the level: the deepest level that still holds enough.
+    held = sum((F.col(f"n{i}") >= wanted).cast("int") for i in range(1, DEPTH + 1))
+    deep = levels.select("entry", held.alias("level"))
     leveled = stored(points.join(deep, "entry"))
     every = leveled.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = grid.cogroup(every.groupBy("block", "chunk")).applyInPandas(
