@@ -54,21 +54,21 @@ def _marked(attributes: str) -> bool:
                for m in _NAME.finditer(attributes))
 
 
-def walk(page: str):
-    """(kind, token, path, hidden, text) along a page.
+def _events(page: str):
+    """(kind, token, path, state, text) along a page; see ``walk``.
 
-    kind: "open", "close" or "text". A block closes an open paragraph, an end tag closes what
-    stands open in its element, stray end tags do nothing. Inline tags are no tokens.
+    The state is (hidden by an element, places of the marked parts above, in an article or main).
     """
     stack: list = []
+    none = (False, (), ())
 
     def path():
         return "/".join(s[0] for s in stack)
 
-    for m in _TOKEN.finditer(page):
+    for place, m in enumerate(_TOKEN.finditer(page)):
         raw = m.group()
         if raw[0] != "<" or raw == "<":
-            yield "text", None, path(), bool(stack) and stack[-1][1], raw
+            yield "text", None, path(), stack[-1][1] if stack else none, raw
             continue
         name = (m.group(3) or "").lower()
         if not name or (name not in BLOCKS and name not in HIDDEN):
@@ -76,11 +76,11 @@ def walk(page: str):
         if m.group(2):
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][2] == name), -1)
             if at >= 0:
-                hidden = stack[at][1]
+                state = stack[at][1]
                 del stack[at:]
-                yield "close", "/" + name, path(), hidden, ""
+                yield "close", "/" + name, path(), state, ""
             elif name == "p":
-                yield "close", "/p", path(), bool(stack) and stack[-1][1], ""
+                yield "close", "/p", path(), stack[-1][1] if stack else none, ""
             continue
         if name in CLOSES_P:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][2] == "p"), -1)
@@ -91,13 +91,63 @@ def walk(page: str):
             stack.pop()
         attributes = m.group(4) or ""
         mark = name not in ("html", "body", "article", "main", "p") and _marked(attributes)
-        inside = any(s[2] in ("article", "main") for s in stack)
-        hidden = (bool(stack) and stack[-1][1]) or name in HIDDEN or mark or (
-            name == "header" and not inside)
+        hidden, marks, inside = stack[-1][1] if stack else none
+        hidden = hidden or name in HIDDEN or (name == "header" and not inside)
+        if name in ("article", "main"):
+            inside = (*inside, (place, marks))
+        state = (hidden, (*marks, place) if mark else marks, inside)
         label = name + (".x" if mark else "")
-        yield "open", label, path(), hidden, ""
+        yield "open", label, path(), state, ""
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((label, hidden, name))
+            stack.append((label, state, name))
+
+
+def _holders(events: list) -> frozenset:
+    """Places of the marked parts that contain the page's article; those hide nothing.
+
+    The article is the article or main part with the most words of its own, where words under a
+    further mark don't count; of equal ones the part with fewer marks above. A page without such
+    parts has it where its first heading of the highest level stands, if no other words are more;
+    where everything is marked, in the outermost part with the most words.
+    """
+    if not any(state[1] for _, _, _, state, _ in events):
+        return frozenset()
+    parts, words, heading = {}, {}, None
+    for kind, token, _, (hidden, marks, inside), text in events:
+        if hidden:
+            continue
+        if kind == "open" and token[:1] == "h" and token[1:2] in "123456" and len(token) > 1:
+            if heading is None or token[1] < heading[0]:
+                heading = (token[1], marks)
+        if kind == "text":
+            n = len(text.split())
+            words[marks] = words.get(marks, 0) + n
+            for part in inside:
+                if part[1] == marks:
+                    parts[part] = parts.get(part, 0) + n
+    if any(parts.values()):
+        return frozenset(max(parts, key=lambda p: (parts[p], -len(p[1]), -p[0]))[1])
+    words = {m: n for m, n in words.items() if n}
+    top = heading[1] if heading else ()
+    if top and words.get(top, 0) > max(
+            (n for m, n in words.items() if m != top and len(m) <= len(top)), default=0):
+        return frozenset(top)
+    if words and () not in words:
+        return frozenset(max(words, key=lambda m: (-len(m), words[m], m)))
+    return frozenset()
+
+
+def walk(page: str):
+    """(kind, token, path, hidden, text) along a page.
+
+    kind: "open", "close" or "text". A block closes an open paragraph, an end tag closes what
+    stands open in its element, stray end tags do nothing. Inline tags are no tokens. A marked part
+    is hidden with all in it, unless it contains the article.
+    """
+    events = list(_events(page))
+    holders = _holders(events)
+    for kind, token, path, (hidden, marks, _), text in events:
+        yield kind, token, path, hidden or any(m not in holders for m in marks), text
 
 
 def squeeze(text: str) -> str:

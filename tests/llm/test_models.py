@@ -110,6 +110,25 @@ def test_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_marked_wrappers_keep_the_article():
+    story = "<h1>Head</h1><p>one two three four five</p>"
+    rest = "<div class='comments'><p>great post</p></div>"
+    want = "Head\none two three four five"
+
+    def text(page):
+        return html.main_text(page, [], set(), None)
+
+    for mark in ("class='layout has-sidebar'", "class=widget-container", "id='post-with-comments'"):
+        side = "<div class='related'><article>a teaser</article></div>"
+        assert text(f"<body><div {mark}><article>{story}{rest}</article></div>{side}</body>") == want
+        assert text(f"<div {mark}><div {mark}><main>{story}</main>{rest}</div></div>{side}") == want
+        assert text(f"<main><div {mark}><article>{story}</article></div>{side}</main>") == want
+        assert text(f"<div>Site</div><div {mark}>{story}{rest}</div>") == "Site\n" + want
+        assert text(f"<div {mark}><p>one two</p>{rest}</div>") == "one two"
+    assert text(f"<div class='masthead'><h1>Site</h1></div><div>{story}</div>{rest}") == want
+    assert text(f"<div>{story}</div><div class='comments'>{'long ' * 50}</div>") == want
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(11)
     base = r.standard_normal((300, 16))
