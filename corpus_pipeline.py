@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import exact, language, mixing, near, packing
-from siftline.llm.common import shared_dir, table
+from siftline.llm.common import shared_dir, stored, table
 from siftline.llm.queries import part_of
 
 
@@ -23,18 +23,29 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return found.filter("not rejected").select("doc.*")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a stored key ``_row`` of their own: in the order of ids, null ids last."""
+    order = [F.col("doc_id").isNull(), "doc_id", "_row"]
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                  .withColumn("_row", F.monotonically_increasing_id()))
+
+
 def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    gone = decided.filter("not kept").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = decided.filter("not kept").select(F.col("id").alias("_gone"))
+    return docs.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = F.coalesce(part_of(2) == 0, F.lit(True))
-    return _without(docs, exact.exact_duplicates(docs.filter(~known), docs.filter(known)))
+    """Exactly one row of each group stays, whatever ids repeat or are null."""
+    docs, known = _keyed(docs), F.coalesce(part_of(2) == 0, F.lit(True))
+    return _without(docs, exact.exact_duplicates(docs.filter(~known), docs.filter(known), "_row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near.near_duplicates(docs))
+    """Exactly one row of each class stays, whatever ids repeat or are null."""
+    docs = _keyed(docs)
+    return _without(docs, near.near_duplicates(docs, "_row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +54,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The last pass of a source ends within a document; that one goes in whole if at least half of
     its words are due.
     """
-    passes = mixing.curriculum(docs, mixing.cycle((3, 1, 2)), by_pass=True)
+    docs = _keyed(docs)
+    passes = mixing.curriculum(docs, mixing.cycle((3, 1, 2)), id_col="_row", hash_col="doc_id",
+                               by_pass=True)
     due = (passes.filter("2 * taken >= size").dropDuplicates(["id", "pass"])
            .select(F.col("id").alias("_id"), F.col("position").alias("_position")))
-    mixed = docs.join(due, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    mixed = docs.join(due, F.col("_row") == F.col("_id")).drop("_id", "_row")
     return (mixed.repartitionByRange("_position", "doc_id")
             .sortWithinPartitions("_position", "doc_id").drop("_position"))
 

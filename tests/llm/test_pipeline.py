@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+from conftest import words
 from test_documents import sets_of
 
 import corpus_pipeline
@@ -69,6 +70,37 @@ def test_stages_and_run(spark, docs, tmp_path):
     assert Counter(map(pick, whole_run)) == Counter(map(pick, packed))
 
 
+def test_copies_go_by_row_where_ids_repeat_or_are_null(spark, docs, tmp_path):
+    """Of each class of texts one row stays, and no class is lost."""
+    base = [words(300 + i, 80) for i in range(5)]
+    near = [b + " tail" for b in base]
+    odd = [(5, base[0]), (3, base[1]), (5, base[1] + "\n"), (None, base[2]), (None, base[2]),
+           (7, base[3]), (7, base[3]), (None, base[4]), (8, base[4]),
+           (2, near[0]), (9, near[3]), (None, near[2]), (5, words(400, 80))]
+    extra = spark.createDataFrame([(i, t, "aa", "s1", len(t)) for i, t in odd],
+                                  docs.select(COLUMNS).schema)
+    docs.select(COLUMNS).union(extra).write.parquet(f"{tmp_path}/documents")
+    before, stage = spark.read.parquet(f"{tmp_path}/documents"), dict(corpus_pipeline.STAGES)
+    second = stage["exact_dedup"](spark, before, "").collect()
+    digests = Counter(exact.reference_digest(r.text) for r in second)
+    assert digests == Counter({exact.reference_digest(r.text) for r in before.collect()})
+    stage["exact_dedup"](spark, before, "").write.parquet(f"{tmp_path}/second")
+    rows = [sets_of(r.text) for r in second]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(rows):
+            for j, b in enumerate(rows):
+                if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    classes = {r.text: c for r, c in zip(second, label, strict=True)}
+    third = stage["minhash_near_dedup"](spark, spark.read.parquet(f"{tmp_path}/second"), "")
+    assert Counter(classes[r.text] for r in third.collect()) == Counter(set(label))
+    third.write.parquet(f"{tmp_path}/third")
+    mixed = stage["curriculum_mix"](spark, spark.read.parquet(f"{tmp_path}/third"), "")
+    assert mixed.columns == COLUMNS
+    assert max(Counter((r.doc_id, r.text) for r in mixed.collect()).values()) <= 2
+
+
 def test_no_documents(spark, no_docs, tmp_path):
     no_docs.select(COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
