@@ -1,10 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-A text is its counts of telling features: words and word beginnings that labelled toxic texts hold
-far more often than others. Labelled examples stand in an inverted index whose postings are cut
-into blocks of neighbouring examples, each with its largest weight a feature. A query visits blocks
-from the highest bound down and stops when no block can reach its nearest found, so the
-neighbours are exact. Their votes, weighted by cosine, give a calibrated score and evidence.
+A text is its counts of all its words (hashed) and, as extra weight, of telling features: words and
+word beginnings that labelled toxic texts hold far more often than others. Every sampled example of
+either label stands in an index: its frequent features as a dense matrix, the others as postings.
+All cosines of a query are computed, so the neighbours are exact. Their votes, weighted by cosine,
+give a calibrated score and evidence.
 """
 
 from dataclasses import dataclass
@@ -18,7 +18,10 @@ from siftline.llm.common import (IS_LETTER, LOWER, mix, prefix_hash, runs, span_
                                  text_slices)
 
 PREFIXES = (4, 5, 6)
-BLOCK = 64
+DIMENSIONS = 1 << 18
+BOOST = 6.0
+DENSE = 512
+QUERIES_AT_ONCE = 64
 NEIGHBOURS = 15
 _KIND = mix(np.arange(4001, 4001 + 16, dtype=np.uint64))
 
@@ -71,47 +74,85 @@ def telling(examples: DataFrame, support: int = 3, lift: float = 20.0,
     return np.sort(np.array([r[0] for r in best.select("feature").collect()], np.int64))
 
 
+def sparse_counts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> list:
+    """(slots, counts) of each whole text: words by hash, then telling features as further slots."""
+    data = LOWER[data]
+    start, end, text = runs(IS_LETTER[data], offsets)
+    prefix = prefix_hash(data)
+    word = span_hash(prefix, start, end)
+    slots, owners = [(word >> np.uint64(46)).astype(np.int64)], [text]
+    kinds = [(word, text)]
+    for k in PREFIXES:
+        long = end - start > k
+        kinds.append((span_hash(prefix, start[long], start[long] + k) ^ _KIND[k], text[long]))
+    for hashes, owner in kinds if len(vocabulary) else []:
+        hashes = hashes.view(np.int64)
+        place = np.searchsorted(vocabulary, hashes).clip(0, len(vocabulary) - 1)
+        hit = vocabulary[place] == hashes
+        slots.append(DIMENSIONS + place[hit])
+        owners.append(owner[hit])
+    size = DIMENSIONS + len(vocabulary)
+    pair, n = np.unique(np.concatenate(owners) * size + np.concatenate(slots), return_counts=True)
+    first = np.searchsorted(pair, np.arange(len(offsets)) * size)
+    return [((pair[a:b] % size).astype(np.int32), n[a:b].astype(np.int32))
+            for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
 def counted(docs: DataFrame, vocabulary: np.ndarray, keep: tuple, text: str = "text") -> DataFrame:
-    """The columns ``keep``, slots and counts: telling features of every whole text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    """The columns ``keep``, slots and counts: all words and telling features of every whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
-        known = shared.value
         for batch in batches:
-            slots, counts = [], []
-            for at, to, data, offsets in text_slices(batch.column("_text")):
-                hashes, owners = features(data, offsets)
-                place = np.searchsorted(known, hashes)
-                hit = np.zeros(len(hashes), bool)
-                inside = place < len(known)
-                hit[inside] = known[place[inside]] == hashes[inside]
-                pair, n = np.unique(owners[hit] * len(known) + place[hit], return_counts=True)
-                first = np.searchsorted(pair, np.arange(to - at + 1) * max(len(known), 1))
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    slots.append((pair[a:b] % max(len(known), 1)).astype(np.int32))
-                    counts.append(n[a:b].astype(np.int32))
+            rows = [x for _, _, data, offsets in text_slices(batch.column("_text"))
+                    for x in sparse_counts(data, offsets, shared.value)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keep), pa.array(slots, pa.list_(pa.int32())),
-                 pa.array(counts, pa.list_(pa.int32()))], names=[*keep, "slots", "counts"])
+                [*(batch.column(k) for k in keep),
+                 *(pa.array([x[i] for x in rows], pa.list_(pa.int32())) for i in range(2))],
+                names=[*keep, "slots", "counts"])
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(
         run, f"{kinds}, slots array<int>, counts array<int>")
 
 
+def text_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of texts, and in how many of them each slot occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    size = DIMENSIONS + len(vocabulary)
+
+    def run(batches):
+        held = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            held[size] += batch.num_rows
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                for slots, _ in sparse_counts(data, offsets, shared.value):
+                    held[slots] += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])],
+                                         names=["slot", "n"])
+
+    # Proven bound: a row a slot.
+    rows = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(
+        F.sum("n").alias("n")).toArrow()
+    held = np.zeros(size + 1, np.int64)
+    held[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return int(held[size]), held[:size]
+
+
 # ---- the index ------------------------------------------------------------------------------
 
 @dataclass
-class BlockMaxIndex:
-    """Postings by feature, cut at blocks of ``BLOCK`` examples.
+class ExampleIndex:
+    """Weights of all examples by feature.
 
-    ``at[f, b]`` is where the postings of feature f in block b begin; ``top[f, b]`` is their
-    largest weight, so the products of a query with ``top[:, b]`` bound every cosine in block b.
+    ``dense[:, column[f]]`` has those of a frequent feature f; of another one (column -1),
+    ``example`` and ``weight`` hold postings from ``at[f]`` to ``at[f + 1]``.
     """
 
+    column: np.ndarray
+    dense: np.ndarray
     at: np.ndarray
-    top: np.ndarray
     example: np.ndarray
     weight: np.ndarray
     label: np.ndarray
@@ -122,39 +163,65 @@ def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / max(np.linalg.norm(w), 1e-12)
 
 
-def build_index(rows: list, labels: np.ndarray, idf: np.ndarray) -> BlockMaxIndex:
-    """Index of (slots, counts) rows; like rows stand together, so blocks are tight."""
-    order = sorted(range(len(rows)), key=lambda i: (list(rows[i][0]), list(rows[i][1])))
-    slot = np.concatenate([rows[i][0] for i in order] or [np.zeros(0, int)]).astype(int)
-    weight = np.concatenate([unit(rows[i][1], idf[rows[i][0]]) for i in order] or [np.zeros(0)])
-    example = np.repeat(np.arange(len(order)), [len(rows[i][0]) for i in order]).astype(int)
-    blocks = -(-len(order) // BLOCK)
-    by = np.lexsort((example, slot))
-    slot, weight, example = slot[by], weight[by], example[by]
-    cell = slot * blocks + example // BLOCK
-    at = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
-    top = np.zeros(len(idf) * blocks)
-    np.maximum.at(top, cell, weight)
-    return BlockMaxIndex(at, top.reshape(len(idf), blocks), example, weight, labels[order])
-
-
-def nearest(index: BlockMaxIndex, slots: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS,
+def example_order(rows: list) -> list:
+    """Like rows stand together: by slots, then counts."""
+    return sorted(range(len(rows)), key=lambda i: (
+        np.asarray(rows[i][0]).astype(">u4").tobytes(),
+        np.asarray(rows[i][1]).astype(">f8").tobytes()))
+
+
+def build_index(rows: list, labels: np.ndarray, idf: np.ndarray) -> ExampleIndex:
+    """Index of (slots, counts) rows in ``example_order``."""
+    order = example_order(rows)
+    n = len(order)
+    slot = np.concatenate([rows[i][0] for i in order] or [np.zeros(0)]).astype(np.int32)
+    weight = np.concatenate([unit(rows[i][1], idf[rows[i][0]]) for i in order]
+                            or [np.zeros(0)]).astype(np.float32)
+    example = np.repeat(np.arange(n, dtype=np.int32), [len(rows[i][0]) for i in order])
+    held = np.bincount(slot, minlength=len(idf))
+    often = np.argsort(-held, kind="stable")[:DENSE]
+    often = often[held[often] * 32 > n]
+    column = np.full(len(idf), -1, np.int32)
+    column[often] = np.arange(len(often))
+    dense = np.zeros((n, len(often)), np.float32)
+    there = column[slot] >= 0
+    dense[example[there], column[slot[there]]] = weight[there]
+    slot, example, weight = slot[~there], example[~there], weight[~there]
+    by = np.argsort(slot, kind="stable")
+    at = np.searchsorted(slot[by], np.arange(len(idf) + 1))
+    return ExampleIndex(column, dense, at, example[by], weight[by], labels[order])
+
+
+def cosines(index: ExampleIndex, queries: list):
+    """The cosines of each query (slots, weights) with every example."""
+    n = len(index.label)
+    for first in range(0, len(queries), QUERIES_AT_ONCE):
+        part = queries[first:first + QUERIES_AT_ONCE]
+        ask = np.zeros((len(part), index.dense.shape[1]), np.float32)
+        for i, (slots, weights) in enumerate(part):
+            there = index.column[slots] >= 0
+            ask[i, index.column[slots[there]]] = weights[there]
+        sums = ask @ index.dense.T
+        for i, (slots, weights) in enumerate(part):
+            begin, size = index.at[slots], index.at[slots + 1] - index.at[slots]
+            where = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            yield sums[i] + np.bincount(index.example[where], np.repeat(weights, size)
+                                        * index.weight[where], minlength=n)
+
+
+def _largest(sums: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    if skip >= 0:
+        sums[skip] = 0
+    least = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0
+    found = np.flatnonzero((sums >= least) & (sums > 0))
+    found = found[np.lexsort((found, -sums[found]))][:k]
+    return found, sums[found]
+
+
+def nearest(index: ExampleIndex, slots: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS,
             skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """(examples, cosines) of the k nearest by exact cosine, ties to the smaller example."""
-    blocks = index.top.shape[1]
-    bound = weights @ index.top[slots] if len(slots) else np.zeros(blocks)
-    best: list = []
-    for b in np.argsort(-bound, kind="stable"):
-        if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-9):
-            break
-        sums = np.zeros(BLOCK)
-        for f, w in zip(slots, weights, strict=True):
-            lo, hi = index.at[f * blocks + b], index.at[f * blocks + b + 1]
-            sums[index.example[lo:hi] - b * BLOCK] += w * index.weight[lo:hi]
-        found = [(sums[j], -(b * BLOCK + j)) for j in np.flatnonzero(sums > 0)
-                 if b * BLOCK + j != skip]
-        best = sorted(best + found, reverse=True)[:k]
-    return (np.array([-e for _, e in best], int), np.array([c for c, _ in best]))
+    return _largest(next(cosines(index, [(slots, weights)])), k, skip)
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray, prior: float) -> float:
@@ -201,73 +268,94 @@ def score(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id",
         "deal", F.pmod("mark", F.lit(deals))).withColumn("rank", F.row_number().over(place)).filter(
         F.col("rank") <= sample // (2 * deals)).select("id", "toxic"))
     # Proven bound: ``sample`` ids and labels.
-    examples = own.select("id", "text").join(F.broadcast(picked), "id").dropDuplicates(["id"])
+    examples = stored(own.select("id", "text").join(F.broadcast(picked), "id")
+                      .dropDuplicates(["id"]))
     vocabulary = telling(examples.select("text", "toxic"))
-    vectors = stored(counted(own.select("id", "text"), vocabulary, ("id",)))
-    total = vectors.count()
-    held = {r[0]: r[1] for r in vectors.select(F.explode("slots").alias("s")).groupBy("s").count()
-            .collect()}
-    idf = np.log1p(total / np.array([held.get(i, 0) + 1.0 for i in range(len(vocabulary))]))
-    known = (vectors.join(F.broadcast(picked), "id").dropDuplicates(["id"])
-             .select("id", "slots", "counts", "toxic").orderBy("id").toPandas())
-    truth = known["toxic"].to_numpy(float) if len(known) else np.zeros(0)
-    full = np.array([len(s) > 0 for s in known["slots"]], bool)
-    rows = [(np.asarray(s, int), np.asarray(c, float)) for s, c in
-            zip(known["slots"][full], known["counts"][full], strict=True)]
-    order = sorted(range(len(rows)), key=lambda i: (list(rows[i][0]), list(rows[i][1])))
+    total, held_by = text_counts(own, vocabulary)
+    idf = np.log1p(total / (held_by + 1.0))
+    idf[DIMENSIONS:] *= BOOST
+    vectors = stored(counted(examples, vocabulary, ("id", "toxic")))
+    # Proven bound: the distinct features of ``sample`` texts.
+    known = vectors.orderBy("id").toArrow()
+    truth = known.column("toxic").to_numpy().astype(float)
+    slots, counts = (known.column(c).combine_chunks() for c in ("slots", "counts"))
+    ends = slots.offsets.to_numpy() if len(known) else np.zeros(1, int)
+    full = np.diff(ends) > 0
+    flat, times = slots.flatten().to_numpy(), counts.flatten().to_numpy()
+    rows = [(flat[a - ends[0]:b - ends[0]], times[a - ends[0]:b - ends[0]])
+            for a, b in zip(ends[:-1], ends[1:], strict=True) if b > a]
+    order = example_order(rows)
     index = build_index(rows, truth[full], idf)
-    names = known["id"][full].to_numpy()[order] if len(rows) else np.zeros(0, np.int64)
+    names = np.array(known.column("id").to_pylist(), object)[full][order]
     # Known shares of labels, not of the even sample.
     rates = {r[0]: r[1] for r in slim.groupBy("toxic").count().collect()}
     seen = sum(rates.values())
     bare = {t: (truth[~full] == t).sum() / max((truth == t).sum(), 1) for t in (0, 1)}
     odds = {t: rates.get(t, 0) * bare[t] for t in (0, 1)}
-    empty = float(odds[1] / (odds[0] + odds[1])) if odds[0] + odds[1] else 0.0
     prior = rates.get(1, 0) / seen if seen else 0.0
-    votes = []
-    for position, i in enumerate(order):
-        e, c = nearest(index, rows[i][0], unit(rows[i][1], idf[rows[i][0]]), k, skip=position)
-        votes.append(vote(index.label[e], c, prior))
-    stands = np.array([rates.get(t, 0) / max((truth == t).sum(), 1) for t in (0, 1)])
-    stands = stands / max(stands.max(), 1e-12)
-    curve = calibrate(np.array(votes), truth[full][order],
-                      stands[truth[full][order].astype(int)]) if votes else (1.0, 0.0)
+    # No labelled text without a word: the prior speaks for such texts.
+    empty = float(odds[1] / (odds[0] + odds[1])) if odds[0] + odds[1] else prior
     model = {"index": vars(index), "idf": idf, "names": names, "prior": prior, "empty": empty,
-             "curve": curve, "k": k}
-    return _scored(vectors, model)
-
-
-def _scored(vectors: DataFrame, model: dict) -> DataFrame:
-    # Proven bound: the index of the sampled examples.
+             "curve": (1.0, 0.0), "k": k}
+    if rows:
+        found = _votes(vectors, model).toArrow()
+        votes, said = (found.column(c).to_numpy() for c in ("vote", "toxic"))
+        stands = np.array([rates.get(t, 0) / max((truth == t).sum(), 1) for t in (0, 1)])
+        stands = stands / max(stands.max(), 1e-12)
+        model["curve"] = calibrate(votes, said.astype(float), stands[said])
+    return _scored(own.select("id", "text"), vocabulary, model)
+
+
+def _votes(vectors: DataFrame, model: dict) -> DataFrame:
+    """(toxic, vote) of every example with words, by the other examples."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)
-    kind = vectors.schema["id"].dataType.simpleString()
 
     def run(batches):
         m = shared.value
-        index, memory = BlockMaxIndex(**m["index"]), {}
-        a, b = m["curve"]
-
-        def judge(slots, counts):
-            if not slots:
-                return m["empty"], []
-            key = (tuple(slots), tuple(counts))
-            if key not in memory:
-                if len(memory) > 20_000:
-                    memory.clear()
-                s = np.array(slots)
-                e, c = nearest(index, s, unit(np.array(counts, float), m["idf"][s]), m["k"])
-                v = min(max(vote(index.label[e], c, m["prior"]), 1e-4), 1 - 1e-4)
-                memory[key] = (1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b))),
-                               [int(x) for x in m["names"][e[:3]]])
-            return memory[key]
+        index, place = ExampleIndex(**m["index"]), {x: i for i, x in enumerate(m["names"])}
+        for batch in batches:
+            rows = [(place[x], t, np.array(s), np.array(c)) for x, t, s, c in zip(
+                *(batch.column(c).to_pylist() for c in ("id", "toxic", "slots", "counts")),
+                strict=True) if s]
+            sums = cosines(index, [(s, unit(c, m["idf"][s])) for _, _, s, c in rows])
+            votes = []
+            for row, found in zip(rows, sums, strict=True):
+                e, c = _largest(found, m["k"], row[0])
+                votes.append(vote(index.label[e], c, m["prior"]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()),
+                                              pa.array(votes, pa.float64())],
+                                             names=["toxic", "vote"])
+
+    return vectors.repartition(64, "id").mapInArrow(run, "toxic int, vote double")
+
+
+def _scored(docs: DataFrame, vocabulary: np.ndarray, model: dict) -> DataFrame:
+    # Proven bound: the index of the sampled examples.
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
+    kind = docs.schema["id"].dataType.simpleString()
 
+    def run(batches):
+        vocabulary, m = shared.value
+        index = ExampleIndex(**m["index"])
+        a, b = m["curve"]
         for batch in batches:
-            found = [judge(s, c) for s, c in zip(batch.column("slots").to_pylist(),
-                                                 batch.column("counts").to_pylist(), strict=True)]
+            scores, evidence = [], []
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                rows = sparse_counts(data, offsets, vocabulary)
+                for (slots, _), found in zip(rows, cosines(index, [
+                        (s, unit(c, m["idf"][s])) for s, c in rows]), strict=True):
+                    if not len(slots) or not len(index.label):
+                        scores.append(m["empty"])
+                        evidence.append([])
+                        continue
+                    e, c = _largest(found, m["k"], -1)
+                    v = min(max(vote(index.label[e], c, m["prior"]), 1e-4), 1 - 1e-4)
+                    scores.append(1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b))))
+                    evidence.append([int(x) for x in m["names"][e[:3]]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([float(x[0]) for x in found], pa.float64()),
-                 pa.array([int(x[0] >= 0.5) for x in found], pa.int32()),
-                 pa.array([x[1] for x in found], pa.list_(pa.int64()))],
+                [batch.column("id"), pa.array(scores, pa.float64()),
+                 pa.array([int(x >= 0.5) for x in scores], pa.int32()),
+                 pa.array(evidence, pa.list_(pa.int64()))],
                 names=["id", "score", "predicted", "evidence"])
 
-    return vectors.mapInArrow(run, f"id {kind}, score double, predicted int, evidence array<long>")
+    return docs.mapInArrow(run, f"id {kind}, score double, predicted int, evidence array<long>")

@@ -62,6 +62,19 @@ def test_toxicity(spark, no_docs, docs):
     assert {x.score for x in toxicity.score(texts, labels.limit(0), F.lit(True)).collect()} == {0.0}
 
 
+def test_toxic_texts_without_telling_words(spark):
+    """All words and both labels are in the index: a copy finds its labelled text."""
+    table = [(i, prose("aa", i, 30), 0) for i in range(60)]
+    table += [(100 + i, prose("bb", i, 30), 1) for i in range(2)]
+    df = spark.createDataFrame(table, "doc_id long, text string, toxic int")
+    copies = df.select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    got = {r.id: r for r in toxicity.score(df.select("doc_id", "text").union(copies), df.select(
+        "doc_id", "toxic"), F.col("doc_id") < 1000).collect()}
+    assert len(got) == 124 and all(got[1000 + i].evidence[0] == i for i, _, _ in table)
+    clean = max(got[1000 + i].score for i, _, y in table if not y)
+    assert all(got[1000 + i].score > clean for i, _, y in table if y)
+
+
 def test_block_max_neighbours_are_exact():
     r = np.random.default_rng(3)
     rows = []
