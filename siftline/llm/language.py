@@ -59,18 +59,21 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _sampled(docs: DataFrame, label: str, sample: int, languages: int) -> DataFrame:
-    """At most ``sample`` labelled rows: as many of each language as fit, chosen by a hash."""
+    """At most ``sample`` labelled texts: as many of each language as fit, chosen by a hash.
+
+    Copies of a text under one label count once; a text with several labels is the smallest's.
+    """
     order = F.xxhash64("text")
     slim = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select(
-        F.col(label).alias("language"), order.alias("mark"))
+        F.col(label).alias("language"), order.alias("mark")).groupBy("mark").agg(
+        F.min("language").alias("language"))
     place = Window.partitionBy("language").orderBy("mark")
     each = max(1, sample // languages)
     marks = (slim.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= each)
-             .orderBy("rank", "language").limit(sample).groupBy("mark")
-             .agg(F.min("language").alias("language")))
+             .orderBy("rank", "language").limit(sample).select("mark", "language"))
     # Proven bound: at most ``sample`` rows of a number and a label.
-    return docs.select("text").withColumn("mark", order).join(F.broadcast(marks), "mark").select(
-        "language", "text")
+    return (docs.filter(F.col("text").isNotNull()).select("text").withColumn("mark", order)
+            .join(F.broadcast(marks), "mark").dropDuplicates(["mark"]).select("language", "text"))
 
 
 def _features(batches):

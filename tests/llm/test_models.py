@@ -37,6 +37,16 @@ def test_language(spark, no_docs):
     assert language.predict(no_docs, model, keep=("doc_id",)).count() == 0
 
 
+def test_copies_do_not_fill_the_language_sample(spark):
+    table = [(prose("aa", 0), "aa")] * 300 + [(prose("bb", 0), "bb"), (prose("bb", 0), "cc")]
+    table += [(prose("aa", i), "aa") for i in range(1, 20)] + [(None, "aa")]
+    df = spark.createDataFrame(table, "text string, lang string").repartition(3)
+    for sample in (90, 15):
+        got = language._sampled(df, "lang", sample, 3).collect()
+        assert len(got) == len({r.text for r in got}) == min(20, sample // 3) + 1
+        assert {(r.language, r.text) for r in got if r.language != "aa"} == {("bb", prose("bb", 0))}
+
+
 def test_toxicity(spark, no_docs, docs):
     r = random.Random(5)
     table = []
