@@ -154,7 +154,9 @@ def exact_duplicates(docs: DataFrame, snapshot: DataFrame, id_col: str = "doc_id
     rows = stored(old.withColumn("is_new", F.lit(False)).union(
         new.withColumn("is_new", F.lit(True))))
     known, batch = _groups(rows.filter(~F.col("is_new"))), _groups(rows.filter("is_new"))
-    buckets = buckets_for(known, digests)
+    # A task holds a bucket of either side, so the larger one decides.
+    known, batch = stored(known), stored(batch)
+    buckets = max(buckets_for(known, digests), buckets_for(batch, digests))
     known, batch = stored(_bucketed(known, buckets)), _bucketed(batch, buckets)
     hits = screen(batch.select("bucket", "key", "sha", F.col("best.id").alias("id")),
                   build_filters(known))

@@ -34,6 +34,17 @@ def test_exact_duplicates(docs, no_docs):
     assert exact.exact_duplicates(docs, no_docs).count() == docs.count()
 
 
+def test_large_batch_meets_small_snapshot_in_many_buckets(docs, no_docs, monkeypatch):
+    most, plain = [], exact.screen
+    monkeypatch.setattr(exact, "screen", lambda incoming, filters: (
+        most.append(incoming.groupBy("bucket").count().agg({"count": "max"}).first()[0]),
+        plain(incoming, filters))[1])
+    for snapshot in (no_docs, docs.filter("doc_id = 9")):
+        got = exact.exact_duplicates(docs, snapshot, digests=4).count()
+        assert got == docs.count() + snapshot.count()
+    assert max(most) <= 12
+
+
 @given(st.sets(st.integers(0, 2**63 - 1), max_size=3000))
 @settings(max_examples=25, deadline=None)
 def test_fuse_filter_knows_all_its_keys(keys):
