@@ -1,8 +1,9 @@
 """Shards by balanced label propagation.
 
 Documents that share a text are linked. From an even start, rounds of joins move a group's
-documents to the shard that holds most of their neighbours, within the room that unlinked
-documents leave there; then the unlinked ones fill every shard to its exact number of rows.
+documents to the shard that holds most of their neighbours: in exchange for as many documents that
+wish to go the other way, and within the room that unlinked documents leave there. Then the
+unlinked ones fill every shard to its exact number of rows.
 
 The documents of a group are alike, so the rounds work on cells (group, shard, count), at most one
 a shard and group, and documents take the final labels by rank. A cell moves only where the group
@@ -19,6 +20,49 @@ def _quota(shard, rows, shards: int) -> F.Column:
     return F.floor(rows / F.lit(shards)) + F.when(shard < rows % F.lit(shards), 1).otherwise(0)
 
 
+def _moved(cells: DataFrame, moves: DataFrame) -> tuple[DataFrame, int]:
+    """The cells after stored moves (group, shard, goal, go), and how many documents moved."""
+    moved = moves.agg(F.sum("go")).first()[0] or 0
+    after = (cells.union(moves.select("group", "shard", -F.col("go")))
+             .union(moves.select("group", "goal", "go")).groupBy("group", "shard")
+             .agg(F.sum("n").alias("n")).filter("n > 0"))
+    return stored(after), moved
+
+
+def _swap(cells: DataFrame, quotas: DataFrame) -> tuple[DataFrame, int]:
+    """Exchange documents between shards, count for count; the new cells and how many moved.
+
+    A group wishes all its cells into its largest one that does not fill its shard. Of groups with
+    two equal cells every other one goes the other way, so wishes of a pair of shards meet. A wish
+    that no other one answers stays open: groups may be left in two shards or more.
+    """
+    part = cells.join(F.broadcast(quotas), "shard").filter("n < quota").drop("quota")
+    goal = part.groupBy("group").agg(
+        F.max(F.struct("n", F.xxhash64("group", "shard"), "shard")).alias("top"),
+        F.count("*").alias("cells")).select(
+        "group", F.col("top.shard").alias("goal"), F.col("top.n").alias("most"), "cells")
+    wish = part.join(goal, "group").filter(F.col("goal") != F.col("shard"))
+    even = (F.col("cells") == 2) & (F.col("n") == F.col("most"))
+    low, high = F.least("shard", "goal"), F.greatest("shard", "goal")
+    pairs = spread_rank(wish.filter(even).select("group", "n", low.alias("low"), high.alias("high")),
+                        ["low", "high"], [F.desc("n"), "group"], F.col("group"))
+    first = F.col("rank") % 2 == 0
+    wish = stored(wish.filter(~even).select("group", "shard", "goal", "n").union(pairs.select(
+        "group", F.when(first, F.col("low")).otherwise(F.col("high")),
+        F.when(first, F.col("high")).otherwise(F.col("low")), "n")))
+    # One row for two shards.
+    there = wish.groupBy("shard", "goal").agg(F.sum("n").alias("there"))
+    back = there.select(F.col("shard").alias("goal"), F.col("goal").alias("shard"),
+                        F.col("there").alias("back"))
+    room = there.join(back, ["shard", "goal"]).select(
+        "shard", "goal", F.least("there", "back").alias("room"))
+    queue = spread_rank(wish, ["shard", "goal"], [F.desc("n"), "group"], F.col("group"), "before",
+                        weight=F.col("n"))
+    go = F.least(F.col("n"), F.col("room") - F.col("before"))
+    return _moved(cells, stored(queue.join(F.broadcast(room), ["shard", "goal"]).withColumn(
+        "go", go).filter("go > 0").select("group", "shard", "goal", "go")))
+
+
 def _round(cells: DataFrame, quotas: DataFrame) -> tuple[DataFrame, int]:
     """Move cells under the room of each shard; the new cells and how many documents moved."""
     used = cells.groupBy("shard").agg(F.sum("n").alias("used"))
@@ -37,11 +81,7 @@ def _round(cells: DataFrame, quotas: DataFrame) -> tuple[DataFrame, int]:
     go = F.least(F.col("n"), F.col("room") - F.col("before"))
     moves = stored(queue.join(F.broadcast(room.withColumnRenamed("shard", "goal")), "goal")
                    .withColumn("go", go).filter("go > 0").select("group", "shard", "goal", "go"))
-    moved = moves.agg(F.sum("go")).first()[0] or 0
-    after = (cells.union(moves.select("group", "shard", -F.col("go")))
-             .union(moves.select("group", "goal", "go")).groupBy("group", "shard")
-             .agg(F.sum("n").alias("n")).filter("n > 0"))
-    return stored(after), moved
+    return _moved(cells, moves)
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
@@ -68,7 +108,10 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
     cells = stored(linked.groupBy("group", start.alias("shard")).agg(F.count("*").alias("n")))
     moved = 1
     while moved:
+        # Room first: whole groups have no wish left, so few rounds exchange.
         cells, moved = _round(cells, quotas)
+        if not moved:
+            cells, moved = _swap(cells, quotas)
 
     along = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (cells.withColumn("from", F.coalesce(F.sum("n").over(along), F.lit(0)))

@@ -150,6 +150,19 @@ def test_hot_group_fills_whole_shards(spark):
     assert sum(n == 30 for n in held.values()) == 5 and len(held) == 6
 
 
+def test_copies_meet_where_no_row_is_unlinked(spark):
+    """Each text twice, and in groups of five: without room, shards exchange documents."""
+    for copies, shards, cut in ((2, 4, 0.1), (5, 6, 0.35)):
+        df = spark.createDataFrame([(i, f"text {i // copies}") for i in range(600)],
+                                   "doc_id long, text string")
+        got = collected(sharding.shard(df, shards))
+        assert Counter(r["shard"] for r in got) == {s: 600 // shards for s in range(shards)}
+        homes = defaultdict(set)
+        for r in got:
+            homes[r["text_crc32"]].add(r["shard"])
+        assert sum(len(h) > 1 for h in homes.values()) <= cut * len(homes)
+
+
 def test_mixing(docs, no_docs):
     got = collected(mixing.curriculum(docs, mixing.cycle((3, 1, 2))))
     assert len(got) == docs.count()
