@@ -1,6 +1,7 @@
 """Helpers the corpus operators share: storage between stages, hot keys, hashes over text bytes."""
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,14 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, executors may go."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends there, executors may go.
+
+    With names in ``by`` rows lie in a folder for each value, so that a filter on it reads no others.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"siftline-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete stored frames that no later step reads; others than stored ones are left alone."""
+    for df in frames:
+        spark = df.sparkSession
+        found = {re.match(r"(.*/siftline-[0-9a-f]{32})/", name) for name in df.inputFiles()}
+        for folder in {x[1] for x in found if x}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: list, by, how: str = "inner",
                 ways: int = SPREAD) -> DataFrame:
     """Join a frame that may have hot keys to one with a row per key.

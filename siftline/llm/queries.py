@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import (exact, html, language, mixing, near, neighbours, packing, repeats,
+from siftline.llm import (exact, html, language, mixing, near, neighbours, packing, phrases, repeats,
                           sharding, toxicity)
 from siftline.llm.common import table
 
@@ -111,3 +111,34 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_prefix_doubling_repeats")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_phrase_collocations", sql=r"""
+WITH pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(
+      coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS s FROM documents)),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM pieces, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k) GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w
+  FROM f WHERE k >= 2 AND f >= 10),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS p,
+    array_to_string(w[k + 1:], ' ') AS q
+  FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c)),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r,
+    (1000000 * c.a::HUGEINT * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.p
+  JOIN f y ON y.lang = c.lang AND y.phrase = c.q),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase
+  ORDER BY score, k) = 1),
+around AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS m
+  FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM c WHERE len(w) = 3) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE o.m IS NULL OR 100 * o.m < 50 * b.a),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score::BIGINT AS score FROM kept JOIN n USING (lang)
+QUALIFY rank <= 2000""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
