@@ -9,45 +9,73 @@ Which phrases have reached the threshold is told to tasks by a bit filter of fix
 gains bits, and a phrase is counted in step t exactly if the filter of t has both parts and the
 filter of t minus one cycle has not: every task decides alike, each active phrase gets one whole
 cycle, and a part that the filter reports wrongly only makes a phrase be counted that needn't be.
-Counts themselves are exact and keyed by the phrase's text.
+
+Texts are read once, into rows of about four megabytes: the distinct words and a number for each
+occurrence. Scans take numbers, shuffles 128-bit names of phrases; wording comes back at the end, for
+frequent phrases, from the one row that each name remembers.
 """
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import (LOWER, discard, mix, prefix_hash, runs, span_hash, spread_join,
-                                 stored, text_slices)
+from siftline.llm.common import (LOWER, discard, mix, runs, spread_join, stored, text_slices)
 
 SLICE = 1 << 22
 SALTS = 64
+LENGTHS = 16
 _NO_WORD = np.zeros(256, bool)
 _NO_WORD[[32, 9, 10, 11, 12, 13, *b".,;:!?"]] = True
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[10, 11, 12, 13, *b".,;:!?"]] = True
 _BLANK = pa.scalar(" ", pa.large_string())
-_PAIR = np.uint64(0xD6E8FEB86659FD93)
+_PAIR = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+# A slice of the corpus: ``words`` are the distinct words joined by line breaks; ``places`` has, for
+# each occurrence, twice the word's number, plus 1 if the next word stands in the same piece.
+_SLICES = "shard int, src long, lang string, size long, words binary, places binary"
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray):
-    """(words, hash of each, whether the next word stands in the same piece) of lower-cased texts."""
+def encoded(data: np.ndarray, offsets: np.ndarray) -> tuple[int, bytes, bytes]:
+    """(occurrences, words, places) of texts, lower-cased (A-Z)."""
     data = LOWER[data]
     member = ~_NO_WORD[data]
     start, end, text = runs(member, offsets)
+    if not len(start):
+        return 0, b"", b""
     ends = np.concatenate(([0], np.cumsum(_PIECE_END[data], dtype=np.int64)))[start]
-    linked = np.zeros(len(start), bool)
+    linked = np.zeros(len(start), np.int32)
     linked[:-1] = (text[1:] == text[:-1]) & (ends[1:] == ends[:-1])
     at = np.concatenate(([0], np.cumsum(end - start)))
     words = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[member])])
     words = words.dictionary_encode()
-    known = words.dictionary
-    ends = np.frombuffer(known.buffers()[1], np.int64)[known.offset:known.offset + len(known) + 1]
-    raw = known.buffers()[2]
-    prefix = prefix_hash(np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8))
-    return words, span_hash(prefix, ends[:-1], ends[1:]), linked
+    places = np.asarray(words.indices).astype(np.int32) * 2 + linked
+    return len(start), b"\n".join(words.dictionary.to_pylist()), places.tobytes()
+
+
+def _slices(texts: DataFrame, shards: int, limit: int) -> DataFrame:
+    def step(batches):
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            langs = batch.column("lang")
+            for lang in pc.unique(langs):
+                rows = batch.filter(pc.equal(langs, lang)).column("text")
+                for _, _, data, offsets in text_slices(rows, limit):
+                    size, words, places = encoded(data, offsets)
+                    if size:
+                        yield pa.RecordBatch.from_pydict({
+                            "shard": pa.array([(part + k) % shards], pa.int32()),
+                            "src": pa.array([part << 24 | k]), "lang": pa.array([lang.as_py()]),
+                            "size": pa.array([size]), "words": pa.array([words]),
+                            "places": pa.array([places])})
+                        k += 1
+
+    return texts.mapInArrow(step, _SLICES)
 
 
 class Reached:
@@ -57,167 +85,299 @@ class Reached:
         self.log = log
         self.bits = np.zeros(1 << (log - 6), np.uint64) if bits is None else bits
 
-    def places(self, h: np.ndarray):
+    def places(self, name: np.ndarray):
         shift = np.uint64(64 - self.log)
         for k in range(3):
-            yield mix(h + np.uint64(k)) >> shift
+            yield (name[0] + np.uint64(k) * (name[1] | np.uint64(1))) >> shift
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), bool)
-        for at in self.places(h):
+    def has(self, name: np.ndarray) -> np.ndarray:
+        found = np.ones(name.shape[1], bool)
+        for at in self.places(name):
             found &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return found
 
-    def words(self, h: np.ndarray) -> pa.Table:
+    def words(self, name: np.ndarray) -> pa.Table:
         """The filter's 64-bit words that these phrases set, to be united by OR."""
-        at = np.concatenate(list(self.places(h)))
+        at = np.concatenate(list(self.places(name)))
         return pa.table({"word": (at >> np.uint64(6)).astype(np.int64),
                          "bits": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
 
-def _codes(index: np.ndarray, size: int, at: np.ndarray, n: int) -> np.ndarray:
-    """A number for each n words from ``at``; equal numbers mean equal words."""
-    key, bound = index[at].astype(np.int64), size
-    for k in range(1, n):
-        if bound * size >= 1 << 62:
-            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            bound = int(key.max(initial=0)) + 1
-        key, bound = key * size + index[at + k], bound * size
-    return key
-
-
-def counted(data, offsets, seed: np.uint64, longest: int, now: Reached, old: Reached, first: bool):
-    """(length, phrase, count, hash) of what is active but has not had its cycle in these texts."""
-    words, hashes, linked = words_of(data, offsets)
-    index, known = np.asarray(words.indices), words.dictionary
-    if not len(index):
-        return
-    hashes = mix(hashes ^ seed)
+class Slice:
+    """The words of a row of the corpus: numbers, links and 128-bit names."""
+
+    def __init__(self, lang: str, words: bytes, places: bytes):
+        self.words = words.split(b"\n")
+        places = np.frombuffer(places, np.int32)
+        self.index, self.linked = places >> 1, (places & 1).astype(bool)
+        seed = np.frombuffer(xxhash.xxh3_128_digest(lang.encode()), np.uint64)
+        names = b"".join(map(xxhash.xxh3_128_digest, self.words))
+        self.names = np.ascontiguousarray(np.frombuffer(names, np.uint64).reshape(-1, 2).T)
+        self.names = mix(self.names ^ seed[:, None])
+
+    def codes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """A number for the ``n`` words from each place; equal numbers mean equal words."""
+        size = bound = len(self.words)
+        key = self.index[at].astype(np.int64)
+        for k in range(1, n):
+            if bound * size >= 1 << 62:
+                key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+                bound = int(key.max(initial=0)) + 1
+            key, bound = key * size + self.index[at + k], bound * size
+        return key
+
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        known = pa.array(self.words, pa.large_binary()).cast(pa.large_string())
+        parts = [known.take(pa.array(self.index[at + k])) for k in range(n)]
+        return pc.binary_join_element_wise(*parts, _BLANK) if n > 1 else parts[0]
+
+    def joined(self, at: np.ndarray, names: np.ndarray, n: int, side: np.ndarray):
+        """Places and names of ``n`` words, from those one word shorter whose neighbours are ``side``."""
+        keep = np.flatnonzero(side & (at[1:] == at[:-1] + 1) & self.linked[at[:-1] + n - 2])
+        return keep, at[keep], mix(names[:, keep] * _PAIR[:, None] + names[:, keep + 1])
+
+
+def counted(part: Slice, longest: int, now: Reached, old: Reached, first: bool):
+    """(length, count, name, reached) of what is active but has not had its cycle in this slice."""
+    reached = now.has(part.names)
     if first:
-        yield 1, known.cast(pa.large_string()), np.bincount(index, minlength=len(known)), hashes
-    h = hashes[index]
-    in_now = now.has(hashes)[index]
-    in_old = old.has(hashes)[index] if old is not None else np.zeros(len(index), bool)
-    at = np.arange(len(index))
+        yield 1, np.bincount(part.index, minlength=len(part.words)), part.names, reached
+    in_now, names = reached[part.index], part.names[:, part.index]
+    in_old = (old.has(part.names)[part.index] if old is not None
+              else np.zeros(len(part.index), bool))
+    at = np.arange(len(part.index))
     for n in range(2, longest + 1):
-        # Of two neighbouring phrases one word shorter: whether both are there, and linked.
         if len(at) < 2:
             return
-        side = (at[1:] == at[:-1] + 1) & linked[at[:-1] + n - 2]
-        both = side & in_now[:-1] & in_now[1:]
-        done = both & in_old[:-1] & in_old[1:]
-        keep = np.flatnonzero(both)
-        at, done = at[keep], done[keep]
-        h = mix(h[keep] * _PAIR + h[keep + 1])
+        keep, at, names = part.joined(at, names, n, in_now[:-1] & in_now[1:])
+        done = in_old[keep] & in_old[keep + 1]
+        in_now = now.has(names) if n < longest else np.zeros(len(at), bool)
         new = np.flatnonzero(~done)
         if len(new):
-            _, where, count = np.unique(_codes(index, len(known), at[new], n), return_index=True,
+            _, where, count = np.unique(part.codes(at[new], n), return_index=True,
                                         return_counts=True)
-            spot = at[new[where]]
-            parts = [known.take(pa.array(index[spot + k])).cast(pa.large_string()) for k in range(n)]
-            yield n, pc.binary_join_element_wise(*parts, _BLANK), count, h[new[where]]
+            where = new[where]
+            yield n, count, names[:, where], in_now[where]
         if n < longest:
-            in_now = now.has(h)
-            in_old = done & old.has(h) if old is not None else np.zeros(len(h), bool)
-
-
-_STEP = "lang string, n int, phrase string, f long, h long"
-
-
-def _scan(rows: DataFrame, longest: int, now, old, first: bool) -> DataFrame:
-    """Counts of one shard; ``now`` and ``old`` are broadcast filters, ``old`` may be None."""
+            in_old = done & old.has(names) if old is not None else np.zeros(len(at), bool)
+
+
+# Phrases travel in blocks: each bucket of names has rows of whole arrays, so that neither shuffles
+# nor sums touch single rows. ``tag`` holds a slice with the phrase and, in its last four bits, the
+# number of words; ``seen`` is the step in which a phrase came up first.
+_KINDS = {"h": np.uint64, "g": np.uint64, "f": np.int64, "tag": np.int64, "reached": bool}
+_BLOCK = "bucket int, " + ", ".join(f"{x} binary" for x in _KINDS)
+_STATE = ("h", "g", "f", "tag", "seen")
+_FLUSH = 1 << 21
+
+
+def _summed(rows: dict) -> dict:
+    """One entry a name, sorted by name: counts add up, the least tag and any ``reached`` stay."""
+    h, g = rows["h"], rows["g"]
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    if (same & (g[order][1:] != g[order][:-1])).any():
+        order = np.lexsort((g, h))
+    rows = {k: v[order] for k, v in rows.items()}
+    h, g = rows["h"], rows["g"]
+    start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))[:len(h)])
+    how = {"f": np.add, "tag": np.minimum, "seen": np.minimum, "reached": np.logical_or}
+    return {k: how[k].reduceat(v, start) if k in how and len(start) else v[start]
+            for k, v in rows.items()}
+
+
+def _gathered(table: pa.Table, names, prefix: str = "") -> dict:
+    kinds = _KINDS | {"seen": np.int64}
+    return {x: np.concatenate([np.zeros(0, kinds[x])] + [
+        np.frombuffer(v, kinds[x]) for v in table.column(prefix + x).to_pylist()]) for x in names}
+
+
+def _scan(rows: DataFrame, longest: int, now, old, first: bool, buckets: int) -> DataFrame:
+    """Counts of one shard in blocks; ``now`` and ``old`` are broadcast filters or None."""
+    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+
+    def blocks(parts: list):
+        rows = _summed({x: np.concatenate([p[x] for p in parts]) for x in _KINDS})
+        cut = np.append(np.searchsorted(rows["h"], edges), len(rows["h"]))
+        for k in np.flatnonzero(cut[1:] > cut[:-1]):
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32())} | {
+                x: pa.array([v[cut[k]:cut[k + 1]].tobytes()]) for x, v in rows.items()})
 
     def step(batches):
         filters = now.value, old.value if old is not None else None
+        parts, size = [], 0
         for batch in batches:
-            langs = batch.column("lang")
-            for lang in pc.unique(langs):
-                texts = batch.filter(pc.equal(langs, lang)).column("text")
-                raw = np.frombuffer(lang.as_py().encode(), np.uint8)
-                seed = span_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0]
-                for _, _, data, offsets in text_slices(texts, SLICE):
-                    for n, phrase, f, h in counted(data, offsets, seed, longest, *filters, first):
-                        out = pa.table({
-                            "lang": pa.repeat(lang.cast(pa.string()), len(phrase)),
-                            "n": pa.array(np.full(len(phrase), n, np.int32)),
-                            "phrase": phrase.cast(pa.string()),
-                            "f": pa.array(np.asarray(f, np.int64)),
-                            "h": pa.array(h.view(np.int64))})
-                        yield from out.to_batches(1 << 16)
-
-    return (rows.mapInArrow(step, _STEP).groupBy("lang", "n", "phrase")
-            .agg(F.sum("f").alias("f"), F.max("h").alias("h")))
-
-
-def _bits(reached: DataFrame, log: int) -> pa.Table:
-    """The filter words of these phrases: at most 2^(log - 6) rows, whatever their number."""
+            for row in range(batch.num_rows):
+                src, lang, words, places = (batch.column(x)[row].as_py()
+                                            for x in ("src", "lang", "words", "places"))
+                for n, f, name, reached in counted(Slice(lang, words, places), longest, *filters,
+                                                   first):
+                    parts.append({"h": name[0], "g": name[1], "f": f.astype(np.int64),
+                                  "tag": np.full(len(f), src * LENGTHS + n, np.int64),
+                                  "reached": reached})
+                    size += len(f)
+                if size > _FLUSH:
+                    yield from blocks(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from blocks(parts)
+
+    return rows.mapInArrow(step, _BLOCK)
+
+
+_AFTER = ("bucket int, h binary, g binary, f binary, tag binary, news binary, "
+          + ", ".join(f"state_{x} binary" for x in _STATE))
+
+
+def _after(scan: DataFrame, state: DataFrame, least: int, longest: int, shards: int,
+           step: int) -> DataFrame:
+    """A block for each bucket: the counts of this step, the names that have just reached the
+    threshold, and running counts of what may yet do so and activate longer phrases. What had its
+    cycle in vain is dropped; what the filter has needs no more watching."""
+
+    def merge(scanned: pa.Table, before: pa.Table) -> pa.Table:
+        bucket = (scanned if scanned.num_rows else before).column("bucket")[0]
+        now = _summed(_gathered(scanned, _KINDS))
+        open_ = (now["tag"] % LENGTHS < longest) & ~now["reached"]
+        fresh = {x: now[x][open_] for x in ("h", "g", "f", "tag")}
+        fresh["seen"] = np.full(len(fresh["h"]), step, np.int64)
+        old = _gathered(before, _STATE, "state_")
+        all_ = _summed({x: np.concatenate([old[x], fresh[x]]) for x in _STATE})
+        told = all_["f"] >= least
+        keep = ~told & (all_["seen"] + shards - 1 > step)
+        news = np.stack([all_["h"][told], all_["g"][told]], 1).tobytes()
+        return pa.table({"bucket": pa.array([bucket.as_py()], pa.int32())} | {
+            x: pa.array([now[x].tobytes()]) for x in ("h", "g", "f", "tag")} | {
+            "news": pa.array([news])} | {
+            f"state_{x}": pa.array([all_[x][keep].tobytes()]) for x in _STATE})
+
+    return scan.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(merge, _AFTER)
+
+
+def _bits(after: DataFrame, log: int) -> pa.Table:
+    """The filter words of the news: at most 2^(log - 6) rows, whatever their number."""
 
     def step(batches):
         empty = Reached(log, np.zeros(0, np.uint64))
         for batch in batches:
-            yield from empty.words(np.asarray(batch.column("h")).view(np.uint64)).to_batches()
+            for news in batch.column("news"):
+                name = np.frombuffer(news.as_py(), np.uint64).reshape(-1, 2).T
+                yield from empty.words(name).to_batches()
 
-    return (reached.select("h").mapInArrow(step, "word long, bits long").groupBy("word")
+    return (after.select("news").mapInArrow(step, "word long, bits long").groupBy("word")
             .agg(F.bit_or("bits").alias("bits")).toArrow())
 
 
+def _frequent(steps: DataFrame, least: int) -> DataFrame:
+    """(h, g, f, src, n) of the names whose counts over all steps come to ``least``."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = _summed(_gathered(table, ("h", "g", "f", "tag")))
+        rows = {k: v[rows["f"] >= least] for k, v in rows.items()}
+        return pa.table({"h": rows["h"].view(np.int64), "g": rows["g"].view(np.int64),
+                         "f": rows["f"], "src": rows["tag"] // LENGTHS,
+                         "n": (rows["tag"] % LENGTHS).astype(np.int32)})
+
+    return (steps.select("bucket", "h", "g", "f", "tag").groupBy("bucket")
+            .applyInArrow(add, "h long, g long, f long, src long, n int"))
+
+
+def _worded(corpus: DataFrame, found: DataFrame) -> DataFrame:
+    """(lang, n, phrase, f): each found name is looked up in the one slice it remembers."""
+
+    def look(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        parts = []
+        if rows.num_rows and wanted.num_rows:
+            lang, words, places = (rows.column(x)[0].as_py() for x in ("lang", "words", "places"))
+            part = Slice(lang, words, places)
+            lengths = np.asarray(wanted.column("n"))
+            at, names = np.arange(len(part.index)), part.names[:, part.index]
+            for n in range(1, int(lengths.max()) + 1):
+                if n > 1:
+                    _, at, names = part.joined(at, names, n, np.ones(max(len(at) - 1, 0), bool))
+                mine = wanted.filter(pa.array(lengths == n))
+                if not mine.num_rows or not len(at):
+                    continue
+                h, g = (np.asarray(mine.column(x)).view(np.uint64) for x in ("h", "g"))
+                order = np.lexsort((g, h))
+                likely = np.zeros(1 << 22, bool)
+                likely[h & _LOW] = True
+                here = np.flatnonzero(likely[names[0] & _LOW])
+                here = here[np.unique(part.codes(at[here], n), return_index=True)[1]]
+                here = here[np.lexsort((names[1, here], names[0, here]))]
+                # Both sides are sorted and distinct: match them on the whole name.
+                left = np.stack([names[0, here], names[1, here]], 1).view([("", np.uint64)] * 2)
+                right = np.stack([h[order], g[order]], 1).view([("", np.uint64)] * 2)
+                _, i, j = np.intersect1d(left.ravel(), right.ravel(), return_indices=True)
+                parts.append(pa.table({
+                    "lang": pa.repeat(pa.scalar(lang), len(i)),
+                    "n": np.full(len(i), n, np.int32),
+                    "phrase": part.phrases(at[here[i]], n).cast(pa.string()),
+                    "f": mine.column("f").take(pa.array(order[j]))}))
+        return pa.concat_tables(parts) if parts else _EMPTY
+
+    return (corpus.select("src", "lang", "words", "places").groupBy("src")
+            .cogroup(found.groupBy("src")).applyInArrow(look, _WORDED))
+
+
+_LOW = np.uint64((1 << 22) - 1)
+_WORDED = "lang string, n int, phrase string, f long"
+_EMPTY = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()),
+                    ("f", pa.int64())]).empty_table()
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                     least: int = 10, longest: int = 3, shards: int = 4,
-                     log_bits: int = 26) -> DataFrame:
-    """(lang, n, phrase, f): every phrase of at most ``longest`` words that occurs ``least`` times.
+                     least: int = 10, longest: int = 3, shards: int = 3, log_bits: int = 26,
+                     limit: int = SLICE) -> tuple[DataFrame, DataFrame]:
+    """((lang, n, phrase, f), (lang, n)): phrases of up to ``longest`` words that occur ``least``
+    times, with their number of words and occurrences, and all occurrences of words by language.
 
     Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line breaks and into words at
-    blanks and tabs; occurrences overlap, never cross a piece, and count per language. ``n`` is the
-    number of words; words (n = 1) come with any count. Null text counts as empty, null language as
-    ``und``; repeated rows are rows of their own; an empty table gives no rows; other columns are
-    not read, so their names may clash. Long texts are counted whole. ``log_bits`` bounds what is
-    sent to tasks: 2^(log_bits - 3) bytes, twice.
+    blanks and tabs; occurrences overlap, never cross a piece, and count per language. Null text
+    counts as empty, null language as ``und``; repeated rows are rows of their own; an empty table
+    gives no rows; other columns are not read, so their names may clash. Long texts are counted
+    whole. ``limit`` bytes make a slice (a longer text is one of its own), ``longest`` is at most 15.
+    ``log_bits`` bounds what is sent to tasks: 2^(log_bits - 3) bytes, twice. Beyond some 10 million
+    frequent phrases the filter prunes less; results stay the same.
     """
+    if not 2 <= longest < LENGTHS:
+        raise ValueError("longest must be 2 to 15")
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       (F.monotonically_increasing_id() % shards).alias("shard"))
-    corpus = stored(rows.filter("text <> ''"), "shard")
-    found, state = [], None
+    texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
+                        F.col(text_col).alias("text")).filter(F.col("text") != "")
+    corpus = stored(_slices(texts, shards, limit))
+    totals = stored(corpus.groupBy("lang").agg(F.sum("size").alias("n")))
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, words >> 20)
+    afters, state = [], spark.createDataFrame([], _AFTER)
     filters = [Reached(log_bits)]
     sent = [spark.sparkContext.broadcast(filters[0])]
     step = 0
     while True:
-        first, old = step < shards, sent[step - shards] if step >= shards else None
-        scan = stored(_scan(corpus.filter(F.col("shard") == step % shards).select("lang", "text"),
-                            longest, sent[step], old, first))
-        found.append(scan.filter(F.col("n") == longest).select("lang", "n", "phrase", "f"))
-        # Running counts of what can activate something; what had its cycle in vain is dropped.
-        news = scan.filter(F.col("n") < longest).withColumn("seen", F.lit(step)).withColumn(
-            "told", F.lit(False))
-        both = news if state is None else state.unionByName(news)
-        merged = both.groupBy("lang", "n", "phrase").agg(
-            F.sum("f").alias("f"), F.max("h").alias("h"), F.min("seen").alias("seen"),
-            F.max("told").alias("told"))
-        open_ = (F.col("n") == 1) | (F.col("f") >= least) | (F.col("seen") + shards - 1 > step)
-        now = stored(merged.filter(open_))
-        delta = _bits(now.filter((F.col("f") >= least) & ~F.col("told")), log_bits)
-        if state is not None:
-            discard(before)
-        before = now
-        state = now.withColumn("told", F.col("told") | (F.col("f") >= least))
-        bits = filters[-1].bits.copy()
-        at = np.asarray(delta["word"])
-        bits[at] |= np.asarray(delta["bits"]).view(np.uint64)
+        old = sent[step - shards] if step >= shards else None
+        scan = _scan(corpus.filter(F.col("shard") == step % shards), longest, sent[step], old,
+                     step < shards, buckets)
+        state = stored(_after(scan, state, least, longest, shards, step))
+        afters.append(state)
+        delta = _bits(state, log_bits)
+        bits, at = filters[-1].bits, np.asarray(delta["word"])
         step += 1
+        if len(at):
+            bits = bits.copy()
+            bits[at] |= np.asarray(delta["bits"]).view(np.uint64)
+            sent.append(spark.sparkContext.broadcast(Reached(log_bits, bits)))
+        else:
+            sent.append(sent[-1])
         filters.append(Reached(log_bits, bits))
-        same = not len(at)
-        sent.append(sent[-1] if same else spark.sparkContext.broadcast(filters[-1]))
-        # Over when nothing active lacks a part of its cycle: the filter stood still for one.
-        if step >= shards and all(x is sent[step] for x in sent[max(0, step - shards):]):
+        # Over when every active phrase has had its cycle: the filter stood still for a whole one.
+        if step >= shards and sent[step - shards] is sent[step]:
             break
-    discard(corpus)
-    full = found[0]
-    for more in found[1:]:
+    full = afters[0]
+    for more in afters[1:]:
         full = full.unionByName(more)
-    full = full.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
-    return full.filter(F.col("f") >= least).unionByName(
-        state.select("lang", "n", "phrase", "f").filter((F.col("f") >= least) | (F.col("n") == 1)))
+    found = stored(_worded(corpus, _frequent(full, least)))
+    discard(corpus, *afters)
+    return found, totals
 
 
 def _part(words: str, first, count) -> F.Column:
@@ -225,7 +385,8 @@ def _part(words: str, first, count) -> F.Column:
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10,
-                 longest: int = 3, cover: int = 50, top: int = 2000, shards: int = 4) -> DataFrame:
+                 longest: int = 3, cover: int = 50, top: int = 2000, shards: int = 3,
+                 limit: int = SLICE) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's phrases that belong together most.
 
     The score of a phrase with count ``a`` is the lowest floor(1000000 a a / (l r)) over its cuts in
@@ -234,9 +395,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     count. The first ``top`` by score, count and phrase stay; that limit is the report's length.
     Nulls, empty tables, repeated rows and other columns as in ``frequent_phrases``.
     """
-    counts = stored(frequent_phrases(docs, text_col, lang_col, least, longest, shards))
-    totals = counts.filter("n = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    counts = counts.filter(F.col("f") >= least)
+    counts, totals = frequent_phrases(docs, text_col, lang_col, least, longest, shards, limit=limit)
     known = counts.select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f"))
     long_ = counts.filter("n >= 2").select("lang", "phrase", F.col("f").alias("a"),
                                            F.split("phrase", " ", -1).alias("w"))
