@@ -1,5 +1,6 @@
 """Helpers the corpus operators share: storage between stages, hot keys, hashes over text bytes."""
 
+import gc
 import os
 import re
 import tempfile
@@ -42,14 +43,22 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete stored frames that no later step reads; others than stored ones are left alone."""
+def discard(*frames: DataFrame, part: str = "") -> None:
+    """Delete the folders of stored frames that no later step reads.
+
+    ``part``, as ``name=value``, names the one folder that goes of a frame stored with ``by``. Shuffle
+    files of finished steps go too: Spark drops them when the driver collects its garbage, which a driver
+    that only plans does too seldom.
+    """
+    spark = frames[0].sparkSession
     for df in frames:
-        spark = df.sparkSession
-        found = {re.match(r"(.*/siftline-[0-9a-f]{32})/", name) for name in df.inputFiles()}
-        for folder in {x[1] for x in found if x}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {os.path.dirname(name) for name in df.inputFiles()}:
+            if (re.search(r"/siftline-[0-9a-f]{32}(/|$)", folder)
+                    and part in ("", os.path.basename(folder))):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: list, by, how: str = "inner",

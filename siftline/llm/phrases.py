@@ -11,7 +11,7 @@ filter of t minus one cycle has not: every task decides alike, each active phras
 cycle, and a part that the filter reports wrongly only makes a phrase be counted that needn't be.
 
 Texts are read once, into rows of about four megabytes: the distinct words and a number for each
-occurrence. Scans take numbers, shuffles 128-bit names of phrases; wording comes back at the end, for
+occurrence. Scans take numbers, shuffles 96-bit names of phrases; wording comes back at the end, for
 frequent phrases, from the one row that each name remembers.
 """
 
@@ -85,26 +85,26 @@ class Reached:
         self.log = log
         self.bits = np.zeros(1 << (log - 6), np.uint64) if bits is None else bits
 
-    def places(self, name: np.ndarray):
+    def places(self, h: np.ndarray):
         shift = np.uint64(64 - self.log)
         for k in range(3):
-            yield (name[0] + np.uint64(k) * (name[1] | np.uint64(1))) >> shift
+            yield mix(h + np.uint64(k)) >> shift
 
-    def has(self, name: np.ndarray) -> np.ndarray:
-        found = np.ones(name.shape[1], bool)
-        for at in self.places(name):
+    def has(self, h: np.ndarray) -> np.ndarray:
+        found = np.ones(len(h), bool)
+        for at in self.places(h):
             found &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return found
 
-    def words(self, name: np.ndarray) -> pa.Table:
+    def words(self, h: np.ndarray) -> pa.Table:
         """The filter's 64-bit words that these phrases set, to be united by OR."""
-        at = np.concatenate(list(self.places(name)))
+        at = np.concatenate(list(self.places(h)))
         return pa.table({"word": (at >> np.uint64(6)).astype(np.int64),
                          "bits": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
 
 class Slice:
-    """The words of a row of the corpus: numbers, links and 128-bit names."""
+    """The words of a row of the corpus: numbers, links and names of twice 64 bits."""
 
     def __init__(self, lang: str, words: bytes, places: bytes):
         self.words = words.split(b"\n")
@@ -139,11 +139,11 @@ class Slice:
 
 def counted(part: Slice, longest: int, now: Reached, old: Reached, first: bool):
     """(length, count, name, reached) of what is active but has not had its cycle in this slice."""
-    reached = now.has(part.names)
+    reached = now.has(part.names[0])
     if first:
         yield 1, np.bincount(part.index, minlength=len(part.words)), part.names, reached
     in_now, names = reached[part.index], part.names[:, part.index]
-    in_old = (old.has(part.names)[part.index] if old is not None
+    in_old = (old.has(part.names[0])[part.index] if old is not None
               else np.zeros(len(part.index), bool))
     at = np.arange(len(part.index))
     for n in range(2, longest + 1):
@@ -151,7 +151,7 @@ def counted(part: Slice, longest: int, now: Reached, old: Reached, first: bool):
             return
         keep, at, names = part.joined(at, names, n, in_now[:-1] & in_now[1:])
         done = in_old[keep] & in_old[keep + 1]
-        in_now = now.has(names) if n < longest else np.zeros(len(at), bool)
+        in_now = now.has(names[0]) if n < longest else np.zeros(len(at), bool)
         new = np.flatnonzero(~done)
         if len(new):
             _, where, count = np.unique(part.codes(at[new], n), return_index=True,
@@ -159,13 +159,13 @@ def counted(part: Slice, longest: int, now: Reached, old: Reached, first: bool):
             where = new[where]
             yield n, count, names[:, where], in_now[where]
         if n < longest:
-            in_old = done & old.has(names) if old is not None else np.zeros(len(at), bool)
+            in_old = done & old.has(names[0]) if old is not None else np.zeros(len(at), bool)
 
 
 # Phrases travel in blocks: each bucket of names has rows of whole arrays, so that neither shuffles
 # nor sums touch single rows. ``tag`` holds a slice with the phrase and, in its last four bits, the
 # number of words; ``seen`` is the step in which a phrase came up first.
-_KINDS = {"h": np.uint64, "g": np.uint64, "f": np.int64, "tag": np.int64, "reached": bool}
+_KINDS = {"h": np.uint64, "g": np.uint32, "f": np.int64, "tag": np.int64, "reached": bool}
 _BLOCK = "bucket int, " + ", ".join(f"{x} binary" for x in _KINDS)
 _STATE = ("h", "g", "f", "tag", "seen")
 _FLUSH = 1 << 21
@@ -186,10 +186,10 @@ def _summed(rows: dict) -> dict:
             for k, v in rows.items()}
 
 
-def _gathered(table: pa.Table, names, prefix: str = "") -> dict:
+def _gathered(table: pa.Table, names) -> dict:
     kinds = _KINDS | {"seen": np.int64}
     return {x: np.concatenate([np.zeros(0, kinds[x])] + [
-        np.frombuffer(v, kinds[x]) for v in table.column(prefix + x).to_pylist()]) for x in names}
+        np.frombuffer(v, kinds[x]) for v in table.column(x).to_pylist()]) for x in names}
 
 
 def _scan(rows: DataFrame, longest: int, now, old, first: bool, buckets: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _scan(rows: DataFrame, longest: int, now, old, first: bool, buckets: int) ->
                                             for x in ("src", "lang", "words", "places"))
                 for n, f, name, reached in counted(Slice(lang, words, places), longest, *filters,
                                                    first):
-                    parts.append({"h": name[0], "g": name[1], "f": f.astype(np.int64),
+                    parts.append({"h": name[0], "g": name[1].astype(np.uint32), "f": f.astype(np.int64),
                                   "tag": np.full(len(f), src * LENGTHS + n, np.int64),
                                   "reached": reached})
                     size += len(f)
@@ -225,15 +225,14 @@ def _scan(rows: DataFrame, longest: int, now, old, first: bool, buckets: int) ->
     return rows.mapInArrow(step, _BLOCK)
 
 
-_AFTER = ("bucket int, h binary, g binary, f binary, tag binary, news binary, "
-          + ", ".join(f"state_{x} binary" for x in _STATE))
+_AFTER = "bucket int, h binary, g binary, f binary, tag binary, seen binary, news binary, kind int"
 
 
 def _after(scan: DataFrame, state: DataFrame, least: int, longest: int, shards: int,
            step: int) -> DataFrame:
-    """A block for each bucket: the counts of this step, the names that have just reached the
-    threshold, and running counts of what may yet do so and activate longer phrases. What had its
-    cycle in vain is dropped; what the filter has needs no more watching."""
+    """Two blocks for each bucket: the counts of this step (kind 0); the names that have just
+    reached the threshold and running counts of what may yet do so and activate longer phrases
+    (kind 1). What had its cycle in vain is dropped; what the filter has needs no more watching."""
 
     def merge(scanned: pa.Table, before: pa.Table) -> pa.Table:
         bucket = (scanned if scanned.num_rows else before).column("bucket")[0]
@@ -241,15 +240,16 @@ def _after(scan: DataFrame, state: DataFrame, least: int, longest: int, shards:
         open_ = (now["tag"] % LENGTHS < longest) & ~now["reached"]
         fresh = {x: now[x][open_] for x in ("h", "g", "f", "tag")}
         fresh["seen"] = np.full(len(fresh["h"]), step, np.int64)
-        old = _gathered(before, _STATE, "state_")
+        old = _gathered(before, _STATE)
         all_ = _summed({x: np.concatenate([old[x], fresh[x]]) for x in _STATE})
         told = all_["f"] >= least
         keep = ~told & (all_["seen"] + shards - 1 > step)
-        news = np.stack([all_["h"][told], all_["g"][told]], 1).tobytes()
-        return pa.table({"bucket": pa.array([bucket.as_py()], pa.int32())} | {
-            x: pa.array([now[x].tobytes()]) for x in ("h", "g", "f", "tag")} | {
-            "news": pa.array([news])} | {
-            f"state_{x}": pa.array([all_[x][keep].tobytes()]) for x in _STATE})
+        news = all_["h"][told]
+        kept = {x: v[keep] for x, v in all_.items()}
+        return pa.table({"bucket": pa.array([bucket.as_py()] * 2, pa.int32())} | {
+            x: pa.array([now[x].tobytes() if x in now else b"", kept[x].tobytes()])
+            for x in _STATE} | {
+            "news": pa.array([b"", news.tobytes()]), "kind": pa.array([0, 1], pa.int32())})
 
     return scan.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(merge, _AFTER)
 
@@ -261,8 +261,7 @@ def _bits(after: DataFrame, log: int) -> pa.Table:
         empty = Reached(log, np.zeros(0, np.uint64))
         for batch in batches:
             for news in batch.column("news"):
-                name = np.frombuffer(news.as_py(), np.uint64).reshape(-1, 2).T
-                yield from empty.words(name).to_batches()
+                yield from empty.words(np.frombuffer(news.as_py(), np.uint64)).to_batches()
 
     return (after.select("news").mapInArrow(step, "word long, bits long").groupBy("word")
             .agg(F.bit_or("bits").alias("bits")).toArrow())
@@ -274,7 +273,7 @@ def _frequent(steps: DataFrame, least: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         rows = _summed(_gathered(table, ("h", "g", "f", "tag")))
         rows = {k: v[rows["f"] >= least] for k, v in rows.items()}
-        return pa.table({"h": rows["h"].view(np.int64), "g": rows["g"].view(np.int64),
+        return pa.table({"h": rows["h"].view(np.int64), "g": rows["g"].astype(np.int64),
                          "f": rows["f"], "src": rows["tag"] // LENGTHS,
                          "n": (rows["tag"] % LENGTHS).astype(np.int32)})
 
@@ -299,21 +298,19 @@ def _worded(corpus: DataFrame, found: DataFrame) -> DataFrame:
                 if not mine.num_rows or not len(at):
                     continue
                 h, g = (np.asarray(mine.column(x)).view(np.uint64) for x in ("h", "g"))
-                order = np.lexsort((g, h))
                 likely = np.zeros(1 << 22, bool)
                 likely[h & _LOW] = True
                 here = np.flatnonzero(likely[names[0] & _LOW])
                 here = here[np.unique(part.codes(at[here], n), return_index=True)[1]]
-                here = here[np.lexsort((names[1, here], names[0, here]))]
-                # Both sides are sorted and distinct: match them on the whole name.
-                left = np.stack([names[0, here], names[1, here]], 1).view([("", np.uint64)] * 2)
-                right = np.stack([h[order], g[order]], 1).view([("", np.uint64)] * 2)
+                # Both sides are distinct: match them on the whole name.
+                left = np.stack([names[0, here], names[1, here] & _SHORT], 1).view([("", np.uint64)] * 2)
+                right = np.stack([h, g], 1).view([("", np.uint64)] * 2)
                 _, i, j = np.intersect1d(left.ravel(), right.ravel(), return_indices=True)
                 parts.append(pa.table({
                     "lang": pa.repeat(pa.scalar(lang), len(i)),
                     "n": np.full(len(i), n, np.int32),
                     "phrase": part.phrases(at[here[i]], n).cast(pa.string()),
-                    "f": mine.column("f").take(pa.array(order[j]))}))
+                    "f": mine.column("f").take(pa.array(j))}))
         return pa.concat_tables(parts) if parts else _EMPTY
 
     return (corpus.select("src", "lang", "words", "places").groupBy("src")
@@ -321,6 +318,7 @@ def _worded(corpus: DataFrame, found: DataFrame) -> DataFrame:
 
 
 _LOW = np.uint64((1 << 22) - 1)
+_SHORT = np.uint64((1 << 32) - 1)
 _WORDED = "lang string, n int, phrase string, f long"
 _EMPTY = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()),
                     ("f", pa.int64())]).empty_table()
@@ -357,8 +355,11 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         old = sent[step - shards] if step >= shards else None
         scan = _scan(corpus.filter(F.col("shard") == step % shards), longest, sent[step], old,
                      step < shards, buckets)
-        state = stored(_after(scan, state, least, longest, shards, step))
-        afters.append(state)
+        after = stored(_after(scan, state, least, longest, shards, step), "kind")
+        afters.append(after.filter("kind = 0"))
+        if step:
+            discard(state, part="kind=1")
+        state = after.filter("kind = 1")
         delta = _bits(state, log_bits)
         bits, at = filters[-1].bits, np.asarray(delta["word"])
         step += 1
