@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import (exact, html, language, mixing, near, neighbours, packing, phrases, repeats,
-                          sharding, toxicity)
+                          sharding, spelling, toxicity, urls)
 from siftline.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -142,3 +142,37 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 QUALIFY rank <= 2000""")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(table(spark, sf, "documents"))
+
+
+_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def _terms(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query("op11_url_vocabulary", sql=rf"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in _RULES)}) t(h, p, v)),
+fit AS (SELECT host, path, h || p AS rule, v FROM (SELECT DISTINCT host, path FROM u) u JOIN r
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(h || p) DESC, length(h) DESC) = 1),
+hits AS (SELECT *, len(list_filter({_terms(urls.STRICT)},
+    lambda t: regexp_matches(lower(host || path), '(^|[^a-z])' || t || '([^a-z]|$)'))) AS strict_hits,
+  len(list_filter({_terms(urls.SOFT)},
+    lambda t: regexp_matches(lower(host || path), '(^|[^a-z])' || t || '([^a-z]|$)'))) AS soft_hits
+  FROM u)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN strict_hits > 0 OR soft_hits > 1
+    THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits
+FROM hits LEFT JOIN fit USING (host, path)""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf, "pages"), _RULES).withColumnRenamed("id", "page_id")
+
+
+@query("op13_pivotal_spelling")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.long_words(table(spark, sf, "documents"))
+    return spelling.spelling_variants(words)
