@@ -138,11 +138,10 @@ class Slice:
 
 
 def counted(part: Slice, longest: int, now: Reached, old: Reached, first: bool):
-    """(length, count, name, reached) of what is active but has not had its cycle in this slice."""
-    reached = now.has(part.names[0])
+    """(length, count, name) of what is active but has not had its cycle in this slice."""
     if first:
-        yield 1, np.bincount(part.index, minlength=len(part.words)), part.names, reached
-    in_now, names = reached[part.index], part.names[:, part.index]
+        yield 1, np.bincount(part.index, minlength=len(part.words)), part.names
+    in_now, names = now.has(part.names[0])[part.index], part.names[:, part.index]
     in_old = (old.has(part.names[0])[part.index] if old is not None
               else np.zeros(len(part.index), bool))
     at = np.arange(len(part.index))
@@ -151,28 +150,28 @@ def counted(part: Slice, longest: int, now: Reached, old: Reached, first: bool):
             return
         keep, at, names = part.joined(at, names, n, in_now[:-1] & in_now[1:])
         done = in_old[keep] & in_old[keep + 1]
-        in_now = now.has(names[0]) if n < longest else np.zeros(len(at), bool)
         new = np.flatnonzero(~done)
         if len(new):
             _, where, count = np.unique(part.codes(at[new], n), return_index=True,
                                         return_counts=True)
-            where = new[where]
-            yield n, count, names[:, where], in_now[where]
+            yield n, count, names[:, new[where]]
         if n < longest:
+            in_now = now.has(names[0])
             in_old = done & old.has(names[0]) if old is not None else np.zeros(len(at), bool)
 
 
 # Phrases travel in blocks: each bucket of names has rows of whole arrays, so that neither shuffles
-# nor sums touch single rows. ``tag`` holds a slice with the phrase and, in its last four bits, the
-# number of words; ``seen`` is the step in which a phrase came up first.
-_KINDS = {"h": np.uint64, "g": np.uint32, "f": np.int64, "tag": np.int64, "reached": bool}
+# nor sums touch single rows. Arrays lie byte plane by byte plane, which compresses well. ``tag``
+# holds a slice with the phrase and, in its last four bits, the number of words; ``seen`` is the
+# step in which a phrase came up first.
+_KINDS = {"h": np.uint64, "g": np.uint32, "f": np.int64, "tag": np.int64}
 _BLOCK = "bucket int, " + ", ".join(f"{x} binary" for x in _KINDS)
 _STATE = ("h", "g", "f", "tag", "seen")
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 
 
 def _summed(rows: dict) -> dict:
-    """One entry a name, sorted by name: counts add up, the least tag and any ``reached`` stay."""
+    """One entry a name, sorted by name: counts add up, the least tag and first step stay."""
     h, g = rows["h"], rows["g"]
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
@@ -181,15 +180,24 @@ def _summed(rows: dict) -> dict:
     rows = {k: v[order] for k, v in rows.items()}
     h, g = rows["h"], rows["g"]
     start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))[:len(h)])
-    how = {"f": np.add, "tag": np.minimum, "seen": np.minimum, "reached": np.logical_or}
+    how = {"f": np.add, "tag": np.minimum, "seen": np.minimum}
     return {k: how[k].reduceat(v, start) if k in how and len(start) else v[start]
             for k, v in rows.items()}
 
 
+def _planes(v: np.ndarray) -> bytes:
+    return np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+
+
 def _gathered(table: pa.Table, names) -> dict:
+    def read(v: bytes, kind) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(v, np.uint8).reshape(size, len(v) // size)
+        return np.ascontiguousarray(planes.T).view(kind).ravel()
+
     kinds = _KINDS | {"seen": np.int64}
     return {x: np.concatenate([np.zeros(0, kinds[x])] + [
-        np.frombuffer(v, kinds[x]) for v in table.column(x).to_pylist()]) for x in names}
+        read(v, kinds[x]) for v in table.column(x).to_pylist()]) for x in names}
 
 
 def _scan(rows: DataFrame, longest: int, now, old, first: bool, buckets: int) -> DataFrame:
@@ -201,7 +209,7 @@ def _scan(rows: DataFrame, longest: int, now, old, first: bool, buckets: int) ->
         cut = np.append(np.searchsorted(rows["h"], edges), len(rows["h"]))
         for k in np.flatnonzero(cut[1:] > cut[:-1]):
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32())} | {
-                x: pa.array([v[cut[k]:cut[k + 1]].tobytes()]) for x, v in rows.items()})
+                x: pa.array([_planes(v[cut[k]:cut[k + 1]])]) for x, v in rows.items()})
 
     def step(batches):
         filters = now.value, old.value if old is not None else None
@@ -210,11 +218,9 @@ def _scan(rows: DataFrame, longest: int, now, old, first: bool, buckets: int) ->
             for row in range(batch.num_rows):
                 src, lang, words, places = (batch.column(x)[row].as_py()
                                             for x in ("src", "lang", "words", "places"))
-                for n, f, name, reached in counted(Slice(lang, words, places), longest, *filters,
-                                                   first):
+                for n, f, name in counted(Slice(lang, words, places), longest, *filters, first):
                     parts.append({"h": name[0], "g": name[1].astype(np.uint32), "f": f.astype(np.int64),
-                                  "tag": np.full(len(f), src * LENGTHS + n, np.int64),
-                                  "reached": reached})
+                                  "tag": np.full(len(f), src * LENGTHS + n, np.int64)})
                     size += len(f)
                 if size > _FLUSH:
                     yield from blocks(parts)
@@ -228,28 +234,32 @@ def _scan(rows: DataFrame, longest: int, now, old, first: bool, buckets: int) ->
 _AFTER = "bucket int, h binary, g binary, f binary, tag binary, seen binary, news binary, kind int"
 
 
-def _after(scan: DataFrame, state: DataFrame, least: int, longest: int, shards: int,
+def _after(scan: DataFrame, state: DataFrame, now, least: int, longest: int, shards: int,
            step: int) -> DataFrame:
-    """Two blocks for each bucket: the counts of this step (kind 0); the names that have just
-    reached the threshold and running counts of what may yet do so and activate longer phrases
-    (kind 1). What had its cycle in vain is dropped; what the filter has needs no more watching."""
+    """Two blocks for each bucket after a scan.
+
+    Kind 1 has running counts of what is in its cycle and may yet reach the threshold. Kind 0 has
+    what leaves it: short phrases that have just done so (``news``), or that the filter ``now`` has,
+    with all later counts of theirs; and frequent phrases of full length whose cycle is over. What
+    had its cycle in vain is dropped. Counts of kind 0 add up over the steps.
+    """
 
     def merge(scanned: pa.Table, before: pa.Table) -> pa.Table:
         bucket = (scanned if scanned.num_rows else before).column("bucket")[0]
-        now = _summed(_gathered(scanned, _KINDS))
-        open_ = (now["tag"] % LENGTHS < longest) & ~now["reached"]
-        fresh = {x: now[x][open_] for x in ("h", "g", "f", "tag")}
-        fresh["seen"] = np.full(len(fresh["h"]), step, np.int64)
+        found = _gathered(scanned, _KINDS)
+        found["seen"] = np.full(len(found["h"]), step, np.int64)
         old = _gathered(before, _STATE)
-        all_ = _summed({x: np.concatenate([old[x], fresh[x]]) for x in _STATE})
-        told = all_["f"] >= least
-        keep = ~told & (all_["seen"] + shards - 1 > step)
-        news = all_["h"][told]
-        kept = {x: v[keep] for x, v in all_.items()}
+        all_ = _summed({x: np.concatenate([old[x], found[x]]) for x in _STATE})
+        short = all_["tag"] % LENGTHS < longest
+        known = short & now.value.has(all_["h"])
+        told = short & ~known & (all_["f"] >= least)
+        over = all_["seen"] + shards - 1 <= step
+        out = known | told | (over & ~short & (all_["f"] >= least))
+        blocks = [{x: v[part] for x, v in all_.items()} for part in (out, ~out & ~over)]
         return pa.table({"bucket": pa.array([bucket.as_py()] * 2, pa.int32())} | {
-            x: pa.array([now[x].tobytes() if x in now else b"", kept[x].tobytes()])
-            for x in _STATE} | {
-            "news": pa.array([b"", news.tobytes()]), "kind": pa.array([0, 1], pa.int32())})
+            x: pa.array([_planes(block[x]) for block in blocks]) for x in _STATE} | {
+            "news": pa.array([all_["h"][told].tobytes(), b""]),
+            "kind": pa.array([0, 1], pa.int32())})
 
     return scan.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(merge, _AFTER)
 
@@ -346,7 +356,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     corpus = stored(_slices(texts, shards, limit))
     totals = stored(corpus.groupBy("lang").agg(F.sum("size").alias("n")))
     words = totals.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, words >> 20)
+    buckets = max(8, words >> 19)
     afters, state = [], spark.createDataFrame([], _AFTER)
     filters = [Reached(log_bits)]
     sent = [spark.sparkContext.broadcast(filters[0])]
@@ -355,12 +365,12 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         old = sent[step - shards] if step >= shards else None
         scan = _scan(corpus.filter(F.col("shard") == step % shards), longest, sent[step], old,
                      step < shards, buckets)
-        after = stored(_after(scan, state, least, longest, shards, step), "kind")
+        after = stored(_after(scan, state, sent[step], least, longest, shards, step), "kind")
         afters.append(after.filter("kind = 0"))
         if step:
             discard(state, part="kind=1")
         state = after.filter("kind = 1")
-        delta = _bits(state, log_bits)
+        delta = _bits(afters[-1], log_bits)
         bits, at = filters[-1].bits, np.asarray(delta["word"])
         step += 1
         if len(at):
@@ -373,8 +383,8 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         # Over when every active phrase has had its cycle: the filter stood still for a whole one.
         if step >= shards and sent[step - shards] is sent[step]:
             break
-    full = afters[0]
-    for more in afters[1:]:
+    full = state
+    for more in afters:
         full = full.unionByName(more)
     found = stored(_worded(corpus, _frequent(full, least)))
     discard(corpus, *afters)
