@@ -7,7 +7,8 @@ from siftline.functions import keys as K
 from siftline.functions.scores import jaccard_percent, role_signature
 from siftline.functions.text import axis_text, clip, gate_text, sentences, words
 from siftline.operators import dedup as D
-from siftline.operators.neardup import collapse_near_duplicates, near_duplicate_report
+from siftline.operators.neardup import (also_posted, collapse_near_duplicates,
+                                        near_duplicate_report)
 from siftline.sources.replies import is_quarantined, recovered_array, recovered_object
 
 BOARD = ("CASE WHEN page_id % 3 = 0 THEN 'https://' || (['hu.', 'www.', ''])"
@@ -292,6 +293,15 @@ def near_dup_report(spark, sf):
                                              "duplicate_of")
 
 
+@query("also_posted", f"""{FOLD} SELECT 'k' || keeper AS keeper_key, 'k' || fold.pos AS sibling_key,
+ {ROLE_TITLE} AS title, '' AS location, '' AS url FROM fold JOIN part ON p_partkey = fold.pos
+WHERE keeper <> fold.pos""")
+def also_posted_rows(spark, sf):
+    out = collapse_near_duplicates(_roles(spark, sf), [
+        (~F.col("alerted")).alias("o1"), (-F.col("score")).alias("o2"), F.col("pos").alias("o3")])
+    return also_posted(out)
+
+
 @query("merged_lists", """WITH e AS (SELECT doc_id,
   CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'k' || (doc_id % 101) END AS key FROM documents),
  old AS (SELECT * FROM e WHERE doc_id % 2 = 0), new AS (SELECT * FROM e WHERE doc_id % 2 = 1

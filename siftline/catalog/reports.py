@@ -239,3 +239,21 @@ def cut_profile(spark, sf):
         F.concat(F.lit("p"), "l_partkey").alias("title"),
         F.concat(F.lit("s"), "l_suppkey").alias("company"))
     return R.cut_profile(c, order=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+
+
+@query("cut_profile_doubles", """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  l_extendedprice::DOUBLE * (1 + l_tax::DOUBLE) AS score FROM lineitem),
+ r AS (SELECT *, row_number() OVER (ORDER BY score) - 1 AS rk, count(*) OVER () AS n FROM c)
+SELECT min(score) AS min, max(score) AS max, max(score) FILTER (WHERE rk = n // 2) AS median,
+ arg_min('o' || l_orderkey, (l_orderkey, l_linenumber, l_partkey, l_suppkey))
+  FILTER (WHERE score = (SELECT max(score) FROM c)) AS best_title,
+ arg_min('p' || l_partkey, (l_orderkey, l_linenumber, l_partkey, l_suppkey))
+  FILTER (WHERE score = (SELECT max(score) FROM c)) AS best_company FROM r""")
+def cut_profile_doubles(spark, sf):
+    """Almost as many scores as rows, so the median is a selection by rank, not by histogram."""
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    c = table(spark, sf, "lineitem").select(
+        *order, (F.col("l_extendedprice").cast("double") * (1 + F.col("l_tax").cast("double")))
+        .alias("score"), F.concat(F.lit("o"), "l_orderkey").alias("title"),
+        F.concat(F.lit("p"), "l_partkey").alias("company"))
+    return R.cut_profile(c, order=order)

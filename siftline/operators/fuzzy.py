@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed_values as V
 from siftline.functions.names import anglicise, company_match_score, name_forms
 from siftline.functions.text import text_or_empty
+from siftline.operators.skew import grid_join, spread_join
 
 GRAM = 3
 
@@ -34,58 +35,62 @@ def _all_grams(ang):
                                        for k in range(1, GRAM + 1)]))
 
 
-def _containment(short: DataFrame, long: DataFrame, sid: str, lid: str) -> DataFrame:
-    """Candidate id pairs in which the short side's anglicised key lies inside the long side's.
+def _containment(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs in which the short side's anglicised key lies inside the long side's.
 
-    Plain containment implies anglicised containment, so one index serves both tests.
+    ``short`` has columns (sid, s) and ``long`` (lid, l), with ``name_forms`` in s and l. Plain
+    containment implies anglicised containment, so one index serves both tests.
     """
-    probes = short.filter(F.length("ang") > 0).select(
-        sid, "ang", F.explode(F.array_distinct(
-            _grams(F.col("ang"), F.least(F.length("ang"), F.lit(GRAM))))).alias("gram"))
-    index = long.filter(F.length("ang") > 0).select(
-        lid, F.col("ang").alias("long_ang"), F.explode(_all_grams(F.col("ang"))).alias("gram"))
+    short_ang, long_ang = F.col("s.ang"), F.col("l.ang")
+    probes = short.filter(F.length(short_ang) > 0).select(
+        "sid", "s", F.explode(F.array_distinct(
+            _grams(short_ang, F.least(F.length(short_ang), F.lit(GRAM))))).alias("gram"))
+    index = long.filter(F.length(long_ang) > 0).select(
+        "lid", "l", F.explode(_all_grams(long_ang)).alias("gram"))
     needed = probes.select("gram").distinct()
-    sizes = (index.join(needed, "gram", "left_semi").groupBy("gram")
+    sizes = (index.select("gram").join(needed, "gram", "left_semi").groupBy("gram")
              .agg(F.count("*").alias("n")))
     # Groups the long side lacks rule a probe out; else the rarest group is the probe.
-    rarest = (probes.join(sizes, "gram", "left").groupBy(sid)
+    rarest = (spread_join(probes, sizes, ["gram"], [F.col("sid")], "left").groupBy("sid")
               .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"),
-                   F.first("ang").alias("ang")))
-    return (rarest.join(index, "gram").filter(F.col("long_ang").contains(F.col("ang")))
-            .select(sid, lid))
+                   F.first("s").alias("s")))
+    return (grid_join(rarest, index, "gram", [F.col("sid")], [F.col("lid")])
+            .filter(long_ang.contains(short_ang)).drop("gram"))
 
 
 def company_matches(queries: DataFrame, companies: DataFrame, query: str = "query",
                     company: str = "company", min_score: int = V.COMPANY_MIN_SCORE) -> DataFrame:
     """All (query, company) pairs at or above the score, best first within a query.
 
-    With a ``city`` column on both sides, a query's city must be part of the company's.
+    With a ``city`` column on both sides, a query's city must be part of the company's. Each pair is
+    decided at one place only, so candidates need no ``distinct``: at the smallest word both names
+    share, or, without a shared word, at the one letter group that the contained name probes with.
     """
-    q = queries.select(F.col(query).alias("query"),
-                       *(["city"] if "city" in queries.columns else [])).distinct()
+    with_city = "city" in queries.columns and "city" in companies.columns
     c = companies.withColumnRenamed(company, "company")
-    with_city = "city" in q.columns and "city" in c.columns
-    q = q.withColumn("q", name_forms(F.col("query"))).withColumn("ang", F.col("q.ang"))
-    names = (c.select("company").distinct().withColumn("n", name_forms(F.col("company")))
-             .withColumn("ang", F.col("n.ang")))
-    qn = q.select("query", "ang", F.col("q.words_ang").alias("words")).distinct()
-    cn = names.select("company", "ang", F.col("n.words_ang").alias("words"))
-    by_word = (qn.select("query", F.explode("words").alias("word"))
-               .join(cn.select("company", F.explode("words").alias("word")), "word")
-               .select("query", "company"))
-    inside = _containment(qn.select("query", "ang"), cn.select("company", "ang"),
-                          "query", "company")
-    around = _containment(cn.select("company", "ang"), qn.select("query", "ang"),
-                          "company", "query").select("query", "company")
-    pairs = by_word.unionByName(inside).unionByName(around).distinct()
-    scored = (pairs.join(q, "query").join(names.drop("ang"), "company")
-              .withColumn("score", company_match_score(F.col("q"), F.col("n")))
+    names = c.select("company").distinct().select(
+        F.col("company").alias("lid"), name_forms(F.col("company")).alias("l"))
+    asked = queries.select(F.col(query).alias("query")).distinct().select(
+        F.col("query").alias("sid"), name_forms(F.col("query")).alias("s"))
+    shared = F.array_intersect("s.words_ang", "l.words_ang")
+    by_word = grid_join(
+        asked.select("sid", "s", F.explode("s.words_ang").alias("word")),
+        names.select("lid", "l", F.explode("l.words_ang").alias("word")), "word",
+        [F.col("sid")], [F.col("lid")]).filter(F.col("word") == F.array_min(shared)).drop("word")
+    apart = F.size(shared) == 0
+    inside = _containment(asked, names).filter(apart)
+    around = (_containment(names.toDF("sid", "s"), asked.toDF("lid", "l"))
+              .select(F.col("lid").alias("sid"), F.col("l").alias("s"), F.col("sid").alias("lid"),
+                      F.col("s").alias("l")).filter(apart & (F.col("s.ang") != F.col("l.ang"))))
+    scored = (by_word.unionByName(inside).unionByName(around)
+              .select(F.col("sid").alias("query"), F.col("lid").alias("company"),
+                      company_match_score(F.col("s"), F.col("l")).alias("score"))
               .filter(F.col("score") >= min_score))
     if not with_city:
-        return scored.select("query", "company", "score")
-    place = F.lower(text_or_empty(F.col("c.city")))
-    asked = F.lower(F.col("s.city"))
-    near = (F.coalesce(asked, F.lit("")) == "") | place.contains(asked) | anglicise(
-        place).contains(anglicise(asked))
-    return (scored.alias("s").join(c.select("company", "city").alias("c"), "company")
-            .filter(near).select("query", "company", F.col("c.city").alias("city"), "score"))
+        return scored
+    cities = queries.select(F.col(query).alias("query"), F.col("city").alias("asked")).distinct()
+    place, want = F.lower(text_or_empty(F.col("city"))), F.lower(F.col("asked"))
+    near = (F.coalesce(want, F.lit("")) == "") | place.contains(want) | anglicise(
+        place).contains(anglicise(want))
+    return (scored.join(cities, "query").join(c.select("company", "city"), "company")
+            .filter(near).select("query", "company", "city", "score"))

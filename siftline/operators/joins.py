@@ -1,12 +1,12 @@
 """Joins of records with stores, ledgers, decisions and logs."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed_values as V
 from siftline.functions.keys import iso_date
 from siftline.functions.text import words
+from siftline.operators.skew import running_sum, spread_join
 
 
 # Outcome states a runner may record.
@@ -48,16 +48,14 @@ def flag_alerted(records: DataFrame, live: DataFrame, key: str = "dedup_key") ->
 def run_ledger(seen: DataFrame) -> DataFrame:
     """Distinct ``rank_date`` values with the number of later run dates.
 
-    One row per calendar date that ever had a run (plus malformed spellings, which are not runs
-    themselves), so the one-task window stays tiny however many records the store holds; the
-    distinct is the distributed part.
+    A run date has the shape of a date; other spellings are no runs but have runs after them. There
+    may be any number of those, so runs are counted over range slices, never in one window.
     """
     dated = (seen.select(F.trim("rank_date").alias("last_seen")).filter("last_seen <> ''")
              .distinct())
     is_run = F.col("last_seen").rlike(r"^.{4}-.{2}-.{2}$").cast("int")
-    later = W.orderBy(F.desc("last_seen")).rowsBetween(W.unboundedPreceding, -1)
-    return dated.withColumn("runs_ago", F.coalesce(F.sum(is_run).over(later), F.lit(0))
-                            .cast("int"))
+    counted = running_sum(dated, [F.desc("last_seen")], is_run, "upto")
+    return counted.select("last_seen", (F.col("upto") - is_run).cast("int").alias("runs_ago"))
 
 
 def mark_repeats(records: DataFrame, seen: DataFrame, today, key: str = "dedup_key") -> DataFrame:
@@ -65,7 +63,8 @@ def mark_repeats(records: DataFrame, seen: DataFrame, today, key: str = "dedup_k
     today = F.lit(today).cast("string")
     store = seen.select(F.col("key").alias(key),
                         F.trim(F.coalesce("rank_date", F.lit(""))).alias("last_seen"))
-    joined = (store.join(run_ledger(seen), "last_seen", "left")
+    # Most of a store may carry the date of one run.
+    joined = (spread_join(store, run_ledger(seen), ["last_seen"], [F.col(key)], "left")
               .withColumn("is_repeat", F.lit(True)))
     out = records.join(joined, key, "left").withColumn("is_repeat", F.coalesce(
         "is_repeat", F.lit(False)))

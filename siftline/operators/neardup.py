@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed_values as V
 from siftline.functions.scores import jaccard_percent, role_signature
 from siftline.functions.text import words
+from siftline.operators.skew import spread_join
 from siftline.session import cut_lineage
 
 
@@ -66,20 +67,50 @@ def similar_pairs(nodes: DataFrame, percent: int = V.SIMILARITY_PERCENT) -> Data
             .distinct())
 
 
+def _jump(chain: DataFrame) -> DataFrame:
+    """Every node of a forced chain points as far up as the node it points to; odd links add up.
+
+    ``moved`` tells whether the node pointed to was part of a chain itself.
+    """
+    on = chain.select(F.col("node").alias("up"), F.col("up").alias("_up"),
+                      F.col("odd").alias("_odd"))
+    far = F.col("_up").isNotNull()
+    return spread_join(chain, on, ["up"], [F.col("node")], "left").select(
+        "node", F.coalesce("_up", "up").alias("up"),
+        F.when(far, F.col("odd") != F.col("_odd")).otherwise(F.col("odd")).alias("odd"),
+        far.alias("moved"))
+
+
 def _followers(edges: DataFrame) -> DataFrame:
     """Nodes that an earlier leader absorbs, decided in rounds over ``early, late`` edges.
 
-    A node that is early in some open edge and late in none is a leader; its later neighbours are
-    followers, and followers constrain nobody. State goes to reliable storage each round, and each
-    round only touches what is still open. The earliest open node is a leader, so rounds end.
+    A node that is late in no open edge is a leader, and its later neighbours are followers. A node
+    with a single open earlier neighbour is the opposite of it. So nodes of that kind form forced
+    chains, and pointer jumping takes each to the top of its chain, two jumps a write: a chain of n
+    titles is decided in log4(n) writes instead of n / 2 rounds. Followers constrain nobody and
+    leave with their edges. State goes to reliable storage each time, and each round only touches
+    what is still open. The earliest open node is a leader, so rounds end.
     """
     still_open, decided = edges.select("early", "late"), None
     while not still_open.isEmpty():
-        leaders = (still_open.select("early").distinct()
-                   .join(still_open.select(F.col("late").alias("early")).distinct(), "early",
-                         "left_anti"))
-        new = still_open.join(leaders, "early", "left_semi").select("late").distinct()
-        new = cut_lineage(new)
+        late = cut_lineage(still_open.groupBy("late").agg(
+            F.count(F.lit(1)).alias("n"), F.min("early").alias("early")))
+        tops = (still_open.select(F.col("early").alias("up")).distinct()
+                .join(late.select(F.col("late").alias("up")), "up", "left_anti"))
+        chain = late.filter("n = 1").select(F.col("late").alias("node"), F.col("early").alias("up"),
+                                            F.lit(True).alias("odd"))
+        while True:
+            chain = cut_lineage(_jump(_jump(chain).drop("moved")))
+            going = not chain.filter("moved").isEmpty()
+            chain = chain.drop("moved")
+            if not going:
+                break
+        known = spread_join(chain, tops.withColumn("top", F.lit(True)), ["up"], [F.col("node")])
+        leaders = tops.select(F.col("up").alias("early")).unionByName(
+            known.filter("NOT odd").select(F.col("node").alias("early")))
+        new = cut_lineage(still_open.join(leaders, "early", "left_semi").select("late")
+                          .unionByName(known.filter("odd").select(F.col("node").alias("late")))
+                          .distinct())
         decided = new if decided is None else decided.unionByName(new)
         still_open = cut_lineage(
             still_open.join(new, "late", "left_anti")
@@ -153,5 +184,3 @@ def also_posted(collapsed: DataFrame, key: str = "dedup_key") -> DataFrame:
     """One row per sibling under its keeper: where else the role was posted."""
     return (collapsed.filter(F.col(key) != F.col("keeper_key"))
             .select("keeper_key", F.col(key).alias("sibling_key"), "title", "location", "url"))
-
-

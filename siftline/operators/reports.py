@@ -1,11 +1,11 @@
 """Report aggregates over annotated records, trackers and salary tables."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed_values as V
 from siftline.functions.text import text_or_empty
+from siftline.operators.skew import running_sum
 
 # Open and final states of a tracked application.
 FINAL_STATUSES = ("hired", "offer_declined", "rejected", "no_response", "withdrawn")
@@ -36,16 +36,16 @@ def alert_counts_by_name(cards: DataFrame, pos: str = "pos") -> DataFrame:
 def cut_profile(rows: DataFrame, score: str = "score", order=("pos",)) -> DataFrame:
     """Min, max, upper median and the best row of a cut, without ordering rows in one task.
 
-    Scores are integers of a narrow range, so the rows fold to a histogram first; the median is
-    read from running counts over the few distinct scores.
+    Equal scores fold before any shuffle. Scores may still be as many as rows, so the median is
+    selected exactly by rank: running counts over range slices, then the first score whose count
+    passes the half. Rows without a score do not count; without any the row holds nulls.
     """
-    hist = rows.groupBy(score).agg(
+    hist = rows.filter(F.col(score).isNotNull()).groupBy(score).agg(
         F.count("*").alias("c"), F.min_by(F.struct("title", "company"), F.struct(*order))
         .alias("first_row"))
-    running = (hist.withColumn("upto", F.sum("c").over(W.orderBy(score)))
-               .withColumn("total", F.sum("c").over(W.orderBy(F.lit(1)).rowsBetween(
-                   W.unboundedPreceding, W.unboundedFollowing))))
-    half = F.floor(F.col("total") / 2)
+    running = running_sum(hist, [F.asc(score)], F.col("c"), "upto")
+    total = running.agg(F.max("upto").alias("total"))
+    half = F.floor(total.scalar() / 2)
     return running.agg(
         F.min(score).alias("min"), F.max(score).alias("max"),
         F.min(F.when(F.col("upto") > half, F.col(score))).alias("median"),
