@@ -117,6 +117,20 @@ def store_round_trip(spark, sf):
         "key", F.coalesce("title", "c_name").alias("title"), F.col("track").isNull().alias("is_null"))
 
 
+@query("store_by_lines", """SELECT 'k' || c_custkey AS key, CASE WHEN c_custkey % 7 <> 0
+ THEN c_name END AS title FROM customer""")
+def store_by_lines(spark, sf):
+    """Stores with their entries on lines of their own, read by as many tasks as there are splits."""
+    i = F.col("c_custkey")
+    line = F.concat(F.lit('  "k'), i, F.lit('": '), F.when(i % 7 == 0, F.lit('"none"')).otherwise(
+        F.concat(F.lit('{\n    "title": "'), "c_name", F.lit('",\n    "track": "T"\n  }'))))
+    body = F.concat(F.lit("{\n"), F.array_join(F.collect_list(line), ",\n"), F.lit("\n}"))
+    root = _folder(spark, "lines")
+    (table(spark, sf, "customer").groupBy(F.floor(i / 200)).agg(body.alias("value"))
+     .select("value").write.text(root))
+    return S.read_big_store(spark, root, S.ALERT_ENTRY).select("key", "title")
+
+
 @query("recovered_reports", """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '{"ok": [' || conv_id
  || ']}' WHEN 1 THEN '[' || conv_id || ', 2]' WHEN 2 THEN '[{"a": 1}]' END AS report
 FROM conversations""")

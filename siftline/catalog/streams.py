@@ -1,5 +1,6 @@
 """Streaming jobs over ``events``, each with its batch twin in SQL."""
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -109,3 +110,24 @@ def posting_intake_stream(spark, sf):
     (out.writeStream.option("checkpointLocation", f"{root}/check").trigger(availableNow=True)
      .format("parquet").option("path", f"{root}/out").start().awaitTermination())
     return spark.read.schema("dedup_key string").parquet(f"{root}/out")
+
+
+@query("earliest_posting_stream", """WITH RECURSIVE e AS (SELECT 'url:https://x.example/' || user_id
+  AS dedup_key, event_id, ts FROM events),
+ hold AS (SELECT dedup_key, min(ts) AS ts FROM e GROUP BY 1
+  UNION ALL
+  SELECT h.dedup_key, (SELECT min(e.ts) FROM e WHERE e.dedup_key = h.dedup_key
+   AND e.ts > h.ts + INTERVAL 2 DAY) AS nx FROM hold h WHERE nx IS NOT NULL),
+ ended AS (SELECT dedup_key, ts, lead(ts) OVER (PARTITION BY dedup_key ORDER BY ts) AS nx FROM hold)
+SELECT d.dedup_key, d.ts FROM ended d WHERE nx IS NOT NULL
+ OR d.ts + INTERVAL 2 DAY < (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def earliest_posting_stream(spark, sf):
+    """Which arrival of a key stays, in event order; what the watermark has not passed is held."""
+    root = _folder(spark, "earliest")
+    e = _stream(spark, sf, "events").select(
+        F.concat(F.lit("https://x.example/"), "user_id", F.lit("?e="), "event_id").alias("url"),
+        F.lit("").alias("company"), F.lit("").alias("title"), "ts")
+    out = jobs.earliest_postings(e, "ts", datetime.timedelta(days=2)).select("dedup_key", "ts")
+    (out.writeStream.option("checkpointLocation", f"{root}/check").trigger(availableNow=True)
+     .format("parquet").option("path", f"{root}/out").start().awaitTermination())
+    return spark.read.schema("dedup_key string, ts timestamp").parquet(f"{root}/out")

@@ -1,4 +1,4 @@
-"""Session helpers: lineage cuts and the spread of small inputs."""
+"""Session helpers: lineage cuts, folders of any file system, the spread of small inputs."""
 
 import tempfile
 
@@ -24,6 +24,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _located(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _located(spark, path)
+    return files.exists(place)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it does not exist."""
+    files, place = _located(spark, path)
+    if not files.exists(place):
+        return []
+    return [x.getPath().getName() for x in files.listStatus(place) if x.isDirectory()]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, place = _located(spark, path)
+    files.delete(place, True)
+
+
 def spread(df: DataFrame, per_core: int = 32 * 1024 * 1024) -> DataFrame:
     """Rows over all cores when the input is small for the cluster.
 

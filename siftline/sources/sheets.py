@@ -32,8 +32,10 @@ def header_table(spark: SparkSession, headers) -> DataFrame:
         plain = either([f"(?<![{_LETTERS}]){p}(?![{_LETTERS}])" for p in words])
         rest = F.when(F.col("kind") == name, F.regexp_replace(F.lower("header"), plain, "")
                       ).otherwise(rest)
-    table = spark.createDataFrame([(i, h) for i, h in enumerate(headers) if h],
-                                  "position int, header string")
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(h).alias("header"))
+            for i, h in enumerate(headers) if h]
+    # One row of literals in one partition: no window below needs a shuffle.
+    table = spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
     return table.withColumn("kind", kind).withColumn("category", F.btrim(rest, F.lit(" _-")))
 
 
@@ -44,25 +46,26 @@ def sheet_fields(headers: DataFrame) -> DataFrame:
     name, and plain columns are indexes.
     """
     data = headers.filter(F.col("kind").isin("count", "index", "plain"))
+    named = (F.col("kind") != "plain") & (F.col("category") != "")
     turn = F.row_number().over(W.partitionBy("kind", "category").orderBy("position"))
-    named = data.filter("kind <> 'plain' and category <> ''").withColumn("turn", turn)
-    shared = named.groupBy("category", "turn").agg(F.count("*").alias("n")).filter("n = 2")
-    paired = named.join(shared, ["category", "turn"]).select(
-        "position", F.translate("category", " -", "__").alias("label"))
+    mates = F.count("*").over(W.partitionBy("named", "category", "turn"))
     own = F.replace(F.lower("header"), F.lit(" "), F.lit("_"))
-    return data.join(paired, "position", "left").select(
-        "header", "position", F.coalesce("label", own).alias("label"),
+    paired = data.withColumn("named", named).withColumn("turn", turn).withColumn("mates", mates)
+    return paired.select(
+        "header", "position", F.when(F.col("named") & (F.col("mates") == 2), F.translate(
+            "category", " -", "__")).otherwise(own).alias("label"),
         F.when(F.col("kind") == "count", "count").otherwise("index").alias("kind"))
 
 
 def sheet_layout(spark: SparkSession, headers) -> dict:
-    """The company and city headers and the (header, label, kind) of every value column."""
+    """The company and city headers and the (header, label, kind) of every value column: one job."""
     table = header_table(spark, headers)
-    fields = [(r.header, r.label, r.kind) for r in
-              sheet_fields(table).orderBy("position").collect()]
-    known = {r.kind: r.header for r in table.filter(
-        F.col("kind").isin("company", "city")).orderBy("position").collect()}
-    return {"company": known.get("company"), "city": known.get("city"), "fields": fields}
+    owners = table.filter(F.col("kind").isin("company", "city")).select(
+        "header", "position", F.lit(None).cast("string").alias("label"), "kind")
+    rows = sorted(sheet_fields(table).unionByName(owners).collect(), key=lambda r: r.position)
+    known = {r.kind: r.header for r in rows if r.kind in ("company", "city")}
+    return {"company": known.get("company"), "city": known.get("city"),
+            "fields": [(r.header, r.label, r.kind) for r in rows if r.kind not in known]}
 
 
 def salary_long(sheet: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.fixed_values import TRACKER_COLUMNS
+from siftline.operators.skew import running_sum
 
 SEEN_ENTRY = ("status STRING, rank_score DOUBLE, rank_verdict STRING, rank_date STRING, "
               "location STRING, portal STRING, track STRING, alert_matched BOOLEAN, url STRING")
@@ -27,6 +28,42 @@ def read_store(spark: SparkSession, path: str, entry: str, under: str = None) ->
     return store_rows(spark.read.text(path, wholetext=True), entry, "value", under)
 
 
+def read_big_store(spark: SparkSession, path: str, entry: str, under: str = None) -> DataFrame:
+    """A store of one JSON object whose entries start on lines of their own, read by many tasks.
+
+    Lines are dealt to tasks as the file system splits the file. A line with a key at the entries'
+    depth of indentation opens an entry: two blanks, or four inside the object ``under``. Running
+    counts over slices of the line order number the entries, whose lines then come together; so
+    no task holds the file. What a writer without line breaks has made needs ``read_store``. An
+    entry that is not valid JSON has null fields, as one that is no object has.
+    """
+    indent = 4 if under else 2
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    depth = F.length(F.regexp_extract("value", "^ *", 0))
+    # Sections of the file: what stands at the outer depth opens and closes ``under``.
+    outer = F.regexp_extract("value", r'^  "((?:[^"\\]|\\.)*)": *\{ *$', 1)
+    opens = (depth == indent) & F.col("value").rlike(r'^ *"(?:[^"\\]|\\.)*" *:')
+    order = [F.asc("file"), F.asc("start"), F.asc("at")]
+    counted = running_sum(lines.withColumn("opens", opens), order, F.col("opens").cast("int"), "entry")
+    if under:
+        section = (depth == 2) & ~F.col("value").rlike(r"^ *[}\]]")
+        counted = running_sum(counted.withColumn("section", section), order,
+                              F.col("section").cast("int"), "part")
+        wanted = counted.filter(F.col("section") & (outer == under)).select("file", "part")
+        counted = counted.join(F.broadcast(wanted.distinct()), ["file", "part"], "left_semi")
+    body = counted.filter((F.col("entry") > 0) & (depth >= indent)).groupBy("file", "entry").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "at", "value"))),
+                                 lambda x: x["value"]), "\n").alias("text"))
+    text = F.regexp_replace("text", r",\s*$", "")
+    pairs = body.filter(text.rlike(r'^ *"')).select(F.explode_outer(F.from_json(
+        F.concat(F.lit("{"), text, F.lit("}")), "MAP<STRING, STRING>")).alias("key", "raw"))
+    return (pairs.filter(F.col("key").isNotNull())
+            .select("key", F.from_json("raw", entry).alias("e")).select("key", "e.*"))
+
+
 def read_tracker(spark: SparkSession, path: str) -> DataFrame:
     """The tracker file; all columns are text."""
     schema = ", ".join(f"{c} STRING" for c in TRACKER_COLUMNS)
