@@ -1,8 +1,9 @@
 """Evidence gates: every gate answers PASS, FAIL or UNKNOWN and quotes its evidence.
 
 Gates read ``gate_lines`` (one padded line per sentence), so "this sentence says X and not Y" is
-one multi-line regex. A cheap test of the whole text runs first; the costlier per-list work is
-behind it in a ``when`` and touches only records that can be hit.
+one multi-line regex. One pass over a record looks for any word that some gate hangs on
+(``trigger_lines``); only sentences with such a word go to the costly patterns, so most text is
+read once, whatever the number of gates.
 """
 
 from pyspark.sql import Column
@@ -45,6 +46,28 @@ def unless_incomplete(block: dict, full_text: Column, caveat: Column, extra=())
         **{f: block[f] for f in ("quote", *extra)})
 
 
+# ------------------------------------------------------------------------------- triggers
+
+def trigger_pattern(names=None) -> str:
+    """One alternation of what every pattern of the sentence gates needs to match at all."""
+    names = V.LANGUAGE_NAMES if names is None else names
+    words_ = ["native", "mother tongue", "mothertongue", *SPONSORSHIP_TOPICS, *CLOSED_TOPICS,
+              *(a for al in names.values() for a in al)]
+    return f"{any_of(words_)}|{YEARS_TOPIC}"
+
+
+def trigger_lines(lines: Column, names=None) -> Column:
+    """(line, text) of the lines with a trigger, in order: an array, empty for most records."""
+    numbered = F.transform(F.split(lines, "\n", -1),
+                           lambda s, i: F.struct(i.alias("line"), s.alias("text")))
+    return F.filter(numbered, lambda x: x["text"].rlike(trigger_pattern(names)))
+
+
+def _raw_line(line: Column, at: Column = None) -> Column:
+    """The number of a line in the whole text; ``at`` holds those of lines picked from it."""
+    return line if at is None else F.get(at, line)
+
+
 # ------------------------------------------------------------------------------- language
 
 def stopword_hits(text: Column, stopwords=None) -> Column:
@@ -133,10 +156,12 @@ def language_evidence(lines: Column, names=None) -> dict:
         maybe_optional=possible & lines.rlike(any_of(V.LANGUAGE_OPTIONAL)))
 
 
-def language_findings(evidence: Column, lines: Column, raw: Column, names=None) -> dict:
+def language_findings(evidence: Column, lines: Column, raw: Column, names=None,
+                      at: Column = None) -> dict:
     """Which language convicted with its quote, and all demanded and optional languages.
 
-    The per-language tests sit behind ``when``: they run on the few records with a hit.
+    The per-language tests sit behind ``when``: they run on the few records with a hit. ``at``
+    numbers the lines in the whole text if ``lines`` are picked ones.
     """
     names = V.LANGUAGE_NAMES if names is None else names
     demanded, allowed, demand_only, any_demand = _language_patterns(names)
@@ -144,7 +169,7 @@ def language_findings(evidence: Column, lines: Column, raw: Column, names=None)
     first = F.coalesce(*[F.when(hit.rlike(p), lang) for lang, p in demand_only.items()])
     centre = "(?i)" + either([*V.NATIVE_SPEAKER_PATTERNS,
                               *[any_of(a) for a in names.values()]])
-    quote = excerpt(raw_sentence(raw, line_of(lines, any_demand)), centre)
+    quote = excerpt(raw_sentence(raw, _raw_line(line_of(lines, any_demand), at)), centre)
     required = F.array_sort(F.array_compact(F.array(*[
         F.when(lines.rlike(p), lang) for lang, p in demanded.items()])))
     optional = F.array_sort(F.array_compact(F.array(*[
@@ -152,7 +177,7 @@ def language_findings(evidence: Column, lines: Column, raw: Column, names=None)
     some_optional = (f"(?m)^(?=.*{any_of(V.LANGUAGE_OPTIONAL)}).* "
                      f"{any_of([a for al in names.values() for a in al])} ")
     mild = F.when(evidence["maybe_optional"] & lines.rlike(some_optional), excerpt(
-        raw_sentence(raw, line_of(lines, some_optional)),
+        raw_sentence(raw, _raw_line(line_of(lines, some_optional), at)),
         "(?i)" + any_of([a for al in names.values() for a in al])))
     return _fields(
         first=F.when(hit != "", first),
@@ -186,6 +211,9 @@ def language_gate(found: Column, detected: Column, has_body: Column) -> dict:
 
 # ------------------------------------------------------------------------------- experience
 
+YEARS_TOPIC = r"\d ?(?:\+|plus)? ?(?:year|yr)"
+
+
 def years_figures(lines: Column) -> Column:
     """Every years figure with its window, graded at the upper end of a range.
 
@@ -221,7 +249,7 @@ def years_figures(lines: Column) -> Column:
                             zip(parts, ("before", "figure", "low", "high", "after"))])
     named = F.transform(zipped, lambda m, i: grade(m).withField("nth", i))
     empty = F.array().cast("array<struct<years:int,low:int,kind:string,ignored:boolean,nth:int>>")
-    return F.when(lines.rlike(r"\d ?(?:\+|plus)? ?(?:year|yr)"),
+    return F.when(lines.rlike(YEARS_TOPIC),
                   F.filter(named, lambda m: ~m["ignored"])).otherwise(empty)
 
 
@@ -283,7 +311,7 @@ def sponsorship_evidence(lines: Column) -> dict:
         maybe_wall=topical & lines.rlike(wall))
 
 
-def sponsorship_findings(evidence: Column, lines: Column, raw: Column) -> dict:
+def sponsorship_findings(evidence: Column, lines: Column, raw: Column, at: Column = None) -> dict:
     """The bar that stands and its quote; negated demands for papers are no bar."""
     denied, wall = (on_line(either(x)) for x in (V.SPONSORSHIP_DENIED, V.AUTHORISATION_WALL))
     negators = any_of(V.WALL_NEGATORS)
@@ -303,8 +331,8 @@ def sponsorship_findings(evidence: Column, lines: Column, raw: Column) -> dict:
     open_wall = evidence["maybe_wall"] & ~evidence["denied"] & ~evidence["offered"]
     denied_at = F.when(evidence["denied"], line_of(lines, denied))
     return _fields(
-        denied_line=denied_at,
-        wall_line=F.when(open_wall, F.get(walls, 0)))
+        denied_line=_raw_line(denied_at, at),
+        wall_line=_raw_line(F.when(open_wall, F.get(walls, 0)), at))
 
 
 def sponsorship_gate(found: Column, evidence: Column, raw: Column, has_body: Column) -> dict:
@@ -373,19 +401,22 @@ def pure_technical_gate(axes: Column, min_body_domains: int = 2) -> dict:
         marker=marker)
 
 
+# Every notice holds one of these words; a test checks that.
+CLOSED_TOPICS = ("accepting", "available", "clos", "filled", "expired")
 _CLOSED = f"(?m)^(?!.*{any_of(V.CLOSED_DEADLINES)}).*{any_of(V.CLOSED_NOTICES)}.*$"
 
 
 def closed_line(lines: Column) -> Column:
     """The first line that states the posting is closed without naming a deadline, or null."""
-    return F.when(lines.rlike("accepting|available|clos|filled|expired"),
+    return F.when(lines.rlike(any_of(CLOSED_TOPICS)),
                   F.nullif(F.regexp_extract(lines, _CLOSED, 0), F.lit("")))
 
 
-def closed_gate(hit: Column, lines: Column, raw: Column, has_body: Column) -> dict:
+def closed_gate(hit: Column, lines: Column, raw: Column, has_body: Column,
+                at: Column = None) -> dict:
     """Does a sentence say the posting is closed, without naming a deadline?"""
     marker = F.when(hit.isNotNull(), first_in_order(hit, V.CLOSED_NOTICES, before="", after=""))
-    quote = F.substring(raw_sentence(raw, line_of(lines, _CLOSED)), 1, 200)
+    quote = F.substring(raw_sentence(raw, _raw_line(line_of(lines, _CLOSED), at)), 1, 200)
     return _fields(
         verdict=F.when(hit.isNotNull(), V.FAIL).when(has_body, V.PASS).otherwise(V.UNKNOWN),
         reason=F.when(hit.isNotNull(), "the posting states it is closed")
@@ -397,20 +428,46 @@ def closed_gate(hit: Column, lines: Column, raw: Column, has_body: Column) -> di
 
 # ------------------------------------------------------------------------------- geography
 
-def geography_evidence(location: Column, text: Column) -> dict:
-    """Which list names the text; ``text`` is ``gate_text`` of location, title and body."""
+def _place_ranks(lists) -> list[dict]:
+    """For each list: every known name with the first place of the list that it answers for.
+
+    A name answers for itself and for names that it starts with as whole words.
+    """
+    def answers(name: str, other: str) -> bool:
+        return (name + " ").startswith(other) and not (name + " ")[len(other)].isalnum()
+
+    ranks = [{n: [i for i, m in enumerate(names) if answers(n, m)] for listed in lists
+              for n in listed} for names in lists]
+    return [{n: min(i) for n, i in rank.items() if i} for rank in ranks]
+
+
+PLACE_LISTS = (V.OUTSIDE_EUROPE, V.US_STATES, V.INSIDE_EUROPE)
+
+
+def place_names(text: Column) -> Column:
+    """The names of all place lists in ``gate_text`` of location, title and body, in one pass.
+
+    The look-ahead reports the longest name at each place and lets the next one overlap it.
+    """
+    known = any_of([n for names in PLACE_LISTS for n in names])
+    return F.regexp_extract_all(text, F.lit(f"(?<![a-z0-9])(?=({known})(?![a-z0-9]))"), F.lit(1))
+
+
+def geography_evidence(location: Column, found: Column) -> dict:
+    """The first name of each list; ``found`` is ``place_names``. Few names occur in a text, so their
+    lists and places are looked up one by one."""
     suffix = F.lower(strip(text_or_empty(location))).rlike(
         r",\s*(?:" + "|".join(V.SUBDIVISIONS) + r")\s*(?:,\s*(?:usa|us|canada))?\s*$")
 
-    def found(phrases):
-        anywhere = text.rlike(f"(?<![a-z0-9]){any_of(phrases)}(?![a-z0-9])")
-        return F.when(anywhere, first_in_order(text, phrases))
+    def first(names, rank) -> Column:
+        keys, places = F.array(*map(F.lit, rank)), F.array(*map(F.lit, rank.values()))
+        best = F.array_min(F.transform(found, lambda n: F.get(
+            places, (F.array_position(keys, n) - 1).cast("int"))))
+        return F.get(F.array(*map(F.lit, names)), best)
 
-    return _fields(
-        suffix=suffix,
-        outside=found(V.OUTSIDE_EUROPE),
-        state=found(V.US_STATES),
-        inside=found(V.INSIDE_EUROPE))
+    return _fields(suffix=suffix, **{
+        field: first(names, rank) for field, names, rank in zip(
+            ("outside", "state", "inside"), PLACE_LISTS, _place_ranks(PLACE_LISTS))})
 
 
 def geography_gate(found: Column, location: Column, text: Column) -> dict:

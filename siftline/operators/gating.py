@@ -43,29 +43,35 @@ def evaluate_gates(df: DataFrame, today, max_age: int = V.MAX_AGE_DAYS,
     today = F.lit(today).cast("date")
     df = with_evidence(df)
     title, body = text_or_empty("title"), F.col("body")
-    lines, raw, full, caveat = (F.col(c) for c in ("_lines", "_raw", "full_text", "caveat"))
+    whole, raw, full, caveat = (F.col(c) for c in ("_whole", "_raw", "full_text", "caveat"))
+    lines, at, text = F.col("_lines"), F.col("_at"), F.col("_text")
     has_body = body != ""
     # Each stage is one projection. A value that several expressions read becomes a plain column
     # first, so it is computed once per row and plans stay small.
     df = df.withColumn("_raw", F.concat(title, F.lit("\n"), body))
     df = df.withColumns({
-        "_lines": gate_lines(raw),
-        "_place": gate_text(F.concat_ws(" ", text_or_empty("location"), title, body)),
+        "_whole": gate_lines(raw), "_spot": gate_text(text_or_empty("location")),
         "_senior": G.seniority_marker(F.col("title")),
         "_age": G.posting_age(F.col("date_posted"), today)})
+    # The sentences that any gate hangs on, and where they stand; the patterns read only those.
+    df = df.withColumns({
+        "_picked": G.trigger_lines(whole, languages),
+        "_text": F.concat(F.lit(" "), F.btrim(F.regexp_replace(whole, "[ \n]+", " ")), F.lit(" "))})
+    df = df.withColumns({"_lines": F.array_join(F.col("_picked.text"), "\n"),
+                         "_at": F.col("_picked.line"),
+                         "_place": F.concat(F.rtrim("_spot"), text)})
     df, got = _add(
-        df.withColumns({
-            "_text": F.concat(F.lit(" "), F.btrim(F.regexp_replace(lines, " *\n *", " ")),
-                              F.lit(" ")),
-            "_years": G.years_figures(lines), "_shut": G.closed_line(lines)}),
-        lang=G.language_evidence(lines, languages), spon=G.sponsorship_evidence(lines),
-        geo=G.geography_evidence(F.col("location"), F.col("_place")))
-    df = df.withColumn("_stop", G.stopword_hits(F.col("_text"), stopwords))
+        df.withColumns({"_years": G.years_figures(lines), "_shut": G.closed_line(lines),
+                        "_names": G.place_names(F.col("_place"))}),
+        lang=G.language_evidence(lines, languages), spon=G.sponsorship_evidence(lines))
+    df, where = _add(df, geo=G.geography_evidence(F.col("location"), F.col("_names")))
+    got |= where
+    df = df.withColumn("_stop", G.stopword_hits(text, stopwords))
     df, found = _add(
-        df, counts=G.language_counts(F.col("_stop"), F.col("_text"), stopwords),
-        lang_found=G.language_findings(got["lang"], lines, raw, languages),
+        df, counts=G.language_counts(F.col("_stop"), text, stopwords),
+        lang_found=G.language_findings(got["lang"], lines, raw, languages, at),
         years_found=G.experience_findings(F.col("_years")),
-        spon_found=G.sponsorship_findings(got["spon"], lines, raw))
+        spon_found=G.sponsorship_findings(got["spon"], lines, raw, at))
     df, seen = _add(df, detected=G.detect_language(found["counts"], body))
     df, gate = _add(
         df, g_language=G.language_gate(found["lang_found"], seen["detected"], has_body),
@@ -73,7 +79,7 @@ def evaluate_gates(df: DataFrame, today, max_age: int = V.MAX_AGE_DAYS,
         g_sponsorship=G.sponsorship_gate(found["spon_found"], got["spon"], raw, has_body),
         g_seniority=G.seniority_gate(F.col("_senior"), F.col("title")),
         g_pure_technical=G.pure_technical_gate(F.col("axes"), min_body_domains),
-        g_closed=G.closed_gate(F.col("_shut"), lines, raw, has_body),
+        g_closed=G.closed_gate(F.col("_shut"), lines, raw, has_body, at),
         g_geography=G.geography_gate(got["geo"], F.col("location"), F.col("_place")),
         g_recency=G.recency_gate(F.col("_age"), F.col("date_posted"), max_age))
     extra = {"language": ("languages_required", "languages_optional"),
