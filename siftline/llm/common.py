@@ -1,5 +1,6 @@
 """Helpers the corpus operators share: storage between stages, hot keys, hashes over text bytes."""
 
+import contextlib
 import gc
 import os
 import re
@@ -39,28 +40,49 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"siftline-{uuid.uuid4().hex}")
+    for frames in _noted:
+        frames.append(path)
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*frames: DataFrame, part: str = "") -> None:
-    """Delete the folders of stored frames that no later step reads.
+_noted: list[list] = []
+
+
+@contextlib.contextmanager
+def noting():
+    """A list that gets the folder of every frame stored in this block."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
+def delete_folders(spark: SparkSession, folders) -> None:
+    """Delete folders of stored frames, and the shuffle files of finished steps.
 
-    ``part``, as ``name=value``, names the one folder that goes of a frame stored with ``by``. Shuffle
-    files of finished steps go too: Spark drops them when the driver collects its garbage, which a driver
-    that only plans does too seldom.
+    Spark drops those when the driver collects its garbage, which a driver that only plans does
+    too seldom.
     """
-    spark = frames[0].sparkSession
-    for df in frames:
-        for folder in {os.path.dirname(name) for name in df.inputFiles()}:
-            if (re.search(r"/siftline-[0-9a-f]{32}(/|$)", folder)
-                    and part in ("", os.path.basename(folder))):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark._jvm.System.gc()
 
 
+def discard(*frames: DataFrame, part: str = "") -> None:
+    """Delete the folders of stored frames that no later step reads.
+
+    ``part``, as ``name=value``, names the one folder that goes of a frame stored with ``by``.
+    """
+    found = {os.path.dirname(name) for df in frames for name in df.inputFiles()}
+    delete_folders(frames[0].sparkSession, [
+        x for x in found if re.search(r"/siftline-[0-9a-f]{32}(/|$)", x)
+        and part in ("", os.path.basename(x))])
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: list, by, how: str = "inner",
                 ways: int = SPREAD) -> DataFrame:
     """Join a frame that may have hot keys to one with a row per key.
