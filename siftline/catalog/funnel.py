@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from siftline.catalog.base import (POSTINGS, TODAY, TRACKS, VOCABULARY, axis_ctes, postings, query,
+from siftline.catalog.base import (POSTINGS, SENTENCES, TODAY, TRACKS, VOCABULARY, axis_ctes, postings, query,
                                    table)
+from siftline.catalog.gates import ALL
 from siftline.catalog.scores import TRACKED, scored
 from siftline.functions.scores import attribute_track
 from siftline.functions.text import words
@@ -36,6 +37,63 @@ def shortlist(spark, sf):
     return cut(postings(spark, sf), seen, alerts, SETTINGS)
 
 
+_ORDER = """score DESC, alerted DESC, (contains(lower(location), 'hungary')
+  OR contains(lower(location), 'budapest') OR contains(lower(location), 'remote')) DESC,
+  date_posted DESC, pos"""
+
+
+def funnel_sql(records: str, budget: int, alert_cap: int, floor: int, stage: str) -> str:
+    """The whole funnel over ``records``, a CTE named postings: every row with its last reason.
+
+    Titles of the derived records differ in so many words that only equal ones are near-duplicates.
+    """
+    what, cut_name = (("shortlist", "shortlist") if stage == "shortlist"
+                      else ("pre-rank", "deep-rank"))
+    return f"""WITH {records}, {SENTENCES}{ALL}, {TRACKED.replace(' best AS', ' trk AS')},
+ s0 AS (SELECT p.pos, p.dedup_key, p.title, p.company, p.location, p.date_posted, ax.score,
+   trk.track, o.overall, o.failed, p.pos % 6 = 2 AND p.pos % 50 <= 28 AS alerted,
+   p.pos % 4 = 1 AS is_repeat, dt + db + et + eb > 0 AS matched
+  FROM postings p JOIN ax USING (pos) JOIN overall o ON o.pos = p.pos
+  LEFT JOIN trk ON trk.pos = p.pos),
+ s1 AS (SELECT *, CASE WHEN overall = 'FAIL' THEN 'hard gate: ' || failed
+   WHEN NOT (alerted OR matched) THEN 'title and description match no scoring category' END
+   AS early FROM s0),
+ s2 AS (SELECT *, first_value(pos) OVER (PARTITION BY lower(company), title
+   ORDER BY alerted DESC, score DESC, pos) AS keeper FROM s1 WHERE early IS NULL),
+ rw AS (SELECT * FROM s2 WHERE keeper = pos),
+ pool AS (SELECT pos FROM rw WHERE alerted ORDER BY {_ORDER} LIMIT {min(alert_cap, budget)}),
+ fl AS (SELECT pos FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY {_ORDER}) AS rn
+   FROM rw WHERE NOT alerted AND track IS NOT NULL) WHERE rn <= {floor}),
+ sel AS (SELECT pos, pick FROM (SELECT rw.*, CASE WHEN pool.pos IS NOT NULL THEN 'alert'
+   WHEN fl.pos IS NOT NULL THEN 'floor' ELSE 'score' END AS pick FROM rw LEFT JOIN pool USING (pos)
+   LEFT JOIN fl USING (pos) WHERE NOT alerted OR pool.pos IS NOT NULL)
+   ORDER BY CASE pick WHEN 'alert' THEN 0 WHEN 'floor' THEN 1 ELSE 2 END, {_ORDER} LIMIT {budget}),
+ ann AS (SELECT s1.*, pick, pick IS NOT NULL AS selected, CASE WHEN s1.early IS NOT NULL THEN s1.early
+   WHEN s2.keeper <> s1.pos THEN 'near-duplicate of "' || s1.title || '" at the same company'
+   WHEN pick = 'alert' THEN 'alert-matched' WHEN pick IS NOT NULL THEN 'top of the {what}'
+   WHEN s1.alerted THEN 'alert-matched but over the alert budget of {alert_cap}'
+   ELSE 'below the {cut_name} budget of {budget}' END AS reason
+  FROM s1 LEFT JOIN s2 ON s2.pos = s1.pos LEFT JOIN sel ON sel.pos = s1.pos)"""
+
+
+_FIRST = funnel_sql(POSTINGS, 80, 65, 3, "shortlist")
+
+
+def _without_quotes(reason, gates):
+    """Quotes are evidence in the record's own words; the twin names the gates."""
+    return F.when(reason.startswith("hard gate"), F.concat(
+        F.lit("hard gate: "), F.array_join(gates["failed"], ","))).otherwise(reason)
+
+
+@query("shortlist_stages", f"""{_FIRST} SELECT dedup_key, title, company, track, score, overall,
+ alerted, is_repeat, selected, pick, reason FROM ann""")
+def shortlist_stages(spark, sf):
+    return shortlist(spark, sf).select(
+        "dedup_key", "title", "company", "track", "score", "gates.overall", "alerted",
+        "is_repeat", "selected", "pick",
+        _without_quotes(F.col("reason"), F.col("gates")).alias("reason"))
+
+
 @query("shortlist")
 def shortlist_rows(spark, sf):
     """Every posting with its score, gates and the reason of its last stage."""
@@ -44,12 +102,37 @@ def shortlist_rows(spark, sf):
         "is_repeat", "selected", "pick", "reason")
 
 
-@query("funnel_report")
+@query("funnel_report", f"""{_FIRST} SELECT count(*) AS total, count_if(is_repeat) AS repeats,
+ count_if(overall = 'FAIL') AS gate_failed, count_if(overall = 'UNKNOWN') AS gate_unknown,
+ count_if(reason LIKE '%match no scoring category') AS no_signal,
+ count_if(reason LIKE 'near-duplicate%') AS near_duplicates,
+ count_if(coalesce(pick, '') = 'alert') AS alert_selected,
+ count_if(reason LIKE 'alert-matched but over%') AS alert_over_budget,
+ count_if(coalesce(pick, '') = 'floor') AS floor_slots,
+ count_if(coalesce(pick, '') = 'score') AS score_slots, count_if(selected) AS selected,
+ count_if(NOT selected) AS deferred, 80 AS budget, 65 AS alert_budget FROM ann""")
 def funnel_report(spark, sf):
     return R.funnel_summary(shortlist(spark, sf), 80, SETTINGS.alert_cap("shortlist"))
 
 
-@query("two_stage_cut")
+# First the snippets alone, then the bodies of a third of the shortlisted rows.
+_THIN = POSTINGS.replace("postings AS (SELECT", "full_p AS (SELECT") + """,
+ postings AS (SELECT * REPLACE (substr(description, 1, 500) AS description, TRUE AS cut)
+  FROM full_p)"""
+_BODY = "trim(description, ' ' || chr(10) || chr(13) || chr(9))"
+_RICH = POSTINGS.replace("postings AS (SELECT", "full_p AS (SELECT") + f""",
+ postings AS (SELECT f.* REPLACE (CASE WHEN f.pos % 3 <> 0 THEN substr(description, 1, 500)
+   WHEN length({_BODY}) > 20000 THEN substr({_BODY}, 1, 20000) || '…' ELSE {_BODY} END
+   AS description, f.pos % 3 <> 0 OR length({_BODY}) > 20000 AS cut)
+  FROM full_p f JOIN first_cut USING (pos) WHERE first_cut.selected)"""
+
+
+@query("two_stage_cut", f"""WITH first_cut AS ({funnel_sql(_THIN, 80, 65, 3, 'shortlist')}
+  SELECT pos, selected FROM ann),
+ final_cut AS ({funnel_sql(_RICH, 25, 10, 3, 'final')} SELECT pos, selected FROM ann)
+SELECT CASE WHEN b.pos IS NULL THEN 'shortlist' ELSE 'final' END AS stage,
+ coalesce(b.selected, a.selected) AS selected, count(*) AS n
+FROM first_cut a LEFT JOIN final_cut b USING (pos) GROUP BY 1, 2""")
 def two_stage_cut(spark, sf):
     seen, alerts = stores(spark, sf)
     d = postings(spark, sf)
@@ -78,9 +161,6 @@ def _cut(spark, sf):
     return annotate(rows, chosen, 80, 20)
 
 
-_ORDER = """score DESC, alerted DESC, (contains(lower(location), 'hungary')
-  OR contains(lower(location), 'budapest') OR contains(lower(location), 'remote')) DESC,
-  date_posted DESC, pos"""
 CUT = f"""{POSTINGS}, {axis_ctes()}, {TRACKED}, rw AS (SELECT ax.pos, dedup_key, title, company,
   portal, location, date_posted, score, ax.pos % 6 = 2 AS alerted, track FROM ax
   LEFT JOIN best ON best.pos = ax.pos),
