@@ -10,7 +10,7 @@ from siftline.functions.scores import attribute_track
 from siftline.functions.text import words
 from siftline.operators import reports as R
 from siftline.operators.selection import (annotate, closest_misses, preference_order,
-                                          select_with_alerts)
+                                          select_with_alerts, sorted_index)
 from siftline.operators.validation import complement, deferred_view
 from siftline.plans.funnel import Settings, cut, two_stage
 from siftline.session import cut_lineage
@@ -209,3 +209,17 @@ def verification(spark, sf):
         F.col("o_orderstatus") == "O", "UNKNOWN").otherwise("FAIL")
     return R.verification(table(spark, sf, "orders").select(
         F.struct(status.alias("overall")).alias("gates")))
+
+
+@query("preference_with_remote", f"""WITH {POSTINGS}, r AS (SELECT *, pos % 3 AS score,
+  pos % 6 = 2 AS alerted, CASE WHEN pos % 4 <> 3 THEN pos % 4 = 1 END AS remote FROM postings)
+SELECT pos, row_number() OVER (ORDER BY score DESC, alerted DESC, (coalesce(remote, FALSE)
+  OR contains(lower(location), 'hungary') OR contains(lower(location), 'budapest')
+  OR contains(lower(location), 'remote')) DESC, date_posted DESC, pos) - 1 AS idx FROM r""")
+def preference_with_remote(spark, sf):
+    """The order of the cut where rows say themselves that they are remote."""
+    i = F.col("pos")
+    p = postings(spark, sf).select(
+        "pos", "location", "date_posted", (i % 3).alias("score"), (i % 6 == 2).alias("alerted"),
+        F.when(i % 4 != 3, i % 4 == 1).alias("remote"))
+    return sorted_index(p, preference_order(remote=F.col("remote"))).select("pos", "idx")

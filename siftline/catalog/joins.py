@@ -9,6 +9,7 @@ from siftline.operators import details as DT
 from siftline.operators import joins as J
 from siftline.operators import selection as SE
 from siftline.operators import validation as VA
+from siftline.plans import ranking as P
 from siftline.operators.robots import confirmed, robots_allowed, rule_table
 from siftline.sources.digests import digest_cards, digest_tokens
 from siftline.sources.portals import skip_sources, source_of
@@ -364,6 +365,71 @@ def detail_quality(spark, sf):
         "doc_id", "chars", F.array_join("missing_keywords", ",").alias("missing"), "ok")
 
 
+@query("detail_quality_mixed", """SELECT doc_id, length(text)::INT AS chars,
+ array_to_string(list_filter(['the'], lambda k: NOT contains(lower(text), k)), ',') AS missing,
+ length(text) >= 400 AND contains(lower(text), 'the') AND doc_id % 4 <> 1 AS ok FROM documents
+WHERE length(text) >= 400""")
+def detail_quality_mixed(spark, sf):
+    """Captures of which some pass: with the word, without page furniture."""
+    i = F.col("doc_id")
+    d = table(spark, sf, "documents").filter(F.length("text") >= 400).select(
+        "doc_id", "text", F.when(i % 4 == 1, F.concat("text", F.lit(" " + DT.PAGE_CHROME[0])))
+        .otherwise(F.col("text")).alias("shown"))
+    out = DT.detail_quality(d, "shown", ("the",))
+    return out.select("doc_id", F.length("text").alias("chars"),
+                      F.array_join("missing_keywords", ",").alias("missing"), "ok")
+
+
+# ---- from decisions to ranked rows: scores that differ, some batches rejected whole
+def _ranking(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    own = F.substring("key", 2, 20).cast("long")
+    made = decisions(spark, sf).withColumn("scores", F.when(own % 97 != 5, F.struct(*[
+        (30 + own % 60).cast("double").alias(n)
+        for n in ("technical", "experience", "behavioral", "career")])).otherwise(F.col("scores")))
+    records = o.select(
+        F.col("o_custkey").alias("batch_id"), F.concat(F.lit("k"), k).alias("dedup_key"),
+        *[F.col("o_orderpriority").alias(c) for c in ("title", "company", "url", "location",
+                                                      "portal")],
+        F.when(k % 5 == 0, "body").alias("description"), k.alias("pos"))
+    alerts = o.filter(k % 4 == 0).select(F.concat(F.lit("k"), k).alias("key"), F.date_format(
+        F.date_sub(F.lit(NOW).cast("date"), (k % 50).cast("int") - 5), "yyyy-MM-dd")
+        .alias("first_alerted"))
+    return P.ranked_rows(records, made, alerts, NOW)
+
+
+RANKED = """b AS (SELECT o_custkey AS batch_id, bool_and(o_orderkey % 89 <> 3
+   AND NOT (o_orderkey % 6 = 1 AND o_orderkey % 12 = 1)
+   AND NOT (o_orderkey % 6 <> 1 AND o_orderkey % 97 = 5)) AS accepted FROM orders GROUP BY 1),
+ r AS (SELECT 'k' || o_orderkey AS key, o_orderkey AS pos, 30 + o_orderkey % 60 AS score,
+   o_orderkey % 4 = 0 AND o_orderkey % 50 BETWEEN 5 AND 35 AS alert_matched,
+   o_orderkey % 5 = 0 AS enriched FROM orders JOIN b ON batch_id = o_custkey
+  WHERE accepted AND o_orderkey % 6 <> 1 AND o_orderkey % 10 <> 2),
+ rr AS (SELECT *, CASE WHEN score >= 75 THEN 'Strong Fit' WHEN score >= 60 THEN 'Good Fit'
+   WHEN score >= 45 THEN 'Moderate Fit' ELSE 'Weak Fit' END AS verdict,
+  CASE WHEN score >= 75 OR (score >= 60 AND alert_matched) THEN 'ranked' WHEN score >= 60
+   THEN 'not_drafted' ELSE 'below' END AS outcome FROM r)"""
+
+
+@query("ranked_rows", f"""WITH {RANKED} SELECT key, score::DOUBLE AS score, verdict, alert_matched,
+ outcome, row_number() OVER (ORDER BY score DESC, alert_matched DESC, enriched DESC, pos) - 1 AS idx
+FROM rr""")
+def ranked_rows(spark, sf):
+    """Accepted decisions as scored records in the order of the ranked list."""
+    return SE.sorted_index(_ranking(spark, sf), SE.ranked_order()).select(
+        "key", "score", "verdict", "alert_matched", "outcome", "idx")
+
+
+@query("seen_after_ranking", f"""WITH {RANKED} SELECT 'k' || o_orderkey AS key,
+ CASE WHEN rr.key IS NULL THEN 'old' ELSE 'ranked' END AS status, rr.verdict AS rank_verdict
+FROM orders LEFT JOIN rr ON rr.pos = o_orderkey WHERE o_orderkey % 3 = 0 OR rr.key IS NOT NULL""")
+def seen_after_ranking(spark, sf):
+    """The seen store after a run: scored keys anew, all others as they were."""
+    seen = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(
+        F.concat(F.lit("k"), "o_orderkey").alias("key"), F.lit("old").alias("status"))
+    return P.seen_after(seen, _ranking(spark, sf), NOW).select("key", "status", "rank_verdict")
+
+
 def _candidates(spark, sf):
     """Scored once into a slim stored table that all later steps read."""
     a, i = F.col("axes"), F.col("pos")

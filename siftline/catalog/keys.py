@@ -100,6 +100,15 @@ def dedup_accounting(spark, sf):
     return D.dedup_accounting(c, D.first_wins(c))
 
 
+@query("unique_per_source", f"""WITH {CORPUS} SELECT CASE WHEN file_rank = 1 THEN 'again'
+ WHEN page_id % 3 = 0 THEN 'unknown' ELSE 'p' || page_id % 3 END AS source, count(*) AS "unique"
+FROM kept GROUP BY 1""")
+def unique_per_source(spark, sf):
+    i = F.col("page_id")
+    source = F.when(F.col("file_rank") == 1, "again").when(i % 3 != 0, F.concat(F.lit("p"), i % 3))
+    return D.unique_per_source(D.first_wins(_corpus(spark, sf).withColumn("portal", source)))
+
+
 @query("unified_rows", """SELECT doc_id, CASE WHEN length(text) > 500
   THEN trim(substr(text, 1, 500), chr(10) || ' ') || '...' ELSE trim(text, chr(10) || ' ') END
   AS description_snippet, nullif(trim(source), '') AS company,

@@ -257,3 +257,62 @@ def cut_profile_doubles(spark, sf):
         .alias("score"), F.concat(F.lit("o"), "l_orderkey").alias("title"),
         F.concat(F.lit("p"), "l_partkey").alias("company"))
     return R.cut_profile(c, order=order)
+
+
+@query("raw_salary_issues", """WITH t AS (SELECT p_partkey AS k, p_partkey // 50 AS file,
+  (row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey))::INT AS entry FROM part),
+ ok AS (SELECT * FROM t WHERE file % 5 <> 2 AND file % 7 <> 3)
+SELECT file, entry, 'error' AS level, 'must be an object' AS issue FROM ok WHERE k % 60 = 11
+UNION ALL SELECT file, entry, 'error', 'company must be a non-empty string' FROM ok
+ WHERE k % 60 <> 11 AND k % 50 = 7
+UNION ALL SELECT file, entry, 'error', 'city must be a string when provided' FROM ok
+ WHERE k % 60 <> 11 AND k % 40 = 9
+UNION ALL SELECT file, entry, 'error', 'categories must be an object when provided' FROM ok
+ WHERE k % 60 <> 11 AND k % 30 = 4
+UNION ALL SELECT file, entry, 'error', 'it.count must be a number' FROM ok
+ WHERE k % 60 <> 11 AND k % 30 <> 4 AND k % 20 = 3
+UNION ALL SELECT file, entry, 'error', 'it.index must be a number or string' FROM ok
+ WHERE k % 60 <> 11 AND k % 30 <> 4 AND k % 25 = 6
+UNION ALL SELECT file, entry, 'error', 'hr must be an object with ''count'' and/or ''index'''
+ FROM ok WHERE k % 60 <> 11 AND k % 30 <> 4 AND k % 35 = 8
+UNION ALL SELECT file, entry, 'warning', 'Duplicate company name ''C' || k % 45 || '''' FROM (
+ SELECT *, row_number() OVER (PARTITION BY file, k % 45 ORDER BY entry) AS rn FROM ok
+ WHERE k % 60 <> 11 AND k % 50 <> 7) WHERE rn > 1
+UNION ALL SELECT DISTINCT file, NULL, 'error', '''metadata'' must be an object when provided' FROM t
+ WHERE file % 3 = 1 AND file % 7 <> 3
+UNION ALL SELECT DISTINCT file, NULL, 'error', '''companies'' must be a list' FROM t
+ WHERE file % 5 = 2 AND file % 7 <> 3
+UNION ALL SELECT DISTINCT file, NULL, 'error', 'top-level JSON value must be an object' FROM t
+ WHERE file % 7 = 3""")
+def raw_salary_issues(spark, sf):
+    """Tables of fifty entries, each rule broken by some of them."""
+    k, f = F.col("p_partkey"), F.col("file")
+    name = F.when(k % 50 == 7, '" "').otherwise(F.concat(F.lit('"C'), k % 45, F.lit('"')))
+    count = F.when(k % 20 == 3, '"many"').when(k % 20 == 4, "true").otherwise("5")
+    index = F.when(k % 25 == 6, "[1]").when(k % 25 == 7, '"102*"').otherwise("101.5")
+    cells = F.concat(F.lit('{"it": {"count": '), count, F.lit(', "index": '), index, F.lit("}"),
+                     F.when(k % 35 == 8, ', "hr": 7').otherwise(""), F.lit("}"))
+    entry = F.when(k % 60 == 11, '"text"').otherwise(F.concat(
+        F.lit('{"company": '), name, F.when(k % 40 == 9, ', "city": 5').otherwise(', "city": null'),
+        F.lit(', "categories": '), F.when(k % 30 == 4, "[1]").otherwise(cells), F.lit("}")))
+    rows = F.sort_array(F.collect_list(F.struct(k.alias("k"), entry.alias("e"))))
+    files = table(spark, sf, "part").groupBy(F.floor(k / 50).alias("file")).agg(
+        F.array_join(F.transform(rows, lambda x: x["e"]), ", ").alias("list"))
+    value = F.when(f % 7 == 3, "[1, 2]").otherwise(F.concat(
+        F.lit('{"metadata": '), F.when(f % 3 == 1, '"text"').otherwise("{}"),
+        F.lit(', "companies": '), F.when(f % 5 == 2, "{}").otherwise(
+            F.concat(F.lit("["), "list", F.lit("]"))), F.lit("}")))
+    return R.raw_table_issues(files.select("file", value.alias("value")))
+
+
+@query("unknown_mixed_names", """SELECT DISTINCT trim(regexp_replace(lower(p_type), '[^a-z0-9]+',
+ '_', 'g'), '_') AS slug FROM part WHERE p_size % 3 = 0 AND p_type NOT IN (SELECT p_type FROM part
+ WHERE p_size % 5 = 0 AND p_partkey % 97 = 0)
+UNION SELECT 'no_such_name' FROM part""")
+def unknown_mixed_names(spark, sf):
+    """Requests of which some are known and some are not."""
+    p = table(spark, sf, "part")
+    asked = p.filter("p_size % 3 = 0").select(F.upper("p_type").alias("name")).unionByName(
+        p.select(F.lit(" No such  name! ").alias("name")))
+    known = p.filter("p_size % 5 = 0 AND p_partkey % 97 = 0").select(F.col("p_type").alias("name"))
+    return VA.unknown_names(asked, known)

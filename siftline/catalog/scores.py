@@ -97,6 +97,23 @@ def track_attribution_table(spark, sf):
     return VO.best_track(VO.match_vocabulary_table(p, vocab, "pos"), "pos")
 
 
+@query("widening_terms", """WITH own AS (SELECT DISTINCT lower(p_type) AS q FROM part
+  WHERE p_size % 3 = 0 AND p_partkey % 97 = 0), oth AS (SELECT p_brand, upper(p_type) AS q FROM part
+  WHERE p_size % 3 <> 0 UNION ALL SELECT p_brand, 'Only ' || p_brand FROM part)
+SELECT lower(q) AS folded, min(q) AS query FROM oth
+WHERE lower(q) NOT IN (SELECT q FROM own) GROUP BY 1""")
+def widening_terms(spark, sf):
+    """Terms of other sources of which some are covered by a track and some are not."""
+    p, k = table(spark, sf, "part"), F.col("p_size")
+    own = p.select(F.col("p_brand").alias("track"), ((k % 3 == 0) & (F.col("p_partkey") % 97 == 0))
+                   .alias("enabled"), F.col("p_type").alias("query"))
+    other = p.select(F.col("p_brand").alias("source"), (k % 3 != 0).alias("enabled"),
+                     F.upper("p_type").alias("query")).unionByName(p.select(
+        F.col("p_brand").alias("source"), F.lit(True).alias("enabled"),
+        F.concat(F.lit(" Only "), "p_brand").alias("query")))
+    return VO.split_vocabulary(own, other)[1].select("folded", "query")
+
+
 @query("split_vocabulary", """WITH own AS (SELECT DISTINCT p_brand AS track, p_name AS query
   FROM part WHERE p_size % 3 = 0), oth AS (SELECT DISTINCT upper(p_name) AS query FROM part
   WHERE p_size % 3 <> 0)

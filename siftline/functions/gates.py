@@ -459,11 +459,14 @@ def geography_evidence(location: Column, found: Column) -> dict:
     suffix = F.lower(strip(text_or_empty(location))).rlike(
         r",\s*(?:" + "|".join(V.SUBDIVISIONS) + r")\s*(?:,\s*(?:usa|us|canada))?\s*$")
 
+    def listed(values) -> Column:
+        return F.split(F.lit("|".join(map(str, values))), r"\|", -1)
+
     def first(names, rank) -> Column:
-        keys, places = F.array(*map(F.lit, rank)), F.array(*map(F.lit, rank.values()))
+        keys, places = listed(rank), listed(rank.values()).cast("array<int>")
         best = F.array_min(F.transform(found, lambda n: F.get(
             places, (F.array_position(keys, n) - 1).cast("int"))))
-        return F.get(F.array(*map(F.lit, names)), best)
+        return F.get(listed(names), best)
 
     return _fields(suffix=suffix, **{
         field: first(names, rank) for field, names, rank in zip(

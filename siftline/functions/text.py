@@ -232,6 +232,6 @@ def first_in_order(text: Column, phrases, before: str = r"(?<![a-z0-9])",
     """
     listed = "|".join(re.escape(p).replace("\\ ", " ").replace("\\-", "-") for p in phrases)
     found = F.regexp_extract_all(text, F.lit(f"{before}(?=({listed}){after})"), F.lit(1))
-    order = F.array(*[F.lit(p) for p in phrases])
+    order = F.split(F.lit("|".join(phrases)), r"\|", -1)
     best = F.array_min(F.transform(found, lambda p: F.array_position(order, p)))
     return F.get(order, (best - 1).cast("int"))

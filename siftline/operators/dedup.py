@@ -59,6 +59,12 @@ def dedup_accounting(corpus: DataFrame, unique: DataFrame) -> DataFrame:
                      total["n"].alias("undated"))
 
 
+def unique_per_source(unique: DataFrame, source: str = "portal") -> DataFrame:
+    """How many rows each source keeps after the dedup, most first."""
+    return (unique.groupBy(F.coalesce(F.col(source), F.lit("unknown")).alias("source"))
+            .agg(F.count("*").alias("unique")).orderBy(F.desc("unique"), "source"))
+
+
 def newest_first(date: Column, key: Column) -> list:
     """Sort columns: newest first, undated last, key as tie-break."""
     return [F.desc_nulls_last(posted_at(date)), F.asc(key)]

@@ -235,3 +235,67 @@ def source_warnings(counts: DataFrame, skip: DataFrame = None) -> DataFrame:
     c = counts if skip is None else counts.join(skip.select("source"), "source", "left_anti")
     return (c.groupBy("source").agg(F.sum("n").alias("total"), F.count("*").alias("queries"))
             .filter("total = 0"))
+
+
+def _kind(value: Column) -> Column:
+    """The JSON type of a variant: object, array, text, number, boolean or none."""
+    name = F.schema_of_variant(value)
+    return (F.when(value.isNull() | (name == "VOID"), "none")
+            .when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array")
+            .when(name == "STRING", "text").when(name == "BOOLEAN", "boolean").otherwise("number"))
+
+
+def _part(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "variant")
+
+
+def raw_table_issues(files: DataFrame, file: str = "file", text: str = "value") -> DataFrame:
+    """(file, entry, level, issue): what is wrong with salary tables kept as JSON, one row a finding.
+
+    Types are checked as they stand in the file, before any schema is forced on it: the table, its
+    metadata and list, then each entry's company, city, categories, cells, counts and indexes.
+    Entries are numbered from 1; findings about a whole file have none. Booleans pass as numbers.
+    """
+    doc = files.select(F.col(file).alias("file"), F.try_parse_json(text).alias("doc"))
+    doc = doc.withColumn("list", _part(F.col("doc"), "$.companies"))
+    is_object, is_list = _kind(F.col("doc")) == "object", _kind(F.col("list")) == "array"
+    whole = F.array_compact(F.array(
+        F.when(~is_object, "top-level JSON value must be an object"),
+        F.when(is_object & ~_kind(_part(F.col("doc"), "$.metadata")).isin("object", "none"),
+               "'metadata' must be an object when provided"),
+        F.when(is_object & ~is_list, "'companies' must be a list")))
+    found = doc.select("file", F.lit(None).cast("int").alias("entry"), F.explode(whole).alias("issue"))
+    entries = (doc.filter(is_object & is_list).select("file", F.posexplode(F.try_variant_get(
+        F.col("list"), "$", "array<variant>")).alias("k", "e"))
+        .select("file", (F.col("k") + 1).alias("entry"), "e"))
+    e, fine = F.col("e"), _kind(F.col("e")) == "object"
+    name, groups = _part(e, "$.company"), _part(e, "$.categories")
+    shown = F.coalesce(F.try_variant_get(e, "$.company", "string"), F.lit(""))
+    issues = F.array_compact(F.array(
+        F.when(~fine, "must be an object"),
+        F.when(fine & ((_kind(name) != "text") | (F.trim(shown) == "")),
+               "company must be a non-empty string"),
+        F.when(fine & ~_kind(_part(e, "$.city")).isin("text", "none"),
+               "city must be a string when provided"),
+        F.when(fine & ~_kind(groups).isin("object", "none"),
+               "categories must be an object when provided")))
+    found = found.unionByName(entries.select("file", "entry", F.explode(issues).alias("issue")))
+    cells = entries.filter(_kind(groups) == "object").select("file", "entry", F.explode(
+        F.try_variant_get(e, "$.categories", "map<string,variant>")).alias("label", "cell"))
+    cell, label = F.col("cell"), F.col("label")
+    is_cell = _kind(cell) == "object"
+    wrong = F.array_compact(F.array(
+        F.when(~is_cell, F.concat(label, F.lit(" must be an object with 'count' and/or 'index'"))),
+        F.when(is_cell & ~_kind(_part(cell, "$.count")).isin("number", "boolean", "none"),
+               F.concat(label, F.lit(".count must be a number"))),
+        F.when(is_cell & ~_kind(_part(cell, "$.index")).isin("number", "boolean", "text", "none"),
+               F.concat(label, F.lit(".index must be a number or string")))))
+    found = found.unionByName(cells.select("file", "entry", F.explode(wrong).alias("issue")))
+    named = entries.filter(fine & (_kind(name) == "text")).select(
+        "file", "entry", shown.alias("name")).filter(F.trim("name") != "").withColumn(
+        "k", F.lower("name"))
+    first = named.groupBy("file", "k").agg(F.min("entry").alias("first"))
+    again = named.join(first, ["file", "k"]).filter(F.col("entry") > F.col("first")).select(
+        "file", "entry", F.concat(F.lit("Duplicate company name '"), "name", F.lit("'")).alias("issue"))
+    return found.withColumn("level", F.lit("error")).unionByName(
+        again.withColumn("level", F.lit("warning")))

@@ -16,12 +16,17 @@ from siftline.session import cut_lineage
 
 
 def preference_order(preferred_places=("hungary", "budapest"), tie_breaks: bool = True,
-                     position=("pos",)) -> list:
-    """Score, alerted, place that needs no permit or remote, recency, position."""
+                     position=("pos",), remote: Column = None) -> list:
+    """Score, alerted, place that needs no permit or remote, recency, position.
+
+    ``remote`` is the row's own flag, for tables that have one; the place may say it as well.
+    """
     if not tie_breaks:
         return [F.desc("score"), *[F.asc(p) for p in position]]
     place = F.lower(text_or_empty("location"))
     free = contains_any(place, (*preferred_places, "remote"))
+    if remote is not None:
+        free = free | F.coalesce(remote, F.lit(False))
     return [F.desc("score"), F.desc("alerted"), F.desc(free),
             F.desc(recency_number(F.col("date_posted"))), *[F.asc(p) for p in position]]
 
