@@ -94,6 +94,16 @@ def shortlist_stages(spark, sf):
         _without_quotes(F.col("reason"), F.col("gates")).alias("reason"))
 
 
+@query("deferred_with_gates", f"""{_FIRST} SELECT dedup_key AS key, title, company, dedup_key[5:] AS url,
+ location, company AS portal, score AS prerank_score, track AS track_guess, reason,
+ overall AS gate_overall, failed AS gate_failed FROM ann WHERE NOT selected""")
+def deferred_with_gates(spark, sf):
+    """The deferred list as a report shows it, gate columns included."""
+    rows = shortlist(spark, sf)
+    rows = rows.withColumn("reason", _without_quotes(F.col("reason"), F.col("gates")))
+    return deferred_view(rows).withColumn("gate_failed", F.array_join("gate_failed", ","))
+
+
 @query("shortlist")
 def shortlist_rows(spark, sf):
     """Every posting with its score, gates and the reason of its last stage."""

@@ -296,6 +296,50 @@ def gate_reasons(spark, sf):
         "pos", G.discard_reason(F.col("gates")).alias("reason"))
 
 
+_LANG_RANK = ", ".join(f"('{lang}', {i})" for i, lang in enumerate(("native-speaker", *V.LANGUAGE_NAMES)))
+_CORE_SQL = " ".join(f"WHEN contains(t, ' {m} ') THEN '{m}'" for m in VOCABULARY.core_tech)
+REASONS = f"""{ALL}, lrank(lang, k) AS (VALUES {_LANG_RANK}),
+ lfirst AS (SELECT pos, arg_min(lang, ord * 100 + k) AS lang FROM lall JOIN lrank USING (lang)
+  WHERE NOT opt GROUP BY pos),
+ yfirst AS (SELECT pos, max(years) AS years, arg_max(list_min(list_transform(regexp_extract_all(
+   fig, '[0-9]{{1,2}}'), lambda x: x::INT)), years * 1000000 - ord * 100 - i) AS low
+  FROM yk WHERE kind = 'hard' GROUP BY pos),
+ reasons AS (SELECT v.pos, v.failed, 'hard gate — ' || array_to_string(list_filter([
+  CASE WHEN v.language = 'FAIL' THEN 'language: ' || coalesce(
+   lfirst.lang || ' stated as a hard job condition', 'posting is written in ' || det.lang) END,
+  CASE WHEN v.experience = 'FAIL' THEN 'experience: ' || CASE WHEN y.low <> y.years THEN y.low || '-'
+   || y.years || ' years stated as a hard requirement, read at its ceiling of ' || y.years
+   ELSE y.years || '+ years stated as a hard requirement' END END,
+  CASE WHEN v.sponsorship = 'FAIL' THEN 'sponsorship: ' || CASE WHEN s.bar = 'sponsorship_denied'
+   THEN 'posting states sponsorship is not available' ELSE 'posting requires citizenship, a passport '
+   || 'or pre-existing work rights this profile lacks' END END,
+  CASE WHEN v.seniority = 'FAIL' THEN 'seniority: title advertises a grade above this level ('''
+   || m.marker || ''')' END,
+  CASE WHEN v.pure_technical = 'FAIL' THEN 'pure_technical: pure technical role - title matches '''
+   || (CASE {_CORE_SQL} END) || '''' END,
+  CASE WHEN v.closed = 'FAIL' THEN 'closed: the posting states it is closed' END,
+  CASE WHEN v.geography = 'FAIL' THEN 'geography: ' || CASE WHEN g.suffix
+   THEN 'the location is a US/Canadian state-or-province address' WHEN g.o IS NOT NULL
+   THEN 'the posting places the role outside Europe (''' || g.o || ''')'
+   ELSE 'the posting names the US state ''' || g.s || '''' END END,
+  CASE WHEN v.recency = 'FAIL' THEN 'recency: posted ' || (DATE '{TODAY}' - p.date_posted::DATE)
+   || ' days ago, past the 45-day freshness limit' END], lambda x: x IS NOT NULL), '; ') AS reason
+  FROM overall v JOIN postings p USING (pos) JOIN det USING (pos) JOIN seniority m USING (pos)
+  JOIN gm g USING (pos) JOIN sponsorship s USING (pos) JOIN ax USING (pos)
+  LEFT JOIN lfirst USING (pos) LEFT JOIN yfirst y USING (pos) WHERE v.overall = 'FAIL')"""
+
+
+@query("gate_reason_texts", f"{BASE}{REASONS} SELECT pos, reason FROM reasons")
+def gate_reason_texts(spark, sf):
+    """Discard reasons of all gates without the quoted evidence."""
+    g = cut_lineage(gated(spark, sf).select("pos", "gates"))
+    quiet = F.col("gates")
+    for name in V.GATE_ORDER:
+        quiet = quiet.withField(f"{name}.quote", F.lit(None).cast("string"))
+    return g.filter("gates.overall = 'FAIL'").select("pos", quiet.alias("gates")).select(
+        "pos", G.discard_reason(F.col("gates")).alias("reason"))
+
+
 @query("evidence_source", f"""WITH {POSTINGS} SELECT pos, CASE WHEN cut
  THEN 'description_truncated' ELSE 'description' END AS evidence_source,
  length(description)::INT AS evidence_chars FROM postings""")

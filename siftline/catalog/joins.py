@@ -267,6 +267,20 @@ def not_drafted(spark, sf):
         F.count("*").alias("n"))
 
 
+@query("not_drafted_view", f"""WITH {GATED} SELECT key, o_orderpriority AS title,
+ o_orderpriority AS company, o_orderpriority AS url, o_orderpriority AS location,
+ o_orderpriority AS portal, o_orderpriority AS track, CASE WHEN pos % 50 = 7 THEN 'n/a'
+  ELSE (o_totalprice % 101)::VARCHAR END AS score, o_orderpriority AS verdict,
+ CASE WHEN sc < 0 THEN 'no usable score' WHEN cleared THEN 'cleared the gate but over the cap of 5'
+  WHEN sc >= 60 THEN 'score ' || sc || ' below 75 and not alert-matched'
+  ELSE 'score ' || sc || ' below 60' END AS gate_note
+FROM gated JOIN orders ON o_orderkey = pos WHERE NOT kept""")
+def not_drafted_rows(spark, sf):
+    """The rejects with all carried fields and their note."""
+    live = J.live_keys(J.alert_status(alert_store(spark, sf), NOW))
+    return VA.not_drafted_view(SE.final_gate(jobs(spark, sf), live))
+
+
 @query("corrected_claims", f"""WITH {STORE} SELECT count_if((o_orderkey % 4 = 0)
  <> coalesce(alert_status = 'live', FALSE)) AS corrected FROM orders LEFT JOIN status
  ON key = 'u' || (o_custkey % 200)""")

@@ -311,6 +311,22 @@ def also_posted_rows(spark, sf):
     return also_posted(out)
 
 
+_BLANK = FOLD.replace("p_brand AS company", "CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS company")
+
+
+@query("near_dup_blank_company", f"""{_BLANK}
+SELECT 'k' || pos AS dedup_key, 'k' || keeper AS keeper_key FROM fold""")
+def near_dup_blank_company(spark, sf):
+    """Records without a company share one group, whatever else tells them apart."""
+    r = _roles(spark, sf).join(table(spark, sf, "part").select(
+        F.col("p_partkey").alias("pos"), (F.col("p_size") % 3).alias("third")), "pos")
+    r = r.withColumn("company", F.when(F.col("third") == 0, F.when(F.col("pos") % 2 == 0, " "))
+                     .otherwise(F.col("company"))).drop("third")
+    return collapse_near_duplicates(r, [
+        (~F.col("alerted")).alias("o1"), (-F.col("score")).alias("o2"),
+        F.col("pos").alias("o3")]).select("dedup_key", "keeper_key")
+
+
 @query("merged_lists", """WITH e AS (SELECT doc_id,
   CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'k' || (doc_id % 101) END AS key FROM documents),
  old AS (SELECT * FROM e WHERE doc_id % 2 = 0), new AS (SELECT * FROM e WHERE doc_id % 2 = 1
