@@ -10,7 +10,7 @@ gains bits, and a phrase is counted in step t exactly if the filter of t has bot
 filter of t minus one cycle has not: every task decides alike, each active phrase gets one whole
 cycle, and a part that the filter reports wrongly only makes a phrase be counted that needn't be.
 
-Texts are read once, into rows of about four megabytes: the distinct words and a number for each
+Texts are read once, into rows of about two megabytes: the distinct words and a number for each
 occurrence. Scans take numbers, shuffles 96-bit names of phrases; wording comes back at the end, for
 frequent phrases, from the one row that each name remembers.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import (LOWER, discard, mix, runs, spread_join, stored, text_slices)
 
-SLICE = 1 << 22
+SLICE = 1 << 21
 SALTS = 64
 LENGTHS = 16
 _NO_WORD = np.zeros(256, bool)
