@@ -85,6 +85,11 @@ class Reached:
         self.log = log
         self.bits = np.zeros(1 << (log - 6), np.uint64) if bits is None else bits
 
+    @classmethod
+    def sent(cls, bits):
+        """The filter whose bits were broadcast, if any; tasks get plain arrays."""
+        return None if bits is None else cls(len(bits.value).bit_length() + 5, bits.value)
+
     def places(self, h: np.ndarray):
         shift = np.uint64(64 - self.log)
         for k in range(3):
@@ -110,7 +115,8 @@ class Slice:
         self.words = words.split(b"\n")
         places = np.frombuffer(places, np.int32)
         self.index, self.linked = places >> 1, (places & 1).astype(bool)
-        seed = np.frombuffer(xxhash.xxh3_128_digest(lang.encode()), np.uint64)
+        # Another seed than the words': a word "es" in "en" is not a word "en" in "es".
+        seed = np.frombuffer(xxhash.xxh3_128_digest(lang.encode(), seed=1), np.uint64)
         names = b"".join(map(xxhash.xxh3_128_digest, self.words))
         self.names = np.ascontiguousarray(np.frombuffer(names, np.uint64).reshape(-1, 2).T)
         self.names = mix(self.names ^ seed[:, None])
@@ -212,7 +218,7 @@ def _scan(rows: DataFrame, longest: int, now, old, first: bool, buckets: int) ->
                 x: pa.array([_planes(v[cut[k]:cut[k + 1]])]) for x, v in rows.items()})
 
     def step(batches):
-        filters = now.value, old.value if old is not None else None
+        filters = Reached.sent(now), Reached.sent(old)
         parts, size = [], 0
         for batch in batches:
             for row in range(batch.num_rows):
@@ -251,7 +257,7 @@ def _after(scan: DataFrame, state: DataFrame, now, least: int, longest: int, sha
         old = _gathered(before, _STATE)
         all_ = _summed({x: np.concatenate([old[x], found[x]]) for x in _STATE})
         short = all_["tag"] % LENGTHS < longest
-        known = short & now.value.has(all_["h"])
+        known = short & Reached.sent(now).has(all_["h"])
         told = short & ~known & (all_["f"] >= least)
         over = all_["seen"] + shards - 1 <= step
         out = known | told | (over & ~short & (all_["f"] >= least))
@@ -359,7 +365,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     buckets = max(8, words >> 19)
     afters, state = [], spark.createDataFrame([], _AFTER)
     filters = [Reached(log_bits)]
-    sent = [spark.sparkContext.broadcast(filters[0])]
+    sent = [spark.sparkContext.broadcast(filters[0].bits)]
     step = 0
     while True:
         old = sent[step - shards] if step >= shards else None
@@ -376,7 +382,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         if len(at):
             bits = bits.copy()
             bits[at] |= np.asarray(delta["bits"]).view(np.uint64)
-            sent.append(spark.sparkContext.broadcast(Reached(log_bits, bits)))
+            sent.append(spark.sparkContext.broadcast(bits))
         else:
             sent.append(sent[-1])
         filters.append(Reached(log_bits, bits))

@@ -76,6 +76,13 @@ def test_phrases_of_an_empty_table_and_repeated_rows(spark):
         ("en", 1, "red fish", 12, 12, 12, 36, 1000000)]
 
 
+def test_words_that_are_names_of_languages(spark):
+    rows = [("en", "es of en es")] * 6 + [("es", "en of es")] * 7 + [(None, "und en")] * 5
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    found = phrases.collocations(docs, least=5).collect()
+    assert {tuple(x) for x in found} == brute_phrases(rows, 5, 3, 50, 2000)
+
+
 def test_a_late_phrase_gets_a_whole_cycle(spark):
     # The parts of "p q r" are frequent only through the last shard; all shards must count.
     rows = [("en", "p q r")] * 3 + [("en", "z")] * 3 + [("en", "p q r " * 2)] * 4
