@@ -49,8 +49,10 @@ def read_envelopes(spark: SparkSession, paths) -> DataFrame:
 
 def envelope_warnings(envelopes: DataFrame) -> DataFrame:
     """Files that could not be parsed."""
-    # Spark refuses to read the corrupt column alone; such a row has no results either.
-    bad = F.col("_corrupt").isNotNull() & F.col("results").isNull()
+    # Spark refuses to read the corrupt column alone; such a row has no results either. A plain
+    # null test would be pushed into the reader, which then leaves a file at its results, before
+    # it comes to the broken end.
+    bad = F.col("_corrupt").isNotNull() & (F.coalesce(F.size("results"), F.lit(-1)) < 0)
     return envelopes.filter(bad).select("path")
 
 
