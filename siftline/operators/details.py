@@ -15,6 +15,8 @@ def merge_detail(records: DataFrame, details: DataFrame, key: str = "dedup_key")
     """Merge detail by key; a detail shorter than the snippet is refused and flagged.
 
     ``details`` has the key, ``failed``, ``description`` and any of the detail fields.
+    ``taken_chars`` counts what an accepted detail gives up to the cap, the mark of a cut included;
+    white space that the cut leaves at the end is counted but not kept.
     """
     fields = [f for f in V.DETAIL_FIELDS if f in details.columns]
     d = details.select(key, F.struct("failed", "description", *fields).alias("d"))
@@ -48,7 +50,8 @@ def merge_detail(records: DataFrame, details: DataFrame, key: str = "dedup_key")
         "outcome": outcome, "description": F.coalesce(body, before),
         "description_truncated": F.when(cut, True).otherwise(had_cut),
         "description_degraded": F.coalesce(F.col("_degraded"), F.lit(False)),
-        "enriched": F.coalesce(accepted, F.lit(False)), **extra})
+        "enriched": F.coalesce(accepted, F.lit(False)),
+        "taken_chars": F.when(accepted, F.least(F.length("_text"), F.col("_cap") + 1)), **extra})
         .drop("d", "_text", "_fetched", "_cap", "_degraded"))
 
 

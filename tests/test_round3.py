@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from siftline.operators.details import merge_detail
 from siftline.sources import portals as P
 
 
@@ -15,3 +16,17 @@ def test_broken_files_are_counted(spark, tmp_path):
     got = [r.path.rsplit("/", 1)[1] for r in P.envelope_warnings(files).collect()]
     assert sorted(got) == ["cut.json", "noise.json"]
     assert P.envelope_warnings(files).agg(F.count("*")).first()[0] == 2
+
+
+def test_detail_cut_at_a_blank(spark):
+    """The blank before the cut goes from the text, not from the count of what was taken."""
+    long = "x" * 19999 + " " + "y" * 50
+    records = spark.createDataFrame(
+        [("url:linkedin:1000001", "", ""), ("url:linkedin:1000002", "", "")],
+        "dedup_key string, url string, description_snippet string")
+    details = spark.createDataFrame(
+        [("url:linkedin:1000001", False, long), ("url:linkedin:1000002", False, " ab ")],
+        "dedup_key string, failed boolean, description string")
+    a, b = merge_detail(records, details).orderBy("dedup_key").collect()
+    assert a.description == "x" * 19999 + "…" and a.taken_chars == 20001
+    assert b.description == "ab" and b.taken_chars == 2
