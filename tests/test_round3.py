@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from siftline.functions.facts import add_facts
 from siftline.operators.details import merge_detail
 from siftline.sources import portals as P
 
@@ -30,3 +31,14 @@ def test_detail_cut_at_a_blank(spark):
     a, b = merge_detail(records, details).orderBy("dedup_key").collect()
     assert a.description == "x" * 19999 + "…" and a.taken_chars == 20001
     assert b.description == "ab" and b.taken_chars == 2
+
+
+def test_negators_are_read_in_the_window_as_cut(spark):
+    """The window is cut by characters first, as in the reference; what it cuts in half counts."""
+    rows = [("xx onharent. Competitive salary and remote work.", "unknown"),
+            ("xx onharenx. Competitive salary and remote work.", "remote"),
+            ("xx arent so. Competitive salary and remote work.", "remote")]
+    df = spark.createDataFrame([(i, "", t, "") for i, (t, _) in enumerate(rows)],
+                               "id int, title string, body string, location string")
+    got = [r.work_mode.value for r in add_facts(df).orderBy("id").collect()]
+    assert got == [w for _, w in rows]
