@@ -83,8 +83,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its words are due.
     """
     docs = _keyed(docs)
-    passes = mixing.curriculum(docs, mixing.cycle((3, 1, 2)), id_col="_row", hash_col="doc_id",
-                               by_pass=True)
+    passes = mixing.curriculum(docs, mixing.cycle((3, 1, 2)), schedule=mixing.ramp, id_col="_row",
+                               hash_col="doc_id", by_pass=True)
     due = (passes.filter("2 * taken >= size").dropDuplicates(["id", "pass"])
            .select(F.col("id").alias("_id"), F.col("position").alias("_position")))
     mixed = docs.join(due, F.col("_row") == F.col("_id")).drop("_id", "_row")

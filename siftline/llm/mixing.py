@@ -145,6 +145,11 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("position", "id").sortWithinPartitions("position", "id")
 
 
+def ramp(time, weight):
+    """All sources alike at the start, each at its weight in the end."""
+    return 1 + (weight - 1) * time
+
+
 def cycle(values):
     """Weights that repeat along the sources' places."""
     def add(sources: DataFrame) -> DataFrame:

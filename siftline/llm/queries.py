@@ -72,8 +72,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op4_curriculum_mix")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
-    rows = mixing.curriculum(table(spark, sf, "documents"), mixing.cycle((3, 1, 2)))
-    return rows.withColumnRenamed("id", "doc_id").drop("source")
+    rows = mixing.curriculum(table(spark, sf, "documents"), mixing.cycle((3, 1, 2)),
+                             schedule=mixing.ramp)
+    return mixing.in_order(rows).withColumnRenamed("id", "doc_id").drop("source")
 
 
 @query("op2_min_slack_packing")
