@@ -47,13 +47,13 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
-def spread(df: DataFrame, per_core: int = 32 * 1024 * 1024) -> DataFrame:
-    """Rows over all cores when the input is small for the cluster.
+def spread(df: DataFrame, task: int = 4 * 1024 * 1024) -> DataFrame:
+    """Rows over tasks of at most some ``task`` bytes of the files, two a core at least.
 
-    A small file has one row group, which only one task can read however many splits it gets; text
-    work on it would run in that task. Inputs above ``per_core`` bytes for every core pass
-    unchanged, so large tables are never shuffled for this.
+    A row group is read by one task however many splits its file gets, and text work on it would
+    run in that task. So rows are dealt out first: a task's share stays the same when the input
+    grows, and its text is moved once, which costs little beside the work on it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores) if size < cores * per_core else df
+    return df.repartition(max(2 * cores, -(-size // task)))

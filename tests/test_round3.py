@@ -1,9 +1,10 @@
-"""Broken portal files, detail cut at a blank, negators at the edge of their window."""
+"""Broken portal files, detail cut at a blank, negators at the edge of their window, tasks of a size."""
 
 from pyspark.sql import functions as F
 
 from siftline.functions.facts import add_facts
 from siftline.operators.details import merge_detail
+from siftline.session import spread
 from siftline.sources import portals as P
 
 
@@ -42,3 +43,15 @@ def test_negators_are_read_in_the_window_as_cut(spark):
                                "id int, title string, body string, location string")
     got = [r.work_mode.value for r in add_facts(df).orderBy("id").collect()]
     assert got == [w for _, w in rows]
+
+
+def test_tasks_keep_their_size_when_the_input_grows(spark, tmp_path):
+    """One row group is one task's to read; above any bound its rows must still be dealt out."""
+    path = str(tmp_path / "one.parquet")
+    spark.range(20000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(
+        1).write.parquet(path)
+    df = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "one.parquet").glob("*.parquet"))
+    out = spread(df, size // 50)
+    rows = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) >= 50 and max(rows) <= 2 * 20000 / 50
