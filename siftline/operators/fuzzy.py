@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed_values as V
 from siftline.functions.names import anglicise, company_match_score, name_forms
 from siftline.functions.text import text_or_empty
-from siftline.operators.skew import grid_join, spread_join
+from siftline.operators.skew import grid_join
 
 GRAM = 3
 
@@ -43,17 +43,20 @@ def _containment(short: DataFrame, long: DataFrame) -> DataFrame:
     """
     short_ang, long_ang = F.col("s.ang"), F.col("l.ang")
     probes = short.filter(F.length(short_ang) > 0).select(
-        "sid", "s", F.explode(F.array_distinct(
+        "sid", F.explode(F.array_distinct(
             _grams(short_ang, F.least(F.length(short_ang), F.lit(GRAM))))).alias("gram"))
     index = long.filter(F.length(long_ang) > 0).select(
         "lid", "l", F.explode(_all_grams(long_ang)).alias("gram"))
-    needed = probes.select("gram").distinct()
-    sizes = (index.select("gram").join(needed, "gram", "left_semi").groupBy("gram")
-             .agg(F.count("*").alias("n")))
+    # Counted where the rows are: one row per letter group is left, whatever groups are frequent.
+    sizes = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # Groups the long side lacks rule a probe out; else the rarest group is the probe.
-    rarest = (spread_join(probes, sizes, ["gram"], [F.col("sid")], "left").groupBy("sid")
-              .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"),
-                   F.first("s").alias("s")))
+    rarest = (probes.join(F.broadcast(sizes), "gram", "left").groupBy("sid")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+              .filter("least.n > 0").select("sid", F.col("least.gram").alias("gram"))
+              .join(short, "sid"))
+    # Only groups that are probed leave the index; there are as many as letters allow, not names.
+    wanted = rarest.select("gram").distinct()
+    index = index.join(F.broadcast(wanted), "gram", "left_semi").select("lid", "l", "gram")
     return (grid_join(rarest, index, "gram", [F.col("sid")], [F.col("lid")])
             .filter(long_ang.contains(short_ang)).drop("gram"))
 

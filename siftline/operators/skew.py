@@ -37,19 +37,23 @@ def grid_join(left: DataFrame, right: DataFrame, key: str, left_by: list, right_
     The rows of a key lie in a grid of cells of about ``block`` rows a side: a left row goes to one
     line of the grid and all its columns, a right row to one column and all its lines. So a task
     makes at most some ``block`` squared pairs of one cell, and rows are copied once a ``block`` of
-    the other side. A key with fewer rows has one cell and its rows are not copied.
+    the other side. A key with fewer rows has one cell and its rows are not copied. A hot key that
+    the other side lacks leaves before the join, where its rows would all lie in one cell.
     """
     sizes = (left.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"))
-             .join(right.groupBy(key).agg(F.count(F.lit(1)).alias("_nr")), key))
-    hot = sizes.select(key, F.ceil(F.col("_nl") / block).cast("int").alias("_lines"),
-                       F.ceil(F.col("_nr") / block).cast("int").alias("_columns")).filter(
-        "_lines > 1 OR _columns > 1")
+             .join(right.groupBy(key).agg(F.count(F.lit(1)).alias("_nr")), key, "full"))
+    none = F.lit(0)
+    hot = sizes.select(key, F.ceil(F.coalesce("_nl", none) / block).cast("int").alias("_lines"),
+                       F.ceil(F.coalesce("_nr", none) / block).cast("int").alias("_columns")
+                       ).filter("_lines > 1 OR _columns > 1")
     one = F.lit(1)
     # Only keys above the block are in ``hot``: at most one for every ``block`` rows.
-    left = spread_join(left, hot, [key], left_by, "left").select(
+    left = spread_join(left, hot, [key], left_by, "left").filter(
+        F.coalesce("_columns", one) > 0).select(
         *left.columns, _dealt(left_by, F.coalesce("_lines", one)).alias("_line"),
         F.explode(F.sequence(F.lit(0), F.coalesce("_columns", one) - 1)).alias("_column"))
-    right = spread_join(right, hot, [key], right_by, "left").select(
+    right = spread_join(right, hot, [key], right_by, "left").filter(
+        F.coalesce("_lines", one) > 0).select(
         *right.columns, _dealt(right_by, F.coalesce("_columns", one)).alias("_column"),
         F.explode(F.sequence(F.lit(0), F.coalesce("_lines", one) - 1)).alias("_line"))
     return left.join(right, [key, "_line", "_column"]).drop("_line", "_column")

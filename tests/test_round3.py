@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.facts import add_facts
 from siftline.operators.details import merge_detail
+from siftline.operators.skew import grid_join
 from siftline.session import spread
 from siftline.sources import portals as P
 
@@ -55,3 +56,14 @@ def test_tasks_keep_their_size_when_the_input_grows(spark, tmp_path):
     out = spread(df, size // 50)
     rows = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(rows) >= 50 and max(rows) <= 2 * 20000 / 50
+
+
+def test_a_hot_key_without_partner_leaves_before_the_join(spark):
+    """Rows of a key that the other side lacks must not all be sent to one cell."""
+    left = spark.createDataFrame([("a", 1), ("b", 2)], "k string, l int")
+    right = spark.range(300).select(
+        F.when(F.col("id") < 3, "a").otherwise("lonely").alias("k"), F.col("id").alias("r"))
+    out = grid_join(left, right, "k", ["l"], ["r"], block=10)
+    assert sorted(r.r for r in out.collect()) == [0, 1, 2]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" in plan  # the counts that tell lonely keys
