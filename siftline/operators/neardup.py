@@ -147,6 +147,8 @@ def collapse_near_duplicates(df: DataFrame, order, key: str = "dedup_key",
     rows = df.withColumns({"company_key": words(F.col("company")),
                            "signature": role_signature(F.col("title")),
                            "order": F.struct(*order)})
+    # Signatures are read three times below and are the costly part: made once.
+    rows = cut_lineage(rows)
     slim = rows.select(key, "company_key", "signature", "order")
     nodes = cut_lineage(_signature_table(slim))
     leaders = _leaders(nodes, similar_pairs(nodes, percent))

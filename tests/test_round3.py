@@ -67,3 +67,11 @@ def test_a_hot_key_without_partner_leaves_before_the_join(spark):
     assert sorted(r.r for r in out.collect()) == [0, 1, 2]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" in plan  # the counts that tell lonely keys
+
+
+def test_roles_are_dealt_over_tasks(spark):
+    """One row group of parts is one task's to read; the signatures must not stay in it."""
+    from siftline.catalog.keys import _roles
+
+    roles = _roles(spark, "/root/testdata/sf0.01")
+    assert roles.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
