@@ -119,30 +119,32 @@ def spread_rank(df: DataFrame, key: list, order: list, by, name: str = "rank",
             .withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start"))
 
 
+def _tally(links: DataFrame):
+    return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component of edges (a, b).
 
     Alternating stars: every node's larger neighbours are linked to its smallest one, then its
-    smaller ones. Hubs are met by aggregation, paths halve each round, and each round is stored.
+    smaller ones. Hubs are met by aggregation, paths halve each round, and each half round is
+    stored, so plans stay short. Edges that are stars already take one round.
     Nodes without an edge to another node are absent.
     """
     links = stored(edges.filter("a <> b")
                    .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
+    now, seen = _tally(links), None
+    while now != seen:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (spread_join(both, low, ["u"], F.col("v")).filter("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large = stored(spread_join(both, low, ["u"], F.col("v")).filter("v > u")
+                       .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+                       .distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u")
-                 .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-                         .alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        links = stored(small)
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        links = stored(large.join(low, "u")
+                       .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+                               .alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        now, seen = _tally(links), now
     return (links.select(F.col("u").alias("node"), F.col("v").alias("label"))
             .union(links.select(F.col("v"), F.col("v")).distinct()))
 

@@ -162,7 +162,7 @@ def exact_duplicates(docs: DataFrame, snapshot: DataFrame, id_col: str = "doc_id
                   build_filters(known))
     pairs = stored(hits.join(known.select("bucket", "sha", F.col("best.id").alias("old_id")),
                              ["bucket", "sha"]).select("sha", "id", "old_id"))
-    equal = _byte_equal(pairs, docs, snapshot, id_col, text_col)
+    equal = stored(_byte_equal(pairs, docs, snapshot, id_col, text_col))
     batch = batch.join(equal.withColumn("same", F.lit(True)), "sha", "left")
     sides = known.select("sha", "best", "n", F.lit(False).alias("is_new"), F.lit(True).alias("same")
                          ).union(batch.select("sha", "best", "n", F.lit(True), "same"))

@@ -96,7 +96,7 @@ def curriculum(docs: DataFrame, weights, total_share: float = 1.5, most: float =
     sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                                word_count(F.col(text_col)).alias("size"),
                                F.md5(F.col(hash_col or id_col).cast("string")).alias("mark")))
-    sources = weights(source_sizes(sized))
+    sources = stored(weights(source_sizes(sized)))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     sources = stored(water_fill(sources, total_share * total, most))
     curve = schedule or (lambda time, weight: weight)
@@ -106,11 +106,12 @@ def curriculum(docs: DataFrame, weights, total_share: float = 1.5, most: float =
                                                  F.col("weight")).cast("double").alias("share"))
     due = (_demand(sources, steps).groupBy("source")
            .agg(F.sort_array(F.collect_list(F.struct("step", "demand")))["demand"].alias("due")))
-    plan = (sources.join(due.withColumnRenamed("source", "_s"),
-                         F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-            .withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")))
-            .withColumn("words", F.round("target").cast("long")).select(
-                "key", "source_size", "target", "words", "due"))
+    # One row a source, stored so that the plan over the documents is not planned with its own.
+    plan = stored(sources.join(due.withColumnRenamed("source", "_s"),
+                               F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+                  .withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")))
+                  .withColumn("words", F.round("target").cast("long")).select(
+                      "key", "source_size", "target", "words", "due"))
     keyed = sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")))
     placed = spread_rank(keyed, ["key"], ["mark", "id", "size"], F.substring("mark", 1, 4),
                          "before", weight=F.col("size"))

@@ -280,27 +280,29 @@ def _first_cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("node"), ways)))
 
 
-def _later_cells(rows: DataFrame) -> DataFrame:
-    """Cells of buckets that span classes: every row outside a bucket's largest class meets every
-    row of the bucket, in cells of at most some ``CELL`` rows from either."""
-    counts = rows.groupBy("key", "label").agg(F.count("*").alias("m"))
+def _wide(named: DataFrame) -> DataFrame:
+    """(key, base, across, down) of the buckets that span classes; base is the largest class."""
+    counts = named.groupBy("key", "label").agg(F.count("*").alias("m"))
     wide = (counts.groupBy("key").agg(F.sum("m").alias("all"), F.count("*").alias("classes"),
                                       F.max(F.struct("m", "label"))["label"].alias("base"),
                                       F.max("m").alias("most")).filter("classes > 1"))
-    wide = wide.withColumn("across", F.ceil(F.col("all") / CELL)).withColumn(
-        "down", F.ceil((F.col("all") - F.col("most")) / CELL))
+    return wide.select("key", "base", F.ceil(F.col("all") / CELL).alias("across"), F.ceil(
+        (F.col("all") - F.col("most")) / CELL).alias("down"))
+
+
+def _later_cells(rows: DataFrame, wide: DataFrame) -> DataFrame:
+    """Cells of buckets that span classes: every row outside a bucket's largest class meets every
+    row of the bucket, in cells of at most some ``CELL`` rows from either."""
     rows = rows.join(wide.hint("merge"), "key")
     i, j = F.pmod(F.xxhash64("node"), "across"), F.pmod(F.xxhash64("node", F.lit(1)), "down")
-    alone = rows.withColumn("i", F.array(i)).withColumn("j", F.expr("sequence(0, down - 1)"))
-    rest = rows.filter("label <> base and (across > 1 or down > 1)").withColumn(
-        "i", F.expr("sequence(0, across - 1)")).withColumn("j", F.array(j))
-    met = alone.unionByName(rest).withColumn("i", F.explode("i")).withColumn("j", F.explode("j"))
-    cells = met.withColumn("cell", F.xxhash64("key", "i", "j"))
-    columns = ["cell", "node", "n", "label", "packed"]
-    # One cell holds a bucket whole; only where there are more can a row come twice.
-    single = cells.filter("across = 1 and down = 1").select(columns)
-    return single.union(cells.filter("across > 1 or down > 1").select(columns)
-                        .dropDuplicates(["cell", "node"]))
+    every = F.transform(F.sequence(F.lit(0), F.col("down") - 1),
+                        lambda k: F.xxhash64("key", i, k))
+    outside = F.expr("label <> base and (across > 1 or down > 1)")
+    more = F.when(outside, F.transform(F.sequence(F.lit(0), F.col("across") - 1),
+                                       lambda k: F.xxhash64("key", k, j))).otherwise(
+        F.array().cast("array<bigint>"))
+    return rows.select(F.explode(F.array_distinct(F.concat(every, more))).alias("cell"), "node", "n",
+                       "label", "packed")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -328,18 +330,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = _dealt(_first_cells(rows.withColumn("label", F.col("node"))), columns,
                     lambda r: _likely(r, percent), ("a", "b")).distinct()
     links = _confirmed(likely, sets, percent)
-    classes = components(links)
+    classes = stored(components(links))
     named = rows.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    doubtful = stored(_dealt(_later_cells(named), columns, lambda r: _doubtful(r, percent),
-                             ("cell", "node")))
+    doubtful = stored(_dealt(_later_cells(named, stored(_wide(named))), columns,
+                             lambda r: _doubtful(r, percent), ("cell", "node")))
     tried = doubtful.join(sets.select("node", "grams"), "node").join(classes, "node", "left"
                                                                      ).withColumn(
         "label", F.coalesce("label", "node"))
     more = _dealt(tried, ["node", "label", "grams"], lambda r: _links(r, percent), ("a", "b"))
-    classes = components(links.union(more))
+    # Classes are stars, so only new links make this take more than one round.
+    classes = components(classes.select(F.col("node").alias("a"), F.col("label").alias("b"))
+                         .union(more))
     ids = nodes.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     firsts = ids.groupBy("label").agg(F.min("id").alias("component_id"))
-    ids = spread_join(ids, firsts, ["label"], F.col("node")).select("node", "component_id")
+    ids = stored(spread_join(ids, firsts, ["label"], F.col("node")).select("node", "component_id"))
     out = spread_join(sketched.select("id", "n", "node"), ids, ["node"], F.col("id"), "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"),
