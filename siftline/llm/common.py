@@ -119,34 +119,71 @@ def spread_rank(df: DataFrame, key: list, order: list, by, name: str = "rank",
             .withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start"))
 
 
-def _tally(links: DataFrame):
-    return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _to_smallest(links: DataFrame) -> DataFrame:
+    """Links (u, v), u above v: a node and its other smaller neighbours go to its smallest one."""
+    from pyspark.sql import Window
+
+    rows = links.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return rows.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+                       F.col("m").alias("v")).distinct()
+
+
+def _unsettled(links: DataFrame) -> DataFrame:
+    """(node, m, inner), stored: nodes of several smaller neighbours, or of smaller and larger ones.
+
+    ``m`` is the smallest neighbour, ``inner`` tells that there are larger ones. Hubs are met by
+    aggregation. Links without such a node are stars.
+    """
+    ends = links.select(F.col("u").alias("node"), F.col("v").alias("m")).union(
+        links.select("v", F.lit(None).cast("long")))
+    nodes = ends.groupBy("node").agg(F.min("m").alias("m"), F.max("m").alias("most"),
+                                     (F.count("*") > F.count("m")).alias("inner"))
+    return stored(nodes.filter("m is not null and (inner or m < most)").drop("most"))
+
+
+def _round(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links to an inner node go two steps down its smallest neighbours, then each node's to its
+    smallest one."""
+    inner = nodes.filter("inner")
+    step = inner.select(F.col("node").alias("m"), F.col("m").alias("next"))
+    jumps = inner.join(step, "m", "left").select(F.col("node").alias("v"),
+                                                 F.coalesce("next", "m").alias("m"))
+    far = spread_join(links, jumps, ["v"], F.col("u"), "left")
+    return stored(_to_smallest(far.select("u", F.coalesce("m", "v").alias("v"))))
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    return stored(_to_smallest(edges.filter("a <> b").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    while (nodes := _unsettled(links)).count():
+        links = _round(links, nodes)
+    return links.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(node, label) of edges (a, b), stored: a node and its component's smallest one, which itself
+    has no row.
+
+    Alternating stars: a node's larger neighbours are linked to its smallest one, then its smaller
+    ones. Paths shorten to a third each round, and each round is stored, so plans stay short. Only
+    nodes between a smaller and a larger neighbour change a link, so rounds go on while there are
+    any, or a node has two smaller neighbours; edges that are stars already take no round.
+    """
+    return _settled(_links(edges))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component of edges (a, b).
 
-    Alternating stars: every node's larger neighbours are linked to its smallest one, then its
-    smaller ones. Hubs are met by aggregation, paths halve each round, and each half round is
-    stored, so plans stay short. Edges that are stars already take one round.
-    Nodes without an edge to another node are absent.
+    As ``stars``, after one round that any edges but stars need, and with a row for the smallest
+    nodes too. Nodes without an edge to another node are absent.
     """
-    links = stored(edges.filter("a <> b")
-                   .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    now, seen = _tally(links), None
-    while now != seen:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(spread_join(both, low, ["u"], F.col("v")).filter("v > u")
-                       .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-                       .distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        links = stored(large.join(low, "u")
-                       .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-                               .alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        now, seen = _tally(links), now
-    return (links.select(F.col("u").alias("node"), F.col("v").alias("label"))
-            .union(links.select(F.col("v"), F.col("v")).distinct()))
+    links = _links(edges)
+    found = _settled(_round(links, _unsettled(links)))
+    return found.union(found.select("label", "label").distinct())
 
 
 # ---- text bytes inside a task ---------------------------------------------------------------

@@ -14,17 +14,18 @@ beyond ``CELL`` rows are dealt into cells, so no task holds a whole hot bucket.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import (IS_SPACE, LOWER, components, mix, prefix_hash, runs, span_hash,
-                                 spread_join, stored, text_slices)
+from siftline.llm.common import (IS_SPACE, LOWER, mix, prefix_hash, runs, span_hash, stars, stored,
+                                 text_slices)
 
 WIDTH = 5
 HASHES, BANDS, BITS = 128, 32, 4
 CELL = 1024
 SMALL = 8
 MARGIN = 0.2
+MARKS = 24
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64))
 _STEP = mix(np.arange(2001, 2001 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -110,11 +111,37 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .mapInArrow(run, schema).withColumn("node", _node()).drop("f1", "f2"))
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """Bit filter of fixed size over hashes of ``id``: at most 2^(MARKS - 6) rows reach the driver."""
+    bits = np.zeros(1 << (MARKS - 6), np.int64)
+    found = (ids.select(_mark(F.col("id")).alias("at"))
+             .groupBy(F.shiftright("at", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow())
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return bits.view(np.uint64)
+
+
+def _mark(name: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(name), F.lit(1 << MARKS))
+
+
 def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, n, grams) of the nodes in ``wanted`` (node, id)."""
+    """(node, n, grams) of the nodes in ``wanted`` (node, id); rows may repeat.
+
+    Texts stay where they are read: a bit filter of the wanted ids tells which to take. Those that it
+    takes wrongly go by their node, so beyond some millions of ids it only prunes less.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
+
     def run(batches):
+        bits = marks.value
         for batch in batches:
-            sets = [g for _, _, data, offsets in text_slices(batch.column("text"))
+            at = batch.column("at").to_numpy()
+            held = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            texts = batch.column("text").filter(pa.array(held.astype(bool)))
+            if not len(texts):
+                continue
+            sets = [g for _, _, data, offsets in text_slices(texts)
                     for g in shingle_sets(data, offsets)]
             names = [_names(g) for g in sets]
             yield pa.RecordBatch.from_arrays(
@@ -122,12 +149,11 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -
                  pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))],
                 names=["n", "f1", "f2", "grams"])
 
-    ids = wanted.select(F.col("id").alias("_want")).distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    found = (texts.join(ids, F.col("_id").eqNullSafe(F.col("_want")), "left_semi").select("text")
+    found = (docs.select(_mark(F.col(id_col)).alias("at"), F.col(text_col).alias("text"))
              .mapInArrow(run, "n long, f1 long, f2 long, grams array<long>")
              .select(_node().alias("node"), "n", "grams"))
-    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    nodes = wanted.select("node").distinct()
+    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 # ---- likely pairs of a cell -----------------------------------------------------------------
@@ -193,15 +219,16 @@ def _likely(rows: dict, percent: int) -> list:
 
 
 def _doubtful(rows: dict, percent: int) -> list:
-    """(cell, node) of the rows with a likely partner in another class."""
+    """(cell, node, label) of the rows with a likely partner in another class."""
     found = (_estimates(rows, percent) > -1).any(axis=1)
-    return [(rows["cell"][0], x) for x in rows["node"][found]]
+    return [(rows["cell"][0], x, y) for x, y in zip(rows["node"][found], rows["label"][found],
+                                                    strict=True)]
 
 
 def _links(rows: dict, percent: int) -> list:
-    """A forest of the links between classes of a cell, found on full sets."""
-    grams, label, node = rows["grams"], rows["label"], rows["node"]
-    size, n = len(node), np.array([len(g) for g in grams])
+    """Label pairs: a forest of the links between classes of a cell, found on full sets."""
+    grams, label = rows["grams"], rows["label"]
+    size, n = len(label), np.array([len(g) for g in grams])
     names, count = np.unique(label, return_counts=True)
     base = names[np.argmax(count)]
     owner = np.repeat(np.arange(size), n)
@@ -228,7 +255,7 @@ def _links(rows: dict, percent: int) -> list:
             a, b = find(label[i].item()), find(label[j].item())
             if a != b:
                 root[max(a, b)] = min(a, b)
-                edges.append((min(node[i], node[j]), max(node[i], node[j])))
+                edges.append((min(label[i], label[j]), max(label[i], label[j])))
     return edges
 
 
@@ -246,7 +273,7 @@ def _by_cell(kernel, names: tuple):
                  for x in kernel({k: v[a:b] for k, v in columns.items()})]
         found = sorted(set(found))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64())
-                                           for k in range(2)], names=list(names))
+                                           for k in range(len(names))], names=list(names))
 
     def run(batches):
         held, last = [], None
@@ -316,45 +343,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless nothing else is in the class. Only the two columns are read.
     """
     sketched = stored(sketch(docs, id_col, text_col))
-    full = sketched.filter("n > 0")
-    nodes = full.groupBy("node").agg(F.min("id").alias("id"))
-    banded = stored(full.select("node", "n", "packed", "bands").dropDuplicates(["node"]))
+    # Copies are one row from here on, under their smallest id.
+    banded = stored(sketched.filter("n > 0").groupBy("node").agg(
+        F.min("id").alias("id"), *(F.first(x).alias(x) for x in ("n", "packed", "bands"))))
     keyed = banded.select("node", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rows = stored(keyed.join(sizes.hint("merge"), "key")
-                  .join(banded.select("node", "n", "packed"), "node"))
-    members = rows.select("node").distinct()
-    sets = stored(_full_sets(docs, id_col, text_col, nodes.join(members, "node")))
+                  .join(banded.select("node", "id", "n", "packed"), "node"))
+    sets = stored(_full_sets(docs, id_col, text_col, rows.select("node", "id")))
 
     columns = ["node", "n", "label", "packed"]
     likely = _dealt(_first_cells(rows.withColumn("label", F.col("node"))), columns,
                     lambda r: _likely(r, percent), ("a", "b")).distinct()
-    links = _confirmed(likely, sets, percent)
-    classes = stored(components(links))
-    named = rows.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    doubtful = stored(_dealt(_later_cells(named, stored(_wide(named))), columns,
-                             lambda r: _doubtful(r, percent), ("cell", "node")))
-    tried = doubtful.join(sets.select("node", "grams"), "node").join(classes, "node", "left"
-                                                                     ).withColumn(
-        "label", F.coalesce("label", "node"))
-    more = _dealt(tried, ["node", "label", "grams"], lambda r: _links(r, percent), ("a", "b"))
-    # Classes are stars, so only new links make this take more than one round.
-    classes = components(classes.select(F.col("node").alias("a"), F.col("label").alias("b"))
-                         .union(more))
-    ids = nodes.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    firsts = ids.groupBy("label").agg(F.min("id").alias("component_id"))
-    ids = stored(spread_join(ids, firsts, ["label"], F.col("node")).select("node", "component_id"))
-    out = spread_join(sketched.select("id", "n", "node"), ids, ["node"], F.col("id"), "left")
+    classes = stars(_confirmed(likely, sets, percent))
+    named = _labelled(rows, classes)
+    doubtful = _dealt(_later_cells(named, stored(_wide(named))), columns,
+                      lambda r: _doubtful(r, percent), ("cell", "node", "label"))
+    tried = doubtful.join(sets.select("node", "grams"), "node")
+    # From here on a class is one node.
+    joined = stars(_dealt(tried, ["label", "grams"], lambda r: _links(r, percent), ("a", "b")))
+    firsts = _labelled(banded.select("node", "id"), classes).groupBy("label").agg(
+        F.min("id").alias("id"))
+    ids = _labelled(firsts.select(F.col("label").alias("node"), "id"), joined)
+    least = F.min("id").over(Window.partitionBy("label"))
+    ids = stored(ids.select(F.col("node").alias("label"), least.alias("component_id")))
+    # Stored sides of one row a key: Spark splits the partitions of hot texts and classes.
+    out = _labelled(sketched.select("id", "n", "node"), classes).join(ids, "label", "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"),
                       F.col("id").eqNullSafe(own).alias("kept"))
 
 
+def _labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows with the label of their node's class: without links, the node itself."""
+    return rows.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b), stored: the decision on full sets."""
+    """The linked ones of pairs (a, b): the decision on full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
     same = F.size(F.array_intersect("ga", "gb"))
-    return stored(pairs.join(left, "a").join(right, "b").withColumn("same", same).filter(
-        100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same")))
-        .select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").withColumn("same", same).filter(
+        100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
