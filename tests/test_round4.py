@@ -1,10 +1,11 @@
-"""Texts that are empty, missing or blank, beside the SQL twin."""
+"""Empty texts beside the SQL twin, negators beside accented letters."""
 
 import duckdb
 from oracle import compare
 from pyspark.sql import functions as F
 
 from siftline.catalog import QUERIES, SQL
+from siftline.functions.facts import add_facts
 from siftline.operators.dedup import unify
 
 
@@ -29,3 +30,13 @@ def test_unify_keeps_no_snippet_of_an_empty_text(spark):
     df = spark.createDataFrame([("",), (None,), (" a\t",)], "description string").withColumns(
         {c: F.lit("x") for c in ("title", "company", "url", "location")})
     assert [r.description_snippet for r in unify(df).collect()] == [None, None, "a"]
+
+
+def test_negators_are_whole_words_of_any_alphabet(spark):
+    """The SQL takes the first for a negator and the second for none; the reference does not."""
+    rows = [("que noñadoeses. Miga. There is no remote work here.", "onsite"),
+            ("llaci para no. Competitive salary and remote work.", "unknown")]
+    df = spark.createDataFrame([(i, "", t, "") for i, (t, _) in enumerate(rows)],
+                               "id int, title string, body string, location string")
+    got = [r.work_mode.value for r in add_facts(df).orderBy("id").collect()]
+    assert got == [w for _, w in rows]
